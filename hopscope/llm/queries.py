@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
-from .common import Scratch
+from . import ann, fingerprints, langid, lm, packing, token_files
+from .common import Scratch, held
 
 
 def vocabulary() -> str:
@@ -23,15 +24,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.log_likelihoods(documents(spark, sf_dir), ~held("doc_id", 10, 0), ["doc_id"])
+    return out.select("doc_id", held("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(documents(spark, sf_dir), vocabulary())
 
 
+def op3_mips_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "token-files").folder()
     manifest = token_files.write_token_files(documents(spark, sf_dir), folder, vocabulary())
     return token_files.read_token_files(spark, folder, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_token_files)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.identify(docs, ~held("doc_id", 3, 1), ["doc_id"])
+    return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
