@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, jaccard, langid, lm, packing, token_files
+from . import ann, fingerprints, jaccard, langid, line_dedup, lm, packing, token_files
 from .common import Scratch, held
 
 
@@ -49,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), ["doc_id"])
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -57,5 +61,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op8_jaccard_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op8_jaccard_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
