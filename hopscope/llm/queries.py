@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, jaccard, langid, line_dedup, lm, packing, token_files
+from . import ann, fingerprints, jaccard, langid, line_dedup, lm, mixing, packing, token_files
 from .common import Scratch, held
 
 
@@ -53,6 +53,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), ["doc_id"])
 
 
+#: Multiples of the domains' tokens that mixing aims at.
+SHARES = {"good": 1.0, "low": 0.5, "toxic": 0.0}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table's domains: toxic, low quality, good."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", domain.alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), domain_labels(spark, sf_dir), SHARES, ["doc_id"])
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -61,5 +75,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op8_jaccard_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op7_mixing, op8_jaccard_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
