@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, slices, words_of
@@ -199,10 +199,11 @@ def _binary_list(flat: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
+    """doc_id, n_shingles, component_id of each row; text_hash (xxhash64), and first: the component's row of least id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def sampled(batches):
         for batch in batches:
@@ -226,14 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kind = "<u2" if not len(v) or v.max() < 1 << 16 else "<u4"
                 k = piece.num_rows
                 yield pa.RecordBatch.from_arrays([
-                    piece.column("doc_id"), pa.array(row + np.arange(k), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(_class_of(sets, off), pa.binary()),
+                    piece.column("doc_id"), piece.column("text_hash"), pa.array(row + np.arange(k), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(_class_of(sets, off), pa.binary()),
                     _binary_list(v.astype(kind).ravel(), np.arange(k + 1) * GROUPS), pa.ListArray.from_arrays(pa.array(pre_off, pa.int32()), pa.array(pre.view(np.int64))),
-                ], names=["doc_id", "row", "n", "cls", "vec", "prefix"])
+                ], names=["doc_id", "text_hash", "row", "n", "cls", "vec", "prefix"])
                 row += k
 
-    described_rows = scratch.cut(rows.mapInArrow(described, "doc_id long, row long, n long, cls binary, vec binary, prefix array<long>"))
+    described_rows = scratch.cut(hashed.mapInArrow(described, "doc_id long, text_hash long, row long, n long, cls binary, vec binary, prefix array<long>"))
     classes = described_rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("cid"))
-    member = scratch.cut(described_rows.select("doc_id", "row", "n", "cls").join(classes, "cls", "left").select("doc_id", "row", "n", "cls", "cid"))
+    member = scratch.cut(described_rows.select("doc_id", "text_hash", "row", "n", "cls").join(classes, "cls", "left").select("doc_id", "text_hash", "row", "n", "cls", "cid"))
     reps = described_rows.join(member.where("row = cid").select("row"), "row").select(F.col("row").alias("cid"), "n", "vec", "prefix")
     # prefix shingles that at least two classes share, with the least class of each
     posts = reps.select("cid", "n", F.explode("prefix").alias("s")).repartition("s")
@@ -324,8 +325,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = components(links, scratch)
     # class, component of the first round, component, least id in it
     comp = member.join(first.select(F.col("node").alias("cid"), F.col("root").alias("one")), "cid", "left").withColumn("one", F.coalesce("one", "cid", "row"))
-    comp = comp.join(second.select(F.col("node").alias("one"), F.col("root").alias("two")), "one", "left").select("doc_id", "n", F.coalesce("two", "one").alias("comp"))
+    comp = comp.join(second.select(F.col("node").alias("one"), F.col("root").alias("two")), "one", "left").select("doc_id", "text_hash", "row", "n", F.coalesce("two", "one").alias("comp"))
     comp = scratch.cut(comp)
     scratch.forget(described_rows, shared, sets, wanted, best)
-    name = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return comp.join(name, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    name = comp.groupBy("comp").agg(least.alias("least"))
+    return comp.join(name, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", (F.col("row") == F.col("least.row")).alias("first"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that another row of their component stands for. Rows without words stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    lone = found["n_shingles"] == 0
+    kept = found.where(F.col("first") | lone).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.max(lone).alias("_lone"))
+    key = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    out = key.join(kept, key[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")))
+    # of rows with equal id and text one stays
+    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))
+    return out.withColumn("_turn", turn).where((F.col("_turn") == 1) | F.col("_lone")).select(*docs.columns)

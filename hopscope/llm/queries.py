@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, jaccard, langid, line_dedup, lm, mixing, packing, token_files
+from . import ann, fingerprints, jaccard, langid, licenses, line_dedup, lm, mixing, packing, token_files
 from .common import Scratch, held
 
 
@@ -68,12 +68,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir))
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), ["doc_id"])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op7_mixing, op8_jaccard_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op7_mixing, op8_jaccard_join, op9_license_scan, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
