@@ -1,23 +1,96 @@
-"""Corpus pipeline: language ID, line dedup, near-duplicate join, mixing, packing."""
+"""Corpus pipeline over ``documents``: five stages, each on all rows that the one before kept.
+
+1. language ID rejects texts without letters and those of no clear language;
+2. line dedup deletes later copies of repeated line runs, and documents of which nothing is left;
+3. the n-gram Jaccard join keeps one document of each near-duplicate component, the one of least id;
+4. mixing takes each document as often as its fitted rate says (0, 1 or more rows);
+5. packing cuts and packs the rest into sequences of at most 1024 tokens, and returns its pieces.
+
+Each stage's output is written as Parquet and read again by the next; tables that a stage made for itself
+are removed when the next one begins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hopscope.llm import common, jaccard, langid, line_dedup, mixing, packing
+from hopscope.llm.queries import SHARES, domain_labels, vocabulary
+
+#: Documents whose best language is less likely than this are rejected.
+LEAST_SCORE = 0.5
+_MADE: list[common.Scratch] = []
+
+
+def _stage(f):
+    """Remove what the last stage made for itself; note what this one makes."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _MADE:
+            made = _MADE.pop()
+            made.drop()
+            common._LIVE.remove(made)
+        before = len(common._LIVE)
+        out = f(spark, docs, sf_dir)
+        _MADE.extend(common._LIVE[before:])
+        return out
+
+    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
+    return run_stage
+
+
+@_stage
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of a clear language."""
+    out = langid.identify(docs, F.lit(True), docs.columns)
+    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+@_stage
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of repeated line runs, and documents that they made up."""
+    out = line_dedup.dedup_lines(docs, docs.columns)
+    out = out.where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+@_stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near-duplicates."""
+    return jaccard.keep_first(docs)
+
 
-from hopscope.llm import packing
-from hopscope.llm.queries import vocabulary
+@_stage
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as its rate says."""
+    out = mixing.mix(docs, domain_labels(spark, sf_dir), SHARES, docs.columns)
+    times = mixing.copies(F.col("rate"), F.col("doc_id"))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
+@_stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in their places in sequences of 1024 tokens."""
     return packing.best_two_fit(docs, vocabulary())
 
 
-STAGES = [("best-fit packing", pack_documents)]
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_domains),
+    ("best-fit packing", pack_documents),
+]
+#: The trained classifiers can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = common.Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = tables.cut(docs)
     return docs
