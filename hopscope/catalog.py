@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import queries, totals
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "a15_rtt_summary"
+QUERIES = queries.QUERIES | totals.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | totals.ORACLE_SQL
+FLAGSHIP = "A15_rtt_summary"

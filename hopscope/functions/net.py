@@ -48,18 +48,22 @@ def network(number: Column, plen: Column | int) -> Column:
 
 def in_networks(number: Column, nets: list[str]) -> Column:
     """Whether an address number lies in one of a few networks; null lies in none."""
-    out = F.lit(False)
-    for text in nets:
-        low, plen = cidr(text)
-        out = out | ((number >= low) & (number < low + (1 << (32 - plen))))
-    return F.coalesce(out, F.lit(False))
+
+    def inside(n: Column) -> Column:
+        out = F.lit(False)
+        for text in nets:
+            low, plen = cidr(text)
+            out = out | ((n >= low) & (n < low + (1 << (32 - plen))))
+        return F.coalesce(out, F.lit(False))
+
+    return F.exists(F.array(number), inside)  # so that the number is worked out once
 
 
 def is_public(ip: Column) -> Column:
     """A valid address outside the special-purpose networks."""
     n = ip_number(ip)
-    inside = in_networks(n, PRIVATE) & ~n.isin([cidr(x)[0] for x in PUBLIC_INSIDE])
-    return n.isNotNull() & ~inside
+    exempt = [cidr(x)[0] for x in PUBLIC_INSIDE]
+    return F.exists(F.array(n), lambda v: v.isNotNull() & (~in_networks(v, PRIVATE) | v.isin(exempt)))
 
 
 def socket(ip: Column, port: Column) -> Column:
