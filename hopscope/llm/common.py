@@ -152,3 +152,27 @@ def hash_strings(words: pa.Array) -> np.ndarray:
 def held(column: str, mod: int, is_: int):
     """crc32 of the id as text, modulo ``mod``, equals ``is_``. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod == is_
+
+
+def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> DataFrame:
+    """Rows of ``counts`` from the highest count down, at most ``most`` of them: all of a class of similar counts or none.
+
+    A threshold is found from a few hundred totals first, so that no task sends candidates of its own to the driver.
+    """
+    step = F.floor(F.log2(count) * 16).cast("int")
+    total, low = 0, None
+    for r in sorted((tuple(r) for r in counts.groupBy(step.alias("b")).count().collect()), reverse=True):
+        total += r[1]
+        if total > most:
+            break
+        low = r[0]
+    return counts.where(step >= low) if low is not None else counts.where("false")
+
+
+def hashed_sample(rows: DataFrame, key, most: int, order: list[str]) -> DataFrame:
+    """About ``most`` rows, at most ``most``, chosen by a hash of ``key``: a share of all rows is cut first, then ordered."""
+    n = rows.count()
+    u = F.pmod(F.xxhash64(key, F.lit(97)), F.lit(1_000_000_007))
+    if n > most:
+        rows = rows.where(u < int(1_000_000_007 * 1.5 * most / n) + 1)
+    return rows.orderBy(u, *order).limit(most)
