@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices, words_of
+from .common import Scratch, mix64, most_frequent, slices, words_of
 from .components import components
 
 WORDS, PERCENT, GROUPS, FANOUT = 5, 80, 128, 24
@@ -211,10 +211,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(piece.column("text"))[0].view(np.int64))], names=["s"])
 
     part = rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text")
-    hot = part.mapInArrow(sampled, "s long").groupBy("s").count().where("count >= 4").orderBy(F.desc("count"), "s").limit(HOT).toArrow()  # at most HOT rows
+    counts = scratch.cut(part.mapInArrow(sampled, "s long").groupBy("s").count().where("count >= 4"))
+    hot = most_frequent(counts, "s", "count", HOT).toArrow()  # at most HOT rows
     names = np.asarray(hot["s"].combine_chunks()).view(np.uint64) if len(hot) else np.zeros(0, np.uint64)
+    often = np.asarray(hot["count"].combine_chunks()) if len(hot) else np.zeros(0, np.int64)
     order = np.argsort(names)
-    hot_b = spark.sparkContext.broadcast((names[order], len(names) - order))
+    # the rarest of them first
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, often))] = np.arange(len(names))
+    hot_b = spark.sparkContext.broadcast((names[order], rank[order]))
 
     def described(batches):
         hot, rank = hot_b.value
