@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch
+from .common import Scratch, hashed_sample
 
 #: The codebooks' sample, and weights: (d - 1) T^2 / (1 - T^2) at T = 0.2 of a vector's norm for d = 64.
 SAMPLE, ROUNDS, ETA = 8_192, 6, 2.6
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     count, d = sizes[0]
     rows = rows.where(F.size("v") == d)
     odd = d % 2
-    sample = np.array([r[0] for r in rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
+    sample = np.array([r["v"] for r in hashed_sample(rows, "vec_id", SAMPLE, ["vec_id"]).collect()])
     books = fit(np.pad(sample, ((0, 0), (0, odd))))
 
     @pandas_udf("binary")

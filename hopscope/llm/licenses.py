@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 # Notices of licence families.
 NOTICES = {
     "AGPL-3.0": ["licensed under the gnu affero general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or any later version", "spdx license identifier agpl 3 0 or later"],
@@ -145,8 +147,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     ``LEAST`` or more, and ``unknown``.
     """
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    u = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(1_000_003))
-    few = rows.select("text", u.alias("u")).orderBy("u", "text").limit(SAMPLE_LINES // 4).selectExpr("u", "slice(split(substring(text, 1, 4000), '\n'), 1, 8) AS lines").collect()
+    few = hashed_sample(rows.select(F.substring("text", 1, 4000).alias("text")), "text", SAMPLE_LINES // 4, ["text"]).selectExpr("slice(split(text, '\n'), 1, 8) AS lines").collect()
     gate = re.compile("|".join(map(re.escape, ANCHORS)))
     lines = [x for r in sorted(few) for x in r["lines"] if not gate.search(x.lower())][:SAMPLE_LINES]
     model = LicenceModel(lines)

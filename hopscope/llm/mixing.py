@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hashed_sample
 
 BUCKETS, SAMPLE_DOCS, LEAST_Z = 16_384, 8_192, 3.0
 ITERATIONS, TOLERANCE, RIDGE = 20, 1e-5, 1e-4
@@ -86,7 +86,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Learn from ``labels`` (id, domain): a bounded sample of ids by hash, broadcast to the documents."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("domain").cast("string").alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("domain"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).collect()
+    chosen = hashed_sample(known, "id", SAMPLE_DOCS, ["id"]).collect()
     none = Domains(["all"], np.zeros((1, BUCKETS)), np.zeros((1, 2)))
     if not chosen:
         return none
