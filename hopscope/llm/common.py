@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Characters of text that a Python worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -149,6 +150,11 @@ def hash_strings(words: pa.Array) -> np.ndarray:
     return mix64(out)
 
 
+def passed_schema(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """Fields _0, _1, ... of the types of ``keep`` in ``df``, and those of ``ddl``."""
+    return StructType([StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + StructType.fromDDL(ddl).fields)
+
+
 def held(column: str, mod: int, is_: int):
     """crc32 of the id as text, modulo ``mod``, equals ``is_``. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod == is_

@@ -342,9 +342,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` without those that another row of their component stands for. Rows without words stay."""
     found = near_duplicates(docs, id_col, text_col)
     lone = found["n_shingles"] == 0
-    kept = found.where(F.col("first") | lone).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.max(lone).alias("_lone"))
-    key = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
-    out = key.join(kept, key[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")))
+    kept = found.where(F.col("first") | lone).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.max(lone).alias("lone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["text_hash"] == kept["h"]))
     # of rows with equal id and text one stays
-    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))
-    return out.withColumn("_turn", turn).where((F.col("_turn") == 1) | F.col("_lone")).select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
+    return out.withColumn("turn", turn).where("turn = 1 OR lone").select("row.*")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import passed_schema, slices, words_of
 
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LABELS = 700, 3_000, 64
 #: Training sequences, their length, steps of ascent, hashed feature rows.
@@ -225,8 +225,7 @@ def identify(docs: DataFrame, learn: Column, keep: list[str], text_col: str = "t
     """Columns ``keep`` with lang_pred, score, n_words, n_switches of each row, learned from rows with ``learn``."""
     model = fit(*sample(docs, learn, text_col, lang_col))
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
-    types = dict(rows.dtypes)
-    schema = ", ".join([f"_{i} {types[f'_{i}']}" for i in range(len(keep))] + ["_lang string", "_score double", "_words long", "_switches long"])
+    schema = passed_schema(docs, keep, "_lang string, _score double, _words long, _switches long")
 
     def score(batches):
         for batch in batches:

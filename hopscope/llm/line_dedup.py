@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, passed_schema, slices
 
 MIN_WORDS, BLOCK, SHIPPED = 10, 65_536, 64
 #: Ranks of lines that occur once: this and their position.
@@ -39,10 +39,9 @@ _NO_ID = (1 << 63) - 1
 
 def _line_table(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """Rows with their text, a number ``row``, ``base`` (position of the first line), line ids and word counts."""
-    types = dict(docs.dtypes)
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
     passed = [f"_{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{p} {types[c]}" for p, c in zip(passed, keep, strict=True)), "text string, row long, base long, ids array<long>, words array<int>"])
+    schema = passed_schema(docs, keep, "text string, row long, base long, ids array<long>, words array<int>")
 
     def split(batches):
         part = TaskContext.get().partitionId() << 40
@@ -304,9 +303,8 @@ def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
     array = common_prefixes(ranked, lines.drop("base"), scratch)
     found = earlier_runs(array).groupBy("row").agg(F.collect_list(F.struct("i", "run")).alias("runs"))  # at most a text's lines
     joined = table.drop("base", "ids").join(found, "row", "left")
-    types = dict(joined.dtypes)
     passed = [f"_{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{c} {types[c]}" for c in passed), "text string, n_lines int, n_removed int, removed array<struct<first:int,lines:int>>"])
+    schema = passed_schema(docs, keep, "text string, n_lines int, n_removed int, removed array<struct<first:int,lines:int>>")
 
     def delete(batches):
         for batch in batches:
