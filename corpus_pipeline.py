@@ -43,8 +43,8 @@ def _stage(f):
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a clear language."""
-    out = langid.identify(docs, F.lit(True), docs.columns)
-    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    out = langid.identify(docs.select("text", "lang", F.struct("*").alias("row")), F.lit(True), ["row"])
+    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 @_stage
@@ -64,9 +64,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as its rate says."""
-    out = mixing.mix(docs, domain_labels(spark, sf_dir), SHARES, docs.columns)
-    times = mixing.copies(F.col("rate"), F.col("doc_id"))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    out = mixing.mix(docs.select("doc_id", "text", F.struct("*").alias("row")), domain_labels(spark, sf_dir), SHARES, ["row"])
+    times = mixing.copies(F.col("rate"), F.col("row.doc_id"))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 @_stage
