@@ -178,6 +178,11 @@ def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> DataFra
     return counts.where(step >= low) if low is not None else counts.where("false")
 
 
+def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of a few columns, to be broadcast if it has at most ``most`` rows; beyond that Spark joins it by shuffling."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def hashed_sample(rows: DataFrame, key, most: int, order: list[str]) -> DataFrame:
     """About ``most`` rows, at most ``most``, chosen by a hash of ``key``: a share of all rows is cut first, then ordered."""
     n = rows.count()

@@ -8,7 +8,7 @@ group, shingles are hashed into ``GROUPS`` counters; the counts are points in an
 coordinate minima of two boxes bound the overlap below them. Pairs that survive are verified on the sets.
 
 Copies make large groups, so links are found in two rounds. First each class meets only the class that it
-shares most prefix shingles with; components follow. Then only pairs of different components that share a
+shares most prefix shingles with, if the bound allows; components follow. Then only pairs of different components that share a
 prefix shingle are looked at. Pairs inside a component can't change it, so the components are exact, and
 no group emits all its pairs. Large groups are cut into blocks that meet block by block.
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, most_frequent, slices, words_of
+from .common import Scratch, mix64, most_frequent, slices, small, words_of
 from .components import components
 
 WORDS, PERCENT, GROUPS, FANOUT = 5, 80, 128, 24
@@ -193,6 +193,10 @@ def _class_of(sets: np.ndarray, off: np.ndarray) -> list[bytes | None]:
     return out
 
 
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
+
+
 def _binary_list(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(flat).view(np.uint8)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * flat.itemsize).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
@@ -241,20 +245,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = described_rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("cid"))
     member = scratch.cut(described_rows.select("doc_id", "text_hash", "row", "n", "cls").join(classes, "cls", "left").select("doc_id", "text_hash", "row", "n", "cls", "cid"))
     reps = described_rows.join(member.where("row = cid").select("row"), "row").select(F.col("row").alias("cid"), "n", "vec", "prefix")
+    vecs = scratch.cut(reps.drop("prefix"))
     # prefix shingles that at least two classes share, with the least class of each
-    posts = reps.select("cid", "n", F.explode("prefix").alias("s")).repartition("s")
-    groups = posts.groupBy("s").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.min_by("n", "cid").alias("hub_n")).where("hub <> last").drop("last")
+    posts = reps.select("cid", F.explode("prefix").alias("s")).repartition("s")
+    groups = posts.groupBy("s").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub <> last").drop("last")
     shared = scratch.cut(posts.join(groups, "s"))
-    # first round: each class with the hub that it shares most with
-    close = shared.where("cid <> hub AND 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
-    best = scratch.cut(close.groupBy("cid", "hub").count().groupBy("cid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    # first round: each class with the hub that it shares most with, of those of fitting size
+    size = vecs.select("cid", "n")
+    close = shared.where("cid <> hub").groupBy("cid", "hub").count().join(size, "cid").join(size.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n")), "hub")
+    close = close.where("100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
+    best = close.groupBy("cid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
+    pairs = best.join(vecs, "cid").join(vecs.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec")), "hub")
+
+    def bounded(batches):
+        for batch in batches:
+            ok = [bool(linked(np.minimum(_vector(x), _vector(y)).sum(), n, m)) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("vec", "hub_vec", "n", "hub_n")), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["cid", "hub"])
+
+    best = scratch.cut(pairs.select("cid", "hub", "n", "hub_n", "vec", "hub_vec").mapInArrow(bounded, "cid long, hub long"))
     blocks = best.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     placed = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int").alias("sub"), "cid")
     guests = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("sub"), F.col("hub").alias("cid"))
     in_block = placed.unionByName(guests)
-    # sets are made again for the classes that share a prefix shingle, so that the others' never leave their tasks
-    active = shared.select("cid").distinct()
-    wanted = scratch.cut(member.where("row = cid").select("doc_id", "cls", "cid").join(active, "cid"))
 
     def whole(batches):
         for batch in batches:
@@ -262,9 +274,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets, off = shingle_sets(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(_class_of(sets, off), pa.binary()), _binary_list(sets, off)], names=["cls", "members"])
 
-    texts = rows.join(wanted.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = texts.mapInArrow(whole, "cls binary, members binary").join(wanted.select("cls", "cid"), "cls").select("cid", "members").dropDuplicates(["cid"])
-    sets = scratch.cut(sets)
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """(cid, members) of a table of classes: their sets are made again, so that the others' never leave their tasks."""
+        wanted = scratch.cut(member.where("row = cid").select("doc_id", "cls", "cid").join(classes, "cid"))
+        few = small(wanted)
+        texts = rows.join(few.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        made = texts.mapInArrow(whole, "cls binary, members binary").join(few.select("cls", "cid"), "cls").select("cid", "members").dropDuplicates(["cid"])
+        return scratch.cut(made)
+
+    sets = sets_of(in_block.select("cid").distinct())
 
     def link(batches):
         for t in _runs(batches, ["hub", "sub"]):
@@ -280,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.join(mixed, "s").withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     # in a large group, blocks meet pair by pair; a single block meets itself
     meets = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "cid", "comp")
-    meets = meets.join(reps.select("cid", "n", "vec"), "cid").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "cid")
+    meets = meets.join(vecs, "cid").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "cid")
 
     def candidates(batches):
         out: list[tuple[np.ndarray, ...]] = []
@@ -295,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if (comp == comp[0]).all():
                 continue
             cid, n, sub = np.asarray(t["cid"]), np.asarray(t["n"]), np.asarray(t["sub"])
-            points = np.stack([np.frombuffer(v, "<u2" if len(v) == 2 * GROUPS else "<u4").astype(np.int64) for v in t["vec"].to_pylist()])
+            points = np.stack([_vector(v) for v in t["vec"].to_pylist()])
             if t["i"][0].as_py() == t["j"][0].as_py():
                 found, x, y = RTree(points, n).pairs(), np.arange(len(cid)), np.arange(len(cid))
             else:
@@ -318,7 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield flush()
 
-    pairs = meets.mapInArrow(candidates, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"])
+    pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
 
     def verify(batches):
         for batch in batches:
@@ -332,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = member.join(first.select(F.col("node").alias("cid"), F.col("root").alias("one")), "cid", "left").withColumn("one", F.coalesce("one", "cid", "row"))
     comp = comp.join(second.select(F.col("node").alias("one"), F.col("root").alias("two")), "one", "left").select("doc_id", "text_hash", "row", "n", F.coalesce("two", "one").alias("comp"))
     comp = scratch.cut(comp)
-    scratch.forget(described_rows, shared, sets, wanted, best)
+    scratch.forget(described_rows, shared, sets, vecs, best, pairs)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     name = comp.groupBy("comp").agg(least.alias("least"))
     return comp.join(name, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", (F.col("row") == F.col("least.row")).alias("first"))
