@@ -2,8 +2,8 @@
 
 A classifier learned from a labelled table gives each document's domain posteriors: words are hashed into
 ``BUCKETS``; a bucket's presence gets a weight for each domain, its log-odds against the other domains,
-where they are significant; the summed weights are calibrated by multinomial logistic regression on the
-other half of a bounded sample of labelled documents (``SAMPLE_DOCS``).
+where they are significant (the ``FEATURES`` most significant); the summed weights are calibrated by
+multinomial logistic regression on the other half of a bounded sample of labelled documents (``SAMPLE_DOCS``).
 
 With t tokens (words) and posteriors p, rates w minimise the squared distance of the expected totals
 sum w t p from the targets, plus a small share of sum t (w - 1)^2 that settles among the many solutions on
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hashed_sample
 
-BUCKETS, SAMPLE_DOCS, LEAST_Z = 16_384, 8_192, 3.0
+BUCKETS, SLOTS, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 2_000, 8_192, 3.0, 5
 ITERATIONS, TOLERANCE, RIDGE = 20, 1e-5, 1e-4
 
 
 def _words(text: str) -> Column:
-    return F.expr(rf"array_remove(split(lower(coalesce(`{text}`, '')), '[\\x20\\x09-\\x0D]+'), '')")
+    """Lower-cased words, cut at white space and at the marks that end clauses and sentences."""
+    return F.expr(rf"array_remove(split(lower(coalesce(`{text}`, '')), '[\\x20\\x09-\\x0D.,;:?]+'), '')")
 
 
 def _number(x: float) -> str:
@@ -38,23 +39,22 @@ def _number(x: float) -> str:
 
 
 class Domains:
-    """names; weights (domains, BUCKETS), mostly zero; calibration (domains, domains + 1)."""
+    """names; buckets that have weights, each in a slot of its own; weights (domains, buckets); calibration (domains, domains + 1)."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, calibration: np.ndarray):
-        self.names, self.weights, self.calibration = names, weights, calibration
+    def __init__(self, names: list[str], buckets: list[int], weights: np.ndarray, calibration: np.ndarray):
+        self.names, self.buckets, self.weights, self.calibration = names, buckets, weights, calibration
 
     def sums(self, words: str) -> Column:
         """Array of the summed weights of the word buckets that are present in array column ``words``."""
-        used = np.flatnonzero(np.abs(self.weights).sum(0))
-        # place of a bucket among the used ones, from 1; 0 where it has no weight
-        place = np.zeros(BUCKETS, int)
-        place[used] = np.arange(1, len(used) + 1)
-        at = "array(" + ",".join(map(str, place)) + ")"
-        present = f"array_distinct(filter(transform({words}, w -> {at}[CAST(pmod(xxhash64(w), {BUCKETS}) AS int)]), x -> x > 0))"
-        if not len(used):
+        if not self.buckets:
             return F.expr("array(" + ", ".join("0D" for _ in self.names) + ")")
-        table = ["array(" + ",".join(_number(self.weights[k, b]) for b in used) + ")" for k in range(len(self.names))]
-        return F.expr(f"transform(array({', '.join(map(str, range(len(self.names))))}), k -> aggregate({present}, 0D, (s, x) -> s + array({', '.join(table)})[k][x - 1]))")
+        place = np.zeros(SLOTS, int)
+        place[np.array(self.buckets) % SLOTS] = np.arange(1, len(self.buckets) + 1)
+        at = "array(" + ",".join(map(str, place)) + f")[h & {SLOTS - 1}]"
+        keys = "array(-1," + ",".join(map(str, self.buckets)) + ")"
+        present = f"array_distinct(filter(transform({words}, w -> CAST(pmod(xxhash64(w), {BUCKETS}) AS int)), h -> {keys}[{at}] = h))"
+        table = ["array(0D," + ",".join(_number(x) for x in row) + ")" for row in self.weights]
+        return F.expr(f"transform(array({', '.join(map(str, range(len(self.names))))}), k -> aggregate({present}, 0D, (s, h) -> s + array({', '.join(table)})[k][{at}]))")
 
     def posteriors(self, sums: str) -> Column:
         """Array of the domains' probabilities from array column ``sums``."""
@@ -87,7 +87,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("domain").cast("string").alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.min("domain").alias("domain"))
     chosen = hashed_sample(known, "id", SAMPLE_DOCS, ["id"]).collect()
-    none = Domains(["all"], np.zeros((1, BUCKETS)), np.zeros((1, 2)))
+    none = Domains(["all"], [], np.zeros((1, 0)), np.zeros((1, 2)))
     if not chosen:
         return none
     few = F.broadcast(spark.createDataFrame(chosen, "id long, domain string"))  # at most SAMPLE_DOCS rows
@@ -98,16 +98,24 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     sizes = {r["domain"]: r["count"] for r in half.groupBy("domain").count().collect()}
     names = sorted(sizes)
     if len(names) < 2:
-        return Domains(names, np.zeros((1, BUCKETS)), np.zeros((1, 2))) if names else none
-    counts = np.zeros((len(names), BUCKETS))
-    for r in half.select("domain", F.explode(buckets).alias("b")).groupBy("domain", "b").count().collect():  # at most domains x BUCKETS
-        counts[names.index(r["domain"]), r["b"]] = r["count"]
+        return Domains(names, [], np.zeros((1, 0)), np.zeros((1, 2))) if names else none
+    seen = half.select("domain", F.explode(buckets).alias("b")).groupBy("b", "domain").count().groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("domain", "count"))).alias("m"), F.sum("count").alias("n"))
+    seen = sorted(tuple(r) for r in seen.where(F.col("n") >= LEAST_DOCS).select("b", "m").collect())  # at most BUCKETS, of a bounded sample
+    counts = np.array([[m.get(d, 0) for _, m in seen] for d in names], float).reshape(len(names), len(seen))
     n = np.array([sizes[d] for d in names], float)
     rest, n_rest = counts.sum(0) - counts, n.sum() - n
     odds = np.log((counts + 0.5) / (n[:, None] + 1)) - np.log((rest + 0.5) / (n_rest[:, None] + 1))
     z = odds / np.sqrt(1 / (counts + 0.5) + 1 / (rest + 0.5))
-    weights = np.where(np.abs(z) >= LEAST_Z, np.round(odds, 6), 0.0)
-    out = Domains(names, weights, np.zeros((len(names), len(names) + 1)))
+    # the most significant first; a slot holds one bucket
+    slots: set[int] = set()
+    used = []
+    for i in np.argsort(-np.abs(z).max(0), kind="stable") if len(seen) else []:
+        slot = seen[i][0] % SLOTS
+        if len(used) < FEATURES and np.abs(z[:, i]).max() >= LEAST_Z and slot not in slots:
+            slots.add(slot)
+            used.append(int(i))
+    weights = np.where(np.abs(z[:, used]) >= LEAST_Z, np.round(odds[:, used], 6), 0.0)
+    out = Domains(names, [seen[i][0] for i in used], weights, np.zeros((len(names), len(names) + 1)))
     other = rows.where("NOT first").where(F.col("domain").isin(names)).select("domain", out.sums("words").alias("s")).collect()  # at most SAMPLE_DOCS
     if other:
         out.calibration = _calibrate(np.array([r["s"] for r in other]), np.array([names.index(r["domain"]) for r in other]), len(names))
