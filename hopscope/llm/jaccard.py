@@ -339,13 +339,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]))
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
 
-    def verify(batches):
-        for batch in batches:
-            ok = [linked(common(x, y), len(x), len(y)) for x, y in ((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True))]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["ca", "cb"])
+    # pairs that hang together meet in one place, so that each set travels once, or once for each block of a large place
+    hang = components(pairs.select("a", "b"), scratch).withColumnRenamed("node", "cid")
+    place = sets.select("cid", "members").join(hang, "cid", "left").select("cid", "members", F.coalesce("root", "cid").alias("g"))
+    sizes = place.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    sub = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    place = place.join(sizes, "g").withColumn("x", sub("cid")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    none = F.lit(None).cast("long")
+    held = place.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.lit(0).alias("kind"), F.col("cid").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "members")
+    asked = pairs.join(hang.withColumnRenamed("cid", "a"), "a", "left").withColumn("g", F.coalesce("root", "a")).join(sizes, "g")
+    asked = asked.select("g", F.least(sub("a"), sub("b")).alias("i"), F.greatest(sub("a"), sub("b")).alias("j"), F.lit(1).alias("kind"), "a", "b", "ca", "cb", F.lit(None).cast("binary").alias("members"))
+    together = held.unionByName(asked).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "kind", "a", "b")
 
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
-    links = both.select("ca", "cb", "x", "y").mapInArrow(verify, "ca long, cb long").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    def verify(batches):
+        for t in _runs(batches, ["g", "i", "j"]):
+            n = int((np.asarray(t["kind"]) == 0).sum())
+            own = {c: np.frombuffer(m, np.uint64) for c, m in zip(t["a"][:n].to_pylist(), t["members"][:n].to_pylist(), strict=True)}
+            root: dict[int, int] = {}
+
+            def find(x: int, root=root) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            out = []
+            for a, b, ca, cb in zip(*(t[c][n:].to_pylist() for c in ("a", "b", "ca", "cb")), strict=True):
+                ra, rb = find(ca), find(cb)
+                if ra != rb and linked(common(own[a], own[b]), len(own[a]), len(own[b])):
+                    root[max(ra, rb)] = min(ra, rb)
+                    out.append((ca, cb))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    links = together.mapInArrow(verify, "a long, b long")
     second = components(links, scratch)
     # class, component of the first round, component, least id in it
     comp = member.join(first.select(F.col("node").alias("cid"), F.col("root").alias("one")), "cid", "left").withColumn("one", F.coalesce("one", "cid", "row"))
