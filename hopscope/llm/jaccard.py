@@ -1,8 +1,8 @@
 """Near-duplicate components by an exact Jaccard join on five-word shingles, with count-vector R-trees.
 
 Two texts link when 100 * |A and B| >= 80 * |A or B| for their sets of distinct shingles of lower-cased
-words. Equal sets are one class. A pair that links shares a shingle among the first n - ceil(0.8 n) + 1 of
-each set in any common order (prefix filter); here frequent shingles, estimated on a hashed sixteenth of
+words. Equal sets are one class. A pair that links shares at least k shingles among the first
+n - ceil(0.8 n) + k of each set in any common order (prefix filter; k is 1 + n // 50, the lesser one's); here frequent shingles, estimated on a hashed sixteenth of
 the texts, come last, which keeps groups of texts that share one small but decides nothing else. Within a
 group, shingles are hashed into ``GROUPS`` counters; the counts are points in an R-tree, and the summed
 coordinate minima of two boxes bound the overlap below them. Pairs that survive are verified on the sets.
@@ -57,10 +57,15 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.append(0, np.cumsum(keep))[start]
 
 
+def least_shared(n):
+    """How many prefix shingles a set shares at least with another of its size or more that it links with."""
+    return 1 + n // 50
+
+
 def prefixes(sets: np.ndarray, off: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(0.8 n) + 1 shingles of each set, and offsets. ``hot`` (ascending) come last, by ``rank``."""
+    """The first n - ceil(0.8 n) + least_shared(n) shingles of each set, and offsets. ``hot`` (ascending) come last, by ``rank``."""
     n = np.diff(off)
-    want = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+    want = np.where(n > 0, np.minimum(n, n - (PERCENT * n + 99) // 100 + least_shared(n)), 0)
     doc = np.repeat(np.arange(len(n)), n)
     place = np.minimum(np.searchsorted(hot, sets), max(len(hot) - 1, 0))
     is_hot = hot[place] == sets if len(hot) else np.zeros(len(sets), bool)
@@ -253,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first round: each class with the hub that it shares most with, of those of fitting size
     size = vecs.select("cid", "n")
     close = shared.where("cid <> hub").groupBy("cid", "hub").count().join(size, "cid").join(size.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    close = close.where("100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
+    close = close.where("100 * least(n, hub_n) >= 80 * greatest(n, hub_n) AND count >= 1 + least(n, hub_n) DIV 50")
     best = close.groupBy("cid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     pairs = best.join(vecs, "cid").join(vecs.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec")), "hub")
 
@@ -306,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def flush():
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ca", "cb"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ca", "cb", "need"])
 
         for t in _runs(batches, ["s", "i", "j"]):
             comp = np.asarray(t["comp"])
@@ -327,8 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 i, j = i[other], j[other]
                 if len(i):
                     swap = cid[i] > cid[j]
+                    need = least_shared(np.minimum(n[i], n[j]))
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    out.append((cid[i], cid[j], comp[i], comp[j]))
+                    out.append((cid[i], cid[j], comp[i], comp[j], need))
                     size += len(i)
                 if size > 50_000:
                     yield flush()
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield flush()
 
-    pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]))
+    pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long, need long").groupBy("a", "b", "ca", "cb", "need").count().where("count >= need").drop("need", "count"))
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
 
     # pairs that hang together meet in one place, so that each set travels once, or once for each block of a large place
