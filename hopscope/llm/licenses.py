@@ -1,14 +1,19 @@
-"""Licence scan of paragraphs (lines) by a trained classifier, in DataFrame functions only.
+"""Licence scan of lines and of runs of neighbouring lines by a trained classifier, in DataFrame functions only.
 
 Sparse logistic regression over hashed word 1- and 2-grams tells licence families, ``unknown`` (licence
 talk of no known family) and ``none`` apart. It is trained on the driver from the notices below, from
 variations of them (dropped and added words, frames, parts), from licence talk with invented names, from
 ordinary sentences and from a bounded sample of paragraphs (``SAMPLE_LINES``); probabilities are calibrated
-by a temperature on variations that were not trained on. Only paragraphs that hold one of the ``ANCHORS``
+by a temperature on variations that were not trained on. Only passages that hold one of the ``ANCHORS``
 are candidates; by the model's definition all others are ``none``. A prediction is confirmed if the
-paragraph has at least ``CONFIRM`` of the 2-grams of one of the family's notices.
+passage has at least ``CONFIRM`` of the 2-grams of one of the family's notices.
 
-All of a text's paragraphs are looked at, in place, without a shuffle. Null or empty text has no
+Passages are all lines, and windows that join a line with the first words (``SPANS``) of those after it up
+to a line without words; so a notice is met whole however it is wrapped. Words before the last
+``SPANS[-1]`` of a window's first line are left out, since a notice that goes on in the next line begins
+later. A window's finding stands at its first line; it is left out if a line or window inside it tells the same.
+
+All of a text's lines are looked at, in place, without a shuffle. Null or empty text has no
 findings; repeated rows and null ids are scanned row by row; an empty table gives no rows.
 """
 
@@ -51,6 +56,8 @@ ANCHORS = ["licen", "copyright", "permission", "warrant", "all rights reserved",
 
 BUCKETS, SAMPLE_LINES, VARIANTS, LEAST, CONFIRM = 4_096, 2_000, 14, 0.5, 0.8
 UNKNOWN, NONE = "unknown", "none"
+#: Words after its first line that a window holds; the last is at least the longest notice.
+SPANS = [6, 12, 24, 48]
 
 
 def _grams(text: str) -> list[str]:
@@ -58,6 +65,12 @@ def _grams(text: str) -> list[str]:
     return list(dict.fromkeys(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
 
 
+def _kindred(family: str) -> list[str]:
+    """Families with a notice that shares half its 2-grams with one of ``family``'s."""
+    pairs = lambda n: [{g for g in _grams(t) if " " in g} for t in NOTICES[n]]
+    return [n for n in NOTICES if n != family and any(2 * len(a & b) >= len(a) for a in pairs(family) for b in pairs(n))]
+
+
 def _bucket(gram: str) -> int:
     """The same as pmod(xxhash64(gram), BUCKETS) in SQL."""
     return xxhash.xxh64_intdigest(gram.encode(), 42) % BUCKETS
@@ -154,20 +167,43 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     k = len(model.names)
     place = np.zeros(BUCKETS, int)
     place[model.used] = np.arange(1, len(model.used) + 1)
-    has = lambda c: " OR ".join(f"contains({c}, '{a}')" for a in ANCHORS)
+    has = lambda c: " OR ".join(f"contains({c}, '{a}')" for a in dict.fromkeys(a.replace("-", " ") for a in ANCHORS))
+    # anchors may be broken over lines: the gate of whole texts asks for each anchor's last word, and for cc as a word
+    last = " OR ".join(f"contains(low, '{a}')" for a in dict.fromkeys(re.split("[ -]", a)[-1] for a in ANCHORS if a[:3] not in ("cc ", "cc-")))
+    last += " OR contains(low, 'cc') AND low RLIKE '(?<![a-z0-9])cc[^a-z0-9]+by'"
     df = rows.withColumn("low", F.lower("text"))
     df = df.withColumn("n_paragraphs", F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).drop("text")
-    df = df.withColumn("c", F.expr(f"CASE WHEN {has('low')} THEN filter(transform(split(low, '\n'), (t, i) -> named_struct('paragraph', i, 't', t)), x -> {has('x.t')}) END")).drop("low")
-    df = df.withColumn("c", F.expr("transform(c, x -> named_struct('paragraph', x.paragraph, 'w', array_remove(split(x.t, '[^a-z0-9]+'), '')))"))
-    df = df.withColumn("c", F.expr("transform(c, x -> named_struct('paragraph', x.paragraph, 'g', array_distinct(concat(x.w, IF(size(x.w) < 2, CAST(array() AS array<string>), transform(sequence(1, size(x.w) - 1), i -> concat(x.w[i - 1], ' ', x.w[i])))))))"))
-    df = df.withColumn("c", F.expr(f"transform(c, x -> named_struct('paragraph', x.paragraph, 'g', x.g, 'b', filter(array_distinct(transform(x.g, g -> array({', '.join(map(str, place))})[CAST(pmod(xxhash64(g), {BUCKETS}) AS int)])), b -> b > 0)))"))
+    df = df.withColumn("l", F.expr(f"CASE WHEN {last} THEN transform(split(low, '\n'), t -> array_remove(split(t, '[^a-z0-9]+'), '')) END")).drop("low")
+    most, blank = SPANS[-1], "CAST(array() AS array<string>)"
+    after = f"transform(sequence(0, size(l) - 1), i -> named_struct('i', i, 'a', l[i], 'f', IF(size(l[i]) = 0, array({blank}), slice(l, i + 2, {most}))))"
+    after = f"transform({after}, x -> named_struct('i', x.i, 'a', x.a, 'f', IF(array_contains(x.f, {blank}), slice(x.f, 1, CAST(array_position(x.f, {blank}) AS int) - 1), x.f)))"
+    after = f"transform({after}, x -> named_struct('i', x.i, 'a', x.a, 'm', transform(x.f, y -> size(y)), 'r', slice(flatten(x.f), 1, {most})))"
+    lines_of = "aggregate(x.m, named_struct('w', 0, 'n', 0), (s, m) -> IF(s.w >= y, s, named_struct('w', s.w + m, 'n', s.n + 1)), s -> s.n)"
+    spans = f"filter(array({', '.join(map(str, SPANS))}), (y, j) -> size(x.r) > array({', '.join(map(str, [0, *SPANS[:-1]]))})[j])"
+    wide = f"transform({spans}, y -> named_struct('paragraph', x.i, 'n', {lines_of}, 'w', concat(slice(x.a, greatest(1, size(x.a) - {most - 1}), {most}), slice(x.r, 1, y))))"
+    windows = f"flatten(transform({after}, x -> concat(array(named_struct('paragraph', x.i, 'n', 0, 'w', x.a)), {wide})))"
+    joined = "transform(filter(transform({}, x -> named_struct('x', x, 't', array_join(x.w, ' '))), y -> {}), y -> y.x)"
+    df = df.withColumn("c", F.expr(f"CASE WHEN l IS NOT NULL THEN {joined.format(windows, has('y.t'))} END")).drop("l")
+    df = df.withColumn("c", F.expr("transform(c, x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'g', array_distinct(concat(x.w, IF(size(x.w) < 2, CAST(array() AS array<string>), transform(sequence(1, size(x.w) - 1), i -> concat(x.w[i - 1], ' ', x.w[i])))))))"))
+    df = df.withColumn("c", F.expr(f"transform(c, x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'g', x.g, 'b', filter(array_distinct(transform(x.g, g -> array({', '.join(map(str, place))})[CAST(pmod(xxhash64(g), {BUCKETS}) AS int)])), b -> b > 0)))"))
     table = "array(" + ", ".join(_numbers(model.weights[i]) for i in range(k)) + ")"
-    df = df.withColumn("c", F.expr(f"transform(c, x -> named_struct('paragraph', x.paragraph, 'g', x.g, 'z', transform(sequence(0, {k - 1}), k -> {_numbers(model.bias)}[k] + aggregate(x.b, 0D, (s, b) -> s + {table}[k][b - 1]))))"))
-    df = df.withColumn("c", F.expr("transform(c, x -> named_struct('paragraph', x.paragraph, 'g', x.g, 'k', CAST(array_position(x.z, array_max(x.z)) AS int) - 1, 'p', 1D / aggregate(x.z, 0D, (s, z) -> s + exp(z - array_max(x.z)))))"))
+    df = df.withColumn("c", F.expr(f"transform(c, x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'g', x.g, 'z', transform(sequence(0, {k - 1}), k -> {_numbers(model.bias)}[k] + aggregate(x.b, 0D, (s, b) -> s + {table}[k][b - 1]))))"))
+    df = df.withColumn("c", F.expr("transform(c, x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'g', x.g, 'k', CAST(array_position(x.z, array_max(x.z)) AS int) - 1, 'p', 1D / aggregate(x.z, 0D, (s, z) -> s + exp(z - array_max(x.z)))))"))
     grams = "array(" + ", ".join("array(" + ", ".join(_strings(g for g in _grams(t) if " " in g) for t in NOTICES.get(n, [])) + ")" if n in NOTICES else "CAST(array() AS array<array<string>>)" for n in model.names) + ")"
     similar = f"coalesce(array_max(transform({grams}[x.k], t -> size(array_intersect(t, x.g)) / size(t))), 0D)"
-    df = df.withColumn("c", F.expr(f"transform(filter(c, x -> x.k < {k - 1} AND (x.p >= {LEAST}D OR x.k = {k - 2})), x -> named_struct('paragraph', x.paragraph, 'family', {_strings(model.names)}[x.k], 'probability', x.p, 'similarity', {similar}))"))
-    found = F.expr(f"coalesce(transform(c, x -> named_struct('paragraph', x.paragraph, 'family', x.family, 'probability', x.probability, 'similarity', x.similarity, 'confirmed', x.similarity >= {CONFIRM}D)), CAST(array() AS array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>))")
+    df = df.withColumn("c", F.expr(f"transform(filter(c, x -> x.k < {k - 1} AND (x.p >= {LEAST}D OR x.k = {k - 2})), x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'family', {_strings(model.names)}[x.k], 'probability', x.p, 'similarity', {similar}))"))
+    df = df.withColumn("c", F.expr(f"transform(c, x -> named_struct('paragraph', x.paragraph, 'n', x.n, 'family', x.family, 'probability', x.probability, 'similarity', x.similarity, 'confirmed', x.similarity >= {CONFIRM}D))"))
+    # a window goes if a shorter one or one that begins later inside it has the same family confirmed, or if it is unsure and there is any
+    each = len(SPANS) + 1  # passages that begin at a line, at most
+    near = f"slice(c, greatest(1, i + 2 - {each}), {each + each * most})"
+    inside = "(y.paragraph > x.paragraph AND y.paragraph <= x.paragraph + x.n OR y.paragraph = x.paragraph AND y.n < x.n)"
+    told = f"exists({near}, y -> IF(x.confirmed, {inside} AND y.confirmed AND y.family = x.family, {inside} OR y.paragraph = x.paragraph AND y.confirmed))"
+    df = df.withColumn("c", F.expr(f"filter(c, (x, i) -> x.n = 0 OR NOT {told})"))
+    # part of a notice can be like that of a kindred family: the better one of overlapping windows stays
+    kindred = "CASE x.family " + " ".join(f"WHEN '{a}' THEN {_strings(kin)}" for a in NOTICES if (kin := _kindred(a))) + " ELSE CAST(array() AS array<string>) END"
+    better = f"exists({near}, y -> y.confirmed AND y.similarity > x.similarity AND y.paragraph <= x.paragraph + x.n AND x.paragraph <= y.paragraph + y.n AND array_contains({kindred}, y.family))"
+    df = df.withColumn("c", F.expr(f"filter(c, (x, i) -> x.n = 0 OR NOT x.confirmed OR NOT {better})"))
+    found = F.expr("coalesce(transform(c, x -> named_struct('paragraph', x.paragraph, 'family', x.family, 'probability', x.probability, 'similarity', x.similarity, 'confirmed', x.confirmed)), CAST(array() AS array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>))")
     df = df.withColumn("findings", found).drop("c")
     sure = F.expr("array_sort(array_distinct(transform(filter(findings, x -> x.confirmed), x -> x.family)))")
     return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("n_paragraphs").cast("int").alias("n_paragraphs"), F.size("findings").alias("n_findings"), sure.alias("licenses"), "findings")

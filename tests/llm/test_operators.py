@@ -362,6 +362,24 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd[0], ["doc_id"]).count() == len(odd[1])
 
 
+def test_wrapped_licenses(spark):
+    texts = {
+        "MIT": "Copyright (c) 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "ISC": "/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n */",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n1. Redistributions",
+        "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        "Proprietary": "a line of prose before it\nThis document is confidential and proprietary, all\nrights\nreserved.",
+    }
+    begin = {"MIT": 2, "ISC": 1, "BSD-3-Clause": 0, "GPL-3.0": 0, "Proprietary": 1}
+    rows = licenses.scan(table(spark, list(texts.values())), ["doc_id"]).collect()
+    for r in rows:
+        family = list(texts)[r["doc_id"]]
+        assert r["licenses"] == [family]
+        assert begin[family] in [f["paragraph"] for f in r["findings"] if f["confirmed"]]
+    apart = texts["MIT"].replace("a copy\nof", "a copy\n\nof")  # a blank line parts paragraphs
+    assert licenses.scan(table(spark, [apart]), ["doc_id"]).first()["licenses"] == []
+
+
 def test_mixing(spark, odd, empty):
     rng = np.random.default_rng(0)
     kinds = ["good", "low", "toxic"]
