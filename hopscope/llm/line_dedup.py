@@ -14,7 +14,8 @@ begins at an earlier place (documents by id, then rows). What lies beyond a bloc
 staircase of (common prefix, earliest place), summed over blocks on the driver.
 
 A run of at least ``min_words`` words that occurs earlier, in the same text or another, is deleted with all
-its lines; its first copy stays. Null text stays null with no lines; an empty text has one line without
+its lines; its first copy stays. By default any run with a word counts; lines without words go only within
+such a run. Null text stays null with no lines; an empty text has one line without
 words. Equal rows count as copies, the first in reading order stays whole; null ids come last. Kept lines
 are joined by line feeds. An empty table gives no rows.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, passed_schema, slices
 
-MIN_WORDS, BLOCK, SHIPPED = 10, 65_536, 64
+MIN_WORDS, BLOCK, SHIPPED = 1, 65_536, 64
 #: Ranks of lines that occur once: this and their position.
 LONE = 1 << 62
 _NO_ID = (1 << 63) - 1

@@ -251,6 +251,14 @@ def test_line_runs(spark, monkeypatch, block, shipped):
         assert sum(x["lines"] for x in got[i]["removed"]) == n and got[i]["row"] == "clash"
 
 
+def test_short_lines_go_by_default(spark):
+    texts = [f"own line {i} of this text\nShare this page\n\nanother {i}\n" for i in range(9)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts), []).collect()}
+    for i, (text, n) in enumerate(deleted(texts, 1)):
+        assert (got[i]["text"], got[i]["n_removed"]) == (text, n), i
+    assert sum("Share this page" in r["text"] for r in got.values()) == 1
+
+
 def test_line_dedup_of_odd_tables(odd, empty):
     assert line_dedup.dedup_lines(empty, []).collect() == []
     rows = line_dedup.dedup_lines(odd[0], [], min_words=5).collect()
