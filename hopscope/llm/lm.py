@@ -6,8 +6,10 @@ frequent words up to ``HEAD`` form classes by frequency band, all others and unk
 inside those a word's share follows its corpus count, unknown words sharing what absolute discounting
 takes off the last class. So the probabilities of all words, the end and one unknown word sum to one.
 
-The network (a GRU) is trained on the driver by truncated backpropagation on a bounded sample of training
-texts (``SAMPLE_DOCS`` of at most ``SAMPLE_CHARS`` characters). Scoring runs all documents of a slice side
+The network (a GRU) is trained by truncated backpropagation on all training texts, each whole. It starts on
+the driver from a bounded sample (``SAMPLE_DOCS`` rows, at most ``SAMPLE_CHARS`` characters of each); from
+there every task goes on over the texts of its partition, and the tasks' weights are averaged by their tokens
+in pieces of ``PIECE`` numbers, so the driver gets one set of weights however many tasks there are. Scoring runs all documents of a slice side
 by side in windows of ``WINDOW`` steps; the state is carried from window to window, so a document is
 scored as a whole at any length. Words of the head are looked up in a table of bounded size that each
 task holds; the rest meet their counts in a join, which has no frequent keys.
@@ -29,7 +31,9 @@ from .common import Scratch, most_frequent, passed_schema, slices, words_of
 
 SHORT, CLASSES, HEAD, BANDS = 2_048, 32, 131_072, 8
 HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 3_000, 4_000
-LANES, BPTT, RATE = 96, 24, 0.01
+LANES, BPTT, RATE, PIECE = 96, 24, 0.01, 4_096
+#: The share of the rate that tasks go on with.
+LATER = 0.2
 END = ""  # no word is empty
 
 
@@ -104,17 +108,24 @@ class Gru:
 
     def train(self, voc: Vocabulary, docs: list[tuple[np.ndarray, bool]]) -> None:
         """docs: (rows of a text's tokens, whether the first follows the document's start)."""
+        if not docs:
+            return
         tokens = np.concatenate([d for d, _ in docs])
         before = np.concatenate([np.append(0 if s else len(voc.words) + 1, d[:-1]) for d, s in docs])
         reset = np.concatenate([np.arange(len(d)) == 0 for d, _ in docs])
+        self.ascend(voc, tokens, before, reset, {})
+
+    def ascend(self, voc: Vocabulary, tokens: np.ndarray, before: np.ndarray, reset: np.ndarray, state: dict, later: bool = False) -> None:
+        """Steps over all tokens. ``state``: the moments and steps so far; ``later``: at the constant rate of tasks."""
         lanes = max(1, min(LANES, len(tokens) // BPTT))
-        length = len(tokens) // lanes
+        length = -(-len(tokens) // lanes)
         if not length:
             return
-        cut = lambda x: x[: lanes * length].reshape(lanes, length)
-        x, y, keep = cut(voc.inputs[before]), cut(tokens), 1 - cut(reset).astype(np.float32)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(p) for k, p in self.p.items()}
+        cut = lambda x, fill: np.append(x, np.full(lanes * length - len(x), fill, x.dtype)).reshape(lanes, length)
+        x, y, keep = cut(voc.inputs[before], 0), cut(tokens, -1), 1 - cut(reset, True).astype(np.float32)
+        if not state:
+            state.update(m={k: np.zeros_like(q) for k, q in self.p.items()}, v={k: np.zeros_like(q) for k, q in self.p.items()}, steps=0)
+        m, v, done = state["m"], state["v"], state["steps"]
         h, n, p = np.zeros((lanes, HIDDEN), np.float32), HIDDEN, self.p
         total = -(-length // BPTT)
         for i, a in enumerate(range(0, length, BPTT)):
@@ -136,9 +147,10 @@ class Gru:
             prob = np.exp(logits)
             prob /= prob.sum(1, keepdims=True)
             prob[np.arange(len(target)), voc.cls[target]] -= 1
+            prob[target < 0] = 0  # what fills up the lanes
             g["wc"], g["bc"] = flat.T @ prob, prob.sum(0)
             dh = prob @ p["wc"].T
-            own = np.where(target < voc.short, voc.cls[target], -1)
+            own = np.where((target >= 0) & (target < voc.short), voc.cls[target], -1)
             for c in range(voc.n_short_classes):
                 at = np.flatnonzero(own == c)
                 s0, s1 = voc.starts[c], voc.starts[c + 1]
@@ -165,15 +177,17 @@ class Gru:
             wide = dgx.reshape(-1, 3 * n)
             g["wx"], g["bx"] = e.reshape(-1, n).T @ wide, wide.sum(0)
             np.add.at(g["emb"], xs.reshape(-1), wide @ p["wx"].T)
-            scale = 1 / len(target)
+            scale = 1 / max(1, np.count_nonzero(target >= 0))
             norm = np.sqrt(sum(float((q**2).sum()) for q in g.values())) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-12))
-            rate = RATE * (1 - 0.9 * i / total)
+            rate = RATE * LATER if later else RATE * (1 - 0.9 * i / total)
+            i += done
             for k, q in g.items():
                 q *= scale
                 m[k] += 0.1 * (q - m[k])
                 v[k] += 0.005 * (q * q - v[k])
                 p[k] -= rate * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / (1 - 0.995 ** (i + 1))) + 1e-6)
+        state["steps"] = done + total
 
     def score(self, voc: Vocabulary, tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each token of documents ``off`` over rows ``tokens``; a last class's share is left out."""
@@ -236,9 +250,49 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def fit(rows: DataFrame, voc_b, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights after all texts of ``rows``: those of the tasks, each begun at ``start``, averaged by their tokens."""
+    start_b = rows.sparkSession.sparkContext.broadcast(start)
+
+    def learn(batches):
+        voc = voc_b.value
+        net = Gru.__new__(Gru)
+        net.p = {k: q.copy() for k, q in start_b.value.items()}
+        state, seen = {}, 0
+        for batch in batches:
+            for piece in slices(batch):
+                words, off = words_of(piece.column("text"))
+                coded = words.dictionary_encode()
+                ids = np.insert(voc.rows(coded.dictionary)[np.asarray(coded.indices)], off[1:], 0)
+                first = np.zeros(len(ids), bool)
+                first[off[:-1] + np.arange(len(off) - 1)] = True
+                net.ascend(voc, ids, np.where(first, 0, np.append(0, ids[:-1])), first, state, later=True)
+                seen += len(ids)
+        if seen:
+            flat = np.concatenate([q.ravel() for q in net.p.values()])
+            cut = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([seen] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["at", "seen", "part"])
+
+    def mean(table):
+        total, seen = 0.0, 0
+        for n, part in zip(table.column("seen").to_pylist(), table.column("part").to_pylist(), strict=True):
+            total, seen = total + n * np.frombuffer(part, np.float32).astype(np.float64), seen + n
+        return pa.table({"at": table.column("at")[:1], "seen": pa.array([seen], pa.int64()), "part": pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "at int, seen long, part binary"
+    got = sorted(rows.select("text").mapInArrow(learn, schema).groupBy("at").applyInArrow(mean, schema).collect(), key=lambda r: r["at"])  # one set of weights
+    if not got:
+        return start
+    flat, at, out = np.frombuffer(b"".join(bytes(r["part"]) for r in got), np.float32), 0, {}
+    for k, q in start.items():
+        out[k], at = flat[at : at + q.size].reshape(q.shape), at + q.size
+    return out
+
+
 def _sample(rows: DataFrame, voc: Vocabulary) -> list[tuple[np.ndarray, bool]]:
+    """Where training starts: rows chosen by a hash of the whole row, so that copies of a text are drawn one by one."""
     total = rows.count()
-    u = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_003))
+    u = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "learn"], F.lit(3)), F.lit(1_000_003))
     start = F.when(u % 2 == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0) * (F.length("text") - SAMPLE_CHARS)).cast("int")))
     few = rows.where(u < int(1_000_003 * min(1.0, 2.0 * SAMPLE_DOCS / max(total, 1)))) if total > SAMPLE_DOCS else rows
     got = few.select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"), start.alias("start"), (F.length("text") < start + SAMPLE_CHARS).alias("whole"), u.alias("u")).orderBy("u", "text").limit(SAMPLE_DOCS).collect()
@@ -265,16 +319,18 @@ def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: s
     head_n = sum(r["c"] for r in head)
     voc = Vocabulary([r["token"] for r in head], [r["c"] for r in head], end, n, v, ones, twos, n - end - head_n, v - (end > 0) - len(head))
     gru = Gru(voc)
+    voc_b = docs.sparkSession.sparkContext.broadcast(voc)
     if n:
         gru.train(voc, _sample(rows.where("learn"), voc))
+        gru.p = fit(rows.where("learn"), voc_b, gru.p)
     passed = [f"_{i}" for i in range(len(keep))]
     schema = passed_schema(docs, keep, "row long, n_tokens long, known long, base double, model double, tail array<string>, times array<int>")
-    voc_b = docs.sparkSession.sparkContext.broadcast((voc, gru.p))
+    params_b = docs.sparkSession.sparkContext.broadcast(gru.p)
 
     def score(batches):
-        voc, params = voc_b.value
+        voc = voc_b.value
         net = Gru.__new__(Gru)
-        net.p = params
+        net.p = params_b.value
         row = TaskContext.get().partitionId() << 33
         unknown = len(voc.words) + 1
         base = np.append(voc.base, 0.0)

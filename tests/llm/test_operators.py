@@ -159,6 +159,22 @@ def test_lm_windows_carry_state(monkeypatch):
     assert np.allclose(whole, net.score(voc, ids, off))
 
 
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)
+    rng = np.random.default_rng(0)
+    follow = rng.permutation(40)
+    texts = []
+    for _ in range(300):
+        w = [int(rng.integers(40))]
+        while len(w) < 200:
+            w.append(int(follow[w[-1]]))  # each word tells the next
+        texts.append(" ".join(f"w{x}" for x in w))
+    total = lambda: sum(r["score"] for r in lm.log_likelihoods(table(spark, texts), F.lit(True), ["doc_id"]).collect())
+    every = total()
+    monkeypatch.setattr(lm, "fit", lambda rows, voc_b, start: start)
+    assert every > 0.99 * total()  # logarithms: a sample of one text alone does worse
+
+
 def test_mips_recall_and_odd_vectors(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     d = len(rows.first()["embedding"])
