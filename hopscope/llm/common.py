@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -21,15 +24,20 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is made.
+    Only a session in one JVM (tests) may name none: it gets a temporary folder. On a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIR.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hopscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN_DIR[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="hopscope-")
     return found.rstrip("/")
 
 
+#: Folders of sessions in one JVM (``local``) that name no shared one.
+_OWN_DIR: dict[str, str] = {}
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes them.
 
@@ -40,7 +48,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _LIVE.append(self)
+        for made in _NOTES:
+            made.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -64,13 +73,23 @@ class Scratch:
         remove(self.spark, self.root)
 
 
-_LIVE: list[Scratch] = []
+_NOTES: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def noting(made: list[Scratch]):
+    """Add the scratch tables that are made inside to ``made``."""
+    _NOTES.append(made)
+    try:
+        yield made
+    finally:
+        _NOTES.pop()
 
 
-def release_all() -> None:
-    """Drop every scratch table of this process; call only when no DataFrame over them is in use."""
-    while _LIVE:
-        _LIVE.pop().drop()
+def drop_all(made: list[Scratch]) -> None:
+    """Drop noted scratch tables; call only when no DataFrame over them is in use."""
+    while made:
+        made.pop().drop()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -104,6 +123,77 @@ def put_file(uri: str, data: bytes) -> None:
         f.write(data)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _TRIM = lambda n: 0
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system; reused Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def worker(f):
+    """A function of a stream of batches that gives memory back when it ends."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def col(name: str):
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_names(keep: list[str], outputs: list[str]) -> list[str]:
+    """Names of kept columns in a result: one that an output has too gets underscores at its end."""
+    taken, out = {x.lower() for x in outputs}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed_array(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(raw, n * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
+def summed(parts: DataFrame, kind: str, total: str, spread: int = 256) -> dict[int, np.ndarray]:
+    """Elementwise sums of the arrays that tasks sent: ``parts`` has at, task, n and part (``packed_array`` of ``n`` numbers of ``kind``).
+
+    Sums are taken in two levels, so that no group holds the arrays of all tasks. The driver gets one array of ``total`` for each ``at``.
+    """
+
+    def add(kind):
+        def run(table):
+            n = table.column("n")[0].as_py()
+            out = np.zeros(n, total)
+            for raw in table.sort_by("task").column("part").to_pylist():  # in a fixed order
+                out += _unpacked(raw, kind, n)
+            return pa.table({"at": table.column("at")[:1].cast(pa.int32()), "task": pa.array([table.column("task")[0].as_py() % spread], pa.int64()), "n": pa.array([n], pa.int32()), "part": pa.array([packed_array(out)], pa.binary())})
+
+        return run
+
+    schema = "at int, task long, n int, part binary"
+    some = parts.withColumn("g", F.pmod("task", F.lit(spread))).groupBy("at", "g").applyInArrow(add(kind), schema)
+    rows = some.groupBy("at").applyInArrow(add(total), schema).collect()
+    return {r["at"]: _unpacked(bytes(r["part"]), total, r["n"]) for r in rows}
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Cut a batch into runs of rows of about ``most`` bytes of ``column``, so that memory is bounded by it or one row.
 
