@@ -7,10 +7,11 @@ known language, so that labels switch inside them. Forward-backward gives every
 probabilities; a document's are their mean, and its language is the largest.
 
 The model is fitted on the driver from a bounded sample of labelled rows (``SAMPLE_DOCS`` documents of
-each label, ``SAMPLE_CHARS`` characters of each, ``MOST_LABELS`` labels); whole texts are scored, in
+each label, drawn row by row so that copies of a text can't fill a label's places, and ``SAMPLE_CHARS``
+characters of each); all labels of the training rows are learned, and whole texts are scored, in
 place, without a shuffle. Null text, text without letters, or no labelled rows at all: ``und``, score 0.
 Ties go to the label that sorts first. Repeated rows and null ids are scored like others; an empty
-table gives no rows.
+table gives no rows. A kept column that has the name of an output gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, VariantType
 
-from .common import passed_schema, slices, words_of
+from .common import SLICE_BYTES, col, kept_names, passed_schema, slices, words_of, worker
 
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LABELS = 700, 3_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS = 700, 3_000
+#: Characters of text times labels that are scored at once.
+SLICE_LABELS = 16 << 20
 #: Training sequences, their length, steps of ascent, hashed feature rows.
 SEQUENCES, LENGTH, STEPS, ROWS = 2_400, 48, 50, 1 << 17
 UND = "und"
@@ -193,9 +197,10 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, n
     coded = words.dictionary_encode()
     codes, size = np.asarray(coded.indices), np.diff(off)
     post, _ = forward_backward(model.emit(*model.rows(coded.dictionary)), codes, off, model.trans, model.first)
-    total = np.zeros((len(codes) + 1, k))
-    np.cumsum(post, axis=0, out=total[1:])
-    mean = (total[off[1:]] - total[off[:-1]]) / np.maximum(size, 1)[:, None]
+    mean = np.zeros((n, k))
+    full = np.flatnonzero(size)
+    if len(full):
+        mean[full] = np.add.reduceat(post, off[:-1][full], axis=0, dtype=np.float64) / size[full, None]
     label = post.argmax(1) if k else np.zeros(0, int)
     turn = np.append(0, np.cumsum(np.append(0, label[1:] != label[:-1]))) if len(label) else np.zeros(1, int)
     inside = np.maximum(turn[off[1:]] - turn[np.minimum(off[:-1] + 1, off[1:])], 0)
@@ -206,12 +211,12 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, n
 
 
 def sample(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts, chosen and cut at places that hashes of the texts give."""
-    rows = docs.where(learn).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = sorted((tuple(r) for r in rows.groupBy("lang").count().collect()), key=lambda r: (-r[1], r[0]))[:MOST_LABELS]
+    """A bounded sample of labelled texts, rows chosen by hashes of whole rows and cut at places that hashes of the texts give."""
+    whole = F.xxhash64(*[col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))], F.lit(29))
+    rows = docs.where(learn).select(col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"), (F.pmod(whole, F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("u")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = sorted(tuple(r) for r in rows.groupBy("lang").count().collect())  # the labels that the model holds
     if not counts:
         return [], []
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1_000_003)) / F.lit(1_000_003.0))
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(2.0 * SAMPLE_DOCS / n))])
     rows = rows.where(F.col("u") < share[F.col("lang")])
     start = F.greatest(F.lit(1), (F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1_000_003)) / F.lit(1_000_003.0) * (F.length("text") - SAMPLE_CHARS)).cast("int"))
@@ -221,19 +226,37 @@ def sample(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> tupl
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def identify(docs: DataFrame, learn: Column, keep: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Columns ``keep`` with lang_pred, score, n_words, n_switches of each row, learned from rows with ``learn``."""
+def _scored(docs: DataFrame, learn: Column, keep: list[str], text_col: str, lang_col: str) -> DataFrame:
+    """Columns _0, _1, ... for those of ``keep``, and _lang, _score, _words, _switches. A kept text goes through Python once."""
     model = fit(*sample(docs, learn, text_col, lang_col))
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    passed = [f"_{i}" for i in range(len(keep))]
+    own = passed[keep.index(text_col)] if text_col in keep and docs.schema[text_col].dataType == StringType() else "text"
+    rows = docs.select(*[col(c).alias(p) for c, p in zip(keep, passed, strict=True)], *([col(text_col).cast("string").alias("text")] if own == "text" else []))
     schema = passed_schema(docs, keep, "_lang string, _score double, _words long, _switches long")
+    most = max(1 << 18, min(SLICE_BYTES // 2, SLICE_LABELS // max(1, len(model.labels) if model else 1)))
 
+    @worker
     def score(batches):
         for batch in batches:
-            for piece in slices(batch):
-                texts = piece.column("text").cast(pa.large_string())
+            for piece in slices(batch, own, most):
+                texts = piece.column(own).cast(pa.large_string())
                 n = len(texts)
                 lang, value, words, turns = score_texts(model, texts) if model else ([UND] * n, np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([*[piece.column(f"_{i}") for i in range(len(keep))], pa.array(lang, pa.string()), pa.array(value, pa.float64()), pa.array(words, pa.int64()), pa.array(turns, pa.int64())], names=[*[f"_{i}" for i in range(len(keep))], "_lang", "_score", "_words", "_switches"])
+                yield pa.RecordBatch.from_arrays([*[piece.column(p) for p in passed], pa.array(lang, pa.string()), pa.array(value, pa.float64()), pa.array(words, pa.int64()), pa.array(turns, pa.int64())], names=[*passed, "_lang", "_score", "_words", "_switches"])
+
+    return rows.mapInArrow(score, schema)
+
+
+OUTPUTS = ["lang_pred", "score", "n_words", "n_switches"]
+
+
+def identify(docs: DataFrame, learn: Column, keep: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Columns ``keep`` with lang_pred, score, n_words, n_switches of each row, learned from rows with ``learn``."""
+    out = _scored(docs, learn, keep, text_col, lang_col)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept_names(keep, OUTPUTS))], *[F.col(a).alias(b) for a, b in zip(("_lang", "_score", "_words", "_switches"), OUTPUTS, strict=True)])
+
 
-    out = rows.mapInArrow(score, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_words").alias("n_words"), F.col("_switches").alias("n_switches"))
+def keep_clear(docs: DataFrame, learn: Column, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more; those without letters go."""
+    out = _scored(docs, learn, docs.columns, text_col, lang_col).where((F.col("_lang") != UND) & (F.col("_score") >= least))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
