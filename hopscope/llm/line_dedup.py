@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, passed_schema, slices
+from .common import Scratch, col, kept_names, passed_schema, slices, worker
 
 MIN_WORDS, BLOCK, SHIPPED = 1, 65_536, 64
 #: Ranks of lines that occur once: this and their position.
@@ -40,10 +40,11 @@ _NO_ID = (1 << 63) - 1
 
 def _line_table(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """Rows with their text, a number ``row``, ``base`` (position of the first line), line ids and word counts."""
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], col(text_col).cast("string").alias("text"))
     passed = [f"_{i}" for i in range(len(keep))]
     schema = passed_schema(docs, keep, "text string, row long, base long, ids array<long>, words array<int>")
 
+    @worker
     def split(batches):
         part = TaskContext.get().partitionId() << 40
         row, base = part, part
@@ -134,6 +135,7 @@ def common_prefixes(ranked: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
     sliced = sliced.withColumn("block", F.explode(F.when((F.col("idx") + 1) % BLOCK == 0, F.array(block, block + 1)).otherwise(F.array(block))))
     sliced = sliced.repartition("block").sortWithinPartitions("block", "idx")
 
+    @worker
     def compare(batches):
         last_block, before = None, None
         for batch in batches:
@@ -171,6 +173,7 @@ def common_prefixes(ranked: DataFrame, lines: DataFrame, scratch: Scratch) -> Da
     own = lines.select("row", "ids")
     heads = chained.where("NOT chain").select("row", "i", "row2", "i2").join(own, "row").join(own.select(F.col("row").alias("row2"), F.col("ids").alias("ids2")), "row2")
 
+    @worker
     def finish(batches):
         for batch in batches:
             found = [_compare(np.array(a[i:]), np.array(b[j:])) for a, b, i, j in zip(batch.column("ids").to_pylist(), batch.column("ids2").to_pylist(), batch.column("i").to_pylist(), batch.column("i2").to_pylist(), strict=True)]
@@ -193,17 +196,23 @@ def _stairs(places: list[tuple], lcps: list[int], start: list[tuple[int, tuple]]
         low = lcp if low is None else min(low, lcp)
         if low == 0:
             return out
-        if not out or place < out[-1][1]:
-            out.append((low, place))
+        _step(out, low, place)
     for lcp, place in start:
         lcp = lcp if low is None else min(low, lcp)
         if lcp == 0:
             break
-        if not out or place < out[-1][1]:
-            out.append((lcp, place))
+        _step(out, lcp, place)
     return out
 
 
+def _step(stairs: list[tuple[int, tuple]], lcp: int, place: tuple) -> None:
+    """Add a step further from the border if its place is earlier; it takes the place of a nearer one with the same prefix."""
+    if not stairs or place < stairs[-1][1]:
+        if stairs and stairs[-1][0] == lcp:
+            stairs.pop()
+        stairs.append((lcp, place))
+
+
 def _earlier(places: list[tuple], lcps: list[int], beyond: list[tuple[int, tuple]]) -> list[int]:
     """For each suffix, its common prefix with the nearest one before it in order that has an earlier place.
 
@@ -244,6 +253,7 @@ def earlier_runs(array: DataFrame) -> DataFrame:
     spark = array.sparkSession
     ordered = array.repartition("block").sortWithinPartitions("block", "idx").select("block", "doc", "row", "i", "lcp")
 
+    @worker
     def summary(batches):
         for block, places, lcps in _blocks(batches):
             to_right = _stairs(places[::-1], [1 << 30, *lcps[:0:-1]], [])
@@ -265,9 +275,8 @@ def earlier_runs(array: DataFrame) -> DataFrame:
     def over(stairs, least, rest):
         out = list(stairs)
         for lcp, place in rest:
-            lcp = min(lcp, least)
-            if lcp and (not out or place < out[-1][1]):
-                out.append((lcp, place))
+            if lcp := min(lcp, least):
+                _step(out, lcp, place)
         return out
 
     for b in blocks:  # stairs at a block's first suffix
@@ -281,6 +290,7 @@ def earlier_runs(array: DataFrame) -> DataFrame:
         first = info[b]["first"]
     sent = spark.sparkContext.broadcast((before, after))
 
+    @worker
     def runs(batches):
         before, after = sent.value
         for block, places, lcps in _blocks(batches):
@@ -294,10 +304,30 @@ def earlier_runs(array: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "row long, i int, run int")
 
 
+OUTPUTS = ["text", "n_lines", "n_removed", "removed"]
+
+
 def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Columns ``keep`` (with ``id_col``) and text without repeated runs, n_lines, n_removed, removed (array of first line, lines)."""
-    scratch = Scratch(docs.sparkSession, "lines")
     keep = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
+    out = _without_repeats(docs, keep, text_col, min_words)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept_names(keep, OUTPUTS))], *OUTPUTS)
+
+
+def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, n_chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with their texts shortened, and ``n_chars_col`` brought up to date where there is one; rows of which no word is left go."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    keep = [id_col, *others]
+    out = _without_repeats(docs, keep, text_col, min_words).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    columns = {c: F.col(f"_{i}") for i, c in enumerate(keep)} | {text_col: F.col("text").cast(docs.schema[text_col].dataType)}
+    if n_chars_col in columns:
+        columns[n_chars_col] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns[n_chars_col]).cast(docs.schema[n_chars_col].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def _without_repeats(docs: DataFrame, keep: list[str], text_col: str, min_words: int) -> DataFrame:
+    """Columns _0 (the id), _1, ... for those of ``keep``, and the outputs."""
+    scratch = Scratch(docs.sparkSession, "lines")
     table = scratch.cut(_line_table(docs, keep, text_col))
     lines = table.select("row", F.col("_0").cast("long").alias("doc"), "base", "ids")
     ranked, _ = suffix_ranks(lines, scratch)
@@ -307,6 +337,7 @@ def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
     passed = [f"_{i}" for i in range(len(keep))]
     schema = passed_schema(docs, keep, "text string, n_lines int, n_removed int, removed array<struct<first:int,lines:int>>")
 
+    @worker
     def delete(batches):
         for batch in batches:
             texts, n_lines, n_removed, removed = [], [], [], []
@@ -329,5 +360,4 @@ def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
                 removed.append([{"first": int(a), "lines": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(texts, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("lines", pa.int32())])))], names=[*passed, "text", "n_lines", "n_removed", "removed"])
 
-    out = joined.select(*passed, "text", "words", "runs").mapInArrow(delete, schema)
-    return out.select(*[F.col(p).alias(c) for p, c in zip(passed, keep, strict=True)], "text", "n_lines", "n_removed", "removed")
+    return joined.select(*passed, "text", "words", "runs").mapInArrow(delete, schema)
