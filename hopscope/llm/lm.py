@@ -15,7 +15,8 @@ scored as a whole at any length. Words of the head are looked up in a table of b
 task holds; the rest meet their counts in a join, which has no frequent keys.
 
 Null text counts as empty: one end token. Without training documents every score equals the base.
-Repeated rows and null ids are scored row by row; an empty table gives no rows.
+Repeated rows and null ids are scored row by row; an empty table gives no rows. A kept column that has
+the name of an output gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, most_frequent, passed_schema, slices, words_of
+from .common import Scratch, col, kept_names, most_frequent, packed_array, passed_schema, slices, summed, words_of, worker
 
 SHORT, CLASSES, HEAD, BANDS = 2_048, 32, 131_072, 8
 HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 3_000, 4_000
@@ -240,6 +241,7 @@ def _log_prob(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def count_tokens(rows: DataFrame) -> DataFrame:
     """Columns token, c of column text, the end as the empty token; each task adds up its slices first."""
 
+    @worker
     def count(batches):
         for batch in batches:
             for piece in slices(batch, most=24 << 20):
@@ -254,6 +256,7 @@ def fit(rows: DataFrame, voc_b, start: dict[str, np.ndarray]) -> dict[str, np.nd
     """Weights after all texts of ``rows``: those of the tasks, each begun at ``start``, averaged by their tokens."""
     start_b = rows.sparkSession.sparkContext.broadcast(start)
 
+    @worker
     def learn(batches):
         voc = voc_b.value
         net = Gru.__new__(Gru)
@@ -269,23 +272,17 @@ def fit(rows: DataFrame, voc_b, start: dict[str, np.ndarray]) -> dict[str, np.nd
                 net.ascend(voc, ids, np.where(first, 0, np.append(0, ids[:-1])), first, state, later=True)
                 seen += len(ids)
         if seen:
-            flat = np.concatenate([q.ravel() for q in net.p.values()])
-            cut = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([seen] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["at", "seen", "part"])
-
-    def mean(table):
-        total, seen = 0.0, 0
-        for n, part in zip(table.column("seen").to_pylist(), table.column("part").to_pylist(), strict=True):
-            total, seen = total + n * np.frombuffer(part, np.float32).astype(np.float64), seen + n
-        return pa.table({"at": table.column("at")[:1], "seen": pa.array([seen], pa.int64()), "part": pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "at int, seen long, part binary"
-    got = sorted(rows.select("text").mapInArrow(learn, schema).groupBy("at").applyInArrow(mean, schema).collect(), key=lambda r: r["at"])  # one set of weights
+            flat = np.concatenate([*[q.ravel() for q in net.p.values()], [1.0]]).astype(np.float64) * seen
+            cut = [flat[a : a + PIECE] for a in range(0, len(flat), PIECE)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([task] * len(cut), pa.int64()), pa.array([len(x) for x in cut], pa.int32()), pa.array([packed_array(x.astype("<f4")) for x in cut], pa.binary())], names=["at", "task", "n", "part"])
+
+    got = summed(rows.select("text").mapInArrow(learn, "at int, task long, n int, part binary"), "<f4", "<f8")  # one set of weights
     if not got:
         return start
-    flat, at, out = np.frombuffer(b"".join(bytes(r["part"]) for r in got), np.float32), 0, {}
+    flat, at, out = np.concatenate([got[i] for i in sorted(got)]), 0, {}
     for k, q in start.items():
-        out[k], at = flat[at : at + q.size].reshape(q.shape), at + q.size
+        out[k], at = (flat[at : at + q.size] / flat[-1]).astype(np.float32).reshape(q.shape), at + q.size
     return out
 
 
@@ -307,10 +304,13 @@ def _sample(rows: DataFrame, voc: Vocabulary) -> list[tuple[np.ndarray, bool]]:
     return out
 
 
+OUTPUTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` with n_tokens, n_known, train_tokens, base_score, score of each row."""
     scratch = Scratch(docs.sparkSession, "lm")
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = scratch.cut(count_tokens(rows.where("learn")))
     n, v, ones, twos, end = counts.agg(F.sum("c"), F.count("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.max(F.when(F.col("token") == END, F.col("c")))).first()
     frequent = most_frequent(counts.where(f"token <> '{END}' AND c > 1"), "token", "c", HEAD)
@@ -327,6 +327,7 @@ def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: s
     schema = passed_schema(docs, keep, "row long, n_tokens long, known long, base double, model double, tail array<string>, times array<int>")
     params_b = docs.sparkSession.sparkContext.broadcast(gru.p)
 
+    @worker
     def score(batches):
         voc = voc_b.value
         net = Gru.__new__(Gru)
@@ -369,4 +370,4 @@ def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: s
     )
     out = scored.drop("tail", "times").join(met, "row", "left").na.fill(0, ["tail_known", "tail_base", "tail_model"])
     base = F.col("base") + F.col("tail_base")
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", (F.col("known") + F.col("tail_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("tail_model") if n else base).alias("score"))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept_names(keep, OUTPUTS))], "n_tokens", (F.col("known") + F.col("tail_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("tail_model") if n else base).alias("score"))
