@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 #: Powers of two; 8 codes fill a 64-bit word.
 BINS, BITS = 128, 8
 _SHIFT = 64 - BINS.bit_length() + 1
-#: Documents that are neighbours by id are brought together in so many buckets at most, about BUCKET_BYTES each.
-MOST_BUCKETS, BUCKET_BYTES = 16_384, 16 << 20
+#: Documents that are neighbours by id are brought together in buckets of about BUCKET_BYTES, in so many at most (then they grow:
+#: 1.5 GB for 100 TB, which a task sorts by spilling). Their edges come from about SAMPLED ids a bucket.
+MOST_BUCKETS, BUCKET_BYTES, SAMPLED = 65_536, 16 << 20, 50
 
 
 def _orders() -> list[list[int]]:
@@ -83,7 +84,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     The next document is the one of the next larger id (rows of one id in order of text, null ids
     first); after the last comes the first, so a single document is followed by itself. Ids are
-    dealt by approximate quantiles into buckets that are shuffled once; each bucket's last document
+    dealt by quantiles of a hashed sample into buckets that are shuffled once; each bucket's last document
     takes the next bucket's first one by a join. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -91,8 +92,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = min(MOST_BUCKETS, 1 + (size[0] or 0) // BUCKET_BYTES)
     edges: list[int] = []
     if n > 1 and size[1]:
-        cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-        edges = sorted(set(cuts))
+        share = min(1.0, SAMPLED * n / size[1])
+        ids = sorted(r[0] for r in rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_003)) <= int(1_000_003 * share))).select("doc_id").distinct().collect())
+        edges = sorted({ids[len(ids) * i // n] for i in range(1, n)}) if ids else []
     rows = rows.withColumn("bucket", _bucket(edges))
     # the first document of each bucket: at most MOST_BUCKETS ids on the driver
     least = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).collect())
@@ -106,7 +108,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     # the neighbour's text travels once; the codes of the neighbour follow in the same order
-    near = rows.repartition("bucket").withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
+    near = rows.repartitionByRange(len(edges) + 1, "bucket").withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
     near = near.join(first_docs, F.col("bucket") == F.col("to_bucket"), "left").drop("to_bucket")
     k = F.floor(F.length("text") / 4).cast("int")
     near = near.withColumn("n_chars", F.length("text")).withColumn("other", F.coalesce("next_text", "head_text"))
