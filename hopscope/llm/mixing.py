@@ -2,19 +2,21 @@
 
 A classifier learned from a labelled table gives each document's domain posteriors: words are hashed into
 ``BUCKETS``; a bucket's presence gets a weight for each domain, its log-odds against the other domains,
-where they are significant (the ``FEATURES`` most significant); the summed weights are calibrated by
+where they are significant (the ``FEATURES`` most significant, a size of the model); the summed weights are calibrated by
 multinomial logistic regression on the other half of a bounded sample of labelled documents (``SAMPLE_DOCS``).
 
-With t tokens (words) and posteriors p, rates w minimise the squared distance of the expected totals
-sum w t p from the targets, plus a small share of sum t (w - 1)^2 that settles among the many solutions on
-the one nearest to taking each document once. Projected gradient starts at w = 1; a step adds the totals'
-residuals, scaled by the curvature of the rates above zero, to one sum c for all documents, and a
-document's rate is the projection of 1 - p c to w >= 0. So an iteration is one aggregation of a few
-sums, and rates are neither shuffled nor stored between iterations.
+With t tokens (words) and posteriors p, rates w minimise r' W r, r the expected totals sum w t p less the
+targets, W the inverse of the domains' moments sum t p p' over rates above zero. Projected gradient starts at
+w = 1; a step takes p' W r off each document's rate and projects it to w >= 0, so a small residual moves rates
+no further than it must. W makes a whole step the safe one, whatever the domains' overlap. A document's rate
+follows from its posteriors and the steps' W r, so an iteration is one aggregation of a few sums, and rates are
+neither shuffled nor stored. Then rates within ``SNAP`` of 0 or 1 are held at it and the other rates go on, so
+that the totals are met by what documents are really taken.
 
 Null text counts as empty: no tokens, the prior as posteriors. Labels that are null or of unknown
 documents are ignored; of repeated labels the least domain counts. Without labelled documents there is
-one domain, 'all'. Repeated rows and null ids each get their rate; an empty table gives no rows.
+one domain, 'all'. Repeated rows and null ids each get their rate; an empty table gives no rows. A kept
+column that has the name of an output gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hashed_sample
+from .common import Scratch, col, hashed_sample, kept_names
 
-BUCKETS, SLOTS, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 2_000, 8_192, 3.0, 5
-ITERATIONS, TOLERANCE, RIDGE = 20, 1e-5, 1e-4
+BUCKETS, SLOTS, SPLIT, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 10, 2_000, 8_192, 3.0, 5
+#: Steps before and after rates are held; where they end early: residuals as a share of the targets.
+ITERATIONS, TOLERANCE, SNAP = 14, 1e-4, 0.05
 
 
 def _words(text: str) -> Column:
@@ -38,8 +41,21 @@ def _number(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def _slots(buckets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A perfect hash: places (from 1) of buckets by slot, and how far each group of buckets with equal low bits is shifted."""
+    groups: dict[int, list[int]] = {}
+    for i, h in enumerate(buckets):
+        groups.setdefault(h & ((1 << SPLIT) - 1), []).append(i)
+    place, shift = np.zeros(SLOTS, int), np.zeros(1 << SPLIT, int)
+    for g, members in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+        at = np.array([buckets[i] >> SPLIT for i in members])
+        shift[g] = next(d for d in range(SLOTS) if not place[(at + d) % SLOTS].any())
+        place[(at + shift[g]) % SLOTS] = np.array(members) + 1
+    return place, shift
+
+
 class Domains:
-    """names; buckets that have weights, each in a slot of its own; weights (domains, buckets); calibration (domains, domains + 1)."""
+    """names; buckets that have weights; weights (domains, buckets); calibration (domains, domains + 1)."""
 
     def __init__(self, names: list[str], buckets: list[int], weights: np.ndarray, calibration: np.ndarray):
         self.names, self.buckets, self.weights, self.calibration = names, buckets, weights, calibration
@@ -48,9 +64,8 @@ class Domains:
         """Array of the summed weights of the word buckets that are present in array column ``words``."""
         if not self.buckets:
             return F.expr("array(" + ", ".join("0D" for _ in self.names) + ")")
-        place = np.zeros(SLOTS, int)
-        place[np.array(self.buckets) % SLOTS] = np.arange(1, len(self.buckets) + 1)
-        at = "array(" + ",".join(map(str, place)) + f")[h & {SLOTS - 1}]"
+        place, shift = _slots(self.buckets)
+        at = "array(" + ",".join(map(str, place)) + f")[(shiftright(h, {SPLIT}) + array({','.join(map(str, shift))})[h & {(1 << SPLIT) - 1}]) & {SLOTS - 1}]"
         keys = "array(-1," + ",".join(map(str, self.buckets)) + ")"
         present = f"array_distinct(filter(transform({words}, w -> CAST(pmod(xxhash64(w), {BUCKETS}) AS int)), h -> {keys}[{at}] = h))"
         table = ["array(0D," + ",".join(_number(x) for x in row) + ")" for row in self.weights]
@@ -106,14 +121,8 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rest, n_rest = counts.sum(0) - counts, n.sum() - n
     odds = np.log((counts + 0.5) / (n[:, None] + 1)) - np.log((rest + 0.5) / (n_rest[:, None] + 1))
     z = odds / np.sqrt(1 / (counts + 0.5) + 1 / (rest + 0.5))
-    # the most significant first; a slot holds one bucket
-    slots: set[int] = set()
-    used = []
-    for i in np.argsort(-np.abs(z).max(0), kind="stable") if len(seen) else []:
-        slot = seen[i][0] % SLOTS
-        if len(used) < FEATURES and np.abs(z[:, i]).max() >= LEAST_Z and slot not in slots:
-            slots.add(slot)
-            used.append(int(i))
+    order = np.argsort(-np.abs(z).max(0), kind="stable") if len(seen) else []
+    used = [int(i) for i in order if np.abs(z[:, i]).max() >= LEAST_Z][:FEATURES]
     weights = np.where(np.abs(z[:, used]) >= LEAST_Z, np.round(odds[:, used], 6), 0.0)
     out = Domains(names, [seen[i][0] for i in used], weights, np.zeros((len(names), len(names) + 1)))
     other = rows.where("NOT first").where(F.col("domain").isin(names)).select("domain", out.sums("words").alias("s")).collect()  # at most SAMPLE_DOCS
@@ -124,49 +133,53 @@ def learn_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def memberships(docs: DataFrame, domains: Domains, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` with tokens and array ``member``, under names _0, _1, ... for those kept."""
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], _words(text_col).alias("words"))
+    rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], _words(text_col).alias("words"))
     rows = rows.withColumn("tokens", F.size("words").cast("long")).withColumn("sums", domains.sums("words")).drop("words")
     return rows.withColumn("member", domains.posteriors("sums")).drop("sums")
 
 
-def _rate(c: np.ndarray) -> str:
-    return "greatest(0D, 1D - (" + " + ".join(f"{_number(x)} * member[{j}]" for j, x in enumerate(c)) + "))"
+def _moved(start: str, steps: list[np.ndarray]) -> str:
+    """Rates from ``start`` after projected steps."""
+    if not steps:
+        return start
+    moves = ", ".join("array(" + ", ".join(_number(x) for x in c) + ")" for c in steps)
+    return f"aggregate(array({moves}), {start}, (w, c) -> greatest(0D, w - ({' + '.join(f'c[{j}] * member[{j}]' for j in range(len(steps[0])))})))"
 
 
-def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: list[float] | None) -> tuple[str, list[float], list[float]]:
-    """The rate as an expression over ``member``, the targets, and the expected totals that it meets them with.
+def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: list[float] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Expressions of columns ``first`` (over ``member``) and ``rate`` (over both), the targets, and the expected totals.
 
     ``targets``: token totals of the domains, or ``shares``: multiples of their expected totals at rate 1.
     """
 
-    def totals(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals at the rates of ``c``, and their curvature over the rates above zero."""
-        rows = table.select("tokens", "member", F.expr(_rate(c)).alias("w"))
+    def totals(table: DataFrame, rate: str, free: str) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals, and their moments over the free rates above zero."""
+        rows = table.select("tokens", "member", F.expr(rate).alias("w"), F.expr(free).alias("free"))
         sums = [F.sum(F.expr(f"tokens * member[{i}] * w")) for i in range(k)]
-        curve = [F.sum(F.expr(f"IF(w > 0, tokens * member[{i}] * member[{j}], 0D)")) for i in range(k) for j in range(i + 1)]
-        got = [float(x or 0) for x in rows.agg(*sums, *curve).first()]
+        moments = [F.sum(F.expr(f"IF(free AND w > 0, tokens * member[{i}] * member[{j}], 0D)")) for i in range(k) for j in range(i + 1)]
+        got = [float(x or 0) for x in rows.agg(*sums, *moments).first()]
         m = np.zeros((k, k))
         m[np.tril_indices(k)] = got[k:]
         return np.array(got[:k]), m + np.tril(m, -1).T
 
-    c = np.zeros(k)
-    now, curve = totals(c)
-    want = np.array(targets if targets is not None else [s * t for s, t in zip(shares, now, strict=True)], float)
-    if not curve.any():
-        return _rate(c), list(want), list(now)
-    ridge = RIDGE * float(np.trace(curve)) * np.eye(k)
-    pull = lambda c, now: now - want - ridge @ c
-    error, size = pull(c, now), 1.0
-    for _ in range(ITERATIONS):
-        if np.abs(error).max() <= TOLERANCE * max(np.abs(want).sum(), 1):
-            break
-        trial = c + size * np.linalg.solve(curve + ridge, error)
-        there, curve_there = totals(trial)
-        if (pull(trial, there) ** 2).sum() < (error**2).sum():
-            c, now, curve, error, size = trial, there, curve_there, pull(trial, there), 1.0
-        else:
-            size /= 2
-    return _rate(c), list(want), list(now)
+    def descend(table: DataFrame, start: str, free: str, want: np.ndarray | None) -> tuple[str, np.ndarray, np.ndarray]:
+        steps: list[np.ndarray] = []
+        rate = lambda: _moved(start, steps) if free == "true" else f"IF({free}, {_moved(start, steps)}, {start})"
+        now, moments = totals(table, rate(), free)
+        first = now
+        if want is None:
+            want = np.array(targets if targets is not None else [s * t for s, t in zip(shares, first, strict=True)], float)
+        for _ in range(ITERATIONS):
+            if np.abs(now - want).max() <= TOLERANCE * max(np.abs(want).sum(), 1) or not moments.any():
+                break
+            steps.append(np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ (now - want))
+            now, moments = totals(table, rate(), free)
+        return rate(), want, now
+
+    first, want, _ = descend(table, "1D", "true", None)
+    held = f"IF(abs(first - 1D) <= {SNAP}D, 1D, IF(first <= {SNAP}D, 0D, first))"
+    rate, want, now = descend(table.withColumn("first", F.expr(first)), held, f"abs(first - 1D) > {SNAP}D AND first > {SNAP}D", want)
+    return [first, rate], want, now
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], keep: list[str], id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
@@ -179,12 +192,13 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], keep: list
     domains = learn_domains(docs, labels, id_col, text_col)
     k = len(domains.names)
     table = scratch.cut(memberships(docs, domains, keep, text_col))
-    rate, _, _ = fit_rates(table.select("tokens", "member"), k, [targets.get(d, 0.0) for d in domains.names] if targets is not None else None, [shares.get(d, 1.0) for d in domains.names])
-    out = table.withColumn("rate", F.expr(rate))
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("tokens").alias("n_tokens"), "rate", *[F.col("member")[i].alias(f"p_{d}") for i, d in enumerate(domains.names)])
+    (first, rate), _, _ = fit_rates(table.select("tokens", "member"), k, [targets.get(d, 0.0) for d in domains.names] if targets is not None else None, [shares.get(d, 1.0) for d in domains.names])
+    out = table.withColumn("first", F.expr(first)).withColumn("rate", F.expr(rate))
+    names = kept_names(keep, ["n_tokens", "rate", *[f"p_{d}" for d in domains.names]])
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], F.col("tokens").alias("n_tokens"), "rate", *[F.col("member")[i].alias(f"p_{d}") for i, d in enumerate(domains.names)])
 
 
-def copies(rate: Column, key: Column, snap: float = 0.05) -> Column:
-    """How often a document is taken: its rate rounded at random by a hash of ``key``, so that expected totals stay; a rate within ``snap`` of a whole number takes that."""
+def copies(rate: Column, key: Column) -> Column:
+    """How often a document is taken: its rate rounded at random by a hash of ``key``, so that expected totals stay."""
     u = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return F.when(F.abs(rate - F.round(rate)) <= snap, F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
+    return F.floor(rate + u).cast("int")
