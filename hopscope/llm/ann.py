@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, hashed_sample
+from .common import Scratch, hashed_sample, one_thread
 
 #: The codebooks' sample, and weights: (d - 1) T^2 / (1 - T^2) at T = 0.2 of a vector's norm for d = 64.
 SAMPLE, ROUNDS, ETA = 8_192, 6, 2.6
@@ -136,6 +136,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     @pandas_udf("binary")
     def codes_of(v: pd.Series) -> pd.Series:
+        one_thread()
         x = np.pad(np.stack(v.to_numpy()), ((0, 0), (0, odd))) if len(v) else np.zeros((0, d + odd))
         return pd.Series([c.tobytes() for c in encode(x, books)])
 
@@ -150,6 +151,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        one_thread()
         pad = lambda v: np.pad(np.stack(v.to_numpy()), ((0, 0), (0, odd)))
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         return search_block(right["vec_id"].to_numpy(), pad(right["v"]), left["vec_id"].to_numpy(), pad(left["v"]), codes, books, k)

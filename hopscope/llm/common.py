@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import glob
 import os
 import tempfile
 import uuid
@@ -105,21 +106,33 @@ def local_path(uri: str) -> str | None:
     return uri if uri.startswith("/") else None
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all: a retried or speculative task replaces it with equal bytes."""
+@contextlib.contextmanager
+def new_file(uri: str):
+    """A file to write to that appears whole or not at all: a retried or speculative task replaces it with equal bytes."""
     path = local_path(uri)
     if path is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-        with open(tmp, "wb") as f:
-            f.write(data)
-        os.replace(tmp, path)
+        try:
+            with open(tmp, "wb") as f:
+                yield f
+            os.replace(tmp, path)
+        finally:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(tmp)
         return
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(uri)
     store.create_dir(os.path.dirname(inner), recursive=True)
-    with store.open_output_stream(inner) as f:
+    tmp = f"{inner}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(tmp) as f:
+        yield f
+    store.move(tmp, inner)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    with new_file(uri) as f:
         f.write(data)
 
 
@@ -135,11 +148,22 @@ def give_back() -> None:
     _TRIM(0)
 
 
+@functools.cache
+def one_thread() -> None:
+    """Let this process multiply matrices in one thread: a task has one core, and threads that wait for each other burn more."""
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def worker(f):
-    """A function of a stream of batches that gives memory back when it ends."""
+    """A function of a stream of batches that uses one thread, and gives memory back when it ends."""
 
     @functools.wraps(f)
     def run(batches):
+        one_thread()
         try:
             yield from f(batches)
         finally:
