@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, kept_names, most_frequent, packed_array, passed_schema, slices, summed, words_of, worker
+from .common import Scratch, col, kept_names, most_frequent, one_thread, packed_array, passed_schema, slices, summed, words_of, worker
 
-SHORT, CLASSES, HEAD, BANDS = 2_048, 32, 131_072, 8
-HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 3_000, 4_000
+SHORT, CLASSES, HEAD, BANDS = 4_096, 64, 131_072, 8
+HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 1_000, 4_000
 LANES, BPTT, RATE, PIECE = 96, 24, 0.01, 4_096
-#: The share of the rate that tasks go on with.
-LATER = 0.2
+#: Lanes of tasks, and the share of the rate that they go on with.
+WIDE, LATER = 512, 0.3
 END = ""  # no word is empty
 
 
@@ -118,12 +118,12 @@ class Gru:
 
     def ascend(self, voc: Vocabulary, tokens: np.ndarray, before: np.ndarray, reset: np.ndarray, state: dict, later: bool = False) -> None:
         """Steps over all tokens. ``state``: the moments and steps so far; ``later``: at the constant rate of tasks."""
-        lanes = max(1, min(LANES, len(tokens) // BPTT))
+        lanes = max(1, min(WIDE if later else LANES, len(tokens) // BPTT))
         length = -(-len(tokens) // lanes)
         if not length:
             return
         cut = lambda x, fill: np.append(x, np.full(lanes * length - len(x), fill, x.dtype)).reshape(lanes, length)
-        x, y, keep = cut(voc.inputs[before], 0), cut(tokens, -1), 1 - cut(reset, True).astype(np.float32)
+        x, y, keep = cut(voc.inputs[before].astype(np.int32), 0), cut(tokens, -1), 1 - cut(reset, True).astype(np.float32)
         if not state:
             state.update(m={k: np.zeros_like(q) for k, q in self.p.items()}, v={k: np.zeros_like(q) for k, q in self.p.items()}, steps=0)
         m, v, done = state["m"], state["v"], state["steps"]
@@ -142,42 +142,68 @@ class Gru:
                 trace.append(rest)
                 hs.append(h)
             flat, target = np.concatenate(hs), ys.reshape(-1)
-            g = {k: np.zeros_like(q) for k, q in p.items()}
-            logits = flat @ p["wc"] + p["bc"]
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
+            g = {}
+            prob = flat @ p["wc"]
+            prob += p["bc"]
+            prob -= prob.max(1, keepdims=True)
+            np.exp(prob, out=prob)
             prob /= prob.sum(1, keepdims=True)
             prob[np.arange(len(target)), voc.cls[target]] -= 1
             prob[target < 0] = 0  # what fills up the lanes
             g["wc"], g["bc"] = flat.T @ prob, prob.sum(0)
             dh = prob @ p["wc"].T
-            own = np.where((target >= 0) & (target < voc.short), voc.cls[target], -1)
+            # words of each class side by side
+            g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+            own = np.where((target >= 0) & (target < voc.short), voc.cls[target], voc.n_short_classes)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(voc.n_short_classes + 1))
             for c in range(voc.n_short_classes):
-                at = np.flatnonzero(own == c)
+                at = order[cuts[c] : cuts[c + 1]]
                 s0, s1 = voc.starts[c], voc.starts[c + 1]
                 if len(at) and s1 - s0 > 1:
-                    w = flat[at] @ p["ww"][s0:s1].T + p["bw"][s0:s1]
+                    state_c = flat[at]
+                    w = state_c @ p["ww"][s0:s1].T
+                    w += p["bw"][s0:s1]
                     w -= w.max(1, keepdims=True)
-                    w = np.exp(w)
+                    np.exp(w, out=w)
                     w /= w.sum(1, keepdims=True)
                     w[np.arange(len(at)), target[at] - s0] -= 1
-                    g["ww"][s0:s1], g["bw"][s0:s1] = w.T @ flat[at], w.sum(0)
+                    g["ww"][s0:s1], g["bw"][s0:s1] = w.T @ state_c, w.sum(0)
                     dh[at] += w @ p["ww"][s0:s1]
             dh = dh.reshape(b - a, lanes, n)
-            dgx, carry = np.empty_like(gx), np.zeros((lanes, n), np.float32)
+            dgx, dgh, carry = np.empty_like(gx), np.empty_like(gx), np.zeros((lanes, n), np.float32)
+            uh_t = np.ascontiguousarray(p["uh"].T)
             for t in range(b - a - 1, -1, -1):
-                d = dh[t] + carry
+                d = dh[t]
+                d += carry
                 r, z, c, ghc = trace[t]
-                dc = d * (1 - z) * (1 - c**2)
-                dz = d * (past[t] - c) * z * (1 - z)
-                dr = dc * ghc * r * (1 - r)
-                dgh = np.concatenate([dr, dz, dc * r], 1)
-                dgx[t] = np.concatenate([dr, dz, dc], 1)
-                g["uh"] += past[t].T @ dgh
-                carry = (d * z + dgh @ p["uh"].T) * keep[:, a + t, None]
+                out, back = dgx[t], dgh[t]
+                rest = 1 - z
+                dc = d * rest
+                dc *= 1 - c * c
+                out[:, 2 * n :] = dc
+                dz = past[t] - c
+                dz *= d
+                dz *= z
+                dz *= rest
+                out[:, n : 2 * n] = dz
+                np.multiply(dc, r, out=back[:, 2 * n :])
+                dc *= ghc
+                dc *= r
+                dc *= 1 - r
+                out[:, :n] = dc
+                back[:, : 2 * n] = out[:, : 2 * n]
+                carry = back @ uh_t
+                carry += d * z
+                carry *= keep[:, a + t, None]
+            g["uh"] = np.concatenate(past).T @ dgh.reshape(-1, 3 * n)
             wide = dgx.reshape(-1, 3 * n)
             g["wx"], g["bx"] = e.reshape(-1, n).T @ wide, wide.sum(0)
-            np.add.at(g["emb"], xs.reshape(-1), wide @ p["wx"].T)
+            used = xs.reshape(-1)
+            order = np.argsort(used, kind="stable")
+            rows, first = np.unique(used[order], return_index=True)
+            g["emb"] = np.zeros_like(p["emb"])
+            g["emb"][rows] = np.add.reduceat((wide @ p["wx"].T)[order], first)
             scale = 1 / max(1, np.count_nonzero(target >= 0))
             norm = np.sqrt(sum(float((q**2).sum()) for q in g.values())) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-12))
@@ -321,6 +347,7 @@ def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: s
     gru = Gru(voc)
     voc_b = docs.sparkSession.sparkContext.broadcast(voc)
     if n:
+        one_thread()
         gru.train(voc, _sample(rows.where("learn"), voc))
         gru.p = fit(rows.where("learn"), voc_b, gru.p)
     passed = [f"_{i}" for i in range(len(keep))]
