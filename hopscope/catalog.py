@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import queries, totals
+from .plans import files, protocols, queries, totals
 
-QUERIES = queries.QUERIES | totals.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | totals.ORACLE_SQL
+QUERIES = queries.QUERIES | totals.QUERIES | protocols.QUERIES | files.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | totals.ORACLE_SQL | protocols.ORACLE_SQL | files.ORACLE_SQL
 FLAGSHIP = "A15_rtt_summary"

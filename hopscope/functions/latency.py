@@ -44,6 +44,11 @@ def verdict(divergence: Column, fair: bool = True) -> Column:
     return (out.when(divergence < 1.0, "fair") if fair else out).otherwise("poor")
 
 
+def six_decimals(value: Column) -> Column:
+    """A number as text with six decimals."""
+    return F.format_string("%.6f", value)
+
+
 def bin_of(latency: Column, width_us: int, low_us: int = 0) -> Column:
     """Bin number of a latency in seconds on a grid of whole microseconds."""
     return F.floor((F.floor(F.round(latency * 1e6, 3)) - low_us) / width_us).cast("bigint")

@@ -8,12 +8,93 @@ from pyspark.sql import functions as F
 from ..functions.latency import bin_of
 
 
+#: Buckets of a key's values between which running counts are carried.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_b``: the part of its key's range that a value lies in, by approximate quantiles of the rows."""
+    edges = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1_000).alias("_edges"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = rows.alias("l").join(edges.alias("r"), same) if keys else rows.alias("l").crossJoin(F.broadcast(edges).alias("r"))  # one row
+    return joined.select("l.*", F.size(F.filter("_edges", lambda e: e < F.col(f"l.{value}"))).alias("_b"))
+
+
+def running(rows: DataFrame, keys: list[str], value: str, order: list[str] | None = None, count: str | None = None, name: str = "upto") -> DataFrame:
+    """Add ``name``: how many rows of the same keys (or their sum of ``count``) come up to this one in order of ``value``, then ``order``.
+
+    A two-level prefix sum: values are dealt into ranges, whose totals are added up first, so that no key's rows
+    meet in one task. Without ``order`` values should be distinct within their keys.
+    """
+    dealt = _bucketed(rows, keys, value)
+    n = F.sum(count) if count else F.count("*")
+    totals = dealt.groupBy(*keys, "_b").agg(n.alias("_n"))
+    before = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")  # BUCKETS rows a key
+    own = Window.partitionBy(*keys, "_b").orderBy(value, *(order or []))
+    within = F.sum(count).over(own) if count else F.row_number().over(own)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
+    out = dealt.withColumn("_within", within).alias("l").join(before.alias("r"), same)
+    return out.select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_within") + F.col("_before")).cast("bigint").alias(name))
+
+
+def _value_counts(rows: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """Distinct values of each key with their counts, and with the counts up to each and in all: v, c, upto, n."""
+    counts = rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    total = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    upto = running(counts, keys, "v", count="c")
+    if not keys:
+        return upto.crossJoin(F.broadcast(total))  # one row
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return upto.alias("l").join(total.alias("r"), same).select("l.*", "r.n")
+
+
+def percentiles(rows: DataFrame, value: Column, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles, a column for each of a few: the values at two ranks are found by running counts."""
+    from functools import reduce
+
+    v = _value_counts(rows, value, keys)
+    lo = F.col("upto") - F.col("c")
+    holds = lambda r: (lo <= r) & (r < F.col("upto"))
+    place = {name: F.lit(p) * (F.col("n") - 1) for name, p in at.items()}
+    low = {name: F.floor(x) for name, x in place.items()}
+    high = {name: F.ceil(x) for name, x in place.items()}
+    kept = v.where(reduce(lambda a, b: a | b, [holds(r) for side in (low, high) for r in side.values()]))
+    pick = lambda name, side: F.max(F.when(holds(side[name]), F.col("v")))
+    return kept.groupBy(*keys).agg(*[(pick(name, low) + F.max(place[name] - low[name]) * (pick(name, high) - pick(name, low))).alias(name) for name in at])
+
+
+def quantiles(rows: DataFrame, value: Column, keys: list[str], points: int) -> DataFrame:
+    """Exact quantiles at ``points`` equal steps from 0 to 1, a row each (pos from 0).
+
+    Values are counted first; each distinct value then tells which quantiles' ranks fall on it, so no task sees all values.
+    """
+    v = _value_counts(rows, value, keys)
+    m, last = F.col("n") - 1, points - 1
+    lo = F.col("upto") - F.col("c")
+    # rank of quantile i: i * m / last, between the whole ranks (i * m) DIV last and the next
+    first = F.when(m > 0, F.greatest(F.lit(0), F.floor((lo - 1) * last / F.greatest(m, F.lit(1))))).otherwise(F.lit(0))
+    end = F.when(m > 0, F.least(F.lit(last), F.ceil(F.col("upto") * last / F.greatest(m, F.lit(1))))).otherwise(F.lit(last))
+    each = v.withColumn("lo", lo).withColumn("pos", F.explode(F.sequence(first.cast("bigint"), end.cast("bigint"))))
+    rank, part = F.expr(f"(pos * (n - 1)) DIV {last}"), F.expr(f"(pos * (n - 1)) % {last}")
+    holds = lambda r: (F.col("lo") <= r) & (r < F.col("upto"))
+    low = F.when(holds(rank), F.col("v"))
+    high = F.when(holds(F.when(part > 0, rank + 1).otherwise(rank)), F.col("v"))
+    out = each.groupBy(*keys, "pos").agg(F.max(low).alias("a"), F.max(high).alias("b"), F.max(part / F.lit(last)).alias("t"))
+    return out.select(*keys, F.col("pos").cast("int").alias("pos"), (F.col("a") + F.col("t") * (F.col("b") - F.col("a"))).alias("q"))
+
+
 def summary(rows: DataFrame, value: Column, key: str) -> DataFrame:
-    """count, min, max, mean, median of ``value`` for each ``key`` and for all rows (key ALL), in one pass."""
-    out = rows.select(F.col(key).alias("k"), value.alias("v")).where("v IS NOT NULL").rollup("k").agg(
-        F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.grouping("k").alias("g")
-    )
-    return out.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("k")).alias(key), "n", "least", "most", "mean", "median")
+    """count, min, max, mean, median of ``value`` for each ``key`` and for all rows (key ALL), from counts of distinct values."""
+    counts = rows.select(F.col(key).alias("k"), value.alias("v")).where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("c"))
+    levels = counts.unionByName(counts.groupBy("v").agg(F.sum("c").alias("c")).select(F.lit("ALL").alias("k"), "v", "c"))
+    upto = running(levels, ["k"], "v", count="c")
+    stats = levels.groupBy("k").agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    same = F.col("l.k").eqNullSafe(F.col("r.k"))
+    lo, low, high = F.col("upto") - F.col("c"), F.expr("(n - 1) DIV 2"), F.expr("n DIV 2")
+    ranked = upto.alias("l").join(stats.alias("r"), same).select("r.*", "l.v", "l.c", "l.upto")
+    at = lambda r: F.max(F.when((lo <= r) & (r < F.col("upto")), F.col("v")))
+    out = ranked.where(((lo <= low) & (low < F.col("upto"))) | ((lo <= high) & (high < F.col("upto")))).groupBy("k", "n", "least", "most", "mean").agg(((at(low) + at(high)) / 2).alias("median"))
+    return out.withColumnRenamed("k", key)
 
 
 def histogram(rows: DataFrame, latency: Column, width_us: int, top_us: int, keys: list[str]) -> DataFrame:
@@ -36,17 +117,28 @@ def pmf(rows: DataFrame, latency: Column, width_us: int, top_us: int, keys: list
 
 def ecdf(rows: DataFrame, latency: str, keys: list[str], cap: float) -> DataFrame:
     """Each value up to ``cap`` with the share of such values at or below it, from counts of distinct values."""
-    counts = rows.where(F.col(latency) <= cap).groupBy(*keys, latency).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(latency))
-    return counts.select(*keys, latency, (below / total).alias("share"))
-
-
-def quantiles(rows: DataFrame, value: Column, keys: list[str], points: int) -> DataFrame:
-    """Exact quantiles at ``points`` equal steps from 0 to 1, a row each (pos from 0)."""
-    grid = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    out = rows.groupBy(*keys).agg(F.percentile(value, grid).alias("q"))
-    return out.select(*keys, F.posexplode("q").alias("pos", "q"))
+    counts = _value_counts(rows.where(F.col(latency) <= cap), F.col(latency), keys)
+    return counts.select(*keys, F.col("v").alias(latency), (F.col("upto") / F.col("n")).alias("share"))
+
+
+def length_statistics(rows: DataFrame, size: str, keys: list[str] | None = None) -> DataFrame:
+    """count, min, max, mean, median and total of sizes."""
+    keys = keys or []
+    stats = rows.where(F.col(size).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.avg(size).alias("mean"), F.sum(size).alias("total"))
+    median = percentiles(rows, F.col(size), keys, {"median": 0.5})
+    return stats.join(median, keys) if keys else stats.crossJoin(F.broadcast(median))  # one row
+
+
+def auto_bins(rows: DataFrame, value: str) -> DataFrame:
+    """Number of bins (bins), first edge (low) and width of a histogram by the greater of Sturges' and Freedman and Diaconis' counts; one row."""
+    q = percentiles(rows, F.col(value), [], {"q1": 0.25, "q3": 0.75})
+    span = rows.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    width = F.col("high") - F.col("low")
+    sturges = width / (F.log2("n") + 1)
+    diaconis = 2 * (F.col("q3") - F.col("q1")) / F.pow("n", F.lit(1 / 3))
+    step = F.when(diaconis > 0, F.least(sturges, diaconis)).otherwise(sturges)
+    bins = F.when(width > 0, F.ceil(F.round(width / step, 9))).otherwise(F.lit(1)).cast("bigint")
+    return span.crossJoin(F.broadcast(q)).select(bins.alias("bins"), "low", F.when(width > 0, width / bins).otherwise(F.lit(1.0)).alias("width"))  # single rows
 
 
 def accounts(frames: DataFrame, src: str, dst: str, size: Column) -> DataFrame:

@@ -7,39 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.net import network
 
-#: Rows of a pattern table that are broadcast at once.
-CHUNK = 2_000
+#: Rows of a pattern table that are broadcast at once, and of a prefix table that is broadcast.
+CHUNK, BROADCAST = 2_000, 500_000
 
 
-def _ladder(rows: DataFrame, prefixes: DataFrame, number: str) -> list[tuple[int, Column]]:
-    """The prefix lengths that occur (33 at most), and each row's network at that length."""
-    lengths = sorted(r[0] for r in prefixes.select("plen").distinct().collect())
-    return [(n, network(F.col(number), F.lit(n))) for n in lengths]
+def _ladder(prefixes: DataFrame, number: str) -> tuple[list[tuple[int, Column]], bool]:
+    """The prefix lengths that occur (33 at most) with each row's network at that length, and whether the table is small."""
+    lengths = sorted(tuple(r) for r in prefixes.groupBy("plen").count().collect())
+    return [(n, network(F.col(number), F.lit(n))) for n, _ in lengths], sum(c for _, c in lengths) <= BROADCAST
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, number: str, values: list[str]) -> DataFrame:
     """Add ``values`` of the longest prefix that holds the address ``number``; nulls where none does.
 
     ``prefixes``: net, plen, values. Distinct addresses meet prefixes by equality of (network, length),
-    an entry for each length that occurs, so no range join is needed and either side may be large.
+    an entry for each length that occurs, so no range join is needed and either side may be large. A table
+    of at most ``BROADCAST`` prefixes is broadcast; then only the distinct addresses and the rows are shuffled.
     """
-    ladder = _ladder(rows, prefixes, number)
+    ladder, few = _ladder(prefixes, number)
     if not ladder:
         return rows.select("*", *[F.lit(None).cast(prefixes.schema[v].dataType).alias(v) for v in values], F.lit(None).cast("int").alias("plen"))
     steps = F.explode(F.array(*[F.struct(F.lit(n).alias("plen"), net.alias("net")) for n, net in ladder])).alias("s")
     probes = rows.select(number).distinct().where(F.col(number).isNotNull()).select(number, steps).select(number, "s.plen", "s.net")
     table = prefixes.select(F.col("plen").cast("int").alias("plen"), F.col("net").cast("bigint").alias("net"), *values).dropDuplicates(["plen", "net"])
-    best = probes.join(table, ["plen", "net"]).groupBy(number).agg(F.max_by(F.struct("plen", *values), "plen").alias("b")).select(number, "b.*")
+    best = probes.join(F.broadcast(table) if few else table, ["plen", "net"]).groupBy(number).agg(F.max_by(F.struct("plen", *values), "plen").alias("b")).select(number, "b.*")
     return rows.join(best, number, "left")
 
 
 def in_subnets(rows: DataFrame, subnets: DataFrame, number: str, how: str = "left_semi") -> DataFrame:
     """Rows whose address lies in one of ``subnets`` (net, plen); ``how`` may be left_anti."""
-    ladder = _ladder(rows, subnets, number)
+    ladder, few = _ladder(subnets, number)
     if not ladder:
         return rows.where(F.lit(how != "left_semi"))
     steps = F.explode(F.array(*[F.struct(F.lit(n).alias("plen"), net.alias("net")) for n, net in ladder])).alias("s")
-    hits = rows.select(number).distinct().where(F.col(number).isNotNull()).select(number, steps).select(number, "s.*").join(subnets.select("plen", "net"), ["plen", "net"], "left_semi").select(number).distinct()
+    nets = subnets.select("plen", "net").distinct()
+    hits = rows.select(number).distinct().where(F.col(number).isNotNull()).select(number, steps).select(number, "s.*").join(F.broadcast(nets) if few else nets, ["plen", "net"], "left_semi").select(number).distinct()
     return rows.join(hits, number, how)
 
 
@@ -49,16 +51,26 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, defaults: dict[str, str
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def on_allow_list(rows: DataFrame, allowed: DataFrame, columns: list[str], key: str = "ip") -> DataFrame:
+    """Rows of which one of ``columns`` is in table ``allowed``; each column meets the table by equality."""
+    flags = []
+    for i, c in enumerate(columns):
+        hit = allowed.select(F.col(key).alias(f"_a{i}")).where(F.col(f"_a{i}").isNotNull()).distinct()
+        rows = rows.join(hit, F.col(c) == F.col(f"_a{i}"), "left")
+        flags.append(f"_a{i}")
+    return rows.where(F.coalesce(*flags).isNotNull()).drop(*flags)
+
+
 def match_patterns(rows: DataFrame, patterns: DataFrame, condition: Column) -> DataFrame:
     """All (row, pattern) pairs that meet ``condition``: a join by substring, with no equal key.
 
-    ``patterns`` needs an integer ``pattern_id`` from 0; it is broadcast ``CHUNK`` rows at a time, so
-    its size is bounded however many patterns there are.
+    Patterns are dealt by the hash of their ``pattern_id`` (any type) into parts of about ``CHUNK`` rows,
+    each broadcast on its own, so the size of a broadcast is bounded however many patterns there are.
     """
-    last = patterns.agg(F.max("pattern_id")).first()[0]
+    parts = max(1, -(-patterns.count() // CHUNK))
     out = None
-    for low in range(0, (last if last is not None else 0) + 1, CHUNK):
-        part = patterns.where((F.col("pattern_id") >= low) & (F.col("pattern_id") < low + CHUNK))
+    for k in range(parts):
+        part = patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(parts)) == k) if parts > 1 else patterns
         got = rows.join(F.broadcast(part), condition)
         out = got if out is None else out.unionByName(got)
     return out

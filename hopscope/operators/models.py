@@ -1,21 +1,31 @@
 """Fitting of 1-D mixtures (EM, BIC) and kernel densities on pre-aggregated samples.
 
-Samples are first counted on a fine grid (microseconds by default), so a group that is fitted in one task
-is bounded by the grid, not by the number of samples.
+Samples are first counted on a grid (``grid`` seconds: 100 us for mixtures, 1 ms for densities by default), so a
+group that is fitted in one task is bounded by the grid, not by the number of samples.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MODEL = "model_id string, k int, n long, loglik double, bic double, comp int, weight double, mean double, var double"
 
 
-def bic(loglik: float, k: int, n: float) -> float:
-    return -2 * loglik + (3 * k - 1) * np.log(n)
+def bic(loglik, k, n, log=np.log):
+    """Of numbers, or of columns with ``log`` of columns."""
+    return -2 * loglik + (3 * k - 1) * log(n)
+
+
+def scored(rows: DataFrame, value: str, model: DataFrame, keys: list[str]) -> DataFrame:
+    """How well mixtures fit samples: keys, model_id, k, n, loglik, bic."""
+    from .mixture import density, packed
+
+    both = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(packed(model)))  # a row for each mixture
+    sums = both.groupBy(*keys, "model_id").agg(F.max(F.size("comps")).alias("k"), F.count("*").alias("n"), F.sum(F.ln(density(F.col(value), F.col("comps")) + 1e-300)).alias("loglik"))
+    return sums.withColumn("bic", bic(F.col("loglik"), F.col("k"), F.col("n"), F.ln))
 
 
 def em(x: np.ndarray, c: np.ndarray, k: int, rounds: int = 200, tol: float = 1e-6, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -79,11 +89,20 @@ def kernel_density(latency: DataFrame, value: str, bandwidth: float, points: int
     return sums.select("i", "x", (F.col("s") / (F.col("n") * bandwidth * (2 * np.pi) ** 0.5)).alias("pdf"))
 
 
-def select_bandwidth(latency: DataFrame, value: str, bandwidths: list[float], folds: int = 3, grid: float = 1e-3) -> DataFrame:
-    """Held-out log-likelihood of each bandwidth, best first; folds by the hash of the value's grid point and fold."""
-    v = F.round(F.col(value) / grid) * grid
-    rows = latency.where(F.col(value).isNotNull()).select(v.alias("v"), F.pmod(F.xxhash64(F.col(value)), F.lit(folds)).cast("int").alias("fold"))
-    counts = rows.groupBy("v", "fold").agg(F.count("*").alias("c")).withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in bandwidths])))
+#: Bandwidths that are tried: 30 from 0.001 to 0.5, in equal ratios.
+BANDWIDTHS = [float(h) for h in np.logspace(-3, np.log10(0.5), 30)]
+
+
+def select_bandwidth(latency: DataFrame, value: str, order: str, bandwidths: list[float] | None = None, folds: int = 3, grid: float = 1e-3) -> DataFrame:
+    """Held-out log-likelihood of each bandwidth, best first. Folds are runs of rows in ``order`` (a number), the first ones longer by one where rows don't divide."""
+    from .aggregate import running
+
+    rows = latency.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), (F.round(F.col(value) / grid) * grid).alias("v"))
+    at = running(rows, [], "o", ["v"], name="at").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    small, long = F.floor(F.col("n") / folds), F.col("n") % folds
+    place = F.col("at") - 1
+    fold = F.when(place < long * (small + 1), F.floor(place / (small + 1))).otherwise(long + F.floor((place - long * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
+    counts = at.groupBy("v", fold.alias("fold")).agg(F.count("*").alias("c")).withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in bandwidths or BANDWIDTHS])))
 
     def score(df: pd.DataFrame) -> pd.DataFrame:
         h, total = float(df["h"].iloc[0]), 0.0
@@ -95,3 +114,32 @@ def select_bandwidth(latency: DataFrame, value: str, bandwidths: list[float], fo
         return pd.DataFrame({"bandwidth": [h], "loglik": [total]})
 
     return counts.groupBy("h").applyInPandas(score, "bandwidth double, loglik double").orderBy(F.desc("loglik"), "bandwidth")
+
+
+#: Hops of the emulated chain: node, delay in seconds where its pool is missing (null: it adds none), and whether it draws once a connection.
+CHAIN = [("ips", 0.002, True), ("adc", 0.002, False), ("waf", 0.003, False), ("web", 0.001, False), ("fw2", 0.002, False), ("slb", None, False), ("app", 0.005, False)]
+
+
+def chain_delays(requests: DataFrame, pools: DataFrame, hops: list[tuple] | None = None, no_delay: bool = False) -> DataFrame:
+    """Each request's delay at every hop and up to it: id, hop, node, delay, upto.
+
+    ``requests``: id, conn. ``pools``: node, idx (from 0), v. A hop draws from its node's pool by a number made of the
+    request's or connection's id and the node's name, so results don't depend on partitions. ``no_delay``: all 0.
+    """
+    spark = requests.sparkSession
+    chain = spark.createDataFrame([(i, n, f, c) for i, (n, f, c) in enumerate(hops or CHAIN)], "hop int, node string, fallback double, once boolean")
+    sizes = pools.groupBy("node").agg(F.count("*").alias("n"))
+    plan = F.broadcast(chain.join(sizes, "node", "left"))  # a row for each hop
+    steps = requests.crossJoin(plan)
+    key = F.when(F.col("once"), F.col("conn")).otherwise(F.col("id"))
+    u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), F.col("node")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    drawn = steps.withColumn("idx", F.floor(u * F.col("n")).cast("bigint")).join(pools.select("node", "idx", "v"), ["node", "idx"], "left")
+    delay = F.lit(0.0) if no_delay else F.when(F.col("fallback").isNull(), 0.0).otherwise(F.coalesce("v", "fallback"))
+    upto = F.sum("delay").over(Window.partitionBy("id").orderBy("hop"))
+    return drawn.withColumn("delay", delay).select("id", "hop", "node", "delay", upto.alias("upto"))
+
+
+def refit(samples: DataFrame, value: str, name: str, ks: list[int], least: float | None = None) -> DataFrame:
+    """The mixture of least BIC of samples above ``least``."""
+    kept = samples.where(F.col(value) > least) if least is not None else samples
+    return fit_mixtures(kept.select(F.lit(name).alias("name"), value), "name", value, ks)

@@ -1,14 +1,19 @@
 """Pairing of requests and responses: adjacent, as-of, FIFO and legacy semantics.
 
 Windows are partitioned by flow and need each flow's rows in order; a flow's rows must fit a sort that may
-spill, not memory. The FIFO fold gathers a flow's messages and is for flows of up to some 1e5 messages.
+spill, not memory. FIFO and legacy pairing walk over the sorted rows of a partition as a stream and hold
+only what waits in the flow at hand.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from .walk import walk
 
 
 def adjacent_pairs(rows: DataFrame, flow: list[str], order: list[str], is_request: Column, is_response: Column, time: str = "ts_us", frame: str = "frame") -> DataFrame:
@@ -29,21 +34,30 @@ def as_of_pairs(rows: DataFrame, flow: list[str], order: list[str], is_request:
     return out.withColumn("res_frame", F.col(frame)).withColumn("delay_s", (F.col(time) - F.col("req_ts_us")) / 1e6)
 
 
-def fifo_pairs(messages: DataFrame, flow: list[str]) -> DataFrame:
+def fifo_pairs(messages: DataFrame, flow: list[str], carry: list[str] | None = None) -> DataFrame:
     """Responses take the oldest waiting request of their flow if its bytes are acknowledged; else they are dropped.
 
     ``messages``: flow, frame, ts_us, kind ('REQ' or 'RESP'), seq_end, ack. A request that isn't
-    acknowledged yet keeps its place at the head.
+    acknowledged yet keeps its place at the head. Columns ``carry`` of both sides come as req_<name> and res_<name>.
     """
-    item = F.struct(F.col("frame").alias("n"), "ts_us", (F.col("kind") == "REQ").alias("req"), "seq_end", "ack")
-    kept = messages.where(F.col("kind").isin("REQ", "RESP")).groupBy(*flow).agg(F.array_sort(F.collect_list(item)).alias("m"))
-    start = "named_struct('q', CAST(array() AS array<struct<n:bigint,ts_us:bigint,seq_end:bigint>>), 'o', CAST(array() AS array<struct<req_frame:bigint,res_frame:bigint,req_ts_us:bigint,res_ts_us:bigint>>))"
-    head = "element_at(a.q, 1)"
-    step = f"""CASE WHEN x.req THEN named_struct('q', concat(a.q, array(named_struct('n', x.n, 'ts_us', x.ts_us, 'seq_end', x.seq_end))), 'o', a.o)
-        WHEN size(a.q) > 0 AND {head}.seq_end <= x.ack THEN named_struct('q', slice(a.q, 2, size(a.q)), 'o', concat(a.o, array(named_struct('req_frame', {head}.n, 'res_frame', x.n, 'req_ts_us', {head}.ts_us, 'res_ts_us', x.ts_us))))
-        ELSE a END"""
-    out = kept.withColumn("p", F.explode(F.expr(f"aggregate(m, {start}, (a, x) -> {step}, a -> a.o)")))
-    return out.select(*flow, "p.*").withColumn("delay_s", (F.col("res_ts_us") - F.col("req_ts_us")) / 1e6)
+    carry = carry or []
+    names = ["frame", "ts_us", *carry]
+    fields = [StructField(f"{side}_{c}", messages.schema[c].dataType) for side in ("req", "res") for c in names]
+
+    def begin():
+        waiting: deque = deque()
+
+        def step(kind, seq_end, ack, *own):
+            if kind == "REQ":
+                waiting.append((seq_end, own))
+            elif waiting and None not in (ack, waiting[0][0]) and waiting[0][0] <= ack:
+                return [(*waiting.popleft()[1], *own)]
+            return []
+
+        return step
+
+    kept = messages.where(F.col("kind").isin("REQ", "RESP"))
+    return walk(kept, flow, ["frame"], ["kind", "seq_end", "ack", *names], fields, begin).withColumn("delay_s", (F.col("res_ts_us") - F.col("req_ts_us")) / 1e6)
 
 
 def fifo_by_ordinal(messages: DataFrame, flow: list[str]) -> DataFrame:
@@ -60,19 +74,20 @@ def legacy_pairs(messages: DataFrame, flow: list[str]) -> DataFrame:
 
     ``messages``: flow, frame, ts_us, kind, method, uri.
     """
+    fields = StructType.fromDDL("method string, uri string, req_frame long, res_frame long, delay_s double").fields
 
-    def pair(df: pd.DataFrame) -> pd.DataFrame:
+    def begin():
         pending: dict[tuple, tuple] = {}
-        out = []
-        for r in df.sort_values("frame").itertuples(index=False):
-            if r.kind == "REQ":
-                pending[(r.method, r.uri)] = (r.frame, r.ts_us)
+
+        def step(kind, frame, ts, method, uri):
+            if kind == "REQ":
+                pending[method, uri] = frame, ts
             elif pending:
-                (method, uri), (frame, ts) = next(iter(pending.items()))
-                del pending[(method, uri)]
-                out.append((*[getattr(r, c) for c in flow], method, uri, frame, r.frame, (r.ts_us - ts) / 1e6))
-        return pd.DataFrame(out, columns=[*flow, "method", "uri", "req_frame", "res_frame", "delay_s"])
-
-    types = dict(messages.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in flow] + ["method string, uri string, req_frame long, res_frame long, delay_s double"])
-    return messages.groupBy(*flow).applyInPandas(pair, schema)
+                asked = next(iter(pending))
+                first, since = pending.pop(asked)
+                return [(*asked, first, frame, (ts - since) / 1e6)]
+            return []
+
+        return step
+
+    return walk(messages, flow, ["frame"], ["kind", "frame", "ts_us", "method", "uri"], fields, begin)

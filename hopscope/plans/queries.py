@@ -52,15 +52,14 @@ FILTERS: dict[str, tuple[str, Callable[[], Column], str]] = {
     "F1_ipv4_tcp_udp": ("packet", lambda: (F.col("ethertype") == 2048) & F.col("ip_proto").isin(6, 17), "ethertype = 2048 AND ip_proto IN (6, 17)"),
     "F2_payload": ("packet", lambda: F.octet_length(F.col("payload")) > 0, "octet_length(payload) > 0"),
     "F3_tls_or_443": ("packet", lambda: tls.is_application_data(F.col("payload")) | (F.col("sport") == 443) | (F.col("dport") == 443), "(octet_length(payload) > 5 AND substr(hex(payload), 1, 2) = '17') OR sport = 443 OR dport = 443"),
-    "F4_http_or_80": ("packet", lambda: http.is_request(F.decode(F.col("payload"), "ISO-8859-1")) | http.is_response(F.decode(F.col("payload"), "ISO-8859-1")) | (F.col("sport") == 80) | (F.col("dport") == 80), "hex(payload) LIKE '474554%' OR hex(payload) LIKE '485454502F%' OR sport = 80 OR dport = 80"),
+    "F4_http_or_80": ("packet", lambda: http.is_request(F.decode(F.col("payload"), "ISO-8859-1")) | http.is_response(F.decode(F.col("payload"), "ISO-8859-1")) | (F.col("sport") == 80) | (F.col("dport") == 80), "regexp_matches(hex(payload), '^(474554|504F5354|505554|48454144|4F5054494F4E53|44454C455445|5041544348)20') OR hex(payload) LIKE '485454502F%' OR sport = 80 OR dport = 80"),
     "F5_response_time": ("pkt", lambda: (F.col("dir") == "S2C") & F.col("latency_s").isNotNull() & (F.col("latency_s") < 0.05), "dir = 'S2C' AND latency_s IS NOT NULL AND latency_s < 0.05"),
     "F6_request_or_timed": ("pkt", lambda: (F.col("dir") == "C2S") | (F.col("latency_s") < 0.02), "dir = 'C2S' OR latency_s < 0.02"),
     "F7_tls_in_nets": ("packet", lambda: tls.is_application_data(F.col("payload")) & (net.in_networks(_n("src"), ["10.79.0.0/25"]) | net.in_networks(_n("dst"), ["172.18.3.0/24", "8.8.4.0/24"])), f"(octet_length(payload) > 5 AND substr(hex(payload), 1, 2) = '17') AND ({_duck_in(_NUM.format('src'), ['10.79.0.0/25'])} OR {_duck_in(_DST, ['172.18.3.0/24', '8.8.4.0/24'])})"),
-    "F8_server_hello": ("packet", lambda: (tls.byte_at(F.col("payload"), 0) == 22) & (tls.byte_at(F.col("payload"), 4) == 16), "substr(hex(payload), 1, 2) = '16' AND substr(hex(payload), 9, 2) = '10'"),
+    "F8_server_hello": ("packet", lambda: tls.is_server_hello(F.col("payload")), "regexp_matches(hex(payload), '^1603(00|01|02|03|04)....02')"),
     "F9_unicast": ("packet", lambda: net.is_unicast(F.col("eth_dst")), "(('0x' || substr(eth_dst, 1, 2))::INT & 1) = 0"),
-    "F10_allow_list": ("packet", lambda: F.col("src").isin("10.79.0.5", "10.79.0.9") | F.col("dst").isin("8.8.2.30"), "src IN ('10.79.0.5', '10.79.0.9') OR dst IN ('8.8.2.30')"),
     "F11_http_ports": ("packet", lambda: F.col("sport").isin(http.HTTP_PORTS) | F.col("dport").isin(http.HTTP_PORTS), "sport IN (80, 8080, 8000, 8888) OR dport IN (80, 8080, 8000, 8888)"),
-    "F12_request_prefix": ("packet", lambda: http.is_request(F.decode(F.col("payload"), "ISO-8859-1")), "hex(payload) LIKE '47455420%'"),
+    "F12_request_prefix": ("packet", lambda: http.is_request(F.decode(F.col("payload"), "ISO-8859-1")), "regexp_matches(hex(payload), '^(474554|504F5354|505554|48454144|4F5054494F4E53|44454C455445|5041544348)20')"),
     "F13_response_prefix": ("packet", lambda: http.is_response(F.decode(F.col("payload"), "ISO-8859-1")), "hex(payload) LIKE '485454502F%'"),
     "F14_tls_heuristic": ("packet", lambda: tls.is_application_data(F.col("payload")), "octet_length(payload) > 5 AND substr(hex(payload), 1, 2) = '17'"),
     "F15_tls_header": ("packet", lambda: tls.is_record(F.col("payload")), "octet_length(payload) >= 5 AND substr(hex(payload), 1, 2) IN ('14', '15', '16', '17') AND substr(hex(payload), 3, 2) = '03' AND substr(hex(payload), 5, 2) IN ('00', '01', '02', '03', '04')"),
@@ -129,7 +128,8 @@ def f34(pkt):
 
 @query("F35_percentile_cut", "SELECT round(least(2.0, quantile_cont(latency_s, 0.995) * 1.5), 6) AS cap, (SELECT count(*) FROM pkt WHERE latency_s <= (SELECT least(2.0, quantile_cont(latency_s, 0.99)) FROM pkt)) AS n FROM pkt", "pkt")
 def f35(pkt):
-    caps = pkt.agg(F.least(F.lit(2.0), F.percentile("latency_s", F.lit(0.995)) * 1.5).alias("cap"), F.least(F.lit(2.0), F.percentile("latency_s", F.lit(0.99))).alias("c99"))
+    p = aggregate.percentiles(pkt, F.col("latency_s"), [], {"p995": 0.995, "p99": 0.99})
+    caps = p.select(F.least(F.lit(2.0), F.col("p995") * 1.5).alias("cap"), F.least(F.lit(2.0), F.col("p99")).alias("c99"))
     return pkt.crossJoin(F.broadcast(caps)).agg(r6(F.first("cap")).alias("cap"), F.count_if(F.col("latency_s") <= F.col("c99")).alias("n"))
 
 
@@ -176,11 +176,11 @@ def x8(packet):
     return packet.groupBy(long("dport").alias("port"), net.protocol(F.col("dport"), "unknown").alias("protocol")).agg(F.count("*").alias("n"))
 
 
-_CIPHER_VALUES = "(VALUES " + ", ".join(f"('{c}', '{n}', '{v}')" for c, n, v in tls.cipher_rows()) + ") AS c(code, name, version)"
+_CIPHER_VALUES = "(VALUES " + ", ".join(f"('{c}', '{n}', '{v}')" for c, n, v in tls.CIPHERS) + ") AS c(code, name, version)"
 
 
 def _ciphers(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(tls.cipher_rows(), "cipher string, name string, version string")
+    return df.sparkSession.createDataFrame(tls.CIPHERS, "cipher string, name string, version string")
 
 
 @query("X9_cipher_name", f"SELECT DISTINCT cipher, coalesce(name, concat('Unknown Cipher (', cipher, ')')) AS name, coalesce(version, 'Unknown') AS version FROM packet LEFT JOIN {_CIPHER_VALUES} ON cipher = code", "packet")
@@ -400,11 +400,6 @@ def j6(url, flt):
     return url.join(hit.select("page_id"), "page_id", "left_anti").select("page_id")
 
 
-@query("J7_patterns", "SELECT page_id, pattern FROM url JOIN pattern ON contains(url, pattern)", "url", "pattern")
-def j7(url, pattern):
-    return enrich.match_patterns(url, pattern, F.contains("url", "pattern")).select("page_id", "pattern")
-
-
 _MSG = "SELECT frame, ts_us, flow, CASE WHEN dir = 'C2S' THEN 'REQ' ELSE 'RESP' END AS kind FROM pkt"
 
 
@@ -414,15 +409,6 @@ def j8_ordinal(pkt):
     return pairing.fifo_by_ordinal(msgs, ["flow"]).select("flow", "req_frame", "res_frame", r6(F.col("delay_s")).alias("delay_s"))
 
 
-@query("J8_fifo", None, "pkt")
-def j8(pkt):
-    w = Window.partitionBy("flow").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    sent = F.sum(F.when(F.col("dir") == "C2S", F.col("payload_len")).otherwise(0)).over(w)
-    msgs = pkt.withColumn("seq_end", sent).withColumn("ack", F.greatest(sent - F.col("payload_len") % 3, F.lit(0)))
-    msgs = msgs.select("frame", "ts_us", "flow", F.when(F.col("dir") == "C2S", "REQ").otherwise("RESP").alias("kind"), "seq_end", "ack")
-    return pairing.fifo_pairs(msgs, ["flow"]).select("flow", "req_frame", "res_frame", r6(F.col("delay_s")).alias("delay_s"))
-
-
 def _sides() -> tuple[Column, Column]:
     return F.col("dir") == "C2S", F.col("dir") == "S2C"
 
@@ -446,25 +432,12 @@ def j11(pkt):
     return pairing.adjacent_pairs(kept, ["flow"], ["frame"], *_sides()).select("flow", "req_frame", "res_frame", r6(F.col("latency_s")).alias("rtt"))
 
 
-@query("J12_legacy_pairs", None, "pkt")
-def j12(pkt):
-    msgs = pkt.select("flow", "frame", "ts_us", F.when(F.col("dir") == "C2S", "REQ").otherwise("RESP").alias("kind"), F.col("endpoint").alias("method"), (F.col("payload_len") % 5).cast("string").alias("uri"))
-    return pairing.legacy_pairs(msgs, ["flow"])
-
-
-@query("J13_request_in", f"SELECT frame AS res_frame, req_frame, round((ts_us - req_ts) / 1e6, 6) AS delay FROM ({_ADJ}) WHERE (ts_us - req_ts) / 1e6 < 7200", "pkt")
-def j13(pkt):
-    out = pairing.adjacent_pairs(pkt.where("payload_len > 0"), ["flow"], ["frame"], *_sides())
-    return out.where(latency.plausible(F.col("delay_s"), (-1.0, 7200.0))).select("res_frame", "req_frame", r6(F.col("delay_s")).alias("delay"))
-
-
 _RANKED = "SELECT latency_s AS v, row_number() OVER (ORDER BY latency_s, frame) AS k FROM pkt WHERE endpoint = '{0}'"
 
 
 @query("J14_rank_join", f"SELECT a.k AS k, round(a.v - b.v, 6) AS d FROM ({_RANKED.format('view')}) a JOIN ({_RANKED.format('click')}) b USING (k)", "pkt")
 def j14(pkt):
-    k = F.row_number().over(Window.partitionBy("endpoint").orderBy("latency_s", "frame"))
-    n = pkt.where("endpoint IN ('view', 'click')").select("endpoint", F.col("latency_s").alias("v"), long(k).alias("k"))
+    n = aggregate.running(pkt.where("endpoint IN ('view', 'click')"), ["endpoint"], "latency_s", ["frame"], name="k").select("endpoint", F.col("latency_s").alias("v"), "k")
     a, b = n.where("endpoint = 'view'").select("k", F.col("v").alias("a")), n.where("endpoint = 'click'").select("k", F.col("v").alias("b"))
     return a.join(b, "k").select("k", r6(F.col("a") - F.col("b")).alias("d"))
 

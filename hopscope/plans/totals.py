@@ -26,22 +26,11 @@ def a2(url):
     return aggregate.counted(url, http.api_of(F.col("url")), "api", "url", "page_id")
 
 
-@query("A3_fingerprint_counts", f"SELECT CASE WHEN page_id % 3 = 0 THEN 'RESP' ELSE 'REQ' END AS kind, count(*) AS n, count(DISTINCT substr(m, 1, 30)) AS kinds FROM ({_DM}) GROUP BY 1", "url")
-def a3(url):
-    m = _messages(url).select(F.when(http.is_response(F.col("m")), "RESP").otherwise("REQ").alias("kind"), F.substring("m", 1, 30).alias("h"))
-    return m.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("h").alias("kinds"))
-
-
 @query("A4_mac_accounts", "SELECT addr, count_if(s = 1) AS src_pkts, sum(CASE WHEN s = 1 THEN bytes ELSE 0 END)::BIGINT AS src_bytes, count_if(s = 0) AS dst_pkts, sum(CASE WHEN s = 0 THEN bytes ELSE 0 END)::BIGINT AS dst_bytes, count(*) AS total_pkts, sum(bytes)::BIGINT AS total_bytes FROM (SELECT src AS addr, 1 AS s, bytes FROM mac_acct UNION ALL SELECT dst, 0, bytes FROM mac_acct) GROUP BY addr", "mac_acct")
 def a4(frames):
     return aggregate.accounts(frames, "src", "dst", F.col("bytes"))
 
 
-@query("A5_method_counts", "SELECT CASE WHEN dport IN (80, 8080, 8000, 8888) THEN 'request' ELSE 'other' END AS direction, upper(method) AS what, count(*) AS n FROM packet GROUP BY ALL", "packet")
-def a5(packet):
-    return packet.groupBy(F.when(F.col("dport").isin(http.HTTP_PORTS), "request").otherwise("other").alias("direction"), F.upper("method").alias("what")).agg(F.count("*").alias("n"))
-
-
 @query("A6_cipher_counts", f"SELECT coalesce(version, 'Unknown') AS protocol, coalesce(name, concat('Unknown Cipher (', cipher, ')')) AS name, count(*) AS n FROM packet LEFT JOIN {_CIPHER_VALUES} ON cipher = code GROUP BY ALL", "packet")
 def a6(packet):
     counts = packet.groupBy("cipher").agg(F.count("*").alias("n"))
@@ -67,11 +56,6 @@ def a8(url, hosts):
 _PROTO = "CASE dport " + " ".join(f"WHEN {p} THEN '{n}'" for p, n in net.PORTS.items()) + " END"
 
 
-@query("A9_protocol_ips", f"SELECT DISTINCT {_PROTO} AS protocol, dst AS ip FROM packet WHERE {_PROTO} IS NOT NULL", "packet")
-def a9(packet):
-    return packet.select(net.protocol(F.col("dport")).alias("protocol"), F.col("dst").alias("ip")).where("protocol IS NOT NULL").distinct()
-
-
 @query("A10_file_stats", f"SELECT eth_dst AS file, count(*) AS total_lines, count(DISTINCT dport) AS unique_ports, array_to_string(list_sort(list(DISTINCT {_PROTO})), ',') AS protocols, count_if(sport = 0) AS ip_entries, count_if(sport <> 0) AS socket_entries FROM packet GROUP BY eth_dst", "packet")
 def a10(packet):
     return packet.groupBy(F.col("eth_dst").alias("file")).agg(
@@ -85,30 +69,9 @@ def a11(prefix):
     return prefix.groupBy("asn").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", F.col("net"), F.col("plen").cast("string")))), ",").alias("prefixes"), F.max_by("name", "net").alias("name"))
 
 
-@query("A12_prefix_counts", "SELECT asn, len(list_filter(string_split(prefixes, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n, sum(len(list_filter(string_split(prefixes, chr(10)), lambda x: trim(x) <> ''))) OVER ()::BIGINT AS total FROM cell", "cell")
-def a12(cell):
-    n = F.size(F.filter(F.split("prefixes", "\n"), lambda x: F.trim(x) != "")).cast("bigint")
-    total = cell.agg(F.sum(n).alias("total"))
-    return cell.select("asn", n.alias("n")).crossJoin(F.broadcast(total))
-
-
 _PUBLIC = "dst LIKE '8.8.%' OR dst LIKE '100.64.%'"
 
 
-@query("A13_matched_share", f"SELECT count_if({_PUBLIC}) AS matched, count(*) - count_if({_PUBLIC}) AS unmatched, round(coalesce(100.0 * count_if({_PUBLIC}) / nullif(count(*), 0), 0), 6)::DOUBLE AS pct FROM (SELECT DISTINCT dst FROM packet)", "packet")
-def a13(packet):
-    hit = F.expr(_PUBLIC)
-    return packet.select("dst").distinct().agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"), F.round(aggregate.share(F.count_if(hit), F.count("*")), 6).cast("double").alias("pct"))
-
-
-@query("A14_asn_distribution", "SELECT name, count(*) AS n, round(100.0 * count(*) / (SELECT count(DISTINCT dst) FROM packet), 6)::DOUBLE AS pct FROM (SELECT DISTINCT dst, substr(dst, 1, 5) AS name FROM packet WHERE dst NOT LIKE '203.%') GROUP BY name", "packet")
-def a14(packet):
-    d = packet.select("dst").distinct()
-    total = d.agg(F.count("*").alias("total"))
-    n = d.where("dst NOT LIKE '203.%'").groupBy(F.substring("dst", 1, 5).alias("name")).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(total)).select("name", "n", F.round(aggregate.share(F.col("n"), F.col("total")), 6).cast("double").alias("pct"))
-
-
 _SUMMARY = "count(*) AS n, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median"
 _ADJ2 = "SELECT endpoint, (ts_us - req_ts) / 1e6 AS v FROM (SELECT *, lag(dir) OVER w AS was, lag(ts_us) OVER w AS req_ts FROM pkt WHERE payload_len > 0 WINDOW w AS (PARTITION BY flow ORDER BY frame)) WHERE dir = 'S2C' AND was = 'C2S'"
 
@@ -121,12 +84,6 @@ def a15(pkt):
     return out.select("endpoint", "n", *[r6(F.col(c)).alias(c) for c in ("least", "most", "mean", "median")])
 
 
-@query("A16_length_histogram", "SELECT endpoint, payload_len // greatest(1, (SELECT max(payload_len) // 50 FROM pkt)) AS bin, count(*) AS n FROM pkt GROUP BY ALL", "pkt")
-def a16(pkt):
-    width = pkt.agg(F.greatest(F.lit(1), F.floor(F.max("payload_len") / 50)).cast("bigint").alias("w"))
-    return pkt.crossJoin(F.broadcast(width)).groupBy("endpoint", F.floor(F.col("payload_len") / F.col("w")).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
-
-
 _US = "floor(round(latency_s * 1e6, 3))"
 _BIN = "CASE WHEN " + _US + " = 2000000 THEN {last} ELSE floor(" + _US + " / {w}) END::BIGINT"
 
@@ -167,9 +124,10 @@ def a21(pkt):
     return aggregate.ecdf(pkt, "latency_s", ["endpoint"], 0.1).select("endpoint", r6(F.col("latency_s")).alias("latency_s"), r6(F.col("share")).alias("share"))
 
 
-@query("A22_mean_p95", "SELECT endpoint, round(avg(latency_s), 6) AS mean, round(quantile_cont(latency_s, 0.95), 6) AS p95 FROM pkt GROUP BY endpoint", "pkt")
+@query("A22_mean_p95", "SELECT endpoint, round(avg(latency_s), 6) AS mean, round(round(quantile_cont(latency_s, 0.95), 9), 6) AS p95 FROM pkt GROUP BY endpoint", "pkt")
 def a22(pkt):
-    return pkt.groupBy("endpoint").agg(r6(F.avg("latency_s")).alias("mean"), r6(F.percentile("latency_s", F.lit(0.95))).alias("p95"))
+    mean, p95 = pkt.groupBy("endpoint").agg(r6(F.avg("latency_s")).alias("mean")), aggregate.percentiles(pkt, F.col("latency_s"), ["endpoint"], {"p95": 0.95})
+    return mean.join(p95, "endpoint").select("endpoint", "mean", r6(F.round("p95", 9)).alias("p95"))
 
 
 @query("A23_quantiles", "SELECT unnest(range(1001)) AS pos, round(unnest(quantile_cont(latency_s, list_transform(range(1001), lambda i: i / 1000.0))), 9) AS q FROM pkt", "pkt")
@@ -221,11 +179,6 @@ def a31(packet):
     return packet.agg(F.count("*").alias("n"))
 
 
-@query("A32_run_summary", "SELECT count(*) AS packets, count_if(dport IN (80, 8080, 8000, 8888)) AS http_packets, count(DISTINCT src) AS clients FROM packet", "packet")
-def a32(packet):
-    return packet.agg(F.count("*").alias("packets"), F.count_if(F.col("dport").isin(http.HTTP_PORTS)).alias("http_packets"), F.countDistinct("src").alias("clients"))
-
-
 # Windows, sorts, samples.
 @query("W3_ordinal", "SELECT frame, row_number() OVER (PARTITION BY flow, dir ORDER BY frame) AS k FROM pkt", "pkt")
 def w3(pkt):
@@ -240,7 +193,7 @@ def w4(pkt):
 
 @query("W5_packet_index", "SELECT frame, row_number() OVER (PARTITION BY endpoint ORDER BY frame) AS i FROM pkt WHERE latency_s < 0.05", "pkt")
 def w5(pkt):
-    return pkt.where("latency_s < 0.05").select("frame", long(F.row_number().over(Window.partitionBy("endpoint").orderBy("frame"))).alias("i"))
+    return aggregate.running(pkt.where("latency_s < 0.05"), ["endpoint"], "frame", name="i").select("frame", "i")
 
 
 @query("W6_top_k", "SELECT flow, count(*) AS n FROM pkt GROUP BY flow ORDER BY n DESC, flow LIMIT 20", "pkt")
@@ -296,8 +249,7 @@ _POOL = "SELECT latency_s AS v, row_number() OVER (ORDER BY frame) - 1 AS idx, c
 
 def _pool(pkt: DataFrame, endpoint: str) -> DataFrame:
     """(idx from 0, v) of an endpoint's samples in order of frame."""
-    w = Window.partitionBy("endpoint").orderBy("frame")
-    return pkt.where(F.col("endpoint") == endpoint).select((F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("latency_s").alias("v"))
+    return aggregate.running(pkt.where(F.col("endpoint") == endpoint), ["endpoint"], "frame", name="k").select((F.col("k") - 1).alias("idx"), F.col("latency_s").alias("v"))
 
 
 def _bootstrap(pkt: DataFrame, endpoint: str, n: int, stream: str) -> DataFrame:
@@ -340,9 +292,11 @@ def o9(model):
     return model.sparkSession.range(2000).crossJoin(F.broadcast(_one(model, "total"))).select("id", r6(mixture.draw(F.col("id"), "d", F.col("total"))).alias("x"))
 
 
-@query("O10_shuffled", f"SELECT frame, round({_du('frame', 'o')}, 6) AS place FROM pkt", "pkt")
+@query("O10_shuffled", f"SELECT row_number() OVER (ORDER BY {_du('frame', 'o')}, frame) AS place, frame FROM pkt", "pkt")
 def o10(pkt):
-    return pkt.select("frame", r6(latency.uniform(F.col("frame"), "o")).alias("place"))
+    """Samples in an order of their own, by reproducible random keys: place from 1."""
+    keyed = pkt.select("frame", latency.uniform(F.col("frame"), "o").alias("u"))
+    return aggregate.running(keyed, [], "u", ["frame"], name="place").select("place", "frame")
 
 
 # Set operations.
@@ -394,21 +348,11 @@ def m1(pkt):
     return models.fit_mixtures(pkt.where(latency.plausible(F.col("latency_s"), "fit")), "endpoint", "latency_s", [2, 3, 4], grid=1e-3)
 
 
-@query("M2_bic", "SELECT endpoint, round(-2 * (-sum(latency_s)) + (3 * 4 - 1) * ln(count(*)), 6) AS bic FROM pkt GROUP BY endpoint", "pkt")
-def m2(pkt):
-    return pkt.groupBy("endpoint").agg(r6(-2 * -F.sum("latency_s") + (3 * 4 - 1) * F.ln(F.count("*"))).alias("bic"))
-
-
 @query("M3_kernel_density", "SELECT g.range AS i, round(sum(c * exp(-0.5 * ((g.range * 0.005::DOUBLE - v) / 0.02) * ((g.range * 0.005::DOUBLE - v) / 0.02))) / (sum(c) * 0.02 * sqrt(2 * pi())), 6) AS pdf FROM range(101) g, (SELECT round(latency_s / 0.001::DOUBLE) * 0.001::DOUBLE AS v, count(*) AS c FROM pkt GROUP BY 1) GROUP BY g.range", "pkt")
 def m3(pkt):
     return models.kernel_density(pkt, "latency_s", 0.02, 101, 0.0, 0.5).select(long("i").alias("i"), r6(F.col("pdf")).alias("pdf"))
 
 
-@query("M3_select_bandwidth", None, "pkt")
-def m3b(pkt):
-    return models.select_bandwidth(pkt.where("latency_s < 2"), "latency_s", [10 ** (-3 + 2.7 * i / 9) for i in range(10)])
-
-
 @query("M4_grid", "SELECT range AS i, round(0.0001 + range * ((1.0 - 0.0001) / 4999), 9)::DOUBLE AS x FROM range(5000)")
 def m4(spark, sf_dir):
     return spark.range(5000).select(F.col("id").alias("i"), F.round(F.lit(1e-4) + F.col("id") * ((1.0 - 1e-4) / 4999), 9).alias("x"))
@@ -423,7 +367,7 @@ def m5(model):
 @query("M6_sorted_deconvolution", f"SELECT count(*) AS n, round(avg(d), 6) AS mean FROM (SELECT a.x - b.x AS d FROM (SELECT x, row_number() OVER (ORDER BY x, i) AS k FROM ({_draws('total', 4000, 'p')})) a JOIN (SELECT x, row_number() OVER (ORDER BY x, i) AS k FROM ({_draws('rest', 4000, 'q')})) b USING (k)) WHERE d > 0.0001", "model")
 def m6(model):
     two = _pair_draws(model, 4000, ("p", "q")).select("id", F.expr("stack(2, 'total', total, 'rest', rest) AS (side, x)"))
-    k = two.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy("x", "id")))
+    k = aggregate.running(two, ["side"], "x", ["id"], name="k")
     d = k.groupBy("k").agg((F.max(F.when(F.col("side") == "total", F.col("x"))) - F.max(F.when(F.col("side") == "rest", F.col("x")))).alias("d"))
     return d.where("d > 0.0001").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean"))
 
@@ -483,15 +427,6 @@ def m14(pkt):
     return aggregate.pmf(pkt, F.col("latency_s"), 1000, 2_000_000, ["endpoint"], inside=True).select("endpoint", "bin", r6(F.col("p")).alias("p"))
 
 
-@query("M15_chain_emulation", f"SELECT a.i AS id, round(a.v + b.v + c.v + 0.002, 6) AS total FROM ({_duck_boot('view', 2000, 'h1')}) a JOIN ({_duck_boot('click', 2000, 'h2')}) b ON a.i = b.i JOIN ({_duck_boot('signup', 2000, 'h3')}) c ON a.i = c.i", "pkt")
-def m15(pkt):
-    """A request's delay: a draw from each hop's pool, and 2 ms for a hop without one."""
-    out = _bootstrap(pkt, "view", 2000, "h1").withColumnRenamed("v", "a")
-    for hop, stream, name in (("click", "h2", "b"), ("signup", "h3", "c")):
-        out = out.join(_bootstrap(pkt, hop, 2000, stream).withColumnRenamed("v", name), "id")
-    return out.select("id", r6(F.col("a") + F.col("b") + F.col("c") + 0.002).alias("total"))
-
-
 @query("M16_truncated_resample", "WITH model AS (SELECT model_id, comp, weight / sum(weight) OVER (PARTITION BY model_id) AS weight, mean, var FROM model0 WHERE weight >= 0.05) SELECT count(*) AS n, round(avg(x * 1000), 6) AS mean_ms, round(stddev_pop(x * 1000), 6) AS jitter_ms FROM (SELECT x FROM (" + _draws("total", 4000, "t") + ") WHERE x >= 0 ORDER BY i LIMIT 2000)", )
 def m16(spark, sf_dir):
     from .views import view
@@ -517,15 +452,9 @@ def f31(model):
 
 
 # Sources and sinks as tables.
-@query("S9_text_lines", "SELECT doc_id, count(*) AS n FROM line GROUP BY doc_id", "line")
-def s9(line):
-    return line.groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-@query("S11_prefix_cells", f"SELECT asn, trim(p) AS prefix FROM (SELECT asn, unnest(string_split(prefixes, chr(10))) AS p FROM cell) WHERE regexp_matches(trim(p), '^\\d+\\.\\d+\\.\\d+\\.\\d+(/\\d+)?$')", "cell")
+@query("S11_prefix_cells", f"SELECT asn, name, (({q._LOOSE.format('ip')}) // (1::BIGINT << (32 - plen))) * (1::BIGINT << (32 - plen)) AS net, plen::BIGINT AS plen FROM (SELECT asn, name, split_part(trim(p), '/', 1) AS ip, CASE WHEN contains(p, '/') THEN split_part(trim(p), '/', 2)::INT ELSE 32 END AS plen FROM (SELECT asn, name, unnest(string_split(prefixes, chr(10))) AS p FROM cell) WHERE regexp_full_match(trim(p), '\\d+\\.\\d+\\.\\d+\\.\\d+(/\\d+)?'))", "cell")
 def s11(cell):
-    one = cell.select("asn", F.explode(F.split("prefixes", "\n")).alias("p")).select("asn", F.trim("p").alias("prefix"))
-    return one.where(F.col("prefix").rlike(r"^\d+\.\d+\.\d+\.\d+(/\d+)?$"))
+    return tables.prefix_cells(cell).select("asn", "name", "net", long("plen").alias("plen"))
 
 
 @query("S15_dist_values", "SELECT count(*) AS n, round(sum(v), 3) AS total FROM (SELECT unnest(list_transform(list_filter(regexp_split_to_array(trim(line), '\\s+'), lambda t: regexp_full_match(t, '[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?')), lambda t: t::DOUBLE)) AS v FROM line WHERE NOT starts_with(trim(line), '#')) WHERE abs(v) < 1e9", "line")
@@ -546,11 +475,6 @@ def k13(packet):
 
 
 # Protocol operators.
-@query("H3_http_extract", "SELECT frame, CASE WHEN hex(payload) LIKE '485454502F%' THEN dst ELSE src END AS client, CASE WHEN hex(payload) LIKE '485454502F%' THEN src ELSE dst END AS server FROM packet WHERE (sport IN (80, 8080, 8000, 8888) OR dport IN (80, 8080, 8000, 8888)) AND (hex(payload) LIKE '47455420%' OR hex(payload) LIKE '485454502F%')", "packet")
-def h3(packet):
-    text = F.decode("payload", "ISO-8859-1")
-    kept = packet.where(F.col("sport").isin(http.HTTP_PORTS) | F.col("dport").isin(http.HTTP_PORTS)).withColumn("back", http.is_response(text)).where(http.is_request(text) | F.col("back"))
-    return kept.select("frame", F.when(F.col("back"), F.col("dst")).otherwise(F.col("src")).alias("client"), F.when(F.col("back"), F.col("src")).otherwise(F.col("dst")).alias("server"))
 
 
 @query("H6_tls_records", "SELECT frame, ('0x' || substr(hex(payload), 7, 4))::BIGINT AS length FROM packet WHERE octet_length(payload) >= 5 AND substr(hex(payload), 1, 2) IN ('14', '15', '16', '17') AND substr(hex(payload), 3, 2) = '03' AND substr(hex(payload), 5, 2) IN ('00', '01', '02', '03', '04')", "packet")

@@ -22,7 +22,8 @@ VIEWS = {
             concat('10.79.', CAST(flow DIV 256 AS STRING), '.', CAST(flow % 256 AS STRING)) AS src,
             concat(element_at(array('172.18.', '203.0.', '8.8.', '100.64.'), CAST(frame % 4 AS INT) + 1), CAST(frame % 7 AS STRING), '.', CAST(frame % 300 AS STRING)) AS dst,
             CAST(IF(frame % 97 = 0, 0, 1024 + flow) AS INT) AS sport, element_at(array(443, 80, 8080, 53, 22, 27018, 4444), CAST(frame % 7 AS INT) + 1) AS dport,
-            unhex(element_at(array('170303025801020304', '474554202F6120485454502F312E31', '485454502F312E3120323030204F4B', '', '1603010010'), CAST(frame % 5 AS INT) + 1)) AS payload,
+            unhex(element_at(array('170303025801020304', '474554202F6120485454502F312E31', '485454502F312E3120323030204F4B', '', '1603010010',
+                '170303025801020304', '5055542F61', '485454502F312E3120343034204E6F', '', '160303001002000000', '1703030010020203', '434F4E4E454354206120485454502F31', '48545450', '', '160303001001000000'), CAST(frame % 15 AS INT) + 1)) AS payload,
             element_at(array('GET', 'POST', 'get', 'PUT', 'CONNECT'), CAST(frame % 5 AS INT) + 1) AS method,
             element_at(array('02:00:00:00:00:01', '01:00:5e:00:00:fb', 'ff:ff:ff:ff:ff:ff'), CAST(frame % 3 AS INT) + 1) AS eth_dst,
             element_at(array('0x1301', '0xc02f', '0xc030', '0xbeef'), CAST(frame % 4 AS INT) + 1) AS cipher
@@ -31,7 +32,8 @@ VIEWS = {
             concat('10.79.', flow // 256, '.', flow % 256) AS src,
             concat((['172.18.', '203.0.', '8.8.', '100.64.'])[frame % 4 + 1], frame % 7, '.', frame % 300) AS dst,
             CASE WHEN frame % 97 = 0 THEN 0 ELSE 1024 + flow END AS sport, ([443, 80, 8080, 53, 22, 27018, 4444])[frame % 7 + 1] AS dport,
-            unhex((['170303025801020304', '474554202F6120485454502F312E31', '485454502F312E3120323030204F4B', '', '1603010010'])[frame % 5 + 1]) AS payload,
+            unhex((['170303025801020304', '474554202F6120485454502F312E31', '485454502F312E3120323030204F4B', '', '1603010010',
+                '170303025801020304', '5055542F61', '485454502F312E3120343034204E6F', '', '160303001002000000', '1703030010020203', '434F4E4E454354206120485454502F31', '48545450', '', '160303001001000000'])[frame % 15 + 1]) AS payload,
             (['GET', 'POST', 'get', 'PUT', 'CONNECT'])[frame % 5 + 1] AS method,
             (['02:00:00:00:00:01', '01:00:5e:00:00:fb', 'ff:ff:ff:ff:ff:ff'])[frame % 3 + 1] AS eth_dst,
             (['0x1301', '0xc02f', '0xc030', '0xbeef'])[frame % 4 + 1] AS cipher
@@ -42,6 +44,25 @@ VIEWS = {
     "mac_acct": ("lineitem", "SELECT l_suppkey AS src, l_partkey AS dst, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM {t}", "SELECT l_suppkey AS src, l_partkey AS dst, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM lineitem"),
 }
 
+_CRLF = "chr(13), chr(10)"
+# HTTP traffic between clients and servers: empty and foreign payloads, methods of all kinds, absolute URIs, and
+# acknowledgements that fall short of the last request's end. The same SQL in both dialects but for three parts.
+_EXCHANGE = f"""SELECT concat('c', flow % 2) AS capture, frame, ts_us, flow, 2048 AS ethertype, 6 AS ip_proto, req,
+    CASE WHEN req THEN client ELSE server END AS src, CASE WHEN req THEN cport ELSE port END AS sport,
+    CASE WHEN req THEN server ELSE client END AS dst, CASE WHEN req THEN port ELSE cport END AS dport,
+    CAST(CASE WHEN req THEN sent - n ELSE back - n END AS BIGINT) AS seq,
+    CAST(CASE WHEN req THEN back WHEN frame % 4 = 0 THEN sent - 5 ELSE sent END AS BIGINT) AS ack, CAST(n AS INT) AS payload_len, payload
+  FROM (SELECT *, sum(CASE WHEN req THEN n ELSE 0 END) OVER (PARTITION BY flow ORDER BY frame) AS sent, sum(CASE WHEN req THEN 0 ELSE n END) OVER (PARTITION BY flow ORDER BY frame) AS back
+  FROM (SELECT *, octet_length(payload) AS n FROM (SELECT *, CASE WHEN frame % 19 = 0 THEN unhex('1703030258010203') WHEN frame % 17 = 0 THEN unhex('') ELSE {{encode}} END AS payload
+  FROM (SELECT *, CASE WHEN req THEN concat(split_part('GET,POST,GET,CONNECT,TRACE,get', ',', CAST(frame % 6 AS INT) + 1), ' ',
+      CASE WHEN frame % 11 = 0 THEN concat('/eticketing/protected/AvlFarEnquiry/', frame % 5) WHEN frame % 13 = 0 THEN concat('http://h', flow % 3, '.example/a/b/c', frame % 4, '?q=', frame) ELSE concat('/shop/', frame % 7, '/item/', 100000 + frame % 3) END,
+      ' HTTP/1.1', {_CRLF}, 'Host: h', flow % 3, {_CRLF}, 'X-Id: ', frame % 4, {_CRLF}, {_CRLF})
+    ELSE concat('HTTP/1.1 ', CASE WHEN frame % 10 < 7 THEN '200 OK' WHEN frame % 10 < 9 THEN '404 Not Found' ELSE '503 Service Unavailable' END, {_CRLF}, 'Server: s', {_CRLF}, 'Content-Length: 3', {_CRLF}, {_CRLF}, 'abc') END AS m
+  FROM (SELECT *, concat('10.79.', CAST(floor(flow / 256) AS BIGINT), '.', flow % 256) AS client, CAST(20000 + flow AS INT) AS cport,
+      concat('172.18.', flow % 4, '.', flow % 7) AS server, CAST(split_part('80,8080,8000,8888,443', ',', CAST(flow % 5 AS INT) + 1) AS INT) AS port
+  FROM (SELECT event_id AS frame, {{us}} AS ts_us, user_id AS flow, event_type IN ('click', 'view', 'signup') AS req FROM {{t}}))))))"""
+VIEWS["exchange"] = ("events", _EXCHANGE.replace("{encode}", "encode(m, 'ISO-8859-1')").replace("{us}", _US), _EXCHANGE.replace("{encode}", "encode(m)").replace("{us}", "epoch_us(ts)").replace("{t}", "events"))
+
 # Fixed tables, the same in both dialects.
 _ROWS = {
     "model": ("model_id, comp, weight, mean, var", [("total", 0, 0.55, 0.02, 0.0001), ("total", 1, 0.3, 0.09, 0.0004), ("total", 2, 0.11, 0.4, 0.01), ("total", 3, 0.04, 0.9, 0.02), ("rest", 0, 0.7, 0.015, 0.0001), ("rest", 1, 0.3, 0.07, 0.0009), ("edge", 0, 0.5, 0.3, 0.002), ("edge", 1, 0.5, 0.5, 0.001)]),

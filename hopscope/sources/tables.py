@@ -70,11 +70,43 @@ def read_vendors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """URL patterns of a file: decoded, without scheme, blank lines skipped, numbered."""
+    """URL patterns of a file: decoded, without scheme, blank lines skipped; ``pattern_id`` is a hash of the pattern."""
     from ..functions.http import decode_url
 
     rows = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").select(decode_url(F.col("v")).alias("pattern")).distinct()
-    return rows.withColumn("pattern_id", F.monotonically_increasing_id())
+    return rows.withColumn("pattern_id", F.xxhash64("pattern"))
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """Model tables: a row for each component of each mixture (``schemas.MODEL``)."""
+    return spark.read.schema(schemas.MODEL).parquet(path)
+
+
+def write_models(models: DataFrame, path: str) -> None:
+    """Write mixtures as a model table; columns that a table of components lacks are null."""
+    types = [f.split() for f in schemas.MODEL.split(", ")]
+    models.select(*[(F.col(c) if c in models.columns else F.lit(None)).cast(t).alias(c) for c, t in types]).write.mode("overwrite").parquet(path)
+
+
+def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
+    """A prefix table as ``write_prefixes`` writes it (AS #, AS Name, AS Prefixes: one a line), as net, plen, asn, name."""
+    cells = spark.read.csv(path, schema="`AS #` string, `AS Name` string, `AS Prefixes` string", header=True, multiLine=True, escape='"')
+    return prefix_cells(cells.select(F.col("AS #").alias("asn"), F.col("AS Name").alias("name"), F.col("AS Prefixes").alias("prefixes")))
+
+
+def prefix_sheet(prefixes: DataFrame) -> DataFrame:
+    """AS #, AS Name, AS Prefixes (distinct, sorted, one a line) of a table (asn, name, prefix); a row for each AS by number."""
+    out = prefixes.groupBy("asn").agg(F.min("name").alias("AS Name"), F.array_join(F.array_sort(F.collect_set("prefix")), "\n").alias("AS Prefixes"))  # an AS's prefixes
+    return out.orderBy(F.col("asn").try_cast("bigint"), "asn").select(F.col("asn").alias("AS #"), "AS Name", "AS Prefixes")
+
+
+def write_prefixes(prefixes: DataFrame, path: str) -> None:
+    prefix_sheet(prefixes).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def sample_lines(rows: DataFrame, value: str, places: int = 4) -> DataFrame:
+    """Samples as lines with ``places`` decimals, sorted: the input of a table of an inverse distribution."""
+    return rows.where(F.col(value).isNotNull()).orderBy(value).select(F.format_string(f"%.{places}f", F.col(value)).alias("value"))
 
 
 def stage(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
@@ -93,9 +125,11 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",",
     df.write.mode("overwrite").csv(path, header=header, quoteAll=quote_all, sep=sep, escape="\\" if quote_all else '"', compression="gzip" if gzip else "none")
 
 
-def write_pool(df: DataFrame, value: str, node: str, path: str) -> None:
-    """A node's delays as JSON, one array for each partition file."""
-    df.groupBy(node).agg(F.collect_list(value).alias("delays_seconds")).write.mode("overwrite").partitionBy(node).json(path)
+def write_pool(df: DataFrame, value: str, node: str, path: str, most: int = 100_000) -> None:
+    """A node's delays as JSON objects of at most about ``most`` delays each, in a folder for each node."""
+    sizes = df.groupBy(node).agg(F.ceil(F.count("*") / most).alias("_k"))
+    dealt = df.join(sizes, node).withColumn("_part", F.floor(F.rand(7) * F.col("_k")))
+    dealt.groupBy(node, "_part").agg(F.collect_list(value).alias("delays_seconds")).drop("_part").write.mode("overwrite").partitionBy(node).json(path)
 
 
 def write_tree(df: DataFrame, path: str, *keys: str) -> None:
@@ -110,6 +144,34 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return head.unionByName(rows.select("protocol", "ip", item.alias("line"))).orderBy("protocol", "ip").select("line")
 
 
+def node_report(nodes: DataFrame) -> DataFrame:
+    """A node's report in fixed columns, a row for each line: node, line_no, line.
+
+    ``nodes``: node, total, rest (null where there is none), and mu_t, var_t, mu_r, var_r in seconds.
+    """
+    ms = lambda c: F.format_string("%8.2f ms", c * 1000)
+    terminal = F.col("rest").isNull()
+    mu_r, var_r = (F.when(terminal, F.lit(0.0)).otherwise(F.col(c)) for c in ("mu_r", "var_r"))
+    mu, var = F.col("mu_t") - mu_r, F.col("var_t") - var_r
+    shown = mu_r > 0
+    rule = lambda c: F.lit(c * 55)
+    head = F.concat(F.lit(" ANALYTICAL NODE REPORT: "), F.when(terminal, "TERMINAL (Target Only)").otherwise("INTERMEDIATE (T - R)"))
+    line = lambda label, value: F.concat(F.lit(label), value)
+    total = [F.lit("[1] TOTAL OBSERVED (T)"), line("    Mean:     ", ms(F.col("mu_t"))), line("    Std Dev:  ", ms(F.sqrt("var_t"))), F.lit("")]
+    rest = [F.lit("[2] REST OF NETWORK (R)"), line("    Mean:     ", ms(mu_r)), line("    Std Dev:  ", ms(F.sqrt(var_r))), F.lit("")]
+    own = [
+        F.lit("[3] ISOLATED NODE RESULT (N)"),
+        F.when(mu < 0, F.format_string("    [!] WARNING: Negative Mean (%.2fms).", mu * 1000)).otherwise(line("    Mean:     ", ms(mu))),
+        F.when(var < 0, "    [!] WARNING: Negative Variance. Models incompatible.").otherwise(line("    Std Dev:  ", ms(F.sqrt(F.greatest(var, F.lit(0.0)))))),
+    ]
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(rule("="), head, rule("="), line("Source Total: ", F.col("total"))), F.when(shown, F.array(line("Source Rest:  ", F.col("rest")))).otherwise(none),
+        F.array(rule("-"), *total), F.when(shown, F.array(*rest)).otherwise(none), F.array(rule("-"), *own, rule("=")),
+    )
+    return nodes.select("node", F.posexplode(lines).alias("line_no", "line"))
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     """HTTP events (ts_rel, client, server, pkt_len, method or reason) as text lines."""
     return events.select(F.format_string("%.6f  %s -> %s  %d  %s", "ts_rel", "client", "server", "pkt_len", F.coalesce("method", "reason", F.lit("-"))).alias("value"))

@@ -130,7 +130,7 @@ def test_mixture_fit_and_selection(spark):
     assert {r["model_id"] for r in got} == {"c"}
     assert [round(r["mean"], 2) for r in got][:2] == [0.1, 0.4] and got[0]["k"] == 2
     assert got[0]["bic"] == pytest.approx(-2 * got[0]["loglik"] + 5 * math.log(5000))
-    best = models.select_bandwidth(df, "v", [0.001, 0.01, 0.5]).first()
+    best = models.select_bandwidth(df.withColumn("o", F.rand(1)), "v", "o", [0.001, 0.01, 0.5]).first()
     assert best["bandwidth"] == 0.01
 
 
@@ -143,6 +143,41 @@ def test_draws_follow_their_mixture(spark):
     assert d["kl"] == pytest.approx(0, abs=1e-9) and d["js"] == pytest.approx(0, abs=1e-6)
 
 
+def test_running_counts_and_quantiles(spark):
+    """Against numpy, with ties, one hot value, nulls and keys of one row."""
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([0.5, rng.random(), float(rng.randrange(3))])) for _ in range(3000)] + [("one", 7.0), ("a", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    values = {k: sorted(v for q, v in rows if q == k and v is not None) for k in ("a", "b", "one", None)}
+    for points in (2, 5, 101):
+        got = aggregate.quantiles(df, F.col("v"), ["k"], points).collect()
+        assert len(got) == 4 * points
+        for r in got:
+            assert r["q"] == pytest.approx(np.quantile(values[r["k"]], r["pos"] / (points - 1)), abs=1e-12)
+    for r in aggregate.percentiles(df, F.col("v"), ["k"], {"p95": 0.95, "p1": 0.01}).collect():
+        assert [r["p95"], r["p1"]] == pytest.approx(list(np.quantile(values[r["k"]], [0.95, 0.01])), abs=1e-12)
+    every = sorted(v for q in values.values() for v in q)
+    got = {r["k"]: r for r in aggregate.summary(df.where("k IS NOT NULL"), F.col("v"), "k").collect()}
+    assert got["a"]["median"] == pytest.approx(np.median(values["a"])) and got["one"]["n"] == 1
+    assert got["ALL"]["n"] == len(every) - 2
+    ranked = aggregate.running(df.where("v IS NOT NULL").withColumn("i", F.monotonically_increasing_id()), ["k"], "v", ["i"]).collect()
+    for k, want in values.items():
+        assert [r["v"] for r in sorted((r for r in ranked if r["k"] == k), key=lambda r: r["upto"])] == want
+        assert sorted(r["upto"] for r in ranked if r["k"] == k) == list(range(1, len(want) + 1))
+
+
+def test_chain_without_pools_falls_back(spark):
+    requests = spark.range(8).withColumn("conn", F.expr("id DIV 4"))
+    pools = spark.createDataFrame([("ips", i, 0.1 * (i + 1)) for i in range(5)] + [("slb", 0, 9.0)], "node string, idx long, v double")
+    got = models.chain_delays(requests, pools).collect()
+    assert len(got) == 8 * 7
+    by = {(r["id"], r["node"]): r["delay"] for r in got}
+    assert by[0, "adc"] == 0.002 and by[0, "app"] == 0.005 and by[0, "slb"] == 0
+    assert all(by[i, "ips"] == by[i // 4 * 4, "ips"] for i in range(8))  # a draw a connection
+    total = {r["id"]: r["upto"] for r in got if r["hop"] == 6}
+    assert total[5] == pytest.approx(sum(v for (i, _), v in by.items() if i == 5))
+
+
 def test_normal_distribution(spark):
     rows = spark.createDataFrame([(x / 4,) for x in range(-12, 13)], "x double")
     got = rows.select("x", latency.normal_cdf(F.col("x"), F.lit(0.0), F.lit(1.0)).alias("p")).collect()
@@ -150,5 +185,5 @@ def test_normal_distribution(spark):
 
 
 def test_ciphers_are_distinct():
-    codes = [c for c, _, _ in tls.cipher_rows()]
+    codes = [c for c, _, _ in tls.CIPHERS]
     assert len(codes) == len(set(codes)) == 27
