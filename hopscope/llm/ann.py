@@ -105,7 +105,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
             score += np.take(tables[:, p], uc[:, p], axis=1)
         best = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank] if len(u) > rerank else np.broadcast_to(np.arange(len(u)), score.shape)
         for i, own in enumerate(q_ids[a : a + 128]):
-            exact = (u[best[i]] * qs[i]).sum(1)
+            exact = np.cumsum(u[best[i]] * qs[i], axis=1)[:, -1]  # in order of the components, as a plain loop adds them
             floor = np.sort(exact)[-min(k + 1, len(exact))]
             rows = [(e, ids_of[starts[g] : min(ends[g], starts[g] + k + 1)]) for e, g in zip(exact, best[i], strict=True) if e >= floor]
             s, v = np.repeat([e for e, _ in rows], [len(v) for _, v in rows]), np.concatenate([v for _, v in rows])

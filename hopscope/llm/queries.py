@@ -50,7 +50,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir), ["doc_id"])
+    out = line_dedup.dedup_lines(documents(spark, sf_dir), ["doc_id"])
+    runs = F.array_join(F.transform("removed", lambda r: F.concat_ws("+", r["first"].cast("string"), r["lines"].cast("string"))), ",")
+    return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), runs.alias("removed"))
 
 
 #: Multiples of the domains' tokens that mixing aims at.
@@ -80,4 +82,41 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_mips_search, op4_token_files, op5_language_id, op6_line_dedup, op7_mixing, op8_jaccard_join, op9_license_scan, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+
+_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A plain search over all pairs of a query and a candidate; sums of products in order of the components.
+_NEAREST = """
+WITH fine AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b, 0::DOUBLE) AS score
+    FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+"""
+#: A line with words goes if it occurred before. One without goes if, with the blank lines between, it follows or
+#: precedes a line with words as it did before.
+_LINES = """
+WITH line AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+marked AS (SELECT *, regexp_matches(line, '[^ \t\n\x0B\f\r]') AS told FROM line),
+near AS (SELECT *, max(CASE WHEN told THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS lo, min(CASE WHEN told THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM marked),
+keyed AS (SELECT n.doc_id, n.pos, n.told, n.line,
+    CASE WHEN n.told THEN n.line WHEN lo IS NOT NULL THEN array_to_string(list_slice(l, lo + 1, n.pos + 1), chr(10)) END AS a,
+    CASE WHEN n.told THEN n.line WHEN hi IS NOT NULL THEN array_to_string(list_slice(l, n.pos + 1, hi + 1), chr(10)) END AS b
+    FROM near n JOIN (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d ON n.doc_id = d.doc_id),
+gone AS (SELECT doc_id, pos, line, (a IS NOT NULL AND row_number() OVER (PARTITION BY told, a ORDER BY doc_id, pos) > 1) OR (b IS NOT NULL AND row_number() OVER (PARTITION BY told, b ORDER BY doc_id, pos) > 1) AS gone FROM keyed),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM gone),
+removed AS (SELECT doc_id, string_agg(concat(first, '+', n), ',' ORDER BY first) AS removed FROM (SELECT doc_id, run, min(pos) AS first, count(*) AS n FROM runs WHERE gone GROUP BY doc_id, run) GROUP BY doc_id),
+kept AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, k.text AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN removed r ON d.doc_id = r.doc_id
+"""
+#: Pairs of documents with a shingle in common, their overlap counted, and the components by following links.
+_JACCARD = f"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, '{_A_TO_Z}', '{_A_TO_Z.lower()}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) r ON d.doc_id = r.a
+"""
+#: The others have trained models, tokenizers or hashes that SQL lacks; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op3_mips_search": _NEAREST, "op6_line_dedup": _LINES, "op8_jaccard_join": _JACCARD}
