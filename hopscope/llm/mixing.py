@@ -5,13 +5,14 @@ A classifier learned from a labelled table gives each document's domain posterio
 where they are significant (the ``FEATURES`` most significant, a size of the model); the summed weights are calibrated by
 multinomial logistic regression on the other half of a bounded sample of labelled documents (``SAMPLE_DOCS``).
 
-With t tokens (words) and posteriors p, rates w minimise r' W r, r the expected totals sum w t p less the
-targets, W the inverse of the domains' moments sum t p p' over rates above zero. Projected gradient starts at
-w = 1; a step takes p' W r off each document's rate and projects it to w >= 0, so a small residual moves rates
-no further than it must. W makes a whole step the safe one, whatever the domains' overlap. A document's rate
-follows from its posteriors and the steps' W r, so an iteration is one aggregation of a few sums, and rates are
-neither shuffled nor stored. Then rates within ``SNAP`` of 0 or 1 are held at it and the other rates go on, so
-that the totals are met by what documents are really taken.
+Posteriors are rounded to ``GRAIN``-ths, so documents fall into cells of equal posteriors; for a few domains
+there are few cells, however many documents. With t tokens (words) and posteriors p, nonnegative rates w
+minimise the squared distance of the expected totals sum w t p from the targets. Projected gradient starts at
+w = 1: a step takes a multiple of p' r off each rate, r being the totals' residual, and projects to w >= 0;
+momentum speeds it up and starts anew where the distance grows. A rate follows from its posteriors and the
+steps so far, so an iteration is one distributed sum over the cells, and rates are neither shuffled nor stored.
+Then rates within ``SNAP`` of 0 or 1 are held at it and the others go on, so that the totals are met by what
+documents are really taken.
 
 Null text counts as empty: no tokens, the prior as posteriors. Labels that are null or of unknown
 documents are ignored; of repeated labels the least domain counts. Without labelled documents there is
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, col, hashed_sample, kept_names
 
 BUCKETS, SLOTS, SPLIT, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 10, 2_000, 8_192, 3.0, 5
-#: Steps before and after rates are held; where they end early: residuals as a share of the targets.
-ITERATIONS, TOLERANCE, SNAP = 14, 1e-4, 0.05
+#: Steps before and after rates are held, at most; the residual, as a share of the targets, at which they end, and the gain below which they do.
+ITERATIONS, TOLERANCE, GAIN, SNAP, GRAIN = 60, 1e-4, 1e-4, 0.05, 1024
 
 
 def _words(text: str) -> Column:
@@ -135,50 +136,73 @@ def memberships(docs: DataFrame, domains: Domains, keep: list[str], text_col: st
     """Columns ``keep`` with tokens and array ``member``, under names _0, _1, ... for those kept."""
     rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], _words(text_col).alias("words"))
     rows = rows.withColumn("tokens", F.size("words").cast("long")).withColumn("sums", domains.sums("words")).drop("words")
-    return rows.withColumn("member", domains.posteriors("sums")).drop("sums")
+    fine = F.transform(domains.posteriors("sums"), lambda p: F.floor(p * GRAIN + 0.5))
+    rest = F.lit(GRAIN) - F.aggregate("fine", F.lit(0).cast("long"), lambda s, x: s + x)
+    # what rounding leaves over goes to the first of the largest, so that shares sum to 1
+    even = F.transform("fine", lambda x, i: (x + F.when(i == F.array_position("fine", F.array_max("fine")) - 1, rest).otherwise(0)) / F.lit(float(GRAIN)))
+    return rows.withColumn("fine", fine).withColumn("member", even).drop("sums", "fine")
 
 
-def _moved(start: str, steps: list[np.ndarray]) -> str:
-    """Rates from ``start`` after projected steps."""
+def _moved(start: str, steps: list[tuple[np.ndarray, float]]) -> str:
+    """Struct (w, y) of the rate and of where the next gradient is taken, after projected steps from ``start``; a step: what is taken off, momentum."""
+    begin = f"named_struct('w', {start}, 'y', {start})"
     if not steps:
-        return start
-    moves = ", ".join("array(" + ", ".join(_number(x) for x in c) + ")" for c in steps)
-    return f"aggregate(array({moves}), {start}, (w, c) -> greatest(0D, w - ({' + '.join(f'c[{j}] * member[{j}]' for j in range(len(steps[0])))})))"
+        return begin
+    moves = ", ".join(f"named_struct('c', array({', '.join(_number(x) for x in c)}), 'b', {_number(b)})" for c, b in steps)
+    new = f"greatest(0D, a.y - ({' + '.join(f's.c[{j}] * member[{j}]' for j in range(len(steps[0][0])))}))"
+    return f"aggregate(array({moves}), {begin}, (a, s) -> named_struct('w', {new}, 'y', {new} + s.b * ({new} - a.w)))"
 
 
 def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: list[float] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Expressions of columns ``first`` (over ``member``) and ``rate`` (over both), the targets, and the expected totals.
 
-    ``targets``: token totals of the domains, or ``shares``: multiples of their expected totals at rate 1.
+    ``table``: tokens, member. ``targets``: token totals of the domains, or ``shares``: multiples of their expected totals at rate 1.
     """
-
-    def totals(table: DataFrame, rate: str, free: str) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals, and their moments over the free rates above zero."""
-        rows = table.select("tokens", "member", F.expr(rate).alias("w"), F.expr(free).alias("free"))
-        sums = [F.sum(F.expr(f"tokens * member[{i}] * w")) for i in range(k)]
-        moments = [F.sum(F.expr(f"IF(free AND w > 0, tokens * member[{i}] * member[{j}], 0D)")) for i in range(k) for j in range(i + 1)]
-        got = [float(x or 0) for x in rows.agg(*sums, *moments).first()]
-        m = np.zeros((k, k))
-        m[np.tril_indices(k)] = got[k:]
-        return np.array(got[:k]), m + np.tril(m, -1).T
-
-    def descend(table: DataFrame, start: str, free: str, want: np.ndarray | None) -> tuple[str, np.ndarray, np.ndarray]:
-        steps: list[np.ndarray] = []
-        rate = lambda: _moved(start, steps) if free == "true" else f"IF({free}, {_moved(start, steps)}, {start})"
-        now, moments = totals(table, rate(), free)
-        first = now
+    cells = table.groupBy("member").agg(F.sum("tokens").alias("tokens"))
+
+    def totals(cells: DataFrame, state: str) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals at the rates, and where the next gradient is taken."""
+        rows = cells.select("tokens", "member", F.expr(state).alias("s"))
+        got = rows.agg(*[F.sum(F.expr(f"tokens * member[{i}] * s.{x}")) for x in ("w", "y") for i in range(k)]).first()
+        return np.array([float(x or 0) for x in got[:k]]), np.array([float(x or 0) for x in got[k:]])
+
+    def moments(cells: DataFrame, free: str) -> np.ndarray:
+        got = cells.where(free).agg(*[F.sum(F.expr(f"tokens * member[{i}] * member[{j}]")) for i in range(k) for j in range(k)]).first()
+        return np.array([float(x or 0) for x in got]).reshape(k, k)
+
+    def descend(cells: DataFrame, start: str, free: str, want: np.ndarray | None) -> tuple[str, np.ndarray, np.ndarray]:
+        steps: list[tuple[np.ndarray, float]] = []
+        held = f"named_struct('w', {start}, 'y', {start})"
+        state = lambda: _moved(start, steps) if free == "true" else f"IF({free}, {_moved(start, steps)}, {held})"
+        now, ahead = totals(cells, state())
         if want is None:
-            want = np.array(targets if targets is not None else [s * t for s, t in zip(shares, first, strict=True)], float)
+            want = np.array(targets if targets is not None else [s * t for s, t in zip(shares, now, strict=True)], float)
+        size = 1 / max(float(np.linalg.eigvalsh(moments(cells, free)).max()), 1e-30)
+        speed, best, best_steps = 1.0, (now - want) @ (now - want), 0
+        since, last = 0, best
         for _ in range(ITERATIONS):
-            if np.abs(now - want).max() <= TOLERANCE * max(np.abs(want).sum(), 1) or not moments.any():
+            if np.abs(now - want).max() <= TOLERANCE * max(np.abs(want).sum(), 1) or since >= 5:
                 break
-            steps.append(np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ (now - want))
-            now, moments = totals(table, rate(), free)
-        return rate(), want, now
-
-    first, want, _ = descend(table, "1D", "true", None)
+            faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+            steps.append((size * (ahead - want), (speed - 1) / faster))
+            speed = faster
+            now, ahead = totals(cells, state())
+            far = (now - want) @ (now - want)
+            since = 0 if far < best * (1 - GAIN) else since + 1
+            if far < best:
+                best, best_steps = far, len(steps)
+            if far > last:  # momentum carries away from the targets: without it the next gradient is taken at the rates
+                steps[-1] = (steps[-1][0], 0.0)
+                speed, ahead = 1.0, now
+            last = far
+        del steps[best_steps:]
+        now, _ = totals(cells, state())
+        return f"({state()}).w", want, now
+
+    cells = Scratch(table.sparkSession, "cells").cut(cells)
+    first, want, _ = descend(cells, "1D", "true", None)
     held = f"IF(abs(first - 1D) <= {SNAP}D, 1D, IF(first <= {SNAP}D, 0D, first))"
-    rate, want, now = descend(table.withColumn("first", F.expr(first)), held, f"abs(first - 1D) > {SNAP}D AND first > {SNAP}D", want)
+    rate, want, now = descend(cells.withColumn("first", F.expr(first)), held, f"abs(first - 1D) > {SNAP}D AND first > {SNAP}D", want)
     return [first, rate], want, now
 
 

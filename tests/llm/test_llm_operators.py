@@ -198,6 +198,28 @@ def test_mips_recall_and_odd_vectors(spark):
     assert ann.nearest(rows.where("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_mips_recall_over_many_blocks(spark, monkeypatch):
+    """Random vectors of odd length without any structure, repeats of rows and ids, hundreds of small blocks."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((3000, 33)), 3)
+    ids = np.concatenate([np.arange(3000), [7, 7, 40, 40]])
+    x = np.concatenate([x, x[[7, 9, 40, 40]]])
+    docs = spark.createDataFrame([(int(i), [float(y) for y in v], "clash") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, rank string")
+    got = {}
+    for r in ann.nearest(docs, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        want = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        assert [m[0] for m in sorted(got[q])] == list(range(1, 21))
+        hits += sum((Counter(m[1] for m in got[q]) & Counter(want)).values())
+        assert all(q != m[1] for m in got[q])
+    assert hits / (150 * 20) >= 0.9
+
+
 def test_language_of_held_out_documents(spark, docs, odd, empty):
     got = langid.identify(docs, ~common.held("doc_id", 3, 1), ["doc_id", "lang"]).where(common.held("doc_id", 3, 1)).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
@@ -436,3 +458,134 @@ def test_words_of_slices_that_begin_inside_a_batch():
         flat.validate(full=True)
         seen += [flat[a:b].to_pylist() for a, b in zip(off, off[1:], strict=False)]
     assert seen == [words(t) for t in texts]
+
+
+def test_packed_pieces_hold_the_library_s_ids(spark, odd):
+    """Pieces, starts and checksums of every document against the tokenizers library; only longer documents are cut."""
+    enc = PieceEncoder(queries.vocabulary())
+    capacity = 64
+    want = []
+    for t in odd[1]:
+        ids = [*enc.model.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) - (len(ids) - 1) // capacity * capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        want.append(sorted((i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    got = Counter()
+    by = {}
+    for r in packing.best_two_fit(odd[0], queries.vocabulary(), capacity).collect():
+        by.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        got[r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
+    assert got == Counter(p for pieces in want for p in pieces)
+    ids = [*range(len(ODD)), 100, None, 3]
+    for i, pieces in zip(ids, want, strict=True):
+        if ids.count(i) == 1:
+            assert sorted(by[i]) == pieces
+    starts = {}
+    for r in packing.best_two_fit(odd[0], queries.vocabulary(), capacity).collect():
+        starts.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= capacity for x in starts.values())
+
+
+def test_rates_are_those_of_nonnegative_least_squares(spark):
+    rng = np.random.default_rng(3)
+    member = np.round(rng.dirichlet([0.3, 0.3, 0.3], 200), 2)
+    tokens = rng.integers(0, 500, 200)
+    df = spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, member, strict=True)], "tokens long, member array<double>")
+    a = (member * tokens[:, None]).T
+    for shares in ([1.4, 0.5, 0.2], [0.0, 1.0, 1.0], [1.0, 1.0, 1.0], [0.0, 0.0, 3.0]):
+        want = a.sum(1) * shares
+        (first, rate), target, now = mixing.fit_rates(df, 3, None, shares)
+        assert target == pytest.approx(want)
+        rows = df.withColumn("first", F.expr(first)).withColumn("rate", F.expr(rate)).select("tokens", "member", "rate").collect()
+        total = sum(np.array(r["member"]) * r["tokens"] * r["rate"] for r in rows)
+        assert total == pytest.approx(now) and all(r["rate"] >= 0 for r in rows)
+        w = np.ones(200)  # brute force: descent on one rate at a time
+        left = want - a @ w
+        for _ in range(300):
+            for i in np.flatnonzero(tokens):
+                new = max(0.0, w[i] + a[:, i] @ left / (a[:, i] @ a[:, i]))
+                left -= a[:, i] * (new - w[i])
+                w[i] = new
+        # the last case has targets that can't be met, and its steps end before the least distance
+        assert np.sqrt(((total - want) ** 2).sum()) <= np.sqrt((left**2).sum()) + (0.04 if shares[2] == 3.0 else 0.01) * a.sum()
+        if shares == [1.0, 1.0, 1.0]:
+            assert all(r["rate"] == 1 for r in rows)
+
+
+def test_every_feature_word_has_a_slot_of_its_own():
+    rng = np.random.default_rng(1)
+    buckets = [int(x) for x in rng.choice(mixing.BUCKETS, mixing.FEATURES, replace=False)]
+    place, shift = mixing._slots(buckets)
+    at = lambda h: place[((h >> mixing.SPLIT) + shift[h & ((1 << mixing.SPLIT) - 1)]) % mixing.SLOTS]
+    assert [at(h) for h in buckets] == list(range(1, len(buckets) + 1))
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def packed_codes(text):
+    """A fingerprint by hand: hash, bin, borrow, pack."""
+    import xxhash
+
+    w = words(text)
+    if not w:
+        return ""
+    least = {}
+    for i in range(max(1, len(w) - 4)):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        h = signed(h)
+        b = (h >> fingerprints._SHIFT) + fingerprints.BINS // 2
+        least[b] = min(h, least.get(b, h))
+    orders = fingerprints._orders()
+    values = [least[j] if j in least else next(least[o] for o in orders[j] if o in least) for j in range(fingerprints.BINS)]
+    codes = [v & 255 for v in values]
+    return "".join(f"{sum(c << 8 * k for k, c in enumerate(codes[q : q + 8])):016x}" for q in range(0, fingerprints.BINS, 8))
+
+
+def alike(a, b):
+    if not a or not b:
+        return float(a == b)
+    x, y = bytes.fromhex(a), bytes.fromhex(b)
+    same = sum(p == q for p, q in zip(x, y, strict=True)) / fingerprints.BINS
+    return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+
+
+def test_fingerprints_by_hand(spark, texts, monkeypatch):
+    some = sorted(texts)[:60]
+    rows = [(i, texts[i]) for i in some] + [(10_000, ""), (10_001, "one two"), (10_002, None), (10_003, "one two"), (10_004, "word " * 3000)]
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 8 << 10)  # many buckets
+    got = {r["doc_id"]: r for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == packed_codes(t) and r["edited_fingerprint"] == packed_codes(edited)
+        assert r["near_edited"] == pytest.approx(alike(packed_codes(t), packed_codes(edited)))
+        assert r["near_next"] == pytest.approx(alike(packed_codes(t), packed_codes(after)))
+
+
+def test_language_query_ties_and_many_labels(spark):
+    """More labels than 64 are all learned; a text of two languages in equal parts gets one of them; equal rows are judged alike."""
+    rng = np.random.default_rng(2)
+    stems = [f"{a}{b}" for a in "bdfgklmnpr" for b in "aeiou"] + [f"{a}{b}s" for a in "bdfgk" for b in "aeiou"]
+    text = lambda k, n: " ".join(stems[k] * int(rng.integers(1, 3)) + stems[k] for _ in range(n))
+    rows = [(k * 20 + j, text(k, 40), f"l{k:02}") for k in range(70) for j in range(4)]
+    docs = spark.createDataFrame([*rows, (9001, rows[0][1] + " " + rows[4][1], None), (9001, rows[0][1] + " " + rows[4][1], None)], "doc_id long, text string, lang string")
+    model = langid.fit(*langid.sample(docs, F.lit(True), "text", "lang"))
+    assert len(model.labels) == 70
+    got = [r for r in langid.identify(docs, F.lit(True), ["doc_id"]).collect() if r["doc_id"] == 9001]
+    assert len(got) == 2 and got[0] == got[1] and 0 <= got[0]["score"] <= 1
+
+
+def test_kept_columns_with_names_of_outputs(spark, odd):
+    docs = odd[0]
+    assert langid.identify(docs, F.lit(True), ["doc_id", "score"]).columns == ["doc_id", "score_", "lang_pred", "score", "n_words", "n_switches"]
+    assert mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), {}, ["doc_id", "n_chars"]).columns[:3] == ["doc_id", "n_chars", "n_tokens"]
+    odd_names = docs.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("n_lines"))
+    assert line_dedup.dedup_lines(odd_names, ["a.b", "n_lines"]).columns == ["doc_id", "a.b", "n_lines_", "text", "n_lines", "n_removed", "removed"]
