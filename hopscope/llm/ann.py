@@ -2,13 +2,15 @@
 
 Pairs of dimensions are coded by 16 centroids each. Codebooks and codes weigh the part of a vector's
 residual that is parallel to it ``ETA`` times as much as the rest, since that part moves its largest
-inner products. The codebooks are fitted on a bounded sample; every row is indexed. Index blocks meet
-query blocks in tasks of bounded size: a task sums byte-wide look-up tables (two 4-bit codes at once)
-over the block's distinct vectors and reranks the best ``RERANK`` of them by exact double products.
+inner products. The codebooks are fitted on a bounded sample; every distinct vector is indexed, with the
+``k`` + 1 least ids that hold it. The scan ships 4-bit codes only: blocks of codes meet blocks of queries
+in tasks of bounded size, which sum byte-wide look-up tables (two codes at once) and keep the best few
+of a block. The ``RERANK`` best of all blocks meet their original vectors once, by joins, and are ranked
+by exact double products, summed in order of the components.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do rows without an id. Equal vectors share one scan and are told apart by id. Repeated
-ids count once for each row; a query's own id is no candidate. Empty tables give no rows.
+no part, nor do rows without an id. Repeated ids count once for each row; a query's own id is no
+candidate, whatever its vectors; a query id with several vectors is asked with each. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, hashed_sample, one_thread
+from .common import Scratch, col, hashed_sample, one_thread
 
 #: The codebooks' sample, and weights: (d - 1) T^2 / (1 - T^2) at T = 0.2 of a vector's norm for d = 64.
 SAMPLE, ROUNDS, ETA = 8_192, 6, 2.6
-#: Rows of the index and queries that meet in a task; vectors of a block that are reranked for a query.
-BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 1_024, 192
-RESULT = "query_id long, vec_id long, score double"
+#: Codes and queries that meet in a task, and vectors that are reranked for a query.
+BLOCK_ROWS, BLOCK_QUERIES, RERANK = 65_536, 1_024, 256
 
 
 def _assign(x: np.ndarray, books: np.ndarray, codes: np.ndarray | None, passes: int) -> np.ndarray:
@@ -89,73 +90,77 @@ def _tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[:, 1::2, :, None] + one[:, ::2, None, :]).reshape(len(q), -1, 256)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK) -> pd.DataFrame:
-    """The ``k`` nearest rows of a block that the scan and the exact rerank find for each query."""
-    _, first, group = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel() if len(x) else x, return_index=True, return_inverse=True)
-    order = np.lexsort((ids, group))
-    starts = np.searchsorted(group[order], np.arange(len(first)))
-    ends = np.append(starts[1:], len(ids))
-    ids_of, u, uc = ids[order], x[first].astype(np.float64), codes[first]
-    out = []
-    for a in range(0, len(q), 128):
-        qs = q[a : a + 128]
-        tables = _tables(qs, books)
-        score = np.zeros((len(qs), len(u)), np.float32)
-        for p in range(uc.shape[1]):
-            score += np.take(tables[:, p], uc[:, p], axis=1)
-        best = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank] if len(u) > rerank else np.broadcast_to(np.arange(len(u)), score.shape)
-        for i, own in enumerate(q_ids[a : a + 128]):
-            exact = np.cumsum(u[best[i]] * qs[i], axis=1)[:, -1]  # in order of the components, as a plain loop adds them
-            floor = np.sort(exact)[-min(k + 1, len(exact))]
-            rows = [(e, ids_of[starts[g] : min(ends[g], starts[g] + k + 1)]) for e, g in zip(exact, best[i], strict=True) if e >= floor]
-            s, v = np.repeat([e for e, _ in rows], [len(v) for _, v in rows]), np.concatenate([v for _, v in rows])
-            s, v = s[v != own], v[v != own]
-            top = np.lexsort((v, -s))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": v[top], "score": s[top]}))
-    return pd.concat(out, ignore_index=True)
+def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, most: int) -> pd.DataFrame:
+    """The ``most`` codes of a block with the largest estimated products for each query: q, u, estimate."""
+    keep = min(most, len(ids))
+    found, rough = [], []
+    for a in range(0, len(q), 64):
+        tables = _tables(q[a : a + 64], books)
+        score = np.zeros((len(tables), len(ids)), np.float32)
+        for p in range(codes.shape[1]):
+            score += np.take(tables[:, p], codes[:, p], axis=1)
+        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
+        found.append(best)
+        rough.append(np.take_along_axis(score, best, axis=1))
+    return pd.DataFrame({"q": np.repeat(q_ids, keep), "u": ids[np.concatenate(found).ravel()], "estimate": np.concatenate(rough).ravel().astype(np.float64)})
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for each row with ``is_query``: query_id, rank, vec_id, score.
 
-    ``is_query``: a condition on column vec_id.
+    ``is_query``: a condition on column vec_id. Ties go to the lesser id.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = sorted(((r["count"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).count().collect()), reverse=True)
     if not sizes:
-        return spark.createDataFrame([], schema)
-    count, d = sizes[0]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d = sizes[0][1]
     rows = rows.where(F.size("v") == d)
     odd = d % 2
     sample = np.array([r["v"] for r in hashed_sample(rows, "vec_id", SAMPLE, ["vec_id"]).collect()])
+    one_thread()
     books = fit(np.pad(sample, ((0, 0), (0, odd))))
+    pad = lambda v: np.pad(np.stack(v.to_numpy()), ((0, 0), (0, odd)))
 
     @pandas_udf("binary")
     def codes_of(v: pd.Series) -> pd.Series:
         one_thread()
-        x = np.pad(np.stack(v.to_numpy()), ((0, 0), (0, odd))) if len(v) else np.zeros((0, d + odd))
-        return pd.Series([c.tobytes() for c in encode(x, books)])
-
-    blocks = -(-count // BLOCK_ROWS)
-    index = scratch.cut(rows.withColumn("codes", codes_of("v")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")))
-    asked = index.where(is_query).select("vec_id", "v")
-    q_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(q_blocks)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = index.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.Series([c.tobytes() for c in encode(pad(v) if len(v) else np.zeros((0, d + odd)), books)])
+
+    # distinct vectors, each with its least ids: tasks drop the others before they are shuffled
+    each = rows.groupBy("v", "vec_id").agg(F.count("*").alias("times"))
+    least = each.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    index = least.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
+    index = scratch.cut(index.withColumn("u", F.monotonically_increasing_id()).withColumn("codes", codes_of("v")))
+    asked = rows.where(is_query).select("vec_id", "v").distinct().join(index.select("v", F.col("u").alias("q")), "v")
+    asked = scratch.cut(asked.select("q", F.col("vec_id").alias("query_id"), "v"))
+    queries = asked.dropDuplicates(["q"]).select("q", "v")
+
+    blocks = -(-index.count() // BLOCK_ROWS)
+    q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    most = min(RERANK, 16 + -(-3 * RERANK // blocks)) if blocks > 1 else RERANK
+    dealt = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    held = dealt(index.select("u", "codes"), "u", "block", blocks, "q_block", q_blocks)
+    sent = dealt(queries, "q", "q_block", q_blocks, "block", blocks)
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "u": pd.Series(dtype="int64"), "estimate": pd.Series(dtype="float64")})
         one_thread()
-        pad = lambda v: np.pad(np.stack(v.to_numpy()), ((0, 0), (0, odd)))
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
-        return search_block(right["vec_id"].to_numpy(), pad(right["v"]), left["vec_id"].to_numpy(), pad(left["v"]), codes, books, k)
-
-    found = held.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(search, RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return scan_block(right["q"].to_numpy(), pad(right["v"]), left["u"].to_numpy(), codes, books, most)
+
+    found = held.groupBy("block", "q_block").cogroup(sent.groupBy("block", "q_block")).applyInPandas(scan, "q long, u long, estimate double")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("estimate"), "u"))).where(F.col("r") <= RERANK).select("q", "u")
+    # exact products of the candidates, then of each query's ids
+    product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    exact = best.join(index.select("u", "v", "ids"), "u").join(queries.select("q", F.col("v").alias("w")), "q").select("q", product.alias("score"), "ids")
+    mine = asked.select("q", "query_id").join(exact, "q").withColumn("ids", F.filter("ids", lambda x: x["vec_id"] != F.col("query_id"))).where(F.size("ids") > 0)
+    first = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.col("ids")[0]["vec_id"]))
+    mine = mine.withColumn("r", first).where(F.col("r") <= k).select("query_id", "q", "score", F.explode("ids").alias("x"))
+    mine = mine.select("query_id", "q", "score", F.col("x.vec_id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.least(F.col("x.times"), F.lit(k)).cast("int"))))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
