@@ -14,7 +14,8 @@ to a line without words; so a notice is met whole however it is wrapped. Words b
 later. A window's finding stands at its first line; it is left out if a line or window inside it tells the same.
 
 All of a text's lines are looked at, in place, without a shuffle. Null or empty text has no
-findings; repeated rows and null ids are scanned row by row; an empty table gives no rows.
+findings; repeated rows and null ids are scanned row by row; an empty table gives no rows. A kept column
+that has the name of an output gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import col, hashed_sample, kept_names
 
 # Notices of licence families.
 NOTICES = {
@@ -159,8 +160,10 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     A finding: paragraph (from 0), family, probability, similarity, confirmed; families of probability
     ``LEAST`` or more, and ``unknown``.
     """
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    few = hashed_sample(rows.select(F.substring("text", 1, 4000).alias("text")), "text", SAMPLE_LINES // 4, ["text"]).selectExpr("slice(split(text, '\n'), 1, 8) AS lines").collect()
+    rows = docs.select(*[col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    # negatives: eight lines of a part of each sampled text, wherever a hash says
+    start = 1 + F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int")
+    few = hashed_sample(rows.select(F.substring("text", start, F.lit(4000)).alias("text")), "text", SAMPLE_LINES // 4, ["text"]).selectExpr("slice(split(text, '\n'), 1, 8) AS lines").collect()
     gate = re.compile("|".join(map(re.escape, ANCHORS)))
     lines = [x for r in sorted(few) for x in r["lines"] if not gate.search(x.lower())][:SAMPLE_LINES]
     model = LicenceModel(lines)
@@ -206,4 +209,4 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     found = F.expr("coalesce(transform(c, x -> named_struct('paragraph', x.paragraph, 'family', x.family, 'probability', x.probability, 'similarity', x.similarity, 'confirmed', x.confirmed)), CAST(array() AS array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>))")
     df = df.withColumn("findings", found).drop("c")
     sure = F.expr("array_sort(array_distinct(transform(filter(findings, x -> x.confirmed), x -> x.family)))")
-    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("n_paragraphs").cast("int").alias("n_paragraphs"), F.size("findings").alias("n_findings"), sure.alias("licenses"), "findings")
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept_names(keep, ["n_paragraphs", "n_findings", "licenses", "findings"]))], F.col("n_paragraphs").cast("int").alias("n_paragraphs"), F.size("findings").alias("n_findings"), sure.alias("licenses"), "findings")
