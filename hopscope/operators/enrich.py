@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.net import network
 
-#: Rows of a pattern table that are broadcast at once, and of a prefix table that is broadcast.
-CHUNK, BROADCAST = 2_000, 500_000
+#: Rows of a pattern table that are broadcast at once, and of a prefix table that is broadcast; characters that patterns meet lines by.
+CHUNK, BROADCAST, GRAM = 2_000, 500_000, 4
 
 
 def _ladder(prefixes: DataFrame, number: str) -> tuple[list[tuple[int, Column]], bool]:
@@ -61,12 +61,22 @@ def on_allow_list(rows: DataFrame, allowed: DataFrame, columns: list[str], key:
     return rows.where(F.coalesce(*flags).isNotNull()).drop(*flags)
 
 
-def match_patterns(rows: DataFrame, patterns: DataFrame, condition: Column) -> DataFrame:
-    """All (row, pattern) pairs that meet ``condition``: a join by substring, with no equal key.
+def match_patterns(rows: DataFrame, patterns: DataFrame, condition: Column, line: str | None = None, needle: Column | None = None) -> DataFrame:
+    """All (row, pattern) pairs that meet ``condition``, which asks for substrings.
 
-    Patterns are dealt by the hash of their ``pattern_id`` (any type) into parts of about ``CHUNK`` rows,
-    each broadcast on its own, so the size of a broadcast is bounded however many patterns there are.
+    ``needle``: a text of the pattern that ``line`` has to hold for the condition to be met. Then rows meet patterns by
+    equality of ``GRAM`` characters, the needle's first ones and any of the line's, so work doesn't grow with rows
+    times patterns. Shorter needles, or all without one, are compared with each row: they are dealt by the hash of
+    ``pattern_id`` (any type) into parts of about ``CHUNK`` rows, each broadcast on its own.
     """
+    if needle is not None:
+        long = patterns.withColumn("_needle", F.substring(needle, 1, GRAM)).where(F.length("_needle") == GRAM)
+        at = F.sequence(F.lit(1), F.length(line) - (GRAM - 1))
+        grams = F.array_distinct(F.transform(F.when(F.length(line) >= GRAM, at), lambda i: F.substr(F.col(line), i, F.lit(GRAM))))
+        near = rows.withColumn("_gram", F.explode(grams))
+        out = near.join(long, F.col("_gram") == F.col("_needle")).where(condition).drop("_gram", "_needle")
+        short = patterns.where(F.coalesce(F.length(needle), F.lit(0)) < GRAM)
+        return out if short.isEmpty() else out.unionByName(match_patterns(rows, short, condition))
     parts = max(1, -(-patterns.count() // CHUNK))
     out = None
     for k in range(parts):
@@ -76,6 +86,11 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, condition: Column) -> D
     return out
 
 
+def longest(tokens: Column) -> Column:
+    """The longest token of an array, the first of equals."""
+    return F.aggregate(tokens, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+
+
 def all_tokens_in(line: Column, tokens: Column) -> Column:
     """Every token of an array is a substring of the line."""
     return F.forall(tokens, lambda t: F.contains(line, t))

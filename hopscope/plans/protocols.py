@@ -192,7 +192,7 @@ _METHOD = "CASE WHEN page_id % 3 = 0 THEN 'GET' ELSE 'POST' END"
 def j7(url, pattern):
     """Requests with the patterns of their method that their URL holds."""
     p = pattern.withColumn("m", F.when(F.col("pattern_id") % 2 == 0, "GET").otherwise("POST"))
-    return enrich.match_patterns(url.withColumn("method", F.expr(_METHOD)), p, (F.col("method") == F.col("m")) & F.contains("url", "pattern")).select("page_id", "method", "pattern")
+    return enrich.match_patterns(url.withColumn("method", F.expr(_METHOD)), p, (F.col("method") == F.col("m")) & F.contains("url", "pattern"), "url", F.col("pattern")).select("page_id", "method", "pattern")
 
 
 # Windows of their own.

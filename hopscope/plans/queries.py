@@ -87,7 +87,7 @@ for _name, (_v, _c, _s) in FILTERS.items():
 
 @query("F25_all_tokens", "SELECT f.pattern_id::BIGINT AS pattern_id, count(*) AS n FROM url u JOIN filter f ON len(list_filter(string_split(f.tokens, ' '), lambda t: NOT contains(u.url, t))) = 0 GROUP BY 1", "url", "filter")
 def f25(url, flt):
-    return enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t"))).groupBy(long("pattern_id").alias("pattern_id")).agg(F.count("*").alias("n"))
+    return enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t")), "url", enrich.longest(F.col("t"))).groupBy(long("pattern_id").alias("pattern_id")).agg(F.count("*").alias("n"))
 
 
 @query("F26_host_set", "SELECT page_id FROM url WHERE lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) IN (SELECT host FROM hosts)", "url", "hosts")
@@ -396,7 +396,7 @@ def j5(packet):
 
 @query("J6_filters_unmatched", "SELECT page_id FROM url u WHERE NOT EXISTS (SELECT 1 FROM filter f WHERE len(list_filter(string_split(f.tokens, ' '), lambda t: NOT contains(u.url, t))) = 0)", "url", "filter")
 def j6(url, flt):
-    hit = enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t")))
+    hit = enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t")), "url", enrich.longest(F.col("t")))
     return url.join(hit.select("page_id"), "page_id", "left_anti").select("page_id")
 
 

@@ -44,7 +44,7 @@ _HIT = "len(list_filter(string_split(f.tokens, ' '), lambda t: NOT contains(u.ur
 def a7(url, flt):
     from ..operators import enrich
 
-    hit = enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t"))).agg(F.countDistinct("page_id").alias("matched"))
+    hit = enrich.match_patterns(url, flt.withColumn("t", F.split("tokens", " ")), enrich.all_tokens_in(F.col("url"), F.col("t")), "url", enrich.longest(F.col("t"))).agg(F.countDistinct("page_id").alias("matched"))
     return url.agg(F.count("*").alias("total")).crossJoin(hit).select("total", "matched", (F.col("total") - F.col("matched")).alias("unmatched"))
 
 

@@ -90,6 +90,12 @@ def test_patterns_in_chunks(spark, monkeypatch):
     pats = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "bz", "q", "c"])], "pattern_id int, pattern string")
     got = {(r["line"], r["pattern"]) for r in enrich.match_patterns(rows, pats, F.contains("line", "pattern")).collect()}
     assert got == {("abc", "a"), ("abc", "b"), ("abc", "c"), ("xbz", "b"), ("xbz", "bz")}
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab/é") for _ in range(rng.randrange(0, 14))) for _ in range(80)] + [None, "aaaaaaaa"]
+    needles = sorted({"".join(rng.choice("ab/é") for _ in range(rng.randrange(1, 7))) for _ in range(40)})
+    want = sorted((i, p) for i, x in enumerate(lines) for p in needles if x is not None and p in x)
+    found = enrich.match_patterns(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), spark.createDataFrame(list(enumerate(needles)), "pattern_id int, pattern string"), F.contains("line", "pattern"), "line", F.col("pattern"))
+    assert sorted((r["i"], r["pattern"]) for r in found.collect()) == want
 
 
 def test_addresses(spark):
