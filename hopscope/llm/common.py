@@ -199,15 +199,19 @@ def _unpacked(raw: bytes, kind: str, n: int) -> np.ndarray:
 def summed(parts: DataFrame, kind: str, total: str, spread: int = 256) -> dict[int, np.ndarray]:
     """Elementwise sums of the arrays that tasks sent: ``parts`` has at, task, n and part (``packed_array`` of ``n`` numbers of ``kind``).
 
-    Sums are taken in two levels, so that no group holds the arrays of all tasks. The driver gets one array of ``total`` for each ``at``.
+    Sums are taken in two levels, so that no group holds the arrays of all tasks; whole numbers stop at the greatest of type ``total``.
+    The driver gets one array for each ``at``.
     """
 
     def add(kind):
         def run(table):
             n = table.column("n")[0].as_py()
-            out = np.zeros(n, total)
+            out = np.zeros(n, np.int64 if np.dtype(total).kind in "iu" else np.float64)
             for raw in table.sort_by("task").column("part").to_pylist():  # in a fixed order
                 out += _unpacked(raw, kind, n)
+            if np.dtype(total).kind in "iu":
+                out = np.minimum(out, np.iinfo(total).max)
+            out = out.astype(total)
             return pa.table({"at": table.column("at")[:1].cast(pa.int32()), "task": pa.array([table.column("task")[0].as_py() % spread], pa.int64()), "n": pa.array([n], pa.int32()), "part": pa.array([packed_array(out)], pa.binary())})
 
         return run

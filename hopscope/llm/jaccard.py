@@ -2,8 +2,11 @@
 
 Two texts link when 100 * |A and B| >= 80 * |A or B| for their sets of distinct shingles of lower-cased
 words. Equal sets are one class. A pair that links shares at least k shingles among the first
-n - ceil(0.8 n) + k of each set in any common order (prefix filter; k is 1 + n // 50, the lesser one's); here frequent shingles, estimated on a hashed sixteenth of
-the texts, come last, which keeps groups of texts that share one small but decides nothing else. Within a
+n - ceil(0.8 n) + k of each set in any common order (prefix filter; k is 1 + n // 50, the lesser one's).
+Here shingles go by how often their counter was met in all texts: each is hashed into one of ``COUNTERS``
+counters, which tasks fill and add up. A passage whose copies grow with the corpus stands out from its
+counter's other shingles, whose number varies by their square root only. The order keeps groups of texts
+that share a shingle small, but decides nothing else. Within a
 group, shingles are hashed into ``GROUPS`` counters; the counts are points in an R-tree, and the summed
 coordinate minima of two boxes bound the overlap below them. Pairs that survive are verified on the sets.
 
@@ -26,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, most_frequent, slices, small, words_of
+from .common import Scratch, mix64, packed_array, slices, small, summed, words_of, worker
 from .components import components
 
 WORDS, PERCENT, GROUPS, FANOUT = 5, 80, 128, 24
-#: Frequent shingles kept (an order for them, nothing more), and classes of a block.
-HOT, BLOCK = 262_144, 1_024
+#: Counters of shingles (an order for them, nothing more), how many of them travel together, and classes of a block.
+COUNTERS, PIECE, BLOCK = 1 << 22, 1 << 16, 1_024
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +65,25 @@ def least_shared(n):
     return 1 + n // 50
 
 
-def prefixes(sets: np.ndarray, off: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(0.8 n) + least_shared(n) shingles of each set, and offsets. ``hot`` (ascending) come last, by ``rank``."""
+def prefixes(sets: np.ndarray, off: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(0.8 n) + least_shared(n) shingles of each set in the order of their counters ``often``, then of their hashes; and offsets."""
     n = np.diff(off)
     want = np.where(n > 0, np.minimum(n, n - (PERCENT * n + 99) // 100 + least_shared(n)), 0)
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.minimum(np.searchsorted(hot, sets), max(len(hot) - 1, 0))
-    is_hot = hot[place] == sets if len(hot) else np.zeros(len(sets), bool)
-    cold = np.append(0, np.cumsum(~is_hot))
-    take = ~is_hot & (cold[:-1] - cold[off[:-1]][doc] < want[doc])
-    for d in np.flatnonzero(cold[off[1:]] - cold[off[:-1]] < want):
-        a, b = off[d], off[d + 1]
-        own = a + np.flatnonzero(is_hot[a:b])
-        more = want[d] - (b - a - len(own))
-        take[own[np.argsort(rank[place[own]], kind="stable")[:more]]] = True
-    return sets[take], np.append(0, np.cumsum(take))[off]
+    if not len(sets):
+        return sets, off
+    times = often[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
+    order = np.empty(len(sets), np.int64)
+    for a, b in zip(off, off[1:], strict=False):
+        order[a:b] = a + np.argsort(times[a:b], kind="stable")  # sets ascend, so equal counters stay in the order of hashes
+    place = np.arange(len(sets)) - np.repeat(off[:-1], n)
+    take = order[place < np.repeat(want, n)]
+    return sets[take], np.append(0, np.cumsum(want))
+
+
+def chosen(sets: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets for which ``keep`` holds; the others become empty."""
+    n = np.diff(off)
+    return sets[np.repeat(keep, n)], np.append(0, np.cumsum(np.where(keep, n, 0)))
 
 
 def vectors(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -214,34 +221,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
 
-    def sampled(batches):
+    @worker
+    def met(batches):
+        often = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for piece in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(piece.column("text"))[0].view(np.int64))], names=["s"])
-
-    part = rows.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text")
-    counts = scratch.cut(part.mapInArrow(sampled, "s long").groupBy("s").count().where("count >= 4"))
-    hot = most_frequent(counts, "s", "count", HOT).toArrow()  # at most HOT rows
-    names = np.asarray(hot["s"].combine_chunks()).view(np.uint64) if len(hot) else np.zeros(0, np.uint64)
-    often = np.asarray(hot["count"].combine_chunks()) if len(hot) else np.zeros(0, np.int64)
-    order = np.argsort(names)
-    # the rarest of them first
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, often))] = np.arange(len(names))
-    hot_b = spark.sparkContext.broadcast((names[order], rank[order]))
-
+                sets, _ = shingle_sets(piece.column("text"))
+                often += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        task = TaskContext.get().partitionId()
+        for at in range(COUNTERS // PIECE):
+            part = often[at * PIECE : (at + 1) * PIECE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task], pa.int64()), pa.array([PIECE], pa.int32()), pa.array([packed_array(part)], pa.binary())], names=["at", "task", "n", "part"])
+
+    often = np.zeros(COUNTERS, np.uint32)  # one fixed size, whatever the corpus
+    for at, part in summed(rows.select("text").mapInArrow(met, "at int, task long, n int, part binary"), "<u4", "<u4", 16).items():
+        often[at * PIECE : (at + 1) * PIECE] = part
+    often_b = spark.sparkContext.broadcast(often)
+
+    @worker
     def described(batches):
-        hot, rank = hot_b.value
+        often = often_b.value
         row = TaskContext.get().partitionId() << 33
+        seen: set[bytes | None] = {None}
         for batch in batches:
             for piece in slices(batch):
                 sets, off = shingle_sets(piece.column("text"))
-                pre, pre_off = prefixes(sets, off, hot, rank)
+                names = _class_of(sets, off)
+                fresh = np.array([c not in seen and not seen.add(c) for c in names], bool)  # a class's first text in the task
+                pre, pre_off = prefixes(*chosen(sets, off, fresh), often)
                 v = vectors(sets, off)
                 kind = "<u2" if not len(v) or v.max() < 1 << 16 else "<u4"
                 k = piece.num_rows
                 yield pa.RecordBatch.from_arrays([
-                    piece.column("doc_id"), piece.column("text_hash"), pa.array(row + np.arange(k), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(_class_of(sets, off), pa.binary()),
+                    piece.column("doc_id"), piece.column("text_hash"), pa.array(row + np.arange(k), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(names, pa.binary()),
                     _binary_list(v.astype(kind).ravel(), np.arange(k + 1) * GROUPS), pa.ListArray.from_arrays(pa.array(pre_off, pa.int32()), pa.array(pre.view(np.int64))),
                 ], names=["doc_id", "text_hash", "row", "n", "cls", "vec", "prefix"])
                 row += k
@@ -249,12 +262,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described_rows = scratch.cut(hashed.mapInArrow(described, "doc_id long, text_hash long, row long, n long, cls binary, vec binary, prefix array<long>"))
     classes = described_rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("cid"))
     member = scratch.cut(described_rows.select("doc_id", "text_hash", "row", "n", "cls").join(classes, "cls", "left").select("doc_id", "text_hash", "row", "n", "cls", "cid"))
-    reps = described_rows.join(member.where("row = cid").select("row"), "row").select(F.col("row").alias("cid"), "n", "vec", "prefix")
-    vecs = scratch.cut(reps.drop("prefix"))
-    # prefix shingles that at least two classes share, with the least class of each
-    posts = reps.select("cid", F.explode("prefix").alias("s")).repartition("s")
-    groups = posts.groupBy("s").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub <> last").drop("last")
-    shared = scratch.cut(posts.join(groups, "s"))
+    # prefix shingles that at least two classes share, with the least class of each. Postings go by a hash of the class's name;
+    # where two names had one hash, both classes would take part, which only adds candidates
+    posts = described_rows.select(F.xxhash64("cls").alias("c"), F.explode("prefix").alias("s")).repartition("s")
+    groups = posts.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
+    named = member.where("row = cid").select(F.xxhash64("cls").alias("c"), "cid")
+    shared = posts.join(groups, "s").dropDuplicates(["s", "c"]).join(small(named), "c").select("s", "cid")
+    postings = scratch.cut(shared)
+    shared = postings.join(postings.groupBy("s").agg(F.min("cid").alias("hub")), "s")
+    # count vectors only of classes that share a prefix shingle
+    vecs = scratch.cut(described_rows.select(F.col("row").alias("cid"), "n", "vec").join(postings.select("cid").distinct(), "cid"))
     # first round: each class with the hub that it shares most with, of those of fitting size
     size = vecs.select("cid", "n")
     close = shared.where("cid <> hub").groupBy("cid", "hub").count().join(size, "cid").join(size.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n")), "hub")
@@ -262,6 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = close.groupBy("cid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     pairs = best.join(vecs, "cid").join(vecs.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec")), "hub")
 
+    @worker
     def bounded(batches):
         for batch in batches:
             ok = [bool(linked(np.minimum(_vector(x), _vector(y)).sum(), n, m)) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("vec", "hub_vec", "n", "hub_n")), strict=True)]
@@ -273,6 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     guests = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("sub"), F.col("hub").alias("cid"))
     in_block = placed.unionByName(guests)
 
+    @worker
     def whole(batches):
         for batch in batches:
             for piece in slices(batch):
@@ -280,31 +299,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(_class_of(sets, off), pa.binary()), _binary_list(sets, off)], names=["cls", "members"])
 
     def sets_of(classes: DataFrame) -> DataFrame:
-        """(cid, members) of a table of classes: their sets are made again, so that the others' never leave their tasks."""
-        wanted = scratch.cut(member.where("row = cid").select("doc_id", "cls", "cid").join(classes, "cid"))
-        few = small(wanted)
+        """(cid, members) of a table of classes: their sets are made again, so that the others' never leave their tasks. Repeated rows repeat theirs."""
+        few = small(scratch.cut(member.where("row = cid").select("doc_id", "cls", "cid").join(classes, "cid")))
         texts = rows.join(few.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-        made = texts.mapInArrow(whole, "cls binary, members binary").join(few.select("cls", "cid"), "cls").select("cid", "members").dropDuplicates(["cid"])
-        return scratch.cut(made)
+        return texts.mapInArrow(whole, "cls binary, members binary").join(few.select("cls", "cid"), "cls").select("cid", "members")
 
     sets = sets_of(in_block.select("cid").distinct())
 
+    @worker
     def link(batches):
         for t in _runs(batches, ["hub", "sub"]):
             found = _link_block(np.asarray(t["cid"]), [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    in_blocks = in_block.join(sets, "cid").select("hub", "sub", "cid", "members").repartition("hub", "sub").sortWithinPartitions("hub", "sub", "cid")
+    in_blocks = sets.join(small(in_block), "cid").select("hub", "sub", "cid", "members").repartition("hub", "sub").sortWithinPartitions("hub", "sub", "cid")
     first = components(in_blocks.mapInArrow(link, "a long, b long"), scratch)
     # second round: pairs of different components that share a prefix shingle
-    left = shared.select("s", "cid").join(first.withColumnRenamed("node", "cid"), "cid", "left").select("s", "cid", F.coalesce("root", "cid").alias("comp"))
+    left = postings.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("s", "cid", F.coalesce("root", "cid").alias("comp"))
     mixed = left.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("x <> y").select("s", "k")
     left = left.join(mixed, "s").withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     # in a large group, blocks meet pair by pair; a single block meets itself
     meets = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "cid", "comp")
     meets = meets.join(vecs, "cid").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "cid")
 
+    @worker
     def candidates(batches):
         out: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -343,20 +362,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long, need long").groupBy("a", "b", "ca", "cb", "need").count().where("count >= need").drop("need", "count"))
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    sets = sets_of(wanted)
 
     # pairs that hang together meet in one place, so that each set travels once, or once for each block of a large place
     hang = components(pairs.select("a", "b"), scratch).withColumnRenamed("node", "cid")
-    place = sets.select("cid", "members").join(hang, "cid", "left").select("cid", "members", F.coalesce("root", "cid").alias("g"))
+    place = wanted.join(hang, "cid", "left").select("cid", F.coalesce("root", "cid").alias("g"))
     sizes = place.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     sub = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    place = place.join(sizes, "g").withColumn("x", sub("cid")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    place = sets.join(small(scratch.cut(place.join(sizes, "g"))), "cid").withColumn("x", sub("cid")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     none = F.lit(None).cast("long")
     held = place.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.lit(0).alias("kind"), F.col("cid").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "members")
     asked = pairs.join(hang.withColumnRenamed("cid", "a"), "a", "left").withColumn("g", F.coalesce("root", "a")).join(sizes, "g")
     asked = asked.select("g", F.least(sub("a"), sub("b")).alias("i"), F.greatest(sub("a"), sub("b")).alias("j"), F.lit(1).alias("kind"), "a", "b", "ca", "cb", F.lit(None).cast("binary").alias("members"))
     together = held.unionByName(asked).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "kind", "a", "b")
 
+    @worker
     def verify(batches):
         for t in _runs(batches, ["g", "i", "j"]):
             n = int((np.asarray(t["kind"]) == 0).sum())
@@ -383,7 +404,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = member.join(first.select(F.col("node").alias("cid"), F.col("root").alias("one")), "cid", "left").withColumn("one", F.coalesce("one", "cid", "row"))
     comp = comp.join(second.select(F.col("node").alias("one"), F.col("root").alias("two")), "one", "left").select("doc_id", "text_hash", "row", "n", F.coalesce("two", "one").alias("comp"))
     comp = scratch.cut(comp)
-    scratch.forget(described_rows, shared, sets, vecs, best, pairs)
+    scratch.forget(described_rows, postings, vecs, best, pairs)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     name = comp.groupBy("comp").agg(least.alias("least"))
     return comp.join(name, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", (F.col("row") == F.col("least.row")).alias("first"))
