@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, worker
 
 #: Pieces in a bucket of a length, about.
 BUCKET_ROWS = 50_000
@@ -31,6 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each document's ids: whole, or the remainder first and then full pieces."""
 
+    @worker
     def cut(batches):
         from .tokens import encoder
 
@@ -48,6 +49,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
                 at = off[doc] + start
                 crc = [zlib.crc32(tok[a:b]) for a, b in zip(at, at + length, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)

@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces kept by a worker (about 150 MB); beyond it the cache starts anew.
-CACHE_PIECES = 1_000_000
+#: Pieces kept by a task (about 40 MB), and characters of them; beyond either the cache starts anew.
+CACHE_PIECES, CACHE_CHARS = 250_000, 8 << 20
 #: Pieces joined into one text for the library.
 JOINED = 4_000
 
@@ -55,10 +55,12 @@ class PieceEncoder:
         names = self.model.get_vocab()
         self.begins = np.zeros(max(names.values()) + 1, bool)
         self.begins[[i for name, i in names.items() if name.startswith(_MAPPED[ord(" ")])]] = True
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache; also at the end of a task, since workers are used again."""
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -76,6 +78,7 @@ class PieceEncoder:
     def _add(self, pieces: list[str], n: np.ndarray, ids: np.ndarray) -> None:
         first = len(self.at)
         self.at.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        self.chars += sum(map(len, pieces))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
         self.ids = np.concatenate([self.ids, ids])
 
@@ -113,8 +116,8 @@ class PieceEncoder:
         get = self.at.get
         rows = np.array([get(p, -1) for p in pieces], np.int64)
         new = np.flatnonzero(rows < 0)
-        if len(self.at) + len(new) > self.limit and len(self.at):
-            self._reset()
+        if self.at and (len(self.at) + len(new) > self.limit or self.chars > CACHE_CHARS):
+            self.forget()
             new = np.arange(len(pieces))
         if len(new):
             self._learn([pieces[i] for i in new])
