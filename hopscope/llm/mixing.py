@@ -9,9 +9,9 @@ Posteriors are rounded to ``GRAIN``-ths, so documents fall into cells of equal p
 there are few cells, however many documents. With t tokens (words) and posteriors p, nonnegative rates w
 minimise the squared distance of the expected totals sum w t p from the targets. Projected gradient starts at
 w = 1: a step takes a multiple of p' r off each rate, r being the totals' residual, and projects to w >= 0;
-momentum speeds it up and starts anew where the distance grows. A rate follows from its posteriors and the
-steps so far, so an iteration is one distributed sum over the cells, and rates are neither shuffled nor stored.
-Then rates within ``SNAP`` of 0 or 1 are held at it and the others go on, so that the totals are met by what
+momentum speeds it up and starts anew where the distance grows. A rate follows from its cell's posteriors and
+the steps so far, so an iteration is one distributed sum over the cells, whose state is written every ``ROUND``
+steps; documents meet their cell's rate by a join at the end. Then rates within ``SNAP`` of 0 or 1 are held at it and the others go on, so that the totals are met by what
 documents are really taken.
 
 Null text counts as empty: no tokens, the prior as posteriors. Labels that are null or of unknown
@@ -26,11 +26,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, hashed_sample, kept_names
+from .common import Scratch, col, hashed_sample, kept_names, small
 
 BUCKETS, SLOTS, SPLIT, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 10, 2_000, 8_192, 3.0, 5
 #: Steps before and after rates are held, at most; the residual, as a share of the targets, at which they end, and the gain below which they do.
-ITERATIONS, TOLERANCE, GAIN, SNAP, GRAIN = 60, 1e-4, 1e-4, 0.05, 1024
+ITERATIONS, ROUND, TOLERANCE, GAIN, SNAP, GRAIN = 48, 8, 1e-4, 1e-3, 0.05, 256
 
 
 def _words(text: str) -> Column:
@@ -143,67 +143,64 @@ def memberships(docs: DataFrame, domains: Domains, keep: list[str], text_col: st
     return rows.withColumn("fine", fine).withColumn("member", even).drop("sums", "fine")
 
 
-def _moved(start: str, steps: list[tuple[np.ndarray, float]]) -> str:
-    """Struct (w, y) of the rate and of where the next gradient is taken, after projected steps from ``start``; a step: what is taken off, momentum."""
-    begin = f"named_struct('w', {start}, 'y', {start})"
+def _moved(steps: list[tuple[np.ndarray, float]]) -> str:
+    """Struct (w, y) of a cell's rate and of where its next gradient is taken, after projected steps; a step: what is taken off, momentum."""
+    begin = "named_struct('w', w, 'y', y)"
     if not steps:
         return begin
     moves = ", ".join(f"named_struct('c', array({', '.join(_number(x) for x in c)}), 'b', {_number(b)})" for c, b in steps)
     new = f"greatest(0D, a.y - ({' + '.join(f's.c[{j}] * member[{j}]' for j in range(len(steps[0][0])))}))"
-    return f"aggregate(array({moves}), {begin}, (a, s) -> named_struct('w', {new}, 'y', {new} + s.b * ({new} - a.w)))"
+    return f"IF(free, aggregate(array({moves}), {begin}, (a, s) -> named_struct('w', {new}, 'y', {new} + s.b * ({new} - a.w))), {begin})"
 
 
-def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: list[float] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Expressions of columns ``first`` (over ``member``) and ``rate`` (over both), the targets, and the expected totals.
+def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: list[float] | None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The rate of each cell (member, rate), the targets, and the expected totals.
 
     ``table``: tokens, member. ``targets``: token totals of the domains, or ``shares``: multiples of their expected totals at rate 1.
     """
-    cells = table.groupBy("member").agg(F.sum("tokens").alias("tokens"))
+    scratch = Scratch(table.sparkSession, "cells")
+    one = F.lit(1.0)
 
-    def totals(cells: DataFrame, state: str) -> tuple[np.ndarray, np.ndarray]:
+    def totals(cells: DataFrame, steps: list) -> tuple[np.ndarray, np.ndarray]:
         """Expected totals at the rates, and where the next gradient is taken."""
-        rows = cells.select("tokens", "member", F.expr(state).alias("s"))
+        rows = cells.select("tokens", "member", F.expr(_moved(steps)).alias("s"))
         got = rows.agg(*[F.sum(F.expr(f"tokens * member[{i}] * s.{x}")) for x in ("w", "y") for i in range(k)]).first()
         return np.array([float(x or 0) for x in got[:k]]), np.array([float(x or 0) for x in got[k:]])
 
-    def moments(cells: DataFrame, free: str) -> np.ndarray:
-        got = cells.where(free).agg(*[F.sum(F.expr(f"tokens * member[{i}] * member[{j}]")) for i in range(k) for j in range(k)]).first()
-        return np.array([float(x or 0) for x in got]).reshape(k, k)
-
-    def descend(cells: DataFrame, start: str, free: str, want: np.ndarray | None) -> tuple[str, np.ndarray, np.ndarray]:
-        steps: list[tuple[np.ndarray, float]] = []
-        held = f"named_struct('w', {start}, 'y', {start})"
-        state = lambda: _moved(start, steps) if free == "true" else f"IF({free}, {_moved(start, steps)}, {held})"
-        now, ahead = totals(cells, state())
+    def descend(cells: DataFrame, want: np.ndarray | None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        """``cells`` (member, tokens, w, y, free) after the steps, the targets, the totals."""
+        m = cells.where("free").agg(*[F.sum(F.expr(f"tokens * member[{i}] * member[{j}]")) for i in range(k) for j in range(k)]).first()
+        size = 1 / max(float(np.linalg.eigvalsh(np.array([float(x or 0) for x in m]).reshape(k, k)).max()), 1e-30)
+        now, ahead = totals(cells, [])
         if want is None:
             want = np.array(targets if targets is not None else [s * t for s, t in zip(shares, now, strict=True)], float)
-        size = 1 / max(float(np.linalg.eigvalsh(moments(cells, free)).max()), 1e-30)
-        speed, best, best_steps = 1.0, (now - want) @ (now - want), 0
-        since, last = 0, best
+        steps: list[tuple[np.ndarray, float]] = []
+        speed, best, since = 1.0, float((now - want) @ (now - want)), 0
+        last = best
         for _ in range(ITERATIONS):
             if np.abs(now - want).max() <= TOLERANCE * max(np.abs(want).sum(), 1) or since >= 5:
                 break
+            if len(steps) == ROUND:
+                cells, steps = scratch.cut(cells.select("member", "tokens", "free", F.expr(_moved(steps)).alias("s")).select("member", "tokens", "free", "s.w", "s.y")), []
             faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
             steps.append((size * (ahead - want), (speed - 1) / faster))
             speed = faster
-            now, ahead = totals(cells, state())
-            far = (now - want) @ (now - want)
+            now, ahead = totals(cells, steps)
+            far = float((now - want) @ (now - want))
             since = 0 if far < best * (1 - GAIN) else since + 1
-            if far < best:
-                best, best_steps = far, len(steps)
+            best = min(best, far)
             if far > last:  # momentum carries away from the targets: without it the next gradient is taken at the rates
                 steps[-1] = (steps[-1][0], 0.0)
                 speed, ahead = 1.0, now
             last = far
-        del steps[best_steps:]
-        now, _ = totals(cells, state())
-        return f"({state()}).w", want, now
+        return cells.select("member", "tokens", F.expr(_moved(steps)).alias("s")).select("member", "tokens", "s.w"), want, now
 
-    cells = Scratch(table.sparkSession, "cells").cut(cells)
-    first, want, _ = descend(cells, "1D", "true", None)
-    held = f"IF(abs(first - 1D) <= {SNAP}D, 1D, IF(first <= {SNAP}D, 0D, first))"
-    rate, want, now = descend(cells.withColumn("first", F.expr(first)), held, f"abs(first - 1D) > {SNAP}D AND first > {SNAP}D", want)
-    return [first, rate], want, now
+    cells = scratch.cut(table.groupBy("member").agg(F.sum("tokens").alias("tokens")).select("member", "tokens", one.alias("w"), one.alias("y"), F.lit(True).alias("free")))
+    cells, want, _ = descend(cells, None)
+    held = F.when(F.abs(F.col("w") - 1) <= SNAP, 1.0).when(F.col("w") <= SNAP, 0.0).otherwise(F.col("w"))
+    cells = scratch.cut(cells.select("member", "tokens", held.alias("w"), held.alias("y"), ((F.abs(F.col("w") - 1) > SNAP) & (F.col("w") > SNAP)).alias("free")))
+    cells, want, now = descend(cells, want)
+    return scratch.cut(cells.select("member", F.col("w").alias("rate"))), want, now
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], keep: list[str], id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
@@ -216,8 +213,8 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], keep: list
     domains = learn_domains(docs, labels, id_col, text_col)
     k = len(domains.names)
     table = scratch.cut(memberships(docs, domains, keep, text_col))
-    (first, rate), _, _ = fit_rates(table.select("tokens", "member"), k, [targets.get(d, 0.0) for d in domains.names] if targets is not None else None, [shares.get(d, 1.0) for d in domains.names])
-    out = table.withColumn("first", F.expr(first)).withColumn("rate", F.expr(rate))
+    rates, _, _ = fit_rates(table.select("tokens", "member"), k, [targets.get(d, 0.0) for d in domains.names] if targets is not None else None, [shares.get(d, 1.0) for d in domains.names])
+    out = table.join(small(rates), "member")
     names = kept_names(keep, ["n_tokens", "rate", *[f"p_{d}" for d in domains.names]])
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], F.col("tokens").alias("n_tokens"), "rate", *[F.col("member")[i].alias(f"p_{d}") for i, d in enumerate(domains.names)])
 
