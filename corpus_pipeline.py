@@ -12,6 +12,8 @@ are removed when the next one begins.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,44 +28,49 @@ _MADE: list[common.Scratch] = []
 def _stage(f):
     """Remove what the last stage made for itself; note what this one makes."""
 
+    @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _MADE:
-            made = _MADE.pop()
-            made.drop()
-            common._LIVE.remove(made)
-        before = len(common._LIVE)
-        out = f(spark, docs, sf_dir)
-        _MADE.extend(common._LIVE[before:])
-        return out
-
-    run_stage.__name__, run_stage.__doc__ = f.__name__, f.__doc__
+        common.drop_all(_MADE)
+        with common.noting(_MADE):
+            return f(spark, docs, sf_dir)
+
     return run_stage
 
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a clear language."""
-    out = langid.identify(docs.select("text", "lang", F.struct("*").alias("row")), F.lit(True), ["row"])
-    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    """Keep documents of a clear language: null texts, texts without letters and those below ``LEAST_SCORE`` go.
+
+    Learns from all rows with a lang. Repeated rows are judged alike, null ids like others, rows as they are.
+    """
+    return langid.keep_clear(docs, F.lit(True), LEAST_SCORE)
 
 
 @_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of repeated line runs, and documents that they made up."""
-    out = line_dedup.dedup_lines(docs, docs.columns)
-    out = out.where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Delete later copies of repeated line runs, and documents that they made up.
+
+    The first copy in order of doc_id (null ids last, rows of one id in order of reading) stays; of repeated rows
+    the first stays whole. n_chars, if there, follows the text. Null and empty texts stay as they are.
+    """
+    return line_dedup.keep_first_lines(docs)
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
+    """Keep one document of each component of near-duplicates, the one of least id; of repeated rows one.
+
+    Rows without words (null, empty) are like no other and stay; a null id counts as greater than others.
+    """
     return jaccard.keep_first(docs)
 
 
 @_stage
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its rate says."""
+    """Take each document as often as its rate says: 0, 1 or more equal rows.
+
+    Null and empty texts have no tokens and the prior's rate. Without labelled documents all rates are 1.
+    """
     out = mixing.mix(docs.select("doc_id", "text", F.struct("*").alias("row")), domain_labels(spark, sf_dir), SHARES, ["row"])
     times = mixing.copies(F.col("rate"), F.col("row.doc_id"))
     return out.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
@@ -71,7 +78,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in their places in sequences of 1024 tokens."""
+    """Pieces of the documents in their places in sequences of 1024 tokens; null texts are an end alone, each row is packed."""
     return packing.best_two_fit(docs, vocabulary())
 
 
