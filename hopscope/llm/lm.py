@@ -33,8 +33,8 @@ from .common import Scratch, col, kept_names, most_frequent, one_thread, packed_
 SHORT, CLASSES, HEAD, BANDS = 4_096, 64, 131_072, 8
 HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 1_000, 4_000
 LANES, BPTT, RATE, PIECE = 96, 24, 0.01, 4_096
-#: Lanes of tasks, and the share of the rate that they go on with.
-WIDE, LATER = 512, 0.3
+#: Lanes of tasks at most, so that a slice of texts makes so many steps at least, and the share of the rate that they go on with.
+WIDE, LEAST, LATER = 512, 32, 0.3
 END = ""  # no word is empty
 
 
@@ -118,7 +118,7 @@ class Gru:
 
     def ascend(self, voc: Vocabulary, tokens: np.ndarray, before: np.ndarray, reset: np.ndarray, state: dict, later: bool = False) -> None:
         """Steps over all tokens. ``state``: the moments and steps so far; ``later``: at the constant rate of tasks."""
-        lanes = max(1, min(WIDE if later else LANES, len(tokens) // BPTT))
+        lanes = max(1, min(WIDE, len(tokens) // (LEAST * BPTT)) if later else min(LANES, len(tokens) // BPTT))
         length = -(-len(tokens) // lanes)
         if not length:
             return
