@@ -573,7 +573,7 @@ def test_fingerprints_by_hand(spark, texts, monkeypatch):
 
 def test_language_query_ties_and_many_labels(spark, monkeypatch):
     """More labels than 64 are all learned; a text of two languages in equal parts gets one of them; equal rows are judged alike."""
-    for name, value in (("STEPS", 2), ("ROWS", 1 << 10), ("SEQUENCES", 100)):  # a small fit
+    for name, value in (("STEPS", 2), ("SEQUENCES", 100)):  # a small fit
         monkeypatch.setattr(langid, name, value)
     rng = np.random.default_rng(2)
     stems = [f"{a}{b}" for a in "bdfgklmnpr" for b in "aeiou"] + [f"{a}{b}s" for a in "bdfgk" for b in "aeiou"]
