@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http
-from ..sources.pcap import http_messages
+from ..sources.reassembly import http_messages
 from . import aggregate, pairing
 
 #: How a start line of any method, and of a response, looks.

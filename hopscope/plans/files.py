@@ -58,14 +58,14 @@ def _read(rows: DataFrame) -> DataFrame:
 
 @round_trip("S1_pcap_scan", _CAPTURED, "exchange")
 def s1(path, frames):
-    return _read(pcap.read_pcap(frames.sparkSession, _written(path, frames)))
+    return _read(pcap.read_pcap_split(frames.sparkSession, _written(path, frames)))
 
 
 @round_trip("S2_link_types", f"SELECT link::BIGINT AS link, x.* FROM (SELECT unnest([113, 276]) AS link), ({_CAPTURED}) x", "exchange")
 def s2(path, frames):
     out = None
     for link in (pcap.SLL, pcap.SLL2):
-        got = _read(pcap.read_pcap(frames.sparkSession, _written(f"{path}/{link}", frames, link))).select(F.lit(link).cast("bigint").alias("link"), "*")
+        got = _read(pcap.read_pcap_split(frames.sparkSession, _written(f"{path}/{link}", frames, link))).select(F.lit(link).cast("bigint").alias("link"), "*")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -74,7 +74,7 @@ def s2(path, frames):
 def s3(path, frames):
     _written(f"{path}/a/b", frames)
     _written(f"{path}/c", frames)
-    return pcap.read_pcap(frames.sparkSession, path).groupBy("capture").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
+    return pcap.read_pcap_split(frames.sparkSession, path).groupBy("capture").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
 
 
 @round_trip("S4_split_captures", _CAPTURED, "exchange")
@@ -83,16 +83,33 @@ def s4(path, frames):
     return _read(pcap.read_pcap_split(frames.sparkSession, _written(path, frames), 40_000))
 
 
+@round_trip("S4_indexed_captures", _CAPTURED, "exchange")
+def s4b(path, frames):
+    """Captures in pieces of 30,000 bytes, indexed in ranges of 20,000 and read by the data source."""
+    spark = frames.sparkSession
+    pcap.write_pcap(frames.withColumn("ack", F.greatest("ack", F.lit(0))), path, roll_bytes=30_000)
+    pcap.index_captures(spark, path, 20_000)
+    return _read(spark.read.format("pcap").load(path))
+
+
 @round_trip("S6_display_filter", f"SELECT capture, count(*) AS n FROM ({_CAPTURED}) WHERE payload_len = 8 AND (sport = 443 OR dport = 443) GROUP BY capture", "exchange")
 def s6(path, frames):
     """A capture read and filtered as a display filter would: TLS application data on port 443."""
-    rows = pcap.read_pcap(frames.sparkSession, _written(path, frames))
+    rows = pcap.read_pcap_split(frames.sparkSession, _written(path, frames))
     return rows.where(tls.is_application_data(F.col("payload")) & ((F.col("sport") == 443) | (F.col("dport") == 443))).groupBy("capture").agg(F.count("*").alias("n"))
 
 
 @round_trip("K10_filtered_capture", "SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY frame) AS frame, ts_us, payload_len::BIGINT AS payload_len FROM exchange WHERE dport = 80", "exchange")
 def k10(path, frames):
-    return _read(pcap.read_pcap(frames.sparkSession, _written(path, frames.where("dport = 80")))).select("capture", "frame", "ts_us", "payload_len")
+    return _read(pcap.read_pcap_split(frames.sparkSession, _written(path, frames.where("dport = 80")))).select("capture", "frame", "ts_us", "payload_len")
+
+
+@round_trip("K10_rolled_pieces", "SELECT capture, count(*) AS n, max(frame) AS frames, sum(payload_len)::BIGINT AS bytes FROM (SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY frame) AS frame, payload_len FROM exchange) GROUP BY capture", "exchange")
+def k10b(path, frames):
+    """Captures in pieces, numbered through; a second write of half of them takes their place."""
+    pcap.write_pcap(frames.where("frame % 2 = 0"), path)
+    pcap.write_pcap(frames.withColumn("ack", F.greatest("ack", F.lit(0))), path, roll_bytes=50_000)
+    return _read(pcap.read_pcap_split(frames.sparkSession, path, 70_000)).groupBy("capture").agg(F.count("*").alias("n"), F.max("frame").alias("frames"), F.sum("payload_len").alias("bytes"))
 
 
 # Tables of fields.

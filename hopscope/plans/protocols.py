@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import http, latency, net
 from ..operators import aggregate, enrich, mixture, models, pairing
 from ..operators import http as web
-from ..sources import pcap
+from ..sources import reassembly
 from . import queries as q
 from .queries import _DST, _PFX, _SIG, _duck_in, _duck_mask, _draws, _PDF, _pair_draws, long, r6
 
@@ -117,12 +117,21 @@ _FRAMED = f"""SELECT capture, src, sport, dst, dport, frame, CASE WHEN starts_wi
 def h1(frames):
     """Segments are mixed and repeated before they are put together again."""
     doubled = frames.where("payload_len > 0").unionByName(frames.where("payload_len > 0 AND frame % 3 = 0").withColumn("frame", F.col("frame") + 5))
-    return pcap.reassembled(doubled).select("capture", "src", long("sport").alias("sport"), "dst", long("dport").alias("dport"), long(F.octet_length("data")).alias("bytes"), "segments", F.md5("data").alias("digest"))
+    return reassembly.reassembled(doubled).select("capture", "src", long("sport").alias("sport"), "dst", long("dport").alias("dport"), F.col("size").alias("bytes"), "segments", F.md5("data").alias("digest"))
 
 
 @query("H2_http_messages", f"SELECT capture, src, sport::BIGINT AS sport, dst, dport::BIGINT AS dport, row_number() OVER (PARTITION BY capture, src, sport, dst, dport ORDER BY frame) - 1 AS n, frame, kind, m AS message FROM ({_FRAMED})", "exchange")
 def h2(frames):
-    return pcap.http_messages(frames).select("capture", "src", long("sport").alias("sport"), "dst", long("dport").alias("dport"), long("n").alias("n"), "frame", "kind", "message")
+    return reassembly.http_messages(frames).select("capture", "src", long("sport").alias("sport"), "dst", long("dport").alias("dport"), long("n").alias("n"), "frame", "kind", "message")
+
+
+@query("H2_flow_report", "SELECT capture, src, sport::BIGINT AS sport, dst, dport::BIGINT AS dport, count(*) AS segments, sum(payload_len)::BIGINT - coalesce(sum(payload_len) FILTER (frame % 41 = 0), 0)::BIGINT AS passed, 0::BIGINT AS waiting FROM exchange WHERE payload_len > 0 GROUP BY ALL HAVING count(*) FILTER (frame % 41 = 0) = 0", "exchange")
+def h2b(frames):
+    """What became of the bytes of flows of which no segment was cut short; a cut one's successors wait, which a bound of memory ends."""
+    cut = frames.withColumn("payload", F.when(F.col("frame") % 41 == 0, F.expr("substring(payload, 1, octet_length(payload) - 1)")).otherwise(F.col("payload")))
+    report = reassembly.flow_report(cut)
+    whole = frames.where("payload_len > 0").groupBy(*reassembly.FLOW).agg(F.count_if(F.col("frame") % 41 == 0).alias("cut")).where("cut = 0")
+    return report.join(whole, reassembly.FLOW, "left_semi").select("capture", "src", long("sport").alias("sport"), "dst", long("dport").alias("dport"), "segments", "passed", "waiting")
 
 
 _LINE = f"string_split(block, {_CRLF})[1]"

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopscope.functions import http
-from hopscope.sources import pcap, tables
+from hopscope.sources import boundaries, pcap, reassembly, tables
 from hopscope.streaming import pairs
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -71,7 +71,7 @@ def test_pcapng_is_refused(spark, tmp_path):
 
 
 def test_messages_and_fingerprints(spark, folder):
-    got = pcap.http_messages(pcap.read_pcap(spark, f"{folder}/eth.pcap")).select("kind", "message", http.fingerprint(F.col("message")).alias("sha")).collect()
+    got = reassembly.http_messages(pcap.read_pcap(spark, f"{folder}/eth.pcap")).select("kind", "message", http.fingerprint(F.col("message")).alias("sha")).collect()
     assert {r["kind"]: r["message"] for r in got} == {"REQ": REQ.decode(), "RESP": RESP.decode()}
     import hashlib
 
@@ -86,9 +86,9 @@ def test_requests_of_any_method_and_whole_header_names(spark, tmp_path):
     both = first + second  # pipelined in one segment: the first one's snippet runs into the second
     (tmp_path / "a.pcap").write_bytes(capture([tcp(*c, *s, 1, 1, both[:70]), tcp(*c, *s, 71, 1, both[70:])]))
     rows = pcap.read_pcap(spark, str(tmp_path))
-    strict = [(r["n"], r["kind"], r["message"].encode()) for r in pcap.http_messages(rows, strict=True).orderBy("n").collect()]
+    strict = [(r["n"], r["kind"], r["message"].encode()) for r in reassembly.http_messages(rows, strict=True).orderBy("n").collect()]
     assert strict == [(0, "REQ", first), (1, "REQ", second)]
-    loose = [r["message"].encode() for r in pcap.http_messages(rows).orderBy("n").collect()]
+    loose = [r["message"].encode() for r in reassembly.http_messages(rows).orderBy("n").collect()]
     assert loose == [both[:70], second]
 
 
@@ -106,7 +106,7 @@ def test_split_captures(spark, tmp_path):
 
 
 def test_reassembly():
-    assert pcap.reassemble([(10, b"ab"), (14, b"ef"), (12, b"cd"), (12, b"XX"), (16, b"")]) == b"abcdef"
+    assert reassembly.reassemble([(10, b"ab"), (14, b"ef"), (12, b"cd"), (12, b"XX"), (16, b"")]) == b"abcdef"
 
 
 def test_files(spark, tmp_path):
