@@ -6,61 +6,108 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.latency import bin_of
+from ..scratch import cut, few
 
 
-#: Buckets of a key's values between which running counts are carried.
-BUCKETS = 64
+#: Ranges of a key's values between which running counts are carried, and rows of a key up to which one task puts them in order.
+BUCKETS, PLAIN = 64, 1 << 20
+#: Selection of ranks: accuracy of the sketch that brackets them, and values of a key up to which a task puts those inside a bracket in order.
+ACCURACY, INSIDE = 2_000, 1 << 18
 
 
-def _bucketed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``_b``: the part of its key's range that a value lies in, by approximate quantiles of the rows."""
-    edges = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1_000).alias("_edges"))
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with ``columns`` of their keys' row in a small written table."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(table.select(*columns)))  # one row
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    joined = rows.alias("l").join(edges.alias("r"), same) if keys else rows.alias("l").crossJoin(F.broadcast(edges).alias("r"))  # one row
-    return joined.select("l.*", F.size(F.filter("_edges", lambda e: e < F.col(f"l.{value}"))).alias("_b"))
+    return rows.alias("l").join(few(table).alias("r"), same).select("l.*", *[F.col(f"r.{c}") for c in columns])
+
+
+def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_b``: the part of its key's range that a value lies in, by approximate quantiles of the rows."""
+    edges = cut(rows.groupBy(*keys).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1_000).alias("_edges")))
+    return _joined(rows, edges, keys, ["_edges"]).select(*rows.columns, F.size(F.filter("_edges", lambda e: e < F.col(value))).alias("_b"))
 
 
 def running(rows: DataFrame, keys: list[str], value: str, order: list[str] | None = None, count: str | None = None, name: str = "upto") -> DataFrame:
     """Add ``name``: how many rows of the same keys (or their sum of ``count``) come up to this one in order of ``value``, then ``order``.
 
-    A two-level prefix sum: values are dealt into ranges, whose totals are added up first, so that no key's rows
-    meet in one task. Without ``order`` values should be distinct within their keys.
+    Keys of up to ``PLAIN`` rows each are put in order by a task a key. Beyond, it is a two-level prefix sum: values are
+    dealt into ranges, whose totals are added up first, so that no key's rows meet in one task. Without
+    ``order`` values should be distinct within their keys.
     """
-    dealt = _bucketed(rows, keys, value)
-    n = F.sum(count) if count else F.count("*")
-    totals = dealt.groupBy(*keys, "_b").agg(n.alias("_n"))
-    before = totals.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")  # BUCKETS rows a key
-    own = Window.partitionBy(*keys, "_b").orderBy(value, *(order or []))
-    within = F.sum(count).over(own) if count else F.row_number().over(own)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
-    out = dealt.withColumn("_within", within).alias("l").join(before.alias("r"), same)
-    return out.select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_within") + F.col("_before")).cast("bigint").alias(name))
+
+    def upto(by: list) -> Column:
+        own = Window.partitionBy(*by).orderBy(value, *(order or []))
+        return (F.sum(count).over(own) if count else F.row_number().over(own)).cast("bigint")
+
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= PLAIN:
+        return rows.select("*", upto(keys or [F.lit(0)]).alias(name))
+    dealt = _dealt(rows, keys, value)
+    totals = dealt.groupBy(*keys, "_b").agg((F.sum(count) if count else F.count("*")).alias("_n"))
+    before = cut(totals.select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_before")))  # BUCKETS rows a key
+    out = _joined(dealt.withColumn("_within", upto([*keys, "_b"])), before, [*keys, "_b"], ["_before"])
+    return out.select(*rows.columns, (F.col("_within") + F.col("_before")).cast("bigint").alias(name))
 
 
 def _value_counts(rows: DataFrame, value: Column, keys: list[str]) -> DataFrame:
     """Distinct values of each key with their counts, and with the counts up to each and in all: v, c, upto, n."""
-    counts = rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    total = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    upto = running(counts, keys, "v", count="c")
-    if not keys:
-        return upto.crossJoin(F.broadcast(total))  # one row
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return upto.alias("l").join(total.alias("r"), same).select("l.*", "r.n")
+    counts = cut(rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c")))
+    total = cut(counts.groupBy(*keys).agg(F.sum("c").alias("n")))
+    return _joined(running(counts, keys, "v", count="c"), total, keys, ["n"])
 
 
-def percentiles(rows: DataFrame, value: Column, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles, a column for each of a few: the values at two ranks are found by running counts."""
-    from functools import reduce
+def _narrowed(found: DataFrame, by: list[str], asked: DataFrame) -> DataFrame:
+    """Counts of values (``by``, v, c; a null v stands for all that lie below) without those that can't be at the ranks asked for."""
+    dealt = _dealt(found.where("v IS NOT NULL"), by, "v")
+    totals = dealt.groupBy(*by, "_b").agg(F.sum("c").alias("_n")).unionByName(found.where("v IS NULL").select(*by, F.lit(-1).alias("_b"), F.col("c").alias("_n")))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b"))  # BUCKETS rows a key
+    spans = _joined(totals.withColumn("_upto", upto), asked, by, ["r0", "r1"]).where("_upto > r0 AND _upto - _n <= r1 AND _b >= 0")
+    spans = cut(spans.select(*by, "_b", (F.col("_upto") - F.col("_n")).alias("_before")))
+    below = spans.groupBy(*by).agg(F.min("_before").alias("c")).select(*by, F.lit(None).cast(found.schema["v"].dataType).alias("v"), "c")
+    return _joined(dealt, spans, [*by, "_b"], []).select(*by, "v", "c").unionByName(below)
 
-    v = _value_counts(rows, value, keys)
-    lo = F.col("upto") - F.col("c")
-    holds = lambda r: (lo <= r) & (r < F.col("upto"))
-    place = {name: F.lit(p) * (F.col("n") - 1) for name, p in at.items()}
-    low = {name: F.floor(x) for name, x in place.items()}
-    high = {name: F.ceil(x) for name, x in place.items()}
-    kept = v.where(reduce(lambda a, b: a | b, [holds(r) for side in (low, high) for r in side.values()]))
-    pick = lambda name, side: F.max(F.when(holds(side[name]), F.col("v")))
-    return kept.groupBy(*keys).agg(*[(pick(name, low) + F.max(place[name] - low[name]) * (pick(name, high) - pick(name, low))).alias(name) for name in at])
+
+def _selected(rows: DataFrame, keys: list[str], at: dict[str, float], extra: list[Column]) -> DataFrame:
+    """For each key: n, ``extra``, and the interpolated percentiles of ``v`` under their names.
+
+    A sketch brackets each rank, with some thousandths of the rows between. The rows are read once more: those below a bracket are
+    counted, those inside are counted by value. Where there are many values inside, they are dealt into ranges, and the range of the rank is
+    kept, until a task can put them in order. Only counts are shuffled.
+    """
+    off, by = 3.0 / ACCURACY, [*keys, "place"]
+    marks = [min(1.0, max(0.0, p + d)) for p in at.values() for d in (-off, off)]
+    sketch = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", marks, ACCURACY).alias("_marks"), *extra))
+    most = sketch.agg(F.max("n")).first()[0] or 0
+    wide = F.col("n") > INSIDE
+    places = F.array(*[
+        F.struct(F.lit(name).alias("place"), F.when(wide & F.lit(p > off), F.col("_marks")[2 * i]).alias("lo"), F.when(wide & F.lit(p < 1 - off), F.col("_marks")[2 * i + 1]).alias("hi"),
+                 F.floor(F.lit(p) * (F.col("n") - 1)).alias("r0"), F.ceil(F.lit(p) * (F.col("n") - 1)).alias("r1"), (F.lit(p) * (F.col("n") - 1)).alias("r"))
+        for i, (name, p) in enumerate(at.items())
+    ])
+    sketch = sketch.withColumn("_places", places).drop("_marks")
+    asked = sketch.select(*keys, F.explode("_places").alias("p")).select(*keys, "p.*")
+    near = _joined(rows, sketch, keys, ["_places"]).select(*keys, "v", F.explode(F.filter("_places", lambda p: p["hi"].isNull() | (F.col("v") <= p["hi"]))).alias("p"))
+    found = near.groupBy(*keys, F.col("p.place").alias("place"), F.when(F.col("p.lo").isNull() | (F.col("v") >= F.col("p.lo")), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    while most > INSIDE:
+        found = cut(found)
+        most = found.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if most > INSIDE + 1:
+            found = _narrowed(found, by, asked)
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_first()))
+    ranked = _joined(found.withColumn("upto", upto), asked, by, ["r0", "r1", "r"])
+    holds = lambda r: (F.col("upto") - F.col("c") <= F.col(r)) & (F.col(r) < F.col("upto"))
+    value = lambda name, r: F.max(F.when((F.col("place") == name) & holds(r), F.col("v")))
+    part = lambda name: F.max(F.when(F.col("place") == name, F.col("r") - F.col("r0")))
+    got = ranked.where(holds("r0") | holds("r1")).groupBy(*keys).agg(*[(value(name, "r0") + part(name) * (value(name, "r1") - value(name, "r0"))).alias(name) for name in at])
+    return _joined(got, sketch.drop("_places"), keys, [c for c in sketch.columns if c not in (*keys, "_places")])
+
+
+def percentiles(rows: DataFrame, value: Column, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of each key, a column for each of a few."""
+    kept = rows.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL")
+    return _selected(kept, keys, at, []).select(*keys, *at)
 
 
 def quantiles(rows: DataFrame, value: Column, keys: list[str], points: int) -> DataFrame:
@@ -84,17 +131,11 @@ def quantiles(rows: DataFrame, value: Column, keys: list[str], points: int) -> D
 
 
 def summary(rows: DataFrame, value: Column, key: str) -> DataFrame:
-    """count, min, max, mean, median of ``value`` for each ``key`` and for all rows (key ALL), from counts of distinct values."""
-    counts = rows.select(F.col(key).alias("k"), value.alias("v")).where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("c"))
-    levels = counts.unionByName(counts.groupBy("v").agg(F.sum("c").alias("c")).select(F.lit("ALL").alias("k"), "v", "c"))
-    upto = running(levels, ["k"], "v", count="c")
-    stats = levels.groupBy("k").agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    same = F.col("l.k").eqNullSafe(F.col("r.k"))
-    lo, low, high = F.col("upto") - F.col("c"), F.expr("(n - 1) DIV 2"), F.expr("n DIV 2")
-    ranked = upto.alias("l").join(stats.alias("r"), same).select("r.*", "l.v", "l.c", "l.upto")
-    at = lambda r: F.max(F.when((lo <= r) & (r < F.col("upto")), F.col("v")))
-    out = ranked.where(((lo <= low) & (low < F.col("upto"))) | ((lo <= high) & (high < F.col("upto")))).groupBy("k", "n", "least", "most", "mean").agg(((at(low) + at(high)) / 2).alias("median"))
-    return out.withColumnRenamed("k", key)
+    """count, min, max, mean, median of ``value`` for each ``key`` and for all rows (key ALL). The rows are worked out once."""
+    kept = cut(rows.select(F.col(key).alias("k"), value.alias("v")).where("v IS NOT NULL"))
+    levels = kept.select(F.explode(F.array("k", F.lit("ALL"))).alias("k"), "v")
+    out = _selected(levels, ["k"], {"median": 0.5}, [F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean")])
+    return out.select(F.col("k").alias(key), "n", "least", "most", "mean", "median")
 
 
 def histogram(rows: DataFrame, latency: Column, width_us: int, top_us: int, keys: list[str]) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net, tls
 from ..operators import mixture
+from ..scratch import folder
 from ..sources import pcap, tables
 from . import queries as q
 from .queries import _DST, _LOOSE, _MOM, long, r6
@@ -20,17 +16,6 @@ from .views import view
 _before = set(q.QUERIES)
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; of this process alone where Spark is local and names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="hopscope-files-")
-        atexit.register(shutil.rmtree, shared, True)
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def round_trip(name: str, sql: str, *views: str):
     """Register a query of its views and a path to write to."""
 

@@ -193,3 +193,25 @@ def test_normal_distribution(spark):
 def test_ciphers_are_distinct():
     codes = [c for c, _, _ in tls.CIPHERS]
     assert len(codes) == len(set(codes)) == 27
+
+
+@pytest.mark.parametrize("inside, plain", [(1 << 18, 1 << 20), (12, 1 << 20), (12, 20)])
+def test_ranks_by_narrowing(spark, monkeypatch, inside, plain):
+    """Keys of any size, with hot values and nulls, whatever a task may hold."""
+    monkeypatch.setattr(aggregate, "INSIDE", inside)
+    monkeypatch.setattr(aggregate, "PLAIN", plain)
+    monkeypatch.setattr(aggregate, "ACCURACY", 40)
+    monkeypatch.setattr(aggregate, "BUCKETS", 5)
+    rng = random.Random(11)
+    rows = [(rng.choice("aaaab"), rng.choice([0.25, rng.random(), rng.random() ** 9])) for _ in range(4000)] + [("hot", 3.0)] * 900 + [("two", 1.0), ("two", 2.0), ("one", 7.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in aggregate.percentiles(df, F.col("v"), ["k"], at).collect()}
+    for k in ("a", "b", "hot", "two", "one"):
+        want = np.quantile([v for q, v in rows if q == k and v is not None], list(at.values()))
+        assert [got[k][n] for n in at] == pytest.approx(list(want), abs=1e-12), k
+    whole = aggregate.percentiles(df, F.col("v"), [], {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5), abs=1e-12)
+    ranked = aggregate.running(df.where("v IS NOT NULL").withColumn("i", F.monotonically_increasing_id()), ["k"], "v", ["i"]).where("k = 'a'").orderBy("upto").collect()
+    assert [r["v"] for r in ranked] == sorted(v for q, v in rows if q == "a" and v is not None) and [r["upto"] for r in ranked] == list(range(1, len(ranked) + 1))
+    assert aggregate.percentiles(df.where("false"), F.col("v"), ["k"], at).count() == 0
