@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.net import network
 
-#: Rows of a pattern table that are broadcast at once, and of a prefix table that is broadcast; characters that patterns meet lines by.
-CHUNK, BROADCAST, GRAM = 2_000, 500_000, 4
+#: Rows of a pattern table that are taken at once, and of a prefix table that is broadcast.
+CHUNK, BROADCAST = 50_000, 500_000
 
 
 def _ladder(prefixes: DataFrame, number: str) -> tuple[list[tuple[int, Column]], bool]:
@@ -61,29 +64,85 @@ def on_allow_list(rows: DataFrame, allowed: DataFrame, columns: list[str], key:
     return rows.where(F.coalesce(*flags).isNotNull()).drop(*flags)
 
 
+def _automaton(needles: list[str]):
+    """A function from a batch's lines to (line, needle) numbers of all needles that the lines hold."""
+    try:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, needle in enumerate(needles):
+            found.add_word(needle, i)
+        found.make_automaton()
+
+        def search(lines: pa.Array) -> tuple[list[int], list[int]]:
+            at, hit = [], []
+            for i, line in enumerate(lines.to_pylist()):
+                if line:
+                    own = {k for _, k in found.iter(line)}
+                    at += [i] * len(own)
+                    hit += sorted(own)
+            return at, hit
+    except ImportError:  # needle by needle
+
+        def search(lines: pa.Array) -> tuple[list[int], list[int]]:
+            pairs = sorted((i, k) for k, needle in enumerate(needles) for i in pc.indices_nonzero(pc.fill_null(pc.match_substring(lines, needle), False)).to_pylist())
+            return [i for i, _ in pairs], [k for _, k in pairs]
+
+    return search
+
+
+def holding(rows: DataFrame, line: str, needles: list[str], name: str) -> DataFrame:
+    """Each row once for each of the distinct ``needles`` that ``line`` holds, with its number in ``name``.
+
+    The needles are put into an automaton (Aho-Corasick) that each task builds once and runs over its lines: rows stay where they are,
+    whatever their length and the number of needles.
+    """
+    schema = StructType([*rows.schema.fields, StructField(name, IntegerType())])
+
+    def run(batches):
+        search = None
+        for batch in batches:
+            search = search or _automaton(needles)
+            at, hit = search(batch.column(batch.schema.get_field_index(line)))
+            if at:
+                kept = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hit, pa.int32())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, schema)
+
+
 def match_patterns(rows: DataFrame, patterns: DataFrame, condition: Column, line: str | None = None, needle: Column | None = None) -> DataFrame:
     """All (row, pattern) pairs that meet ``condition``, which asks for substrings.
 
-    ``needle``: a text of the pattern that ``line`` has to hold for the condition to be met. Then rows meet patterns by
-    equality of ``GRAM`` characters, the needle's first ones and any of the line's, so work doesn't grow with rows
-    times patterns. Shorter needles, or all without one, are compared with each row: they are dealt by the hash of
-    ``pattern_id`` (any type) into parts of about ``CHUNK`` rows, each broadcast on its own.
+    ``needle``: a text of the pattern that ``line`` has to hold for the condition to be met. Then lines are searched for all needles at once
+    (``holding``), and what is found meets its patterns by the needle's number; rows aren't shuffled. Patterns are dealt by the hash of ``pattern_id`` (any type) into
+    parts of about ``CHUNK`` patterns, of which an automaton is made and which are broadcast, each on its own. Without
+    ``needle``, and for patterns whose needle is empty, each row is compared with each pattern of a part.
     """
     if needle is not None:
-        long = patterns.withColumn("_needle", F.substring(needle, 1, GRAM)).where(F.length("_needle") == GRAM)
-        at = F.sequence(F.lit(1), F.length(line) - (GRAM - 1))
-        grams = F.array_distinct(F.transform(F.when(F.length(line) >= GRAM, at), lambda i: F.substr(F.col(line), i, F.lit(GRAM))))
-        near = rows.withColumn("_gram", F.explode(grams))
-        out = near.join(long, F.col("_gram") == F.col("_needle")).where(condition).drop("_gram", "_needle")
-        short = patterns.where(F.coalesce(F.length(needle), F.lit(0)) < GRAM)
-        return out if short.isEmpty() else out.unionByName(match_patterns(rows, short, condition))
-    parts = max(1, -(-patterns.count() // CHUNK))
+        patterns = patterns.withColumn("_needle", F.coalesce(needle, F.lit("")))
+        found = patterns.where("_needle <> ''")
+        empty = patterns.where("_needle = ''").drop("_needle")
+        out = None
+        for part in _parts(found):
+            distinct = sorted(r[0] for r in part.select("_needle").distinct().collect())  # about CHUNK
+            numbers = rows.sparkSession.createDataFrame(list(enumerate(distinct)), "_at int, _needle string")
+            known = part.join(F.broadcast(numbers), "_needle").drop("_needle")
+            got = holding(rows, line, distinct, "_at").join(F.broadcast(known), "_at").where(condition).drop("_at")
+            out = got if out is None else out.unionByName(got)
+        if out is None:
+            return match_patterns(rows, empty, condition)
+        return out if empty.isEmpty() else out.unionByName(match_patterns(rows, empty, condition))
     out = None
-    for k in range(parts):
-        part = patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(parts)) == k) if parts > 1 else patterns
+    for part in _parts(patterns):
         got = rows.join(F.broadcast(part), condition)
         out = got if out is None else out.unionByName(got)
-    return out
+    return out if out is not None else rows.join(F.broadcast(patterns), condition)
+
+
+def _parts(patterns: DataFrame) -> list[DataFrame]:
+    parts = -(-patterns.count() // CHUNK)
+    return [patterns.where(F.pmod(F.xxhash64("pattern_id"), F.lit(parts)) == k) if parts > 1 else patterns for k in range(parts)]
 
 
 def longest(tokens: Column) -> Column:

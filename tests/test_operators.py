@@ -98,6 +98,21 @@ def test_patterns_in_chunks(spark, monkeypatch):
     assert sorted((r["i"], r["pattern"]) for r in found.collect()) == want
 
 
+def test_needles_without_the_automaton(spark, monkeypatch):
+    import sys
+
+    lines = [None, "", "abcab", "xéy", "a" * 50]
+    want = sorted((i, k) for i, x in enumerate(lines) for k, p in enumerate(["ab", "a", "é", "zz"]) if x and p in x)
+    for gone in (False, True):
+        if gone:
+            monkeypatch.setitem(sys.modules, "ahocorasick", None)
+        at, hit = enrich._automaton(["ab", "a", "é", "zz"])(enrich.pa.array(lines))
+        assert sorted(zip(at, hit, strict=True)) == want
+    got = enrich.holding(spark.createDataFrame(list(enumerate(lines)), "i int, line string").repartition(2), "line", ["ab", "a", "é", "zz"], "k")
+    assert sorted(map(tuple, got.select("i", "k").collect())) == want
+    assert "Exchange" not in enrich.holding(spark.range(3).selectExpr("id", "string(id) AS line"), "line", ["1"], "k")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_addresses(spark):
     rows = spark.createDataFrame([("999.1.1.1",), ("01.2.3.4",), ("10.0.0.1",), ("100.64.0.1",), ("224.0.0.1",), ("192.0.0.9",), ("192.0.0.8",), ("x",), (None,), ("8.8.8.8",)], "ip string")
     got = {r["ip"]: (r["n"], r["p"]) for r in rows.select("ip", net.ip_number(F.col("ip")).alias("n"), net.is_public(F.col("ip")).alias("p")).collect()}
