@@ -1,16 +1,19 @@
 """Fitting of 1-D mixtures (EM, BIC) and kernel densities on pre-aggregated samples.
 
-Samples are first counted on a grid (``grid`` seconds: 100 us for mixtures, 1 ms for densities by default), so a
-group that is fitted in one task is bounded by the grid, not by the number of samples.
+Samples are first counted, on a grid (``grid`` seconds: 100 us for mixtures, 1 ms for densities by default). EM
+runs on the counts where they lie: tasks send the sums that a round needs, so no group of samples meets in a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 MODEL = "model_id string, k int, n long, loglik double, bic double, comp int, weight double, mean double, var double"
 
 
@@ -28,48 +31,134 @@ def scored(rows: DataFrame, value: str, model: DataFrame, keys: list[str]) -> Da
     return sums.withColumn("bic", bic(F.col("loglik"), F.col("k"), F.col("n"), F.ln))
 
 
-def em(x: np.ndarray, c: np.ndarray, k: int, rounds: int = 200, tol: float = 1e-6, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """EM on values ``x`` with counts ``c`` from quantile starts; (weights, means, variances, log-likelihood)."""
-    n = c.sum()
-    order = np.argsort(x)
-    upto = np.cumsum(c[order]) / n
-    mean = x[order][np.minimum(np.searchsorted(upto, (np.arange(k) + 0.5) / k), len(x) - 1)].astype(float)
-    total = (c * x).sum() / n
-    var = np.full(k, max(floor, (c * (x - total) ** 2).sum() / n / k))
-    weight, last = np.full(k, 1 / k), -np.inf
-    for _ in range(rounds):
-        log = np.log(weight) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
-        top = log.max(1, keepdims=True)
-        p = np.exp(log - top)
-        s = p.sum(1, keepdims=True)
-        loglik = float((c * (top + np.log(s))[:, 0]).sum())
-        r = p / s * c[:, None]
-        mass = r.sum(0) + 1e-12
-        weight, mean = mass / n, (r * x[:, None]).sum(0) / mass
-        var = np.maximum((r * (x[:, None] - mean) ** 2).sum(0) / mass, floor)
-        if abs(loglik - last) <= tol * n:
-            break
-        last = loglik
-    return weight / weight.sum(), mean, var, loglik
-
-
-def fit_mixtures(latency: DataFrame, key: str, value: str, ks: list[int], grid: float = 1e-4, best: bool = True) -> DataFrame:
+#: Rounds of EM, the gain of the mean log-likelihood at which a fit ends, the least variance, and fits (key, k) that are worked on at once.
+ROUNDS, GAIN, FLOOR, FITS = 100, 1e-3, 1e-6, 4_096
+
+
+def value_counts(latency: DataFrame, key: str, value: str, grid: float | None) -> DataFrame:
+    """Values, on a grid if one is given, with their counts: model_id, x, c."""
+    x = F.col(value) if grid is None else F.round(F.col(value) / grid) * grid
+    return latency.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("model_id"), x.alias("x")).agg(F.count("*").cast("double").alias("c"))
+
+
+def starts(counts: DataFrame, ks: list[int]) -> DataFrame:
+    """Where fits begin: equal weights, means at even steps between the least and the greatest value, variances of the square of half a step.
+
+    model_id, k, n, comp, weight, mean, var; keys with fewer than 2 samples have none.
+    """
+    span = counts.groupBy("model_id").agg(F.sum("c").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n >= 2")
+    each = span.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("comp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    step = (F.col("high") - F.col("low")) / F.col("k")
+    return each.select("model_id", "k", F.col("n").cast("long").alias("n"), "comp", (F.lit(1.0) / F.col("k")).alias("weight"), (F.col("low") + (F.col("comp") + 0.5) * step).alias("mean"), F.greatest(step * step / 4, F.lit(FLOOR)).alias("var"))
+
+
+Fits = dict[tuple[str, int], np.ndarray]
+
+
+def _packed_fits(rows: list, n: dict) -> Fits:
+    out: dict[tuple[str, int], list] = {}
+    for r in sorted(rows, key=lambda r: (str(r["model_id"]), r["k"], r["comp"])):
+        out.setdefault((r["model_id"], r["k"]), []).append((r["weight"], r["mean"], r["var"]))
+        n[r["model_id"]] = r["n"]
+    return {key: np.array(v).T for key, v in out.items()}
+
+
+def expectations(counts: DataFrame, fits: Fits) -> dict[tuple[str, int], tuple[np.ndarray, float]]:
+    """One pass: for each fit the sums of responsibility, of it times x and times x squared (3, k), and the log-likelihood.
+
+    A task adds up its values' shares for all fits of its keys and sends one row a fit; those rows are added up by fit, in a fixed
+    order. x counts from the fit's own means, so that the sums lose no digits.
+    """
+    held = counts.sparkSession.sparkContext.broadcast(fits)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        by_key: dict[str, list] = {}
+        for key in held.value:
+            by_key.setdefault(key[0], []).append(key)
+        for batch in batches:
+            df = batch.to_pandas()
+            for name, own in df.groupby("model_id", dropna=False, sort=False):
+                name = None if name != name else name
+                x, c = own["x"].to_numpy(float), own["c"].to_numpy(float)
+                for key in by_key.get(name, []):
+                    w, m, v = held.value[key]
+                    z = x[:, None] - m
+                    with np.errstate(divide="ignore"):
+                        log = np.log(w) - 0.5 * (np.log(2 * np.pi * v) + z * z / v)
+                    top = log.max(1, keepdims=True)
+                    p = np.exp(log - top)
+                    s = p.sum(1, keepdims=True)
+                    r = p / s * c[:, None]
+                    own_sums = np.concatenate([r.sum(0), (r * z).sum(0), (r * z * z).sum(0), [float((c * (top + np.log(s))[:, 0]).sum())]])
+                    sums[key] = sums[key] + own_sums if key in sums else own_sums
+        if sums:
+            part = TaskContext.get().partitionId()
+            keys = list(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([part] * len(keys), pa.int32()), pa.array([sums[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["model_id", "k", "part", "s"])
+
+    parts = counts.mapInArrow(run, "model_id string, k int, part int, s array<double>")
+    each = parts.select("model_id", "k", "part", F.posexplode("s").alias("i", "v")).groupBy("model_id", "k", "i").agg(F.array_sort(F.collect_list(F.struct("part", "v"))).alias("v"))  # a value of each task
+    added = each.select("model_id", "k", "i", F.aggregate("v", F.lit(0.0), lambda a, x: a + x["v"]).alias("v"))
+    out: dict[tuple[str, int], np.ndarray] = {}
+    for r in added.collect():  # 3 k + 1 numbers a fit
+        key = r["model_id"], r["k"]
+        out.setdefault(key, np.zeros(3 * key[1] + 1))[r["i"]] = r["v"]
+    held.unpersist()
+    return {key: (v[:-1].reshape(3, -1), float(v[-1])) for key, v in out.items()}
+
+
+def stepped(fit: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weights, means and variances (3, k) after one round."""
+    mass = sums[0] + 1e-12
+    shift = sums[1] / mass
+    return np.stack([mass / mass.sum(), fit[1] + shift, np.maximum(sums[2] / mass - shift * shift, FLOOR)])
+
+
+def em_rounds(counts: DataFrame, begin: DataFrame, rounds: int = ROUNDS, gain: float = GAIN) -> DataFrame:
+    """Mixtures after EM on counted values (``value_counts``) from ``starts``: ``MODEL``, components by mean.
+
+    All fits of all keys go on side by side, a pass over the values a round, until a round's mean log-likelihood gains less than ``gain`` (negative: all
+    ``rounds``). Values stay with their tasks; what moves is the fits' sums. ``FITS`` fits at most are worked on at once.
+    """
+    spark = counts.sparkSession
+    counts, begin = cut(counts), cut(begin)
+    wanted = sorted(tuple(r) for r in begin.select("model_id", "k").distinct().collect())
+    out: list[tuple] = []
+    for a in range(0, len(wanted), FITS):
+        some = spark.createDataFrame(wanted[a : a + FITS], "model_id string, k int")
+        n: dict[str, int] = {}
+        same = begin["model_id"].eqNullSafe(some["model_id"]) & (begin["k"] == some["k"])
+        fits = _packed_fits(begin.join(F.broadcast(some), same, "left_semi").collect(), n)
+        last: dict[tuple[str, int], float] = {}
+        going = dict(fits)
+        for _ in range(rounds):
+            for key, (sums, loglik) in expectations(counts, going).items():
+                fits[key] = stepped(fits[key], sums)
+                if loglik - last.get(key, -np.inf) <= gain * n[key[0]]:
+                    going.pop(key)
+                else:
+                    going[key] = fits[key]
+                last[key] = loglik
+            if not going:
+                break
+        ends = expectations(counts, fits)
+        for key, (_, loglik) in sorted(ends.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+            order = np.lexsort((fits[key][2], fits[key][1]))
+            for comp, j in enumerate(order):
+                out.append((key[0], key[1], int(n[key[0]]), loglik, float(bic(loglik, key[1], n[key[0]])), comp, *(float(z) for z in fits[key][:, j])))
+    return spark.createDataFrame(out, MODEL)
+
+
+def fit_mixtures(latency: DataFrame, key: str, value: str, ks: list[int], grid: float | None = 1e-4, best: bool = True, rounds: int = ROUNDS, gain: float = GAIN) -> DataFrame:
     """A model row for each component of each (key, k), or of each key's k of least BIC (the least k of equals).
 
-    Keys with fewer than 2 samples have no model.
+    Values are counted first, on a grid if one is given. Keys with fewer than 2 samples have no model.
     """
-    counts = latency.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("model_id"), (F.round(F.col(value) / grid) * grid).alias("x")).agg(F.count("*").alias("c"))
-    each = counts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        x, c, k = df["x"].to_numpy(float), df["c"].to_numpy(float), int(df["k"].iloc[0])
-        if c.sum() < 2:
-            return pd.DataFrame(columns=[s.split()[0] for s in MODEL.split(", ")])
-        w, m, v, ll = em(x, c, k)
-        order = np.argsort(m)
-        return pd.DataFrame({"model_id": df["model_id"].iloc[0], "k": k, "n": int(c.sum()), "loglik": ll, "bic": bic(ll, k, c.sum()), "comp": np.arange(k), "weight": w[order], "mean": m[order], "var": v[order]})
-
-    fits = each.groupBy("model_id", "k").applyInPandas(fit, MODEL)
+    counts = cut(value_counts(latency, key, value, grid))
+    fits = em_rounds(counts, starts(counts, ks), rounds, gain)
     return select_model(fits) if best else fits
 
 
@@ -139,7 +228,7 @@ def chain_delays(requests: DataFrame, pools: DataFrame, hops: list[tuple] | None
     return drawn.withColumn("delay", delay).select("id", "hop", "node", "delay", upto.alias("upto"))
 
 
-def refit(samples: DataFrame, value: str, name: str, ks: list[int], least: float | None = None) -> DataFrame:
+def refit(samples: DataFrame, value: str, name: str, ks: list[int], least: float | None = None, rounds: int = ROUNDS, gain: float = GAIN) -> DataFrame:
     """The mixture of least BIC of samples above ``least``."""
     kept = samples.where(F.col(value) > least) if least is not None else samples
-    return fit_mixtures(kept.select(F.lit(name).alias("name"), value), "name", value, ks)
+    return fit_mixtures(kept.select(F.lit(name).alias("name"), value), "name", value, ks, rounds=rounds, gain=gain)

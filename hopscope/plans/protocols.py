@@ -10,7 +10,7 @@ from ..operators import aggregate, enrich, mixture, models, pairing
 from ..operators import http as web
 from ..sources import reassembly
 from . import queries as q
-from .queries import _DST, _PFX, _SIG, _duck_in, _duck_mask, _draws, _PDF, _pair_draws, long, r6
+from .queries import _DST, _PFX, _SIG, _duck_in, _duck_mask, _draws, _duck_em, _PDF, _pair_draws, long, r6
 
 _before = set(q.QUERIES)
 query = q.query
@@ -266,28 +266,32 @@ def m3(pkt):
     return got.select(F.round("bandwidth", 9).alias("bandwidth"), F.round("loglik", 2).alias("loglik"))
 
 
-def _moments(fitted: DataFrame) -> DataFrame:
-    return fitted.groupBy("model_id", "n").agg(F.round(F.sum("weight"), 6).alias("weight"), F.round(F.sum(F.col("weight") * F.col("mean")), 6).alias("mean")).select("model_id", "n", "weight", "mean")
+def _components(fitted: DataFrame) -> DataFrame:
+    return fitted.select("model_id", "n", long("k").alias("k"), long("comp").alias("comp"), *[r6(F.col(c)).alias(c) for c in ("weight", "mean")], r6(F.sqrt("var")).alias("sd"))
+
+
+_REFIT = "SELECT f.model_id AS model_id, n::BIGINT AS n, f.k::BIGINT AS k, comp::BIGINT AS comp, round(weight, 6) AS weight, round(mean, 6) AS mean, round(sqrt(var), 6) AS sd FROM fit f JOIN best b ON f.model_id = b.model_id AND f.k = b.k JOIN score s ON f.model_id = s.model_id AND f.k = s.k"
+_ON_GRID = "SELECT '{0}' AS model_id, round(d / 0.0001::DOUBLE) * 0.0001::DOUBLE AS x, count(*)::DOUBLE AS c FROM ({1}) GROUP BY ALL"
 
 
 _SORTED = f"SELECT a.x - b.x AS d FROM (SELECT x, row_number() OVER (ORDER BY x, i) AS k FROM ({_draws('total', 4000, 'p')})) a JOIN (SELECT x, row_number() OVER (ORDER BY x, i) AS k FROM ({_draws('rest', 4000, 'q')})) b USING (k) WHERE a.x - b.x > 0.0001"
 
 
-@query("M6_refit", f"SELECT 'node' AS model_id, count(*) AS n, 1.0::DOUBLE AS weight, round(avg(round(d / 0.0001::DOUBLE) * 0.0001::DOUBLE), 6) AS mean FROM ({_SORTED})", "model")
+@query("M6_refit", _duck_em(_ON_GRID.format("node", _SORTED), "[2, 3, 4]", 4, _REFIT), "model")
 def m6(model):
-    """The node's mixture, fitted to differences of equal ranks; a fit by EM keeps the samples' number and mean."""
+    """The components of the node's mixture, after four rounds on differences of equal ranks."""
     two = _pair_draws(model, 4000, ("p", "q")).select("id", F.expr("stack(2, 'total', total, 'rest', rest) AS (side, x)"))
     k = aggregate.running(two, ["side"], "x", ["id"], name="k")
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("x")))
     d = k.groupBy("k").agg((side("total") - side("rest")).alias("d"))
-    return _moments(models.refit(d, "d", "node", [2, 3, 4], 0.0001))
+    return _components(models.refit(d, "d", "node", [2, 3, 4], 0.0001, 4, -1.0))
 
 
-@query("M9_refit", f"SELECT 'total' AS model_id, count(*) AS n, 1.0::DOUBLE AS weight, round(avg(round(d / 0.0001::DOUBLE) * 0.0001::DOUBLE), 6) AS mean FROM (SELECT t.x + r.x AS d FROM ({_draws('rest', 4000, 'p')}) t JOIN ({_draws('edge', 4000, 'q')}) r ON t.i = r.i)", "model")
+@query("M9_refit", _duck_em(_ON_GRID.format("total", f"SELECT t.x + r.x AS d FROM ({_draws('rest', 4000, 'p')}) t JOIN ({_draws('edge', 4000, 'q')}) r ON t.i = r.i"), "[2, 3, 4]", 4, _REFIT), "model")
 def m9(model):
-    """The total's mixture, fitted to sums of draws of the rest and of the node."""
+    """The components of the total's mixture, after four rounds on sums of draws of the rest and of the node."""
     d = _pair_draws(model, 4000, ("p", "q"), ("rest", "edge")).select((F.col("rest") + F.col("edge")).alias("d"))
-    return _moments(models.refit(d, "d", "total", [2, 3, 4]))
+    return _components(models.refit(d, "d", "total", [2, 3, 4], rounds=4, gain=-1.0))
 
 
 _NODES = {"view": "ips", "click": "adc", "signup": "waf", "error": "web", "purchase": "app"}

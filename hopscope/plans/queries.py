@@ -471,6 +471,28 @@ def _draws(model: str, n: int, stream: str) -> str:
     return f"SELECT i, mean + sqrt(var) * {_dn('i', stream)} AS x FROM (SELECT range AS i FROM range({n})) JOIN ({_COMPS}) ON model_id = '{model}' AND {u} >= since AND ({u} < upto OR comp = last)"
 
 
+def _duck_em(samples: str, ks: str, rounds: int, then: str) -> str:
+    """SQL of EM: ``samples`` gives model_id, x, c; after so many rounds ``then`` reads fit (model_id, k, comp from 0 by mean, weight, mean, var) and score (model_id, k, n, loglik, bic)."""
+    steps = [
+        f"cnt AS ({samples})",
+        f"""r0 AS (SELECT model_id, k, n, comp, 1.0::DOUBLE / k AS weight, low + (comp + 0.5::DOUBLE) * step AS mean, greatest(step * step / 4, 0.000001::DOUBLE) AS var
+            FROM (SELECT *, (high - low) / k AS step, unnest(range(k)) AS comp FROM (SELECT model_id, sum(c) AS n, min(x) AS low, max(x) AS high FROM cnt GROUP BY model_id HAVING sum(c) >= 2), (SELECT unnest({ks}) AS k)))""",
+    ]
+    pdf = "weight * exp(-0.5 * (x - mean) * (x - mean) / var) / sqrt(2 * pi() * var)"
+    for i in range(rounds):
+        steps += [
+            f"e{i} AS (SELECT model_id, k, n, comp, x, p / sum(p) OVER (PARTITION BY model_id, k, x) * c AS r FROM (SELECT f.model_id AS model_id, k, n, comp, x, c, {pdf} AS p FROM r{i} f JOIN cnt ON cnt.model_id = f.model_id))",
+            f"""r{i + 1} AS (SELECT e.model_id AS model_id, e.k AS k, any_value(e.n) AS n, e.comp AS comp, sum(r) / any_value(e.n) AS weight, any_value(m) AS mean, greatest(sum(r * (x - m) * (x - m)) / sum(r), 0.000001::DOUBLE) AS var
+                FROM e{i} e JOIN (SELECT model_id, k, comp, sum(r * x) / sum(r) AS m FROM e{i} GROUP BY ALL) a ON e.model_id = a.model_id AND e.k = a.k AND e.comp = a.comp GROUP BY e.model_id, e.k, e.comp)""",
+        ]
+    steps += [
+        f"fit AS (SELECT model_id, k, row_number() OVER (PARTITION BY model_id, k ORDER BY mean, var) - 1 AS comp, weight, mean, var FROM r{rounds})",
+        f"score AS (SELECT model_id, k, n, loglik, -2 * loglik + (3 * k - 1) * ln(n) AS bic FROM (SELECT model_id, k, any_value(n) AS n, sum(c * ln(p)) AS loglik FROM (SELECT f.model_id AS model_id, k, any_value(n) AS n, x, any_value(c) AS c, sum({pdf}) AS p FROM r{rounds} f JOIN cnt ON cnt.model_id = f.model_id GROUP BY f.model_id, k, x) GROUP BY model_id, k))",
+        "best AS (SELECT model_id, arg_min(k, row(bic, k)) AS k FROM score GROUP BY model_id)",
+    ]
+    return "SELECT * FROM (WITH " + ", ".join(steps) + f" {then})"
+
+
 def _one(model: DataFrame, name: str) -> DataFrame:
     return mixture.packed(model).where(F.col("model_id") == name).select(F.col("comps").alias(name))
 

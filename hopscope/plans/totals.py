@@ -9,7 +9,7 @@ from ..functions import http, latency, net, tls
 from ..operators import aggregate, mixture, models, pairing
 from ..sources import tables
 from . import queries as q
-from .queries import _BASE, _CR, _DM, _du, _draws, _MOM, _NUM, _PDF, _CIPHER_VALUES, _ciphers, _messages, _one, _pair_draws, _quantile_difference, long, r6
+from .queries import _BASE, _CR, _DM, _du, _draws, _duck_em, _MOM, _NUM, _PDF, _CIPHER_VALUES, _ciphers, _messages, _one, _pair_draws, _quantile_difference, long, r6
 
 _before = set(q.QUERIES)
 query = q.query
@@ -162,10 +162,18 @@ def a28(model):
     return mixture.moments(model).select("model_id", r6(F.col("mu")).alias("mu"), r6(F.sqrt("variance")).alias("sd"))
 
 
-@query("A29_model_selection", "SELECT endpoint, arg_min(k, row(bic, k)) AS k FROM (SELECT endpoint, payload_len % 7 + 2 AS k, sum(payload_len)::BIGINT AS bic FROM pkt GROUP BY ALL) GROUP BY endpoint", "pkt")
+_FITTED = "SELECT endpoint AS model_id, round(latency_s / 0.001::DOUBLE) * 0.001::DOUBLE AS x, count(*)::DOUBLE AS c FROM pkt WHERE latency_s > 0 AND latency_s < 5 GROUP BY ALL"
+
+
+def _fits(pkt: DataFrame, ks: list[int], rounds: int) -> DataFrame:
+    """Mixtures of each endpoint's latencies after a number of rounds."""
+    return models.fit_mixtures(pkt.where(latency.plausible(F.col("latency_s"), "fit")), "endpoint", "latency_s", ks, 1e-3, False, rounds, -1.0)
+
+
+@query("A29_model_selection", _duck_em(_FITTED, "[2, 3, 4, 5, 6]", 2, "SELECT model_id AS endpoint, k::BIGINT AS k FROM best"), "pkt")
 def a29(pkt):
-    scores = pkt.groupBy("endpoint", (F.col("payload_len") % 7 + 2).alias("k")).agg(F.sum("payload_len").alias("bic"))
-    return models.select_model(scores.withColumnRenamed("endpoint", "model_id")).select(F.col("model_id").alias("endpoint"), "k")
+    """Each endpoint's number of components, by the BIC of fits to its latencies."""
+    return models.select_model(_fits(pkt, [2, 3, 4, 5, 6], 2)).select(F.col("model_id").alias("endpoint"), long("k").alias("k")).distinct()
 
 
 @query("A30_rejected_share", f"SELECT round(100.0 * avg(CASE WHEN t.x - r.x <= 0.001 THEN 1 ELSE 0 END), 6) AS pct, avg(CASE WHEN t.x - r.x <= 0.001 THEN 1 ELSE 0 END) > 0.5 AS warn FROM ({_draws('total', 3000, 'p')}) t JOIN ({_draws('rest', 3000, 'q')}) r ON t.i = r.i", "model")
@@ -343,9 +351,16 @@ def u8(packet):
 
 
 # Models.
+@query("M1_em_rounds", _duck_em(_FITTED, "[2, 3, 4, 8]", 3, "SELECT f.model_id AS endpoint, f.k::BIGINT AS k, n::BIGINT AS n, comp::BIGINT AS comp, round(weight, 6) AS weight, round(mean, 6) AS mean, round(sqrt(var), 6) AS sd, round(bic, 2) AS bic FROM fit f JOIN score s ON f.model_id = s.model_id AND f.k = s.k"), "pkt")
+def m1b(pkt):
+    """Three rounds of EM for some numbers of components side by side."""
+    fits = _fits(pkt, [2, 3, 4, 8], 3)
+    return fits.select(F.col("model_id").alias("endpoint"), long("k").alias("k"), "n", long("comp").alias("comp"), r6(F.col("weight")).alias("weight"), r6(F.col("mean")).alias("mean"), r6(F.sqrt("var")).alias("sd"), F.round("bic", 2).alias("bic"))
+
+
 @query("M1_fit_mixtures", None, "pkt")
 def m1(pkt):
-    return models.fit_mixtures(pkt.where(latency.plausible(F.col("latency_s"), "fit")), "endpoint", "latency_s", [2, 3, 4], grid=1e-3)
+    return models.fit_mixtures(pkt.where(latency.plausible(F.col("latency_s"), "fit")), "endpoint", "latency_s", list(range(2, 30)), grid=1e-3)
 
 
 @query("M3_kernel_density", "SELECT g.range AS i, round(sum(c * exp(-0.5 * ((g.range * 0.005::DOUBLE - v) / 0.02) * ((g.range * 0.005::DOUBLE - v) / 0.02))) / (sum(c) * 0.02 * sqrt(2 * pi())), 6) AS pdf FROM range(101) g, (SELECT round(latency_s / 0.001::DOUBLE) * 0.001::DOUBLE AS v, count(*) AS c FROM pkt GROUP BY 1) GROUP BY g.range", "pkt")
