@@ -298,7 +298,7 @@ _NODES = {"view": "ips", "click": "adc", "signup": "waf", "error": "web", "purch
 _NODE = "CASE endpoint " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in _NODES.items()) + " END"
 _POOLS = f"SELECT {_NODE} AS node, row_number() OVER (PARTITION BY endpoint ORDER BY frame) - 1 AS idx, latency_s AS v, count(*) OVER (PARTITION BY endpoint) AS n FROM pkt WHERE latency_s < 0.2"
 _HOPS = "(VALUES " + ", ".join(f"({i}, '{n}', {'NULL' if f is None else f}::DOUBLE, {c})" for i, (n, f, c) in enumerate(models.CHAIN)) + ") AS c(hop, node, fallback, once)"
-_STEPS = f"SELECT id, hop, c.node AS node, fallback, ('0x' || substr(md5(concat(CASE WHEN once THEN id // 4 ELSE id END, ':', c.node)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT range AS id FROM range(2000)), {_HOPS}"
+_STEPS = f"SELECT id, hop, c.node AS node, fallback, ('0x' || substr(md5(concat(CASE WHEN once THEN id // 4 ELSE id END, ':', c.node)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT frame AS id FROM pkt WHERE dir = 'C2S'), {_HOPS}"
 _CHAIN = f"SELECT id, hop, s.node AS node, CASE WHEN fallback IS NULL THEN 0 ELSE coalesce(v, fallback) END AS delay FROM ({_STEPS}) s LEFT JOIN (SELECT DISTINCT node, n FROM ({_POOLS})) z ON s.node = z.node LEFT JOIN ({_POOLS}) p ON s.node = p.node AND p.idx = floor(u * z.n)::BIGINT"
 
 
@@ -310,13 +310,13 @@ def _pools(pkt: DataFrame) -> DataFrame:
 @query("M15_chain_emulation", f"SELECT id, hop::BIGINT AS hop, node, round(delay, 6) AS delay, round(sum(delay) OVER (PARTITION BY id ORDER BY hop), 6) AS upto FROM ({_CHAIN})", "pkt")
 def m15(pkt):
     """Requests through the chain: the second firewall has no pool and falls back, the balancer adds nothing, the first hop draws once for four requests of a connection."""
-    requests = pkt.sparkSession.range(2000).withColumn("conn", F.expr("id DIV 4"))
+    requests = pkt.where("dir = 'C2S'").select(F.col("frame").alias("id"), F.expr("frame DIV 4").alias("conn"))
     return models.chain_delays(requests, _pools(pkt)).select("id", long("hop").alias("hop"), "node", r6(F.col("delay")).alias("delay"), r6(F.col("upto")).alias("upto"))
 
 
-@query("M15_chain_without_delays", "SELECT count(*) AS steps, 0.0::DOUBLE AS total FROM range(2000), range(7)", "pkt")
+@query("M15_chain_without_delays", "SELECT count(*) AS steps, 0.0::DOUBLE AS total FROM (SELECT frame FROM pkt WHERE dir = 'C2S'), range(7)", "pkt")
 def m15b(pkt):
-    requests = pkt.sparkSession.range(2000).withColumn("conn", F.expr("id DIV 4"))
+    requests = pkt.where("dir = 'C2S'").select(F.col("frame").alias("id"), F.expr("frame DIV 4").alias("conn"))
     return models.chain_delays(requests, _pools(pkt), no_delay=True).agg(F.count("*").alias("steps"), F.sum("delay").alias("total"))
 
 

@@ -368,9 +368,11 @@ def m3(pkt):
     return models.kernel_density(pkt, "latency_s", 0.02, 101, 0.0, 0.5).select(long("i").alias("i"), r6(F.col("pdf")).alias("pdf"))
 
 
-@query("M4_grid", "SELECT range AS i, round(0.0001 + range * ((1.0 - 0.0001) / 4999), 9)::DOUBLE AS x FROM range(5000)")
-def m4(spark, sf_dir):
-    return spark.range(5000).select(F.col("id").alias("i"), F.round(F.lit(1e-4) + F.col("id") * ((1.0 - 1e-4) / 4999), 9).alias("x"))
+@query("M4_grid", "SELECT range AS i, round(0.0001::DOUBLE + range * ((top - 0.0001::DOUBLE) / 4999), 9) AS x FROM range(5000), (SELECT least(1.0::DOUBLE, max(latency_s)) AS top FROM pkt)", "pkt")
+def m4(pkt):
+    """5,000 points from 0.0001 to the greatest latency, or 1."""
+    top = pkt.agg(F.least(F.lit(1.0), F.max("latency_s")).alias("top"))
+    return pkt.sparkSession.range(5000).crossJoin(F.broadcast(top)).select(F.col("id").alias("i"), F.round(F.lit(1e-4) + F.col("id") * ((F.col("top") - 1e-4) / 4999), 9).alias("x"))  # one row
 
 
 @query("M5_random_deconvolution", f"SELECT count(*) AS n, round(avg(d), 6) AS mean FROM (SELECT t.x - r.x AS d FROM ({_draws('total', 4000, 'p')}) t JOIN ({_draws('rest', 4000, 'q')}) r ON t.i = r.i WHERE t.x - r.x > 0.001 ORDER BY t.i LIMIT 2000)", "model")

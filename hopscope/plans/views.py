@@ -63,50 +63,46 @@ _EXCHANGE = f"""SELECT concat('c', flow % 2) AS capture, frame, ts_us, flow, 204
   FROM (SELECT event_id AS frame, {{us}} AS ts_us, user_id AS flow, event_type IN ('click', 'view', 'signup') AS req FROM {{t}}))))))"""
 VIEWS["exchange"] = ("events", _EXCHANGE.replace("{encode}", "encode(m, 'ISO-8859-1')").replace("{us}", _US), _EXCHANGE.replace("{encode}", "encode(m)").replace("{us}", "epoch_us(ts)").replace("{t}", "events"))
 
-# Fixed tables, the same in both dialects.
-_ROWS = {
-    "model": ("model_id, comp, weight, mean, var", [("total", 0, 0.55, 0.02, 0.0001), ("total", 1, 0.3, 0.09, 0.0004), ("total", 2, 0.11, 0.4, 0.01), ("total", 3, 0.04, 0.9, 0.02), ("rest", 0, 0.7, 0.015, 0.0001), ("rest", 1, 0.3, 0.07, 0.0009), ("edge", 0, 0.5, 0.3, 0.002), ("edge", 1, 0.5, 0.5, 0.001)]),
-    "node": ("node, total_capture, rest_capture", [("front", "total", "rest"), ("back", "rest", "edge"), ("last", "edge", None), ("lost", "total", "absent")]),
-    "prefix": ("net, plen, asn, name", [("10.0.0.0", 8, "64500", "Site"), ("10.79.0.0", 16, "64501", "Campus"), ("10.79.0.0", 25, "64502", "Lab"), ("172.18.0.0", 16, "64503", "Core"), ("8.8.0.0", 16, "15169", "Resolver"), ("8.8.4.0", 24, "64504", "Edge")]),
-    "cell": ("asn, name, prefixes", [("64510", "One", "10.1.2.3/8\n 172.16.0.0/12 \n\n"), ("64511", "Two", "192.0.2.0/24\nbroken"), ("64512", "Three", "198.51.100.7")]),
-    "subnet": ("cidr", [("10.79.0.64/26",), ("172.18.3.0/24",), ("8.8.0.0/13",)]),
-    "vendor": ("mac, vendor", [("02:00:00:00:00:01", "Acme, Inc."), ("01:00:5e:00:00:fb", "Group")]),
-    "pattern": ("pattern_id, pattern", [(0, "example.com"), (1, "/en/"), (2, "ref=x"), (3, "nowhere")]),
-    "filter": ("pattern_id, tokens", [(0, "example en"), (1, "blog net"), (2, "https utm_source"), (3, "nowhere example")]),
-    "hosts": ("host", [("spam-farm.example.org",), ("blog.ththan.example.net",), ("ththin.example.com:443",), ("thther.example.org",)]),
-    "raw_uri": ("id, uri", [(1, "/a/b"), (2, "/a/b/c/d?x=1"), (3, "/eticket/protected/AvlFarEnquiry/1/2"), (4, "http://h/seg/x"), (5, "/x//y/fareenq?z"), (6, "/x/y/FareEnq"), (7, "")]),
-    "start_line": ("id, line", [(1, "GET /item/123456?q=1 HTTP/1.1"), (2, "post /deadbeef12/x HTTP/1.0"), (3, "Weird"), (4, "HTTP/1.1 404 Not Found"), (5, "  PUT   /a/00001/b  "), (6, "GET /a?b HTTP/2 extra")]),
-    "raw_url": ("id, u", [(1, "http://Shop.Example.com:8080/api/mapps1/82902/MMCT/f3109944/?q=1"), (2, "example.com/Book/CC/list"), (3, "https://a.b/"), (4, "https://a.b/x/abcdef/Y1/zz9"), (5, "http://h.i"), (6, "https://h.i/p/12/")]),
+# Look-up tables and lines of the kinds that the operators take, made of the driver's tables by the same SQL in both
+# dialects (but for the parts in braces).
+_SITE = "CASE s_suppkey % 4 WHEN 0 THEN '10.79.' WHEN 1 THEN '172.18.' WHEN 2 THEN '8.8.' ELSE '203.0.' END"
+_PREFIX = f"""SELECT net, plen, min(asn) AS asn, min(name) AS name FROM (
+    SELECT concat({_SITE}, s_suppkey % 5, '.0') AS net, 24 AS plen, concat('', 64600 + s_nationkey) AS asn, s_name AS name FROM {{t}}
+    UNION ALL SELECT concat({_SITE}, '0.0') AS net, 16, concat('', 64500 + s_suppkey % 4), concat('Site ', s_suppkey % 4) FROM {{t}}
+    UNION ALL SELECT '10.0.0.0', 8, '64499', 'Backbone' FROM {{t}}) GROUP BY net, plen"""
+_PATH = "regexp_replace(url, '^[a-z]+://[^/]+', '')"
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+_DERIVED = {
+    # a component for each range of an event type's values
+    "model": ("events", """SELECT model_id, comp, round(n / sum(n) OVER (PARTITION BY model_id), 9) AS weight, mean, var FROM (
+        SELECT model_id, comp, CAST(count(*) AS DOUBLE) AS n, round(avg(v), 9) AS mean, round(var_pop(v) + 0.00001, 12) AS var FROM (
+        SELECT model_id, v, CASE WHEN v < 0.02 * f THEN 0 WHEN v < 0.06 * f THEN 1 WHEN v < 0.2 * f THEN 2 ELSE 3 END AS comp FROM (
+        SELECT CASE event_type WHEN 'view' THEN 'total' WHEN 'click' THEN 'rest' ELSE 'edge' END AS model_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.6 ELSE 0.3 END AS f,
+        value / 1000 * CAST(CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.6 ELSE 0.3 END AS DOUBLE) AS v FROM {t} WHERE event_type IN ('view', 'click', 'purchase'))) GROUP BY model_id, comp)"""),
+    "node": ("nation", "SELECT lower(n_name) AS node, CASE n_nationkey % 4 WHEN 0 THEN 'total' WHEN 1 THEN 'rest' WHEN 2 THEN 'edge' ELSE 'total' END AS total_capture, CASE n_nationkey % 4 WHEN 0 THEN 'rest' WHEN 1 THEN 'edge' WHEN 3 THEN 'absent' END AS rest_capture FROM {t}"),
+    "prefix": ("supplier", _PREFIX),
+    "cell": ("supplier", f"SELECT asn, min(name) AS name, concat({{lines}}, chr(10), ' ', chr(10), 'broken') AS prefixes FROM ({_PREFIX}) GROUP BY asn"),
+    "subnet": ("supplier", "SELECT DISTINCT concat(CASE s_nationkey % 3 WHEN 0 THEN '10.79.0.' WHEN 1 THEN '172.18.3.' ELSE '8.8.4.' END, (s_nationkey * 8) % 256, '/29') AS cidr FROM {t} UNION SELECT '8.8.0.0/13' FROM {t}"),
+    "vendor": ("supplier", "SELECT mac, min(vendor) AS vendor FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN '02:00:00:00:00:01' WHEN 1 THEN '01:00:5e:00:00:fb' ELSE concat('02:00:00:00:01:', s_suppkey % 90 + 10) END AS mac, concat(s_name, ', Inc.') AS vendor FROM {t}) GROUP BY mac"),
+    "pattern": ("pages", f"SELECT min(page_id) AS pattern_id, pattern FROM (SELECT page_id, {_HOST} AS pattern FROM {{t}} UNION ALL SELECT page_id, substring({_PATH}, 1, 4 + page_id % 5) FROM {{t}}) WHERE pattern <> '' GROUP BY pattern"),
+    "filter": ("pages", f"SELECT min(page_id) AS pattern_id, tokens FROM (SELECT page_id, concat(split_part({_HOST}, '.', 1), ' ', CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'utm_source' END) AS tokens FROM {{t}} WHERE page_id % 4 <> 3) GROUP BY tokens"),
+    "hosts": ("pages", f"SELECT DISTINCT {_HOST} AS host FROM {{t}} WHERE page_id % 3 = 0"),
+    "raw_uri": ("pages", f"SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('/eticket/protected/AvlFarEnquiry/', page_id) WHEN 1 THEN {_PATH} WHEN 2 THEN url WHEN 3 THEN concat('/x//y', page_id % 7, '/FareEnq?z') ELSE '' END AS uri FROM {{t}}"),
+    "start_line": ("pages", f"SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN concat('GET ', {_PATH}, '?q=1 HTTP/1.1') WHEN 1 THEN 'HTTP/1.1 404 Not Found' WHEN 2 THEN concat('  post   /deadbeef12/', page_id * 100003, '/b HTTP/1.0 extra ') WHEN 3 THEN 'Weird' ELSE concat('PUT ', url) END AS line FROM {{t}}"),
+    "raw_url": ("pages", f"SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN concat(url, '/api/AB12/82902/MMCT/f3109944/?q=1') WHEN 3 THEN concat('http://Shop.Example.com:8080/x', page_id, '/Y1/zz9') ELSE 'https://a.b' END AS u FROM {{t}}"),
 }
-
-
-def _literal(v: object) -> str:
-    if v is None:
-        return "CAST(NULL AS VARCHAR(30))"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return f"{v!r}" if not isinstance(v, float) else f"CAST({v!r} AS DOUBLE)"
-
-
-def _values(name: str, spark: bool) -> str:
-    columns, rows = _ROWS[name]
-    items = []
-    for row in rows:
-        text = ", ".join(_literal(v) for v in row)
-        items.append("(" + (text.replace("\n", "\\n") if spark else text) + ")")
-    return f"SELECT * FROM (VALUES {', '.join(items)}) AS v({columns})"
+_LINES = ("array_join(array_sort(collect_list(concat(net, '/', plen))), concat(chr(10), ' '))", "string_agg(concat(net, '/', plen), concat(chr(10), ' ') ORDER BY concat(net, '/', plen))")
+for _name, (_table, _sql) in _DERIVED.items():
+    VIEWS[_name] = (_table, _sql.replace("{lines}", _LINES[0]), _sql.replace("{lines}", _LINES[1]).replace("{t}", _table))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of the driver's tables, or one of the fixed tables."""
-    if name in _ROWS:
-        return spark.sql(_values(name, True))
+    """A view of the driver's tables."""
     table, sql, _ = VIEWS[name]
     return spark.sql(sql.format(t="{t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def duck(sql: str, *views: str) -> str:
     """A DuckDB query with the views that it names in front."""
-    names = [n for n in [*VIEWS, *_ROWS] if n in views]
-    parts = [f"{n} AS ({VIEWS[n][2] if n in VIEWS else _values(n, False)})" for n in names]
+    parts = [f"{n} AS ({VIEWS[n][2]})" for n in VIEWS if n in views]
     return (("WITH " + ",\n".join(parts) + "\n") if parts else "") + sql
