@@ -158,6 +158,25 @@ def k6(path, prefix):
     return got.select(F.col("AS #").alias("as_number"), F.col("AS Name").alias("as_name"), F.col("AS Prefixes").alias("prefixes"))
 
 
+@round_trip("S11_prefix_sheets", f"SELECT asn, name, net, plen, 3::BIGINT AS sheets FROM ({_CELLS})", "prefix")
+def s11(path, prefix):
+    """Sheets of three layouts: the plain one, one with a title above and other names, one with its columns turned round."""
+    sheet = tables.prefix_sheet(_prefixes(prefix))
+    number, name, cells = (F.col(f"`{c}`") for c in sheet.columns)
+    spark = prefix.sparkSession
+
+    def titled(to: str, head: list[tuple], *columns) -> None:
+        body = sheet.select(F.lit(len(head)).alias("o"), *[c.alias(n) for c, n in zip(columns, "abc", strict=True)])
+        above = spark.createDataFrame([(i, *cells) for i, cells in enumerate(head)], "o int, a string, b string, c string")
+        above.unionByName(body).repartition(1).sortWithinPartitions("o", "a").drop("o").write.csv(f"{path}/{to}", header=False, escape='"')
+
+    tables.write_prefixes(_prefixes(prefix), f"{path}/plain")
+    titled("titled", [("Prefixes by system", "", ""), ("", "", ""), ("ASN", "Organisation", "Networks")], number, name, cells)
+    titled("turned", [("prefix", "as number", "name")], cells, number, name)
+    got = tables.read_prefix_sheets(spark, path)
+    return got.groupBy("asn", "name", "net", long("plen").alias("plen")).agg(F.count("*").alias("sheets"))
+
+
 @round_trip("S13_vendor_lines", "SELECT lower(mac) AS mac, vendor FROM vendor", "vendor")
 def s13(path, vendor):
     vendor.select(F.concat_ws(",", F.upper("mac"), "vendor").alias("value")).write.text(path)

@@ -94,6 +94,52 @@ def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
     return prefix_cells(cells.select(F.col("AS #").alias("asn"), F.col("AS Name").alias("name"), F.col("AS Prefixes").alias("prefixes")))
 
 
+#: What a prefix sheet's columns may be called, in lower case, and how many rows its header is looked for in.
+SHEET = {"asn": ["as #", "as", "asn", "as number", "as_number", "number"], "name": ["as name", "as_name", "name", "as description", "organisation", "organization", "owner"], "prefixes": ["as prefixes", "as_prefixes", "prefixes", "prefix", "cidr", "network", "networks"]}
+HEAD_ROWS, SHEET_COLUMNS = 10, 24
+
+
+def _sheet_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all sheets below a folder as arrays of cells: file, at (from 0), cells. A file is read by one task, in order."""
+    names = [f"_c{i}" for i in range(SHEET_COLUMNS)]
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(folder, schema=", ".join(f"{n} string" for n in names), multiLine=True, escape='"', mode="PERMISSIVE")
+    cells = F.transform(F.array(*names), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), cells.alias("cells"))
+
+
+def sheet_headers(rows: DataFrame) -> DataFrame:
+    """Where each sheet's header is: file, id, and the column of each field (``SHEET``), from 0.
+
+    Each of a file's first ``HEAD_ROWS`` rows scores a point for each field that one of its cells names; the best one is the header, the first of
+    equals. A sheet whose best row lacks a field has null columns. Only those rows take part, so a task sees ten rows a file.
+    """
+    first = rows.groupBy("file").agg(F.min("id").alias("first"))  # ids rise along a file
+    low = rows.join(F.broadcast(first), "file").where(F.col("id") < F.col("first") + HEAD_ROWS)
+    lower = F.transform("cells", lambda c: F.lower(c))
+    # the names of a field in order of preference; a field's column is the first that has the best of them
+    where = {f: F.coalesce(*[F.nullif(F.array_position("lower", n), F.lit(0)) for n in names]) - 1 for f, names in SHEET.items()}
+    found = low.withColumn("lower", lower).select("file", "id", *[w.cast("int").alias(f) for f, w in where.items()])
+    score = sum((F.col(f).isNotNull().cast("int") for f in SHEET), F.lit(0))
+    best = found.groupBy("file").agg(F.max_by(F.struct("id", *SHEET), F.struct(score.alias("score"), (-F.col("id")).alias("first"))).alias("b"))
+    return best.select("file", "b.*")
+
+
+def read_prefix_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix sheets as found (CSV exports with titles above the header, columns in any order and under other names) below a folder, merged: net, plen, asn, name.
+
+    Each file's own header tells its columns. A file without one is an error that names it.
+    """
+    from ..scratch import cut
+
+    rows = cut(_sheet_rows(spark, folder))
+    heads = cut(sheet_headers(rows))
+    lost = [r["file"] for r in heads.where(" OR ".join(f"{f} IS NULL" for f in SHEET)).orderBy("file").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no header row with AS number, AS name and prefixes in the first {HEAD_ROWS} rows of {', '.join(lost)}")
+    body = rows.join(F.broadcast(heads.withColumnRenamed("id", "head")), "file").where(F.col("id") > F.col("head"))  # a row for each file
+    return prefix_cells(body.select(*[F.get("cells", F.col(f)).alias(f) for f in SHEET]).where("prefixes <> ''"))
+
+
 def prefix_sheet(prefixes: DataFrame) -> DataFrame:
     """AS #, AS Name, AS Prefixes (distinct, sorted, one a line) of a table (asn, name, prefix); a row for each AS by number."""
     out = prefixes.groupBy("asn").agg(F.min("name").alias("AS Name"), F.array_join(F.array_sort(F.collect_set("prefix")), "\n").alias("AS Prefixes"))  # an AS's prefixes

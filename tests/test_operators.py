@@ -230,3 +230,20 @@ def test_ranks_by_narrowing(spark, monkeypatch, inside, plain):
     ranked = aggregate.running(df.where("v IS NOT NULL").withColumn("i", F.monotonically_increasing_id()), ["k"], "v", ["i"]).where("k = 'a'").orderBy("upto").collect()
     assert [r["v"] for r in ranked] == sorted(v for q, v in rows if q == "a" and v is not None) and [r["upto"] for r in ranked] == list(range(1, len(ranked) + 1))
     assert aggregate.percentiles(df.where("false"), F.col("v"), ["k"], at).count() == 0
+
+
+def test_sql_functions_are_the_columns(spark):
+    from hopscope.functions import sql
+
+    assert set(sql.register(spark)) == set(sql.FUNCTIONS)
+    ips = ["999.1.1.1", "01.2.3.4", "10.0.0.1", "100.64.0.1", "192.0.0.9", "192.0.0.8", "8.8.8.8", "1.2.3", "x", "", None, "255.255.255.255", "1.2.3.4.5"]
+    texts = ["/a/b/c/d?x=1", "/x//y/FareEnq", "/a/b", "", None, "deadbeef99 12345", "/api/mapps1/82902/MMCT/f3109944", "http://A.b:80/Q", "no scheme"]
+    rows = spark.createDataFrame([(a, b) for a in ips for b in texts], "ip string, t string")
+    n = net.ip_number(F.col("ip"))
+    by_column = rows.select("ip", "t", n.alias("a"), net.ip_number(F.col("ip"), False).alias("b"), net.is_public(F.col("ip")).alias("c"), http.api_of(F.col("t")).alias("d"), http.mask_ids(F.col("t")).alias("e"), F.array_join(F.filter(F.split("t", "/"), http.is_static_segment), "/").alias("f"))
+    rows.createOrReplaceTempView("some_rows")
+    by_sql = spark.sql("SELECT ip, t, ip_number(ip) AS a, ip_number_loose(ip) AS b, is_public_number(ip_number(ip)) AS c, api_of(t) AS d, mask_ids(t) AS e, static_segments(t) AS f FROM some_rows")
+    assert sorted(map(repr, by_sql.collect())) == sorted(map(repr, by_column.collect()))
+    plan = by_sql._jdf.queryExecution().optimizedPlan().toString()
+    assert "ip_number" not in plan and "api_of" not in plan  # bodies in place of calls
+    assert spark.sql("SELECT network_of(ip_number('10.79.3.4'), 16) AS a, protocol_of(443) AS b, protocol_of(1) AS c").first() == (172949504, "https", None)

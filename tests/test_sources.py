@@ -109,6 +109,18 @@ def test_reassembly():
     assert reassembly.reassemble([(10, b"ab"), (14, b"ef"), (12, b"cd"), (12, b"XX"), (16, b"")]) == b"abcdef"
 
 
+def test_prefix_sheets_of_any_layout(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text('AS #,AS Name,AS Prefixes\n1,One,"10.0.0.0/8\n192.0.2.0/24"\n,,\n2,"T, wo",bad\n')
+    (tmp_path / "y.csv").write_text('made on Monday\n\nnumber of systems,3\nAS,Owner,Country,CIDR\n3,Three,XX,172.16.5.4/12\n')
+    (tmp_path / "z.csv").write_text("name,prefix,as number\nFour,198.51.100.7,4\n")
+    got = sorted(tuple(r) for r in tables.read_prefix_sheets(spark, str(tmp_path)).select("asn", "name", "net", "plen").collect())
+    assert got == [("1", "One", 10 << 24, 8), ("1", "One", 0xC0000200, 24), ("3", "Three", 0xAC100000, 12), ("4", "Four", 0xC6336407, 32)]
+    (tmp_path / "lost.csv").write_text("\n" * 3 + "a,b\n" * 12 + "AS,Owner,CIDR\n")
+    with pytest.raises(ValueError, match="lost.csv"):
+        tables.read_prefix_sheets(spark, str(tmp_path))
+
+
 def test_files(spark, tmp_path):
     p = lambda n: f"{tmp_path}/{n}"
     open(p("pool.json"), "w").write('{"delays_seconds": [0.1, 0.25]}')
