@@ -158,7 +158,7 @@ def k6(path, prefix):
     return got.select(F.col("AS #").alias("as_number"), F.col("AS Name").alias("as_name"), F.col("AS Prefixes").alias("prefixes"))
 
 
-@round_trip("S11_prefix_sheets", f"SELECT asn, name, net, plen, 3::BIGINT AS sheets FROM ({_CELLS})", "prefix")
+@round_trip("S11_prefix_sheets", f"SELECT asn, min(name) OVER (PARTITION BY asn) AS name, net, plen, 3::BIGINT AS sheets FROM ({_CELLS})", "prefix")
 def s11(path, prefix):
     """Sheets of three layouts: the plain one, one with a title above and other names, one with its columns turned round."""
     sheet = tables.prefix_sheet(_prefixes(prefix))
