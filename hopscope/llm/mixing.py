@@ -11,8 +11,10 @@ minimise the squared distance of the expected totals sum w t p from the targets.
 w = 1: a step takes a multiple of p' r off each rate, r being the totals' residual, and projects to w >= 0;
 momentum speeds it up and starts anew where the distance grows. A rate follows from its cell's posteriors and
 the steps so far, so an iteration is one distributed sum over the cells, whose state is written every ``ROUND``
-steps; documents meet their cell's rate by a join at the end. Then rates within ``SNAP`` of 0 or 1 are held at it and the others go on, so that the totals are met by what
-documents are really taken.
+steps; documents meet their cell's rate by a join at the end. Where the descent ends, the rates are moved as little as the
+targets need: w + p' l, projected to w >= 0, for one l that Newton's method finds from distributed sums (the
+domains' totals and their derivatives). A little weight on the move, lowered until the residual is within ``TOLERANCE`` of
+the targets' sum, keeps rates from being driven far for the last tokens; where targets can't be met, it ends at the least squares' own residual.
 
 Null text counts as empty: no tokens, the prior as posteriors. Labels that are null or of unknown
 documents are ignored; of repeated labels the least domain counts. Without labelled documents there is
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, col, hashed_sample, kept_names, small
 
 BUCKETS, SLOTS, SPLIT, FEATURES, SAMPLE_DOCS, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 14, 10, 2_000, 8_192, 3.0, 5
-#: Steps before and after rates are held, at most; the residual, as a share of the targets, at which they end, and the gain below which they do.
-ITERATIONS, ROUND, TOLERANCE, GAIN, SNAP, GRAIN = 48, 8, 1e-4, 1e-3, 0.05, 256
+#: Steps of the descent at most, and those between writes; the residual, as a share of the targets' sum, at which they end, and the gain below which they do.
+ITERATIONS, ROUND, TOLERANCE, GAIN, GRAIN = 48, 8, 5e-4, 1e-3, 256
+#: Weights on the move from the descent's rates, as shares of the totals' derivatives, and Newton steps for each.
+WEIGHTS, NEWTON = [10.0**-e for e in range(2, 11)], 25
 
 
 def _words(text: str) -> Column:
@@ -195,11 +199,53 @@ def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: lis
             last = far
         return cells.select("member", "tokens", F.expr(_moved(steps)).alias("s")).select("member", "tokens", "s.w"), want, now
 
+    def finish(cells: DataFrame, want: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        """The rates nearest to the descent's that meet the targets, and the totals."""
+
+        def rate(at: np.ndarray) -> str:
+            return f"greatest(0D, w + ({' + '.join(f'{_number(a)} * member[{j}]' for j, a in enumerate(at))}))"
+
+        def measured(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            """Totals at the moved rates, their derivatives, and half the tokens' sum of squared rates, whose derivatives the totals are."""
+            moved = cells.select("tokens", "member", F.expr(rate(at)).alias("r"))
+            upper = [(i, j) for i in range(k) for j in range(i, k)]
+            sums = moved.agg(*[F.sum(F.expr(f"tokens * member[{i}] * r")) for i in range(k)], *[F.sum(F.expr(f"IF(r > 0D, tokens * member[{i}] * member[{j}], 0D)")) for i, j in upper], F.sum(F.expr("0.5D * tokens * r * r"))).first()
+            slope = np.zeros((k, k))
+            for (i, j), v in zip(upper, sums[k:-1], strict=True):
+                slope[i, j] = slope[j, i] = float(v or 0)
+            return np.array([float(x or 0) for x in sums[:k]]), slope, float(sums[-1] or 0)
+
+        most = TOLERANCE * max(float(np.abs(want).sum()), 1.0)
+        at = np.zeros(k)
+        now, slope, height = measured(at)
+        if np.abs(now - want).max() <= most:
+            return cells.select("member", "w"), now
+        scale = max(float(np.trace(slope)), 1e-30)
+        for weight in WEIGHTS:
+            mu = weight * scale
+            for _ in range(NEWTON):
+                pull = now - want + mu * at  # zero where the convex function height - want l + mu l^2 / 2 is least
+                if np.linalg.norm(pull) <= 0.02 * most:
+                    break
+                step, size = np.linalg.solve(slope + mu * np.eye(k), pull), 1.0
+                value = height - want @ at + mu / 2 * at @ at
+                for _ in range(12):
+                    there = at - size * step
+                    then, next_slope, next_height = measured(there)
+                    lower = value - (next_height - want @ there + mu / 2 * there @ there)
+                    if lower >= 1e-4 * size * (pull @ step) or np.linalg.norm(then - want + mu * there) < 0.5 * np.linalg.norm(pull):
+                        break
+                    size /= 2
+                else:
+                    break
+                at, now, slope, height = there, then, next_slope, next_height
+            if np.abs(now - want).max() <= most:
+                break
+        return cells.select("member", F.expr(rate(at)).alias("w")), now
+
     cells = scratch.cut(table.groupBy("member").agg(F.sum("tokens").alias("tokens")).select("member", "tokens", one.alias("w"), one.alias("y"), F.lit(True).alias("free")))
     cells, want, _ = descend(cells, None)
-    held = F.when(F.abs(F.col("w") - 1) <= SNAP, 1.0).when(F.col("w") <= SNAP, 0.0).otherwise(F.col("w"))
-    cells = scratch.cut(cells.select("member", "tokens", held.alias("w"), held.alias("y"), ((F.abs(F.col("w") - 1) > SNAP) & (F.col("w") > SNAP)).alias("free")))
-    cells, want, now = descend(cells, want)
+    cells, now = finish(scratch.cut(cells), want)
     return scratch.cut(cells.select("member", F.col("w").alias("rate"))), want, now
 
 
