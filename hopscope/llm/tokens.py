@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces kept by a task (about 40 MB), and characters of them; beyond either the cache starts anew.
-CACHE_PIECES, CACHE_CHARS = 250_000, 8 << 20
+#: Pieces kept by a task (about 130 MB), and characters of them; beyond either the cache starts anew.
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 8 << 20
 #: Pieces joined into one text for the library.
 JOINED = 4_000
 
