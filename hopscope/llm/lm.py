@@ -270,7 +270,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     @worker
     def count(batches):
         for batch in batches:
-            for piece in slices(batch, most=12 << 20):
+            for piece in slices(batch, most=3 << 20):
                 words, _ = words_of(piece.column("text"))
                 got = words.value_counts()
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field("values").cast(pa.string()), pa.array([END])]), pa.concat_arrays([got.field("counts").cast(pa.int64()), pa.array([piece.num_rows], pa.int64())])], names=["token", "c"])
@@ -289,7 +289,7 @@ def fit(rows: DataFrame, voc_b, start: dict[str, np.ndarray]) -> dict[str, np.nd
         net.p = {k: q.copy() for k, q in start_b.value.items()}
         state, seen = {}, 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=4 << 20):
                 words, off = words_of(piece.column("text"))
                 coded = words.dictionary_encode()
                 ids = np.insert(voc.rows(coded.dictionary)[np.asarray(coded.indices)], off[1:], 0)
@@ -363,7 +363,7 @@ def log_likelihoods(docs: DataFrame, learn: Column, keep: list[str], text_col: s
         unknown = len(voc.words) + 1
         base = np.append(voc.base, 0.0)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=4 << 20):
                 words, off = words_of(piece.column("text"))
                 coded = words.dictionary_encode()
                 of_word = voc.rows(coded.dictionary)
