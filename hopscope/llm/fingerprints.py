@@ -67,57 +67,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_codes(rows, "text", "codes").select("doc_id", F.length("text").cast("long").alias("n_chars"), as_text("codes").alias("fingerprint"))
 
 
-def _bucket(edges: list[int]) -> Column:
-    """The number of edges at or below the id, found in two steps; null ids are in bucket 0."""
+def _with_bucket(rows: DataFrame, edges: list[tuple[int, int]]) -> DataFrame:
+    """Add the number of edges (id, hash) at or below a row's, found in two steps in a broadcast row of at most ``MOST_BUCKETS`` edges."""
     if not edges:
-        return F.lit(0)
+        return rows.withColumn("bucket", F.lit(0))
     step = max(1, int(len(edges) ** 0.5))
-    arr = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
     runs = [edges[i : i + step] for i in range(0, len(edges), step)]
-    coarse = f"size(filter({arr([r[0] for r in runs])}, e -> e <= doc_id))"
-    fine = f"array({', '.join(arr(r) for r in runs)})"
-    return F.expr(f"IF(doc_id IS NULL OR doc_id < {edges[0]}L, 0, ({coarse} - 1) * {step} + size(filter({fine}[{coarse} - 1], e -> e <= doc_id)))")
+    kind = "struct<doc_id:long,h:long>"
+    table = rows.sparkSession.createDataFrame([([r[0] for r in runs], runs)], f"_coarse array<{kind}>, _fine array<array<{kind}>>")
+    own = F.struct("doc_id", "h")
+    run = F.size(F.filter("_coarse", lambda e: e <= own))
+    found = rows.crossJoin(F.broadcast(table)).withColumn("_run", run)  # one row
+    inside = F.size(F.filter(F.get("_fine", F.col("_run") - 1), lambda e: e <= own))
+    return found.withColumn("bucket", F.when(F.col("_run") == 0, 0).otherwise((F.col("_run") - 1) * step + inside)).drop("_coarse", "_fine", "_run")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edit: the last quarter of its characters replaced by the next document's first ones.
 
-    The next document is the one of the next larger id (rows of one id in order of text, null ids
-    first); after the last comes the first, so a single document is followed by itself. Ids are
-    dealt by quantiles of a hashed sample into buckets that are shuffled once; each bucket's last document
-    takes the next bucket's first one by a join. An empty table gives no rows.
+    The next document is the one of the next larger id (rows of one id in order of a hash of the text, null ids
+    first); after the last comes the first, so a single document is followed by itself. Rows are
+    dealt by quantiles of (id, hash), from a hashed sample, into buckets that are shuffled once; a copy of the next bucket's first document
+    goes along with each bucket. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = min(MOST_BUCKETS, 1 + (size[0] or 0) // BUCKET_BYTES)
-    edges: list[int] = []
-    if n > 1 and size[1]:
+    edges: list[tuple[int, int]] = []
+    if n > 1:
         share = min(1.0, SAMPLED * n / size[1])
-        ids = sorted(r[0] for r in rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_003)) <= int(1_000_003 * share))).select("doc_id").distinct().collect())
-        edges = sorted({ids[len(ids) * i // n] for i in range(1, n)}) if ids else []
-    rows = rows.withColumn("bucket", _bucket(edges))
-    # the first document of each bucket: at most MOST_BUCKETS ids on the driver
-    least = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).collect())
-    heads = []
-    for i, (bucket, _, _) in enumerate(least):
-        _, first, nulls = least[(i + 1) % len(least)]
-        heads.append((bucket, None if nulls else first))
-    heads_df = docs.sparkSession.createDataFrame(heads, "to_bucket int, head_id long")
-    first_docs = rows.join(F.broadcast(heads_df), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("to_bucket").agg(F.min("text").alias("head_text"))
-    first_docs = with_codes(first_docs, "head_text", "head_codes")
-
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+        some = rows.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(41)), F.lit(1_000_003)) <= int(1_000_003 * share)).select("doc_id", "h")
+        keys = sorted((tuple(r) for r in some.collect()), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+        edges = list(dict.fromkeys(keys[len(keys) * i // n] for i in range(1, n))) if keys else []
+    rows = _with_bucket(rows, edges)
+    # the first document of each bucket: at most MOST_BUCKETS keys on the driver
+    least = sorted((r["bucket"], tuple(r["first"])) for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect())
+    heads = [(bucket, *least[(i + 1) % len(least)][1]) for i, (bucket, _) in enumerate(least)]
+    heads_df = docs.sparkSession.createDataFrame(heads, "to_bucket int, head_id long, head_h long")
+    ghosts = rows.drop("bucket").join(F.broadcast(heads_df), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))).groupBy(F.col("to_bucket").alias("bucket")).agg(F.min("text").alias("text"))
+    every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)), allowMissingColumns=True)
+
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h", "text")
     # the neighbour's text travels once; the codes of the neighbour follow in the same order
-    near = rows.repartitionByRange(len(edges) + 1, "bucket").withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
-    near = near.join(first_docs, F.col("bucket") == F.col("to_bucket"), "left").drop("to_bucket")
+    near = every.repartitionByRange(len(edges) + 1, "bucket").withColumn("other", F.lead("text").over(order)).withColumn("place", F.row_number().over(order)).drop("h")
     k = F.floor(F.length("text") / 4).cast("int")
-    near = near.withColumn("n_chars", F.length("text")).withColumn("other", F.coalesce("next_text", "head_text"))
-    near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - k), F.substring("other", F.lit(1), k))).drop("other", "head_text")
+    near = near.withColumn("n_chars", F.length("text"))
+    near = near.withColumn("edited", F.when(F.col("ghost") == 0, F.concat(F.substring("text", F.lit(1), F.col("n_chars") - k), F.substring("other", F.lit(1), k)))).drop("other")
     near = with_codes(near, "text", "codes").drop("text")
     near = near.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    near = near.withColumn("next_codes", F.lead("codes").over(Window.partitionBy("bucket").orderBy("place"))).where("ghost = 0")
     near = with_codes(near, "edited", "edited_codes").drop("edited")
-    near = near.withColumn("after", F.lead(F.struct("codes")).over(Window.partitionBy("bucket").orderBy("place")))
-    near = near.withColumn("next_codes", F.when(F.col("after").isNull(), F.col("head_codes")).otherwise(F.col("after.codes")))
     return near.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
         as_text("codes").alias("fingerprint"), as_text("edited_codes").alias("edited_fingerprint"),
