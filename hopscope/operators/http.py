@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http
+from ..scratch import cut, few
 from ..sources.reassembly import http_messages
 from . import aggregate, pairing
 
@@ -38,7 +39,7 @@ def http_extract(frames: DataFrame, ports: list[int] | None = None) -> DataFrame
     method, back = F.regexp_extract("_text", REQUEST, 1), F.col("_text").rlike(RESPONSE)
     ends = [F.concat_ws(":", F.col(a), F.col(p).cast("string")) for a, p in (("src", "sport"), ("dst", "dport"))]
     rows = kept.withColumn("_back", back).where((method != "") | back)
-    out = rows.join(F.broadcast(since_first(frames)), "capture")  # a row for each capture
+    out = rows.join(few(cut(since_first(frames))), "capture")  # a row for each capture
     return out.select(
         "capture", "frame", ((F.col("ts_us") - F.col("t0")) / 1e6).alias("ts_rel"), F.when(F.col("_back"), ends[1]).otherwise(ends[0]).alias("client"), F.when(F.col("_back"), ends[0]).otherwise(ends[1]).alias("server"),
         F.octet_length("payload").alias("pkt_len"), F.when(~F.col("_back"), method).alias("method"), F.when(F.col("_back"), F.regexp_extract("_text", RESPONSE, 2)).alias("reason"), F.when(F.col("_back"), "response").otherwise("request").alias("direction"),
@@ -78,7 +79,7 @@ def paired(frames: DataFrame) -> DataFrame:
 
 def http_rtt(frames: DataFrame) -> DataFrame:
     """The round-trip table (``schemas.HTTP_RTT``); times count from the capture's first frame."""
-    pairs = paired(frames).join(F.broadcast(since_first(frames)), "capture")  # a row for each capture
+    pairs = paired(frames).join(few(cut(since_first(frames))), "capture")  # a row for each capture
     at = lambda c: (F.col(c) - F.col("t0")) / 1e6
     return pairs.select(
         F.col("req_method").alias("method"), "client_ip", "client_port", "server_ip", "server_port", F.col("req_uri").alias("uri"), at("req_ts_us").alias("request_time_rel"), at("res_ts_us").alias("response_time_rel"),

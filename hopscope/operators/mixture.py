@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.latency import normal, normal_cdf, normal_pdf, uniform
+from ..scratch import cut, few
 
 
 def moments(model: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def draw(i: Column, stream: str, comps: Column) -> Column:
 
 def responsibilities(rows: DataFrame, x: str, model: DataFrame) -> DataFrame:
     """Each row's share of each component, and the component that has most (the least number of equals)."""
-    joined = rows.crossJoin(F.broadcast(packed(model)))  # one row for each mixture
+    joined = rows.crossJoin(few(cut(packed(model)), 10_000))  # one row for each mixture
     d = density(F.col(x), F.col("comps"))
     parts = F.transform("comps", lambda c: F.struct((c["weight"] * normal_pdf(F.col(x), c["mean"], c["var"])).alias("w"), (-c["comp"]).alias("neg"), c["comp"].alias("comp")))
     return joined.withColumn("pdf", d).withColumn("parts", parts).withColumn("label", F.array_max("parts")["comp"]).withColumn("share", F.array_max("parts")["w"] / F.col("pdf"))

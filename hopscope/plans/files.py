@@ -221,9 +221,9 @@ def s18(path, pkt):
 # Sinks.
 @round_trip("K1_sorted_lines", "SELECT dst AS value, row_number() OVER (ORDER BY dst) AS at FROM (SELECT DISTINCT dst FROM packet)", "packet")
 def k1(path, packet):
+    """Sorted lines in several files, numbered through."""
     tables.write_lines(packet, "dst", path)
-    lines = packet.sparkSession.read.text(path).select("value", F.monotonically_increasing_id().alias("k"))  # one file, one partition
-    return lines.select("value", (F.col("k") + 1).alias("at"))
+    return tables.numbered_lines(packet.sparkSession, path)
 
 
 @round_trip("K2_csv", "SELECT endpoint, count(*) AS n, round(sum(latency_s), 6) AS total FROM pkt GROUP BY endpoint", "pkt")
@@ -288,10 +288,9 @@ def k12(path, pkt):
 
 @round_trip("M17_sorted_samples", "SELECT count(*) AS n, printf('%.4f', min(latency_s * 1000)) AS first, printf('%.4f', max(latency_s * 1000)) AS last FROM pkt", "pkt")
 def m17(path, pkt):
-    """The sorted samples that a table of an inverse distribution is made from: the first and the last line of the file."""
-    tables.sample_lines(pkt.select((F.col("latency_s") * 1000).alias("ms")), "ms").coalesce(1).write.text(path)
-    lines = pkt.sparkSession.read.text(path).select("value", F.monotonically_increasing_id().alias("k"))  # one file, one partition
-    return lines.agg(F.count("*").alias("n"), F.min_by("value", "k").alias("first"), F.max_by("value", "k").alias("last"))
+    """The sorted samples that a table of an inverse distribution is made from: the first and the last line of the files."""
+    tables.sample_lines(pkt.select((F.col("latency_s") * 1000).alias("ms")), "ms").write.text(path)
+    return tables.numbered_lines(pkt.sparkSession, path).agg(F.count("*").alias("n"), F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"))
 
 
 QUERIES = {k: v for k, v in q.QUERIES.items() if k not in _before}

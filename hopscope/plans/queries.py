@@ -358,13 +358,19 @@ def x34(pkt):
 
 
 # Look-ups.
-@query("J1_ip_asn", "SELECT frame, coalesce(asn, 'Unknown') AS asn FROM packet LEFT JOIN (SELECT DISTINCT dst AS ip, concat('AS', substr(dst, 1, 3)) AS asn FROM packet WHERE dst LIKE '8.8.%') a ON dst = ip", "packet")
-def j1(packet):
-    asn = packet.where("dst LIKE '8.8.%'").select("dst", F.concat(F.lit("AS"), F.substring("dst", 1, 3)).alias("asn")).distinct()
-    return enrich.look_up(packet.select("frame", "dst"), asn, "dst", {"asn": "Unknown"}).select("frame", "asn")
+_PFX = f"SELECT {_LOOSE.format('net')} AS lo, {_LOOSE.format('net')} + (1::BIGINT << (32 - plen)) AS hi, plen, asn, name FROM prefix"
 
 
-_PFX = f"SELECT {_LOOSE.format('net')} AS lo, {_LOOSE.format('net')} + (1::BIGINT << (32 - plen)) AS hi, plen, asn, name FROM prefix"
+_MATCHED = f"SELECT dst AS ip, arg_max(asn, plen) AS asn FROM (SELECT DISTINCT dst, {_DST} AS n FROM packet WHERE frame % 3 = 0) JOIN ({_PFX}) ON n >= lo AND n < hi GROUP BY dst"
+
+
+@query("J1_ip_asn", f"SELECT frame, coalesce(asn, 'Unknown') AS asn FROM packet LEFT JOIN ({_MATCHED}) a ON dst = ip", "packet", "prefix")
+def j1(packet, prefix):
+    """Packets with their destination's system, from a table of addresses that were matched earlier, in a part of the traffic."""
+    p = prefix.select(net.ip_number(F.col("net")).alias("net"), "plen", "asn")
+    seen = packet.where("frame % 3 = 0").select("dst").distinct().withColumn("n", _n("dst"))
+    matched = enrich.longest_prefix(seen, p, "n", ["asn"]).where("asn IS NOT NULL").select("dst", "asn")
+    return enrich.look_up(packet.select("frame", "dst"), matched, "dst", {"asn": "Unknown"}).select("frame", "asn")
 
 
 @query("J2_longest_prefix", f"SELECT dst, arg_max(asn, plen) AS asn, max(plen)::BIGINT AS plen FROM (SELECT DISTINCT dst, {_DST} AS n FROM packet) LEFT JOIN ({_PFX}) ON n >= lo AND n < hi GROUP BY dst", "packet", "prefix")

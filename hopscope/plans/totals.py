@@ -9,7 +9,7 @@ from ..functions import http, latency, net, tls
 from ..operators import aggregate, mixture, models, pairing
 from ..sources import tables
 from . import queries as q
-from .queries import _BASE, _CR, _DM, _du, _draws, _duck_em, _MOM, _NUM, _PDF, _CIPHER_VALUES, _ciphers, _messages, _one, _pair_draws, _quantile_difference, long, r6
+from .queries import _BASE, _CR, _DM, _DST, _PFX, _du, _draws, _duck_em, _MOM, _NUM, _PDF, _CIPHER_VALUES, _ciphers, _messages, _one, _pair_draws, _quantile_difference, long, r6
 
 _before = set(q.QUERIES)
 query = q.query
@@ -479,10 +479,18 @@ def s15(line):
     return line.select(F.explode(tables.numbers(F.col("line"))).alias("v")).where("abs(v) < 1e9").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"))
 
 
-@query("K7_report_lines", f"SELECT DISTINCT concat('- ', dst, ' → ASN Unknown') AS line FROM packet WHERE {_PROTO} IS NOT NULL UNION SELECT DISTINCT concat('### Protocol: ', {_PROTO}) FROM packet WHERE {_PROTO} IS NOT NULL", "packet")
-def k7(packet):
+_KNOWN = f"SELECT dst, arg_max(asn, plen) AS asn, arg_max(name, plen) AS name FROM (SELECT DISTINCT dst, {_DST} AS n FROM packet) LEFT JOIN ({_PFX}) ON n >= lo AND n < hi GROUP BY dst"
+
+
+@query("K7_report_lines", f"SELECT DISTINCT CASE WHEN asn IS NULL THEN concat('- ', p.dst, ' → ASN Unknown') ELSE concat('- ', p.dst, ' → ASN ', asn, ' (', name, ')') END AS line FROM packet p JOIN ({_KNOWN}) k ON p.dst = k.dst WHERE {_PROTO} IS NOT NULL UNION SELECT DISTINCT concat('### Protocol: ', {_PROTO}) FROM packet WHERE {_PROTO} IS NOT NULL", "packet", "prefix")
+def k7(packet, prefix):
+    """Addresses by protocol with the systems of their longest prefixes."""
+    from ..operators import enrich
+
     rows = packet.select(net.protocol(F.col("dport")).alias("protocol"), F.col("dst").alias("ip")).where("protocol IS NOT NULL").distinct()
-    return tables.report_lines(rows.select("protocol", "ip", F.lit(None).cast("string").alias("asn"), F.lit(None).cast("string").alias("name"))).distinct()
+    table = prefix.select(net.ip_number(F.col("net")).alias("net"), "plen", "asn", "name")
+    known = enrich.longest_prefix(rows.withColumn("n", net.ip_number(F.col("ip"))), table, "n", ["asn", "name"])
+    return tables.report_lines(known.select("protocol", "ip", "asn", "name")).distinct()
 
 
 @query("K13_event_lines", "SELECT printf('%.6f  %s -> %s  %d  %s', frame::DOUBLE, src, dst, octet_length(payload), method) AS value FROM packet", "packet")

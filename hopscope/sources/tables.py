@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -161,8 +161,19 @@ def stage(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_lines(df: DataFrame, column: str, path: str, one_file: bool = True) -> None:
-    """Distinct values as sorted lines; ``one_file`` is for small results."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder of text files in order of file name, each with its place (value, at from 1), by prefix sums over the files' parts."""
+    from ..scratch import cut, few
+
+    part = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", part.alias("part"), F.monotonically_increasing_id().alias("id"))  # ids rise along a part
+    first = lines.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    first = cut(first.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))  # a row for each part of a file
+    return lines.join(few(first), "part").select("value", (F.col("id") - F.col("first") + F.col("before") + 1).alias("at"))
+
+
+def write_lines(df: DataFrame, column: str, path: str, one_file: bool = False) -> None:
+    """Distinct values as sorted lines, in files whose names are in their order; ``one_file`` is for small results."""
     out = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct().orderBy("value")
     (out.coalesce(1) if one_file else out).write.mode("overwrite").text(path)
 

@@ -136,8 +136,11 @@ def test_files(spark, tmp_path):
     open(p("pats"), "w").write("http://a.b/x%2Fy\n\n a.b/x/y \n")
     assert [r["pattern"] for r in tables.read_patterns(spark, p("pats")).collect()] == ["a.b/x/y"]
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 2)], "v string, n int")
-    tables.write_lines(df, "v", p("lines"))
+    tables.write_lines(df, "v", p("lines"), one_file=True)
     assert [r[0] for r in spark.read.text(p("lines")).collect()] == ["a", "b"]
+    tables.write_lines(spark.range(500).selectExpr("lpad(id, 4, '0') AS v"), "v", p("many"))
+    assert len([x for x in os.listdir(p("many")) if x.startswith("part")]) > 1
+    assert sorted(map(tuple, tables.numbered_lines(spark, p("many")).collect())) == [(f"{i:04}", i + 1) for i in range(500)]
     tables.write_csv(df, p("q"), quote_all=True, gzip=True)
     assert sorted(map(tuple, tables.read_csv(spark, p("q"), "v string, n int").collect())) == [("a", 2), ("a", 2), ("b", 1)]
     tables.write_tree(df, p("tree"), "v")
