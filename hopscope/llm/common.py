@@ -8,6 +8,7 @@ import functools
 import glob
 import os
 import tempfile
+import threading
 import uuid
 import zlib
 
@@ -49,7 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        for made in _NOTES:
+        for made in _notes():
             made.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -74,17 +75,24 @@ class Scratch:
         remove(self.spark, self.root)
 
 
-_NOTES: list[list[Scratch]] = []
+_NOTES = threading.local()
+
+
+def _notes() -> list[list[Scratch]]:
+    """The lists of this thread that scratch tables are noted in."""
+    if not hasattr(_NOTES, "lists"):
+        _NOTES.lists = []
+    return _NOTES.lists
 
 
 @contextlib.contextmanager
 def noting(made: list[Scratch]):
-    """Add the scratch tables that are made inside to ``made``."""
-    _NOTES.append(made)
+    """Add the scratch tables that this thread makes inside to ``made``."""
+    _notes().append(made)
     try:
         yield made
     finally:
-        _NOTES.pop()
+        _notes().pop()
 
 
 def drop_all(made: list[Scratch]) -> None:

@@ -36,7 +36,7 @@ def kept(rows):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 def test_language_stage(spark, odd):
@@ -159,3 +159,15 @@ def test_empty_table(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_runs_leave_each_other_alone(spark, odd, tmp_path):
+    """The result of a run can still be read when another one has begun and gone on."""
+    for table in ("documents", "labels"):
+        rows = spark.read.parquet(f"{SF}/{table}.parquet")
+        (rows.limit(40) if table == "documents" else rows).write.parquet(f"{tmp_path}/{table}.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    second = corpus_pipeline.identify_language(spark, docs, SF)
+    other = corpus_pipeline.dedup_lines(spark, second, SF)
+    assert first.count() > 0 and other.count() > 0
