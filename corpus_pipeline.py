@@ -7,12 +7,14 @@
 5. packing cuts and packs the rest into sequences of at most 1024 tokens, and returns its pieces.
 
 Each stage's output is written as Parquet and read again by the next; tables that a stage made for itself
-are removed when the next one begins.
+are removed when the next one of the same run begins. A run begins with its first stage, in a thread of its own or not, and
+leaves other runs' tables alone; those of the last stage stay, since its result reads them.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +24,25 @@ from hopscope.llm.queries import SHARES, domain_labels, vocabulary
 
 #: Documents whose best language is less likely than this are rejected.
 LEAST_SCORE = 0.5
-_MADE: list[common.Scratch] = []
+#: What the thread's run has made for itself so far.
+_RUN = threading.local()
 
 
-def _stage(f):
-    """Remove what the last stage made for itself; note what this one makes."""
+def _stage(f, first: bool = False):
+    """Remove what the run's last stage made for itself, or begin a run; note what this stage makes."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.drop_all(_MADE)
-        with common.noting(_MADE):
+        if first or not hasattr(_RUN, "made"):
+            _RUN.made = []
+        common.drop_all(_RUN.made)
+        with common.noting(_RUN.made):
             return f(spark, docs, sf_dir)
 
     return run_stage
 
 
-@_stage
+@functools.partial(_stage, first=True)
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a clear language: null texts, texts without letters and those below ``LEAST_SCORE`` go.
 

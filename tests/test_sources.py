@@ -138,7 +138,9 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 2)], "v string, n int")
     tables.write_lines(df, "v", p("lines"), one_file=True)
     assert [r[0] for r in spark.read.text(p("lines")).collect()] == ["a", "b"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     tables.write_lines(spark.range(500).selectExpr("lpad(id, 4, '0') AS v"), "v", p("many"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len([x for x in os.listdir(p("many")) if x.startswith("part")]) > 1
     assert sorted(map(tuple, tables.numbered_lines(spark, p("many")).collect())) == [(f"{i:04}", i + 1) for i in range(500)]
     tables.write_csv(df, p("q"), quote_all=True, gzip=True)
