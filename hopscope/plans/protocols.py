@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http, latency, net
-from ..operators import aggregate, enrich, mixture, models, pairing
+from ..operators import aggregate, chain, enrich, models, pairing
 from ..operators import http as web
 from ..sources import reassembly
 from . import queries as q
-from .queries import _DST, _PFX, _SIG, _duck_in, _duck_mask, _draws, _duck_em, _PDF, _pair_draws, long, r6
+from .queries import _DST, _PFX, _SIG, _duck_in, _duck_mask, _dn, _draws, _du, _duck_em, _MOM, _PDF, _pair_draws, long, r6
 
 _before = set(q.QUERIES)
 query = q.query
@@ -294,6 +294,36 @@ def m9(model):
     return _components(models.refit(d, "d", "total", [2, 3, 4], rounds=4, gain=-1.0))
 
 
+_CAPTURE = "CASE endpoint WHEN 'view' THEN 'total' WHEN 'click' THEN 'rest' ELSE 'edge' END"
+_CAPTURES = f"SELECT {_CAPTURE} AS model_id, round(latency_s / 0.001::DOUBLE) * 0.001::DOUBLE AS x, count(*)::DOUBLE AS c FROM pkt WHERE latency_s > 0 AND latency_s < 5 AND endpoint IN ('view', 'click', 'purchase') GROUP BY ALL"
+_FITTED = _duck_em(_CAPTURES, "[2, 3]", 3, "SELECT f.model_id AS model_id, comp, weight, mean, var FROM fit f JOIN best b ON f.model_id = b.model_id AND f.k = b.k")
+
+
+def _node_draw(side: str, stream: str) -> str:
+    u = _du("i", stream + "c")
+    return f"SELECT node, i, mean + sqrt(var) * {_dn('i', stream)} AS x FROM (SELECT node, {side}_capture AS capture, concat(n.range, '-', node) AS i FROM node, range(1000) n) JOIN (SELECT *, sum(weight) OVER w AS upto, coalesce(sum(weight) OVER (PARTITION BY model_id ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since, max(comp) OVER (PARTITION BY model_id) AS last FROM fitted WINDOW w AS (PARTITION BY model_id ORDER BY comp)) ON model_id = capture AND {u} >= since AND ({u} < upto OR comp = last)"
+
+
+_DRAWN = f"SELECT t.node AS node, split_part(t.i, '-', 1)::BIGINT AS id, t.x - coalesce(r.x, 0) AS d FROM ({_node_draw('total', 't')}) t LEFT JOIN ({_node_draw('rest', 'r')}) r ON t.i = r.i AND t.node = r.node JOIN node o ON o.node = t.node WHERE o.rest_capture IS NULL OR r.x IS NOT NULL"
+
+
+def _chain(pkt: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kept = pkt.where("endpoint IN ('view', 'click', 'purchase')").where(latency.plausible(F.col("latency_s"), "fit")).withColumn("capture", F.expr(_CAPTURE))
+    return chain.fitted_chain(kept, "capture", "latency_s", node, [2, 3], 500, grid=1e-3, rounds=3, gain=-1.0)
+
+
+@query("M8_fitted_isolation", f"WITH fitted AS ({_FITTED}), m AS ({_MOM.replace('FROM model', 'FROM fitted')}) SELECT node, round(t.mu - coalesce(r.mu, 0), 6) AS mu, round(sqrt(greatest(t.variance - coalesce(r.variance, 0), 0)), 6) AS sd, t.mu - coalesce(r.mu, 0) < 0 AS negative_mean, t.variance - coalesce(r.variance, 0) < 0 AS negative_variance FROM node JOIN m t ON total_capture = t.model_id LEFT JOIN m r ON rest_capture = r.model_id WHERE rest_capture IS NULL OR r.mu IS NOT NULL", "pkt", "node")
+def m8_fitted(pkt, node):
+    """Nodes isolated from mixtures that are fitted to the captures."""
+    return _chain(pkt, node)[1].select("node", r6(F.col("mu")).alias("mu"), r6(F.col("sd")).alias("sd"), "negative_mean", "negative_variance")
+
+
+@query("M5_fitted_pools", f"WITH fitted AS ({_FITTED}) SELECT node, count(*) AS n, round(avg(d), 5) AS mean, round(max(d), 5) AS most FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id) AS i FROM ({_DRAWN}) WHERE d > 0.001) WHERE i <= 500 GROUP BY node", "pkt", "node")
+def m5_fitted(pkt, node):
+    """Delay pools of the nodes, drawn from mixtures that are fitted to the captures."""
+    return _chain(pkt, node)[2].groupBy("node").agg(F.count("*").alias("n"), F.round(F.avg("delay_s"), 5).alias("mean"), F.round(F.max("delay_s"), 5).alias("most"))
+
+
 _NODES = {"view": "ips", "click": "adc", "signup": "waf", "error": "web", "purchase": "app"}
 _NODE = "CASE endpoint " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in _NODES.items()) + " END"
 _POOLS = f"SELECT {_NODE} AS node, row_number() OVER (PARTITION BY endpoint ORDER BY frame) - 1 AS idx, latency_s AS v, count(*) OVER (PARTITION BY endpoint) AS n FROM pkt WHERE latency_s < 0.2"

@@ -105,4 +105,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(sql: str, *views: str) -> str:
     """A DuckDB query with the views that it names in front."""
     parts = [f"{n} AS ({VIEWS[n][2]})" for n in VIEWS if n in views]
-    return (("WITH " + ",\n".join(parts) + "\n") if parts else "") + sql
+    head = ("WITH " + ",\n".join(parts)) if parts else ""
+    if head and sql.startswith("WITH "):
+        return head + ",\n" + sql[5:]
+    return (head + "\n" if head else "") + sql

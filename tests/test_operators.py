@@ -247,3 +247,41 @@ def test_sql_functions_are_the_columns(spark):
     plan = by_sql._jdf.queryExecution().optimizedPlan().toString()
     assert "ip_number" not in plan and "api_of" not in plan  # bodies in place of calls
     assert spark.sql("SELECT network_of(ip_number('10.79.3.4'), 16) AS a, protocol_of(443) AS b, protocol_of(1) AS c").first() == (172949504, "https", None)
+
+
+def test_pools_of_nodes(spark):
+    from hopscope.operators import chain
+
+    fitted = spark.createDataFrame([("t", 0, 1.0, 0.5, 1e-4), ("r", 0, 0.6, 0.2, 1e-4), ("r", 1, 0.4, 0.1, 1e-4), ("z", 0, 1.0, 0.6, 1e-6)], "model_id string, comp int, weight double, mean double, var double")
+    nodes = spark.createDataFrame([("mid", "t", "r"), ("end", "t", None), ("gone", "t", "none"), ("none", "x", None), ("neg", "t", "z")], "node string, total_capture string, rest_capture string")
+    got = chain.node_pools(fitted, nodes, 400).collect()
+    by = {n: [r["delay_s"] for r in sorted(got, key=lambda r: r["i"]) if r["node"] == n] for n in ("mid", "end", "gone", "none", "neg")}
+    assert len(by["mid"]) == len(by["end"]) == 400 and not by["gone"] and not by["none"] and not by["neg"]
+    assert np.mean(by["mid"]) == pytest.approx(0.5 - 0.16, abs=0.01) and np.mean(by["end"]) == pytest.approx(0.5, abs=0.005)
+    again = chain.node_pools(fitted.repartition(3), nodes.repartition(2), 400).where("node = 'mid'").orderBy("i").collect()
+    assert [r["delay_s"] for r in again] == by["mid"]
+
+
+def test_em_over_tasks_is_em_of_the_whole(spark):
+    """Against rounds by hand on all values at once, for several keys and numbers of components."""
+    rng = np.random.default_rng(5)
+    data = {"a": rng.gamma(2, 0.05, 700), "b": rng.normal(0.3, 0.02, 300), None: np.array([0.1, 0.2, 0.4])}
+    rows = [(k, float(round(x, 3))) for k, v in data.items() for x in v] + [("one", 0.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = models.fit_mixtures(df, "k", "v", [2, 3], None, False, 4, -1.0).collect()
+    assert {r["model_id"] for r in got} == {"a", "b", None}
+    for name in data:
+        x = np.array([v for k, v in rows if k == name])
+        for k in (2, 3):
+            step = (x.max() - x.min()) / k
+            w, m, s = np.full(k, 1 / k), x.min() + (np.arange(k) + 0.5) * step, np.full(k, max(step * step / 4, 1e-6))
+            for _ in range(4):
+                p = w * np.exp(-0.5 * (x[:, None] - m) ** 2 / s) / np.sqrt(2 * np.pi * s)
+                r = p / p.sum(1, keepdims=True)
+                w, m = r.mean(0), (r * x[:, None]).sum(0) / r.sum(0)
+                s = np.maximum((r * (x[:, None] - m) ** 2).sum(0) / r.sum(0), 1e-6)
+            own = sorted((r["comp"], r["weight"], r["mean"], r["var"]) for r in got if r["model_id"] == name and r["k"] == k)
+            order = np.argsort(m)
+            assert np.allclose([o[1:] for o in own], np.stack([w, m, s], 1)[order], rtol=1e-6, atol=1e-9)
+            p = w * np.exp(-0.5 * (x[:, None] - m) ** 2 / s) / np.sqrt(2 * np.pi * s)
+            assert next(r["loglik"] for r in got if r["model_id"] == name and r["k"] == k) == pytest.approx(np.log(p.sum(1)).sum(), rel=1e-9)
