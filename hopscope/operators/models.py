@@ -127,7 +127,7 @@ def em_rounds(counts: DataFrame, begin: DataFrame, rounds: int = ROUNDS, gain: f
     """
     spark = counts.sparkSession
     counts, begin = cut(counts), cut(begin)
-    wanted = sorted(tuple(r) for r in begin.select("model_id", "k").distinct().collect())
+    wanted = sorted((tuple(r) for r in begin.select("model_id", "k").distinct().collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     out: list[tuple] = []
     for a in range(0, len(wanted), FITS):
         some = spark.createDataFrame(wanted[a : a + FITS], "model_id string, k int")
