@@ -5,8 +5,10 @@ residual that is parallel to it ``ETA`` times as much as the rest, since that pa
 inner products. The codebooks are fitted on a bounded sample; every distinct vector is indexed, with the
 ``k`` + 1 least ids that hold it. The scan ships 4-bit codes only: blocks of codes meet blocks of queries
 in tasks of bounded size, which sum byte-wide look-up tables (two codes at once) and keep the best few
-of a block. The ``RERANK`` best of all blocks meet their original vectors once, by joins, and are ranked
-by exact double products, summed in order of the components.
+of a block. The best estimates of all blocks meet their original vectors once, by joins, and are ranked
+by exact double products, summed in order of the components. How many they are is measured on the index at hand: for
+``PROBES`` queries the exact neighbours are found by going over all vectors, and so many estimates are taken that
+``RECALL`` of those neighbours are among them (``RERANK`` at least, and ``MARGIN`` times what was measured). ``exact`` takes all.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, nor do rows without an id. Repeated ids count once for each row; a query's own id is no
@@ -17,16 +19,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Scratch, col, hashed_sample, one_thread
+from .common import Scratch, col, hashed_sample, one_thread, worker
 
 #: The codebooks' sample, and weights: (d - 1) T^2 / (1 - T^2) at T = 0.2 of a vector's norm for d = 64.
 SAMPLE, ROUNDS, ETA = 8_192, 6, 2.6
-#: Codes and queries that meet in a task, and vectors that are reranked for a query.
+#: Codes and queries that meet in a task, and vectors that are reranked for a query at least.
 BLOCK_ROWS, BLOCK_QUERIES, RERANK = 65_536, 1_024, 256
+#: Queries whose neighbours are found exactly to measure that number, the share of neighbours that it has to reach, and what it is multiplied by.
+PROBES, RECALL, MARGIN = 48, 0.98, 1.5
 
 
 def _assign(x: np.ndarray, books: np.ndarray, codes: np.ndarray | None, passes: int) -> np.ndarray:
@@ -105,10 +110,68 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndar
     return pd.DataFrame({"q": np.repeat(q_ids, keep), "u": ids[np.concatenate(found).ravel()], "estimate": np.concatenate(rough).ravel().astype(np.float64)})
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _scores(batch: pa.RecordBatch, q: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact and estimated products (queries, rows) of a batch with columns v and codes."""
+    x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    tables = _tables(np.pad(q, ((0, 0), (0, q.shape[1] % 2))), books)
+    rough = np.zeros((len(q), batch.num_rows), np.float32)
+    for p in range(codes.shape[1]):
+        rough += np.take(tables[:, p], codes[:, p], axis=1)
+    return q @ x.T, rough
+
+
+def measured_depth(index: DataFrame, probes: np.ndarray, books: np.ndarray, k: int, share: float = RECALL) -> tuple[int, list[float]]:
+    """How many of the best estimates hold ``share`` of the ``k`` exact neighbours of the probes, and the place of each neighbour among the estimates.
+
+    Two passes over the index (v, codes), each with all probes at once: tasks send their best ``k`` a probe, then counts.
+    """
+    held = index.sparkSession.sparkContext.broadcast((probes, books))
+
+    @worker
+    def exact(batches):
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            if batch.num_rows:
+                score, rough = _scores(batch, *held.value)
+                for i in range(len(score)):
+                    s, e = (np.append(a, b) for a, b in zip(best.get(i, (np.zeros(0), np.zeros(0, np.float32))), (score[i], rough[i]), strict=True))
+                    at = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+                    best[i] = s[at], e[at]
+        for i, (s, e) in best.items():
+            yield pa.RecordBatch.from_pydict({"q": pa.array([i] * len(s), pa.int32()), "score": pa.array(s, pa.float64()), "estimate": pa.array(e.astype(np.float64), pa.float64())})
+
+    found = index.select("v", "codes").mapInArrow(exact, "q int, score double, estimate double")
+    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("estimate")))
+    marks = [np.array([r["estimate"] for r in rows], np.float32) for rows in _grouped(found.withColumn("r", first).where(F.col("r") <= k).collect(), len(probes))]
+
+    @worker
+    def place(batches):
+        counts = [np.zeros(len(m), np.int64) for m in marks]
+        for batch in batches:
+            if batch.num_rows:
+                rough = np.sort(_scores(batch, *held.value)[1], axis=1)
+                for i, m in enumerate(marks):
+                    counts[i] += batch.num_rows - np.searchsorted(rough[i], m, side="left")
+        for i, c in enumerate(counts):
+            yield pa.RecordBatch.from_pydict({"q": pa.array([i] * len(c), pa.int32()), "j": pa.array(range(len(c)), pa.int32()), "n": pa.array(c, pa.int64())})
+
+    places = sorted(r["n"] for r in index.select("v", "codes").mapInArrow(place, "q int, j int, n long").groupBy("q", "j").agg(F.sum("n").alias("n")).collect())
+    held.unpersist()
+    return (int(places[min(len(places) - 1, int(np.ceil(share * len(places))) - 1)]) if places else 0), places
+
+
+def _grouped(rows: list, n: int) -> list[list]:
+    out: list[list] = [[] for _ in range(n)]
+    for r in rows:
+        out[r["q"]].append(r)
+    return out
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """The ``k`` rows of largest inner product for each row with ``is_query``: query_id, rank, vec_id, score.
 
-    ``is_query``: a condition on column vec_id. Ties go to the lesser id.
+    ``is_query``: a condition on column vec_id. Ties go to the lesser id. ``exact``: all vectors are reranked.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "ann")
     rows = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("v"))
@@ -139,9 +202,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     asked = scratch.cut(asked.select("q", F.col("vec_id").alias("query_id"), "v"))
     queries = asked.dropDuplicates(["q"]).select("q", "v")
 
-    blocks = -(-index.count() // BLOCK_ROWS)
+    size = index.count()
+    probes = hashed_sample(queries, "q", PROBES, ["q"]).collect()
+    depth = size
+    if not exact and size > RERANK and probes:
+        depth = min(size, max(RERANK, int(MARGIN * measured_depth(index, np.array([r["v"] for r in probes]), books, k + 1)[0]) + 1))
+    blocks = -(-size // BLOCK_ROWS)
     q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    most = min(RERANK, 16 + -(-3 * RERANK // blocks)) if blocks > 1 else RERANK
+    most = min(depth, 16 + -(-3 * depth // blocks)) if blocks > 1 and depth < size else depth
     dealt = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     held = dealt(index.select("u", "codes"), "u", "block", blocks, "q_block", q_blocks)
     sent = dealt(queries, "q", "q_block", q_blocks, "block", blocks)
@@ -154,7 +222,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         return scan_block(right["q"].to_numpy(), pad(right["v"]), left["u"].to_numpy(), codes, books, most)
 
     found = held.groupBy("block", "q_block").cogroup(sent.groupBy("block", "q_block")).applyInPandas(scan, "q long, u long, estimate double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("estimate"), "u"))).where(F.col("r") <= RERANK).select("q", "u")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("estimate"), "u"))).where(F.col("r") <= depth).select("q", "u")
     # exact products of the candidates, then of each query's ids
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     exact = best.join(index.select("u", "v", "ids"), "u").join(queries.select("q", F.col("v").alias("w")), "q").select("q", product.alias("score"), "ids")

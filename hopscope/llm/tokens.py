@@ -94,10 +94,11 @@ class PieceEncoder:
 
         A part with a space before a word is that word's piece; any other is cached under itself with a space more before it, which no piece has.
         """
-        words = [p for p in pieces if _WORD(p)]
-        mixed = [p for p in pieces if not _WORD(p)]
+        told = [p.isalpha() if p.isascii() else _WORD(p) is not None for p in pieces]
+        words = [p for p, word in zip(pieces, told, strict=True) if word]
+        mixed = [p for p, word in zip(pieces, told, strict=True) if not word]
         cut = [_PARTS(" " + p) for p in mixed]
-        keys = [x[1:] if x[0] == " " and _WORD(x, 1) else " " + x for parts in cut for x in parts]
+        keys = [x[1:] if x[0] == " " and (x[1:].isalpha() if x.isascii() else _WORD(x, 1)) else " " + x for parts in cut for x in parts]
         new = set(keys).difference(self.at)
         bits = [k for k in new if k[0] == " "]
         words += new.difference(words, bits)
