@@ -14,6 +14,7 @@ leaves other runs' tables alone; those of the last stage stay, since its result
 from __future__ import annotations
 
 import functools
+import gc
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,12 @@ def _stage(f, first: bool = False):
         if first or not hasattr(_RUN, "made"):
             _RUN.made = []
         common.drop_all(_RUN.made)
-        with common.noting(_RUN.made):
-            return f(spark, docs, sf_dir)
+        try:
+            with common.noting(_RUN.made):
+                return f(spark, docs, sf_dir)
+        finally:  # what fitting a model took on the driver
+            gc.collect()
+            common.give_back()
 
     return run_stage
 
