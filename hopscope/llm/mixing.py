@@ -203,7 +203,8 @@ def fit_rates(table: DataFrame, k: int, targets: list[float] | None, shares: lis
         """The rates nearest to the descent's that meet the targets, and the totals."""
 
         def rate(at: np.ndarray) -> str:
-            return f"greatest(0D, w + ({' + '.join(f'{_number(a)} * member[{j}]' for j, a in enumerate(at))}))"
+            """Numbers that change from step to step are folded into an array, which isn't compiled, so steps share their code."""
+            return f"greatest(0D, w + aggregate(zip_with(member, array({', '.join(map(_number, at))}), (p, l) -> p * l), 0D, (s, x) -> s + x))"
 
         def measured(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
             """Totals at the moved rates, their derivatives, and half the tokens' sum of squared rates, whose derivatives the totals are."""
