@@ -40,8 +40,9 @@ def _stage(f, first: bool = False):
         try:
             with common.noting(_RUN.made):
                 return f(spark, docs, sf_dir)
-        finally:  # what fitting a model took on the driver
+        finally:  # what fitting a model took on the driver, and shuffles and broadcasts that no plan refers to
             gc.collect()
+            spark.sparkContext._jvm.System.gc()
             common.give_back()
 
     return run_stage
