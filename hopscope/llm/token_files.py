@@ -30,6 +30,8 @@ from .common import local_path, new_file, put_file, slices, worker
 
 #: Text of a part, about.
 PART_BYTES = 64 << 20
+#: Text that is tokenised at once.
+SLICE = 16 << 20
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -57,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             return
         with new_file(f"{name}.tok") as file:
             for batch in chain([first], batches):
-                for piece in slices(batch):
+                for piece in slices(batch, most=SLICE):
                     tok, off = enc.encode(piece.column("text"), end_id)
                     file.write(tok.astype(kind).tobytes())
                     counts.append(np.diff(off))
