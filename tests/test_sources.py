@@ -159,6 +159,7 @@ def test_files(spark, tmp_path):
 def test_stream_pairs(spark, tmp_path, how, want):
     rows = [("f", 1, "REQ", 10, 0), ("f", 2, "RESP", 0, 10), ("f", 3, "RESP", 0, 10), ("f", 4, "REQ", 20, 0), ("f", 6, "REQ", 30, 0), ("f", 7, "RESP", 0, 19), ("g", 8, "RESP", 0, 5), ("f", 9, "RESP", 0, 30)]
     rows = [r for r in rows if how == "fifo" or r[1] < 9]  # frame 7 doesn't acknowledge frame 4
+    rows.append(("end", 10**6, "REQ", 0, 0))  # rows wait for the watermark to pass them
     df = spark.createDataFrame(rows, "flow string, frame long, kind string, seq_end long, ack long").withColumn("ts", (F.lit(1.7e9) + F.col("frame")).cast("timestamp"))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
