@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
 
         enc = encoder(vocabulary)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=4 << 20):
                 tok, off = enc.encode(rows.column("text"), end_id)
                 tok, n = tok.astype("<u4"), np.diff(off)
                 pieces = -(-n // capacity)
