@@ -221,3 +221,27 @@ def test_gaps_are_skipped_and_counted(spark):
     whole = reassembly.reassembled(rows).first()
     assert (whole["segments"], whole["size"], bytes(whole["data"])) == (1, len(REQ), REQ)
     assert reassembly.reassembled(rows, most=3).first()["data"] is None
+
+
+@pytest.mark.parametrize("link", [pcap.ETHERNET, pcap.SLL, pcap.SLL2])
+def test_addresses_and_ports_that_a_header_cannot_hold_come_back(spark, tmp_path, link):
+    """Octets beyond 255 and ports beyond 65,535, as numbered test traffic has; others are written as ever."""
+    rows = [("a", 1, "10.79.351.255", 109_999, "172.18.3.6", 80, 6, b"GET"), ("a", 2, "10.79.1.2", 65_535, "65535.0.0.256", 53, 17, b"x"), ("a", 3, "172.18.3.6", 80, "10.79.351.255", 1 << 30, 6, b""), ("a", 4, "10.0.0.1", 443, "10.0.0.255", 5000, 6, b"y")]
+    frames = spark.createDataFrame(rows, "capture string, frame long, src string, sport int, dst string, dport int, ip_proto int, payload binary").withColumns({"ethertype": F.lit(2048), "ts_us": F.lit(1_700_000_000_000_000), "seq": F.lit(7), "ack": F.lit(9)})
+    pcap.write_pcap(frames, str(tmp_path), link)
+    got = pcap.read_pcap_split(spark, str(tmp_path), 60).select("capture", "frame", "src", "sport", "dst", "dport", "ip_proto", "payload").collect()
+    assert sorted((*r[:7], bytes(r[7])) for r in got) == rows
+    data = (tmp_path / "a.pcap").read_bytes()
+    assert len(data) == 24 + 4 * (16 + {pcap.ETHERNET: 14, pcap.SLL: 16, pcap.SLL2: 20}[link] + 20) + 3 * (28 + 20) - 12 + 20 + 5  # only the first three have an option
+
+
+def test_many_short_ranges_share_tasks(spark, tmp_path):
+    """As many tasks as bytes need, not one for each of a thousand ranges."""
+    frames = spark.range(1, 2001).select(F.lit("a").alias("capture"), F.col("id").alias("frame"), F.lit(2048).alias("ethertype"), F.lit(6).alias("ip_proto"), F.lit("10.0.0.1").alias("src"), F.lit("10.0.0.2").alias("dst"), F.lit(1).alias("sport"), F.lit(2).alias("dport"), F.col("id").alias("seq"), F.lit(0).alias("ack"), F.lit(1_700_000_000_000_000).alias("ts_us"), F.lit(b"abc").alias("payload"))
+    pcap.write_pcap(frames, str(tmp_path), roll_bytes=1000)
+    rows = pcap.read_pcap_split(spark, str(tmp_path), 500)
+    assert rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert [r[0] for r in rows.orderBy("frame").select("frame").collect()] == list(range(1, 2001))
+    pcap.index_captures(spark, str(tmp_path), 500)
+    rows = spark.read.format("pcap").load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() < 100 and rows.agg(F.sum("frame")).first()[0] == 2001 * 1000
