@@ -28,8 +28,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
-    """Delay pools ``{"delays_seconds": [...]}``, a row for each delay."""
-    return spark.read.schema("delays_seconds array<double>").json(path, multiLine=True).select(F.explode("delays_seconds").alias("delay_s"))
+    """Delay pools ``{"delays_seconds": [...]}``, a row for each delay: a file holds an object a line (as ``write_pool`` writes them), or one over several lines."""
+    files = spark.read.schema("delays_seconds array<double>")
+    columns = F.col("_metadata.file_path").alias("file"), F.col("delays_seconds")
+    lines = files.json(path).select(*columns)
+    spread = lines.groupBy("file").agg(F.count("delays_seconds").alias("n")).where("n = 0")  # no line is an object
+    pools = lines.unionByName(files.json(path, multiLine=True).select(*columns).join(spread.select("file"), "file", "left_semi"))
+    return pools.select(F.explode("delays_seconds").alias("delay_s"))
 
 
 def numbers(line: Column) -> Column:

@@ -174,3 +174,16 @@ def test_package_without_training_data_part(tmp_path, gone):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", *gone, "__pycache__", ".pytest_cache", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_pools_of_several_objects_in_a_file(spark, tmp_path):
+    """Parts of a node's pool that Spark writes into one file all come back, and so do objects over several lines beside them."""
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("n"), F.lit("a").alias("node"))
+    tables.write_pool(rows, "n", "node", f"{tmp_path}/pools", 100)
+    tables.write_pool(rows.where("n < 0"), "n", "node", f"{tmp_path}/none", 100)
+    folder = tmp_path / "pools" / "node=a"
+    (folder / "merged.json").write_text("\n".join('{"delays_seconds": [%d]}' % n for n in range(1000, 1010)))
+    (folder / "pretty.json").write_text('{\n  "delays_seconds": [\n    1010,\n    1011\n  ],\n  "from": {"a": 1}\n}\n')
+    (folder / "bare.json").write_text('{"delays_seconds": [1012, 1013]}')
+    assert sorted(r[0] for r in tables.read_pool(spark, f"{tmp_path}/pools").collect()) == list(range(1014))
+    assert tables.read_pool(spark, f"{tmp_path}/none").count() == 0
