@@ -153,3 +153,37 @@ def test_captures_stream_and_go_on_after_a_restart(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").select("capture", "frame", "seq").collect()
     assert sorted(tuple(r) for r in got) == [("a", i + 1, i) for i in range(300)] + [("b", i + 1, i) for i in range(50)]
     assert len([n for n in batches if n]) > 8 and max(batches) < 120  # many small triggers
+
+
+def test_pieces_of_a_capture_are_numbered_through_in_a_stream(spark, tmp_path):
+    """Frames of a capture's later pieces go on behind the earlier ones' numbers, over restarts too; a piece that grows late goes on behind all."""
+    spark.dataSource.register(pcap.PcapSource)
+    frames = [tcp("10.0.0.1", 5000, "10.0.0.2", 80, i, 1, b"x" * 50) for i in range(100)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def read():
+        out = spark.readStream.format("pcap").option("maxBytesPerTrigger", 1500).load(str(folder)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").start()
+        out.processAllAvailable()
+        out.stop()
+
+    (folder / "a.pcap").write_bytes(capture(frames[:30]))
+    (folder / "a~00001.pcap").write_bytes(capture(frames[30:60]))
+    (folder / "b.pcap").write_bytes(capture(frames[:3]))
+    read()
+    (folder / "a~00002.pcap").write_bytes(capture(frames[60:90]))
+    read()
+    (folder / "a~00001.pcap").write_bytes(capture(frames[30:60] + frames[90:]))
+    read()
+    got = spark.read.parquet(f"{tmp_path}/out").select("capture", "frame", "seq").collect()
+    assert sorted(tuple(r) for r in got) == [("a", i + 1, i) for i in range(100)] + [("b", i + 1, i) for i in range(3)]
+
+
+def test_a_batch_over_several_runs_of_a_piece():
+    """A piece's bytes that follow other pieces' in number are read as ranges of their own."""
+    reader = pcap._StreamReader("/x", 100)
+    end = {"/x/a.pcap": {"byte": 500, "frame": 12, "runs": [[24, 0], [300, 9]]}, "/x/a~00001.pcap": {"byte": 100, "frame": 9, "runs": [[24, 6]]}}
+    parts = lambda start: [p.value[2:] for p in reader.partitions(start, end)]
+    assert parts({}) == [(24, 300, 0), (300, 500, 9), (24, 100, 6)]
+    assert parts({"/x/a.pcap": {"byte": 200, "frame": 4, "runs": [[24, 0]]}}) == [(200, 300, 4), (300, 500, 9), (24, 100, 6)]
+    assert parts({"/x/a.pcap": {"byte": 400, "frame": 11, "runs": [[24, 0], [300, 9]]}, "/x/a~00001.pcap": end["/x/a~00001.pcap"]}) == [(400, 500, 11)]
