@@ -168,6 +168,12 @@ def _grouped(rows: list, n: int) -> list[list]:
     return out
 
 
+def foremost(exact: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` + 1 vectors (q, score, ids) of each query vector: a query that is left out of its own ids moves only that vector, so its first ``k`` are among them."""
+    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0]["vec_id"]))
+    return exact.withColumn("r", first).where(F.col("r") <= k + 1).drop("r")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """The ``k`` rows of largest inner product for each row with ``is_query``: query_id, rank, vec_id, score.
 
@@ -226,6 +232,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     # exact products of the candidates, then of each query's ids
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     exact = best.join(index.select("u", "v", "ids"), "u").join(queries.select("q", F.col("v").alias("w")), "q").select("q", product.alias("score"), "ids")
+    exact = foremost(exact, k)
     mine = asked.select("q", "query_id").join(exact, "q").withColumn("ids", F.filter("ids", lambda x: x["vec_id"] != F.col("query_id"))).where(F.size("ids") > 0)
     first = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), F.col("ids")[0]["vec_id"]))
     mine = mine.withColumn("r", first).where(F.col("r") <= k).select("query_id", "q", "score", F.explode("ids").alias("x"))

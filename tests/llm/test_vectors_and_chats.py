@@ -256,3 +256,17 @@ def test_query_of_whitening(spark):
     want = {i: int(((n * r - s) ** 2).sum()) for (i, *_), r in zip(rows, x, strict=True)}
     assert {r["vec_id"]: r["deviation"] for r in got} == want and len(got) == 8 * n
     assert got[0]["identity_error"] < 1e-9
+
+
+def test_queries_of_one_vector_meet_only_its_first_vectors(spark):
+    """The vectors that a query vector's many queries are joined with are k + 1, not all that were reranked; results are those of brute force."""
+    from hopscope.llm import ann
+
+    exact = spark.createDataFrame([(q, float(s % 40), [(100 * s + q, 1)]) for q in (1, 2) for s in range(300)], "q long, score double, ids array<struct<vec_id: long, times: long>>")
+    assert ann.foremost(exact, 5).groupBy("q").count().orderBy("q").collect() == [(1, 6), (2, 6)]
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(-3, 4, (12, 6)).astype(float)
+    rows = [(i, kinds[0 if i % 3 else i % 12].tolist()) for i in range(120)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, 5)
+    want = [(i, r + 1, j, -s) for i, v in rows if i % 2 == 0 and any(v) for r, (s, j) in enumerate(sorted((-float(np.dot(v, w)), j) for j, w in rows if j != i and any(w))[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
