@@ -187,3 +187,13 @@ def test_a_batch_over_several_runs_of_a_piece():
     assert parts({}) == [(24, 300, 0), (300, 500, 9), (24, 100, 6)]
     assert parts({"/x/a.pcap": {"byte": 200, "frame": 4, "runs": [[24, 0]]}}) == [(200, 300, 4), (300, 500, 9), (24, 100, 6)]
     assert parts({"/x/a.pcap": {"byte": 400, "frame": 11, "runs": [[24, 0], [300, 9]]}, "/x/a~00001.pcap": end["/x/a~00001.pcap"]}) == [(400, 500, 11)]
+
+
+def test_rows_that_wait_are_held_together(spark, tmp_path):
+    """A micro-batch's rows of a flow are one entry of its state, whatever their number."""
+    rows = [("f", i, T0 + i, "REQ" if i % 2 else "RESP", 0, 0, 0.5, None, "ü\"") for i in range(400)]
+    files(tmp_path, [table(spark, rows), table(spark, [("end", 999, T0 + 10**5, "REQ", 0, 0, 0.0, "", "")])])
+    stream = spark.readStream.schema(table(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = run(spark, tmp_path, "held", pairs.stream_pairs(stream, "legacy", idle=100, late=20))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 12
+    assert key(spark.table("held")) == [("f", i, i + 1, 1.0) for i in sorted(range(1, 398, 2))]
