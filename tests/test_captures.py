@@ -235,6 +235,25 @@ def test_addresses_and_ports_that_a_header_cannot_hold_come_back(spark, tmp_path
     assert len(data) == 24 + 4 * (16 + {pcap.ETHERNET: 14, pcap.SLL: 16, pcap.SLL2: 20}[link] + 20) + 3 * (28 + 20) - 12 + 20 + 5  # only the first three have an option
 
 
+def test_octets_beyond_16_bits_come_back(spark, tmp_path):
+    rows = [("a", 1, "10.79.8388607.255", 2_147_483_647, "172.18.3.6", 80, b"GET"), ("a", 2, "172.18.3.6", 80, "10.79.65536.1", 70_000, b"")]
+    frames = spark.createDataFrame(rows, "capture string, frame long, src string, sport int, dst string, dport int, payload binary").withColumns({"ethertype": F.lit(2048), "ip_proto": F.lit(6), "ts_us": F.lit(1_700_000_000_000_000), "seq": F.lit(7), "ack": F.lit(9)})
+    pcap.write_pcap(frames, str(tmp_path))
+    got = pcap.read_pcap_split(spark, str(tmp_path), 60).select("capture", "frame", "src", "sport", "dst", "dport", "payload").collect()
+    assert sorted((*r[:6], bytes(r[6])) for r in got) == rows
+
+
+def test_ranges_of_a_capture_of_many_years_are_found_at_once(spark, tmp_path):
+    """Times far from the first record's don't leave the ranges to be walked one after another."""
+    frames = [tcp(*C, *S, i, 1, b"a=b" * 20) for i in range(900)]
+    data = raw(frames[:450]) + raw(frames[450:], sec=1_900_000_000)[24:]
+    (tmp_path / "a.pcap").write_bytes(data)
+    with open(tmp_path / "a.pcap", "rb") as f:
+        finder = boundaries.Finder(f, boundaries.Layout(f.read(24), "a"), len(data))
+        assert all(finder.first(at) in boundaries_of(data) for at in range(24, len(data), 1_001))
+    assert rows_of(pcap.read_pcap_split(spark, str(tmp_path), 1_001)) == rows_of(pcap.read_pcap(spark, str(tmp_path)))
+
+
 def test_many_short_ranges_share_tasks(spark, tmp_path):
     """As many tasks as bytes need, not one for each of a thousand ranges."""
     frames = spark.range(1, 2001).select(F.lit("a").alias("capture"), F.col("id").alias("frame"), F.lit(2048).alias("ethertype"), F.lit(6).alias("ip_proto"), F.lit("10.0.0.1").alias("src"), F.lit("10.0.0.2").alias("dst"), F.lit(1).alias("sport"), F.lit(2).alias("dport"), F.col("id").alias("seq"), F.lit(0).alias("ack"), F.lit(1_700_000_000_000_000).alias("ts_us"), F.lit(b"abc").alias("payload"))
