@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_sources import capture, tcp
 
@@ -95,6 +98,47 @@ def test_idle_flows_are_forgotten(spark, tmp_path):
     assert key(spark.table("idle")) == [("g", 2, 3, 5.0)]
 
 
+class Counted:
+    """State of one flow that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    def __getattr__(self, name):
+        if not name.startswith("get"):  # registerTimer
+            return lambda *_: self.called()
+        return lambda of, *_: CountedState(self, of)
+
+    def called(self):
+        self.calls += 1
+
+
+class CountedState:
+    def __init__(self, handle, of):
+        self.handle, self.of, self.kept = handle, of, handle.kept.setdefault(of, [])
+
+    def __getattr__(self, name):
+        self.handle.called()
+        change = {"appendValue": self.kept.append, "put": lambda rows: self.kept.__setitem__(slice(None), rows), "update": lambda row: self.kept.__setitem__(slice(None), [row]), "clear": self.kept.clear}
+        if name == "get":
+            return lambda: list(self.kept) if self.of in ("held", "waiting") else (self.kept or [None])[0]
+        return change[name]
+
+
+@pytest.mark.parametrize("how", ["fifo", "as_of", "consumed"])
+def test_what_is_forgotten_at_once_is_not_written_first(how):
+    """A flow that is idle by the time that its rows are taken up costs six calls to the state in all."""
+    flow, processor = Counted(), pairs.Pairing(how, 1000, 0)
+    processor.init(flow)
+    extra = {"fifo": ["9", "9"], "as_of": [], "consumed": ["0.5"]}[how]
+    rows = [Row(us=us, row=json.dumps([str(us), str(i), kind, *extra])) for i, (us, kind) in enumerate([(5, "REQ"), (7, "RESP"), (9, "REQ")])]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9)
+    assert list(processor.handleInputRows(("f",), iter(rows), now)) == []
+    got = list(processor.handleExpiredTimer(("f",), now, None))
+    assert got == [Row(flow="f", req_frame=0, res_frame=1, delay_s=0.5 if how == "consumed" else 2e-6)]
+    assert flow.calls <= 6 and not any(flow.kept.values())
+
+
 @pytest.mark.parametrize("ttl, want", [(600, [("f", 1, 2, 3.0), ("f", 3, 4, 1.0)]), (1, [])])
 def test_state_with_a_time_to_live(spark, tmp_path, ttl, want):
     """In processing time rows pair across micro-batches, until what is remembered expires."""
