@@ -59,6 +59,11 @@ def _slots(buckets: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return place, shift
 
 
+def _folded(numbers: list, kind: str) -> str:
+    """An array of numbers as one string, which Spark folds; thousands of literals would each be parsed and copied by every rule on the driver."""
+    return f"CAST(split('{','.join(map(repr, numbers))}', ',') AS array<{kind}>)"
+
+
 class Domains:
     """names; buckets that have weights; weights (domains, buckets); calibration (domains, domains + 1)."""
 
@@ -70,10 +75,10 @@ class Domains:
         if not self.buckets:
             return F.expr("array(" + ", ".join("0D" for _ in self.names) + ")")
         place, shift = _slots(self.buckets)
-        at = "array(" + ",".join(map(str, place)) + f")[(shiftright(h, {SPLIT}) + array({','.join(map(str, shift))})[h & {(1 << SPLIT) - 1}]) & {SLOTS - 1}]"
-        keys = "array(-1," + ",".join(map(str, self.buckets)) + ")"
+        at = f"{_folded(place.tolist(), 'int')}[(shiftright(h, {SPLIT}) + {_folded(shift.tolist(), 'int')}[h & {(1 << SPLIT) - 1}]) & {SLOTS - 1}]"
+        keys = _folded([-1, *self.buckets], "int")
         present = f"array_distinct(filter(transform({words}, w -> CAST(pmod(xxhash64(w), {BUCKETS}) AS int)), h -> {keys}[{at}] = h))"
-        table = ["array(0D," + ",".join(_number(x) for x in row) + ")" for row in self.weights]
+        table = [_folded([0.0, *row.tolist()], "double") for row in self.weights]
         return F.expr(f"transform(array({', '.join(map(str, range(len(self.names))))}), k -> aggregate({present}, 0D, (s, h) -> s + array({', '.join(table)})[k][{at}]))")
 
     def posteriors(self, sums: str) -> Column:

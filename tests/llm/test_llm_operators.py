@@ -592,3 +592,18 @@ def test_kept_columns_with_names_of_outputs(spark, odd):
     assert mixing.mix(docs, spark.createDataFrame([], "doc_id long, domain string"), {}, ["doc_id", "n_chars"]).columns[:3] == ["doc_id", "n_chars", "n_tokens"]
     odd_names = docs.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("n_lines"))
     assert line_dedup.dedup_lines(odd_names, ["a.b", "n_lines"]).columns == ["doc_id", "a.b", "n_lines_", "text", "n_lines", "n_removed", "removed"]
+
+
+def test_weights_of_words_are_not_parsed_one_by_one(spark, monkeypatch):
+    """Thousands of literals in an expression filled the driver; sums are those of the weights."""
+    texts, real = [], mixing.F.expr
+    monkeypatch.setattr(mixing.F, "expr", lambda sql: texts.append(sql) or real(sql))
+    words = [f"w{i}" for i in range(40)]
+    ids = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).cast("int").alias("b")).collect()
+    buckets = [r["b"] for r in ids[:30]]
+    weights = np.round(np.random.default_rng(1).normal(size=(2, 30)), 6)
+    domains = mixing.Domains(["a", "b"], buckets, weights, np.zeros((2, 3)))
+    rows = spark.createDataFrame([(words[3:35] + words[5:9],), ([],)], "words array<string>")
+    got = [r[0] for r in rows.select(domains.sums("words")).collect()]
+    assert np.allclose(got, [weights[:, 3:].sum(1), [0, 0]], atol=1e-9)
+    assert len(re.findall(r"[0-9]+", re.sub("'[^']*'", "", texts[-1]))) < 100
