@@ -12,7 +12,8 @@ coordinate minima of two boxes bound the overlap below them. Pairs that survive
 
 Copies make large groups, so links are found in two rounds. First each class meets only the class that it
 shares most prefix shingles with, if the bound allows; components follow. Then only pairs of different components that share a
-prefix shingle are looked at. Pairs inside a component can't change it, so the components are exact, and
+prefix shingle are looked at, together for all shingles whose groups have the same least and greatest class, so that a pair of
+copies is handed on a few times and not once for each shingle in common. Pairs inside a component can't change it, so the components are exact, and
 no group emits all its pairs. Large groups are cut into blocks that meet block by block.
 
 Null text or no words: an empty set that links with nothing. Fewer than five words: one shingle of all.
@@ -33,8 +34,10 @@ from .common import Scratch, mix64, packed_array, slices, small, summed, words_o
 from .components import components
 
 WORDS, PERCENT, GROUPS, FANOUT = 5, 80, 128, 24
-#: Counters of shingles (an order for them, nothing more), how many of them travel together, and classes of a block.
-COUNTERS, PIECE, BLOCK = 1 << 22, 1 << 16, 1_024
+#: Counters of shingles (an order for them, nothing more), how many of them travel together, and classes of a block (of a meeting's block in the second round).
+COUNTERS, PIECE, BLOCK, MEETING = 1 << 22, 1 << 16, 1_024, 256
+#: Bytes of text whose shingles a task holds at once.
+SLICE = 2 << 20
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +217,15 @@ def _binary_list(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * flat.itemsize).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
 
 
+def meetings(left: DataFrame) -> DataFrame:
+    """Where classes of different components meet: lo, hi, cid, comp and the ascending shingles ``shared`` there, from prefix shingles (s, cid, comp).
+
+    Shingles of one least and one greatest class are one meeting, so that copies with many shingles in common meet a few times and not once a shingle.
+    """
+    mixed = left.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("x <> y").select("s", "lo", "hi")
+    return left.join(mixed, "s").groupBy("lo", "hi", "cid", "comp").agg(F.sort_array(F.collect_list("s")).alias("shared"))  # at most the class's own prefix
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row; text_hash (xxhash64), and first: the component's row of least id."""
     spark = docs.sparkSession
@@ -225,9 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def met(batches):
         often = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=SLICE):
                 sets, _ = shingle_sets(piece.column("text"))
-                often += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                np.add.at(often, (sets & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         task = TaskContext.get().partitionId()
         for at in range(COUNTERS // PIECE):
             part = often[at * PIECE : (at + 1) * PIECE]
@@ -245,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         row = TaskContext.get().partitionId() << 33
         seen: set[bytes | None] = {None}
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=SLICE):
                 sets, off = shingle_sets(piece.column("text"))
                 names = _class_of(sets, off)
                 fresh = np.array([c not in seen and not seen.add(c) for c in names], bool)  # a class's first text in the task
@@ -294,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     @worker
     def whole(batches):
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=SLICE):
                 sets, off = shingle_sets(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(_class_of(sets, off), pa.binary()), _binary_list(sets, off)], names=["cls", "members"])
 
@@ -317,26 +329,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(in_blocks.mapInArrow(link, "a long, b long"), scratch)
     # second round: pairs of different components that share a prefix shingle
     left = postings.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("s", "cid", F.coalesce("root", "cid").alias("comp"))
-    mixed = left.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("x <> y").select("s", "k")
-    left = left.join(mixed, "s").withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-    # in a large group, blocks meet pair by pair; a single block meets itself
-    meets = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "cid", "comp")
-    meets = meets.join(vecs, "cid").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "cid")
+    met_at = scratch.cut(meetings(left))
+    blocks = met_at.groupBy("lo", "hi").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("k"))
+    met_in = met_at.join(blocks, ["lo", "hi"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    # in a large meeting, blocks meet pair by pair; a single block meets itself
+    meets = met_in.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("lo", "hi", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "cid", "comp", "shared")
+    meets = meets.join(vecs, "cid").repartition("lo", "hi", "i", "j").sortWithinPartitions("lo", "hi", "i", "j", "cid")
 
     @worker
     def candidates(batches):
-        out: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        out: list[tuple[int, ...]] = []
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ca", "cb", "need"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "ca", "cb", "need", "times"])
 
-        for t in _runs(batches, ["s", "i", "j"]):
+        for t in _runs(batches, ["lo", "hi", "i", "j"]):
             comp = np.asarray(t["comp"])
             if (comp == comp[0]).all():
                 continue
             cid, n, sub = np.asarray(t["cid"]), np.asarray(t["n"]), np.asarray(t["sub"])
+            lists = t["shared"].combine_chunks()
+            flat, off = np.asarray(lists.flatten()), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
             points = np.stack([_vector(v) for v in t["vec"].to_pylist()])
             if t["i"][0].as_py() == t["j"][0].as_py():
                 found, x, y = RTree(points, n).pairs(), np.arange(len(cid)), np.arange(len(cid))
@@ -348,20 +361,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, j in found:
                 i, j = x[i], y[j]
                 other = comp[i] != comp[j]
-                i, j = i[other], j[other]
-                if len(i):
-                    swap = cid[i] > cid[j]
-                    need = least_shared(np.minimum(n[i], n[j]))
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    out.append((cid[i], cid[j], comp[i], comp[j], need))
-                    size += len(i)
-                if size > 50_000:
+                for p, q in zip(i[other].tolist(), j[other].tolist(), strict=True):
+                    times = common(flat[off[p] : off[p + 1]], flat[off[q] : off[q + 1]])
+                    if times:
+                        p, q = (q, p) if cid[p] > cid[q] else (p, q)
+                        out.append((cid[p], cid[q], comp[p], comp[q], least_shared(min(n[p], n[q])), times))
+                if len(out) > 50_000:
                     yield flush()
-                    out, size = [], 0
+                    out.clear()
         if out:
             yield flush()
 
-    pairs = scratch.cut(meets.mapInArrow(candidates, "a long, b long, ca long, cb long, need long").groupBy("a", "b", "ca", "cb", "need").count().where("count >= need").drop("need", "count"))
+    pairs = meets.mapInArrow(candidates, "a long, b long, ca long, cb long, need long, times long").groupBy("a", "b", "ca", "cb", "need").agg(F.sum("times").alias("times"))
+    pairs = scratch.cut(pairs.where("times >= need").drop("need", "times"))
     wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     sets = sets_of(wanted)
 
@@ -404,7 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = member.join(first.select(F.col("node").alias("cid"), F.col("root").alias("one")), "cid", "left").withColumn("one", F.coalesce("one", "cid", "row"))
     comp = comp.join(second.select(F.col("node").alias("one"), F.col("root").alias("two")), "one", "left").select("doc_id", "text_hash", "row", "n", F.coalesce("two", "one").alias("comp"))
     comp = scratch.cut(comp)
-    scratch.forget(described_rows, postings, vecs, best, pairs)
+    scratch.forget(described_rows, postings, vecs, best, met_at, pairs)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     name = comp.groupBy("comp").agg(least.alias("least"))
     return comp.join(name, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", (F.col("row") == F.col("least.row")).alias("first"))

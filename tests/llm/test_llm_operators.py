@@ -344,6 +344,22 @@ def test_jaccard_components(spark, monkeypatch, block):
     assert kept == set(want)
 
 
+def test_jaccard_copies_meet_once_and_not_once_a_shingle(spark, monkeypatch):
+    rows = [(s, c, c % 2) for s in range(50) for c in range(20)] + [(100, 3, 1), (100, 30, 30), (101, 5, 1), (101, 7, 1)]
+    got = jaccard.meetings(spark.createDataFrame(rows, "s long, cid long, comp long").repartition(5)).collect()
+    assert sorted((r["lo"], r["hi"], r["cid"], r["comp"], r["shared"]) for r in got) == sorted([(0, 19, c, c % 2, list(range(50))) for c in range(20)] + [(3, 30, 3, 1, [100]), (3, 30, 30, 30, [100])])
+    monkeypatch.setattr(jaccard, "MEETING", 3)
+    rng = np.random.default_rng(6)
+    base, texts = [f"w{x}" for x in rng.integers(0, 400, 120)], []
+    for _ in range(40):  # some link with others only by a third, some with none
+        w = list(base)
+        for _ in range(rng.integers(0, 6)):
+            w[rng.integers(len(w))] = f"n{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(*components_of(texts), strict=True))
+
+
 def test_jaccard_of_odd_tables(odd, empty):
     assert jaccard.near_duplicates(empty).collect() == []
     rows = jaccard.near_duplicates(odd[0]).collect()
