@@ -3,12 +3,13 @@
 Pairs of dimensions are coded by 16 centroids each. Codebooks and codes weigh the part of a vector's
 residual that is parallel to it ``ETA`` times as much as the rest, since that part moves its largest
 inner products. The codebooks are fitted on a bounded sample; every distinct vector is indexed, with the
-``k`` + 1 least ids that hold it. The scan ships 4-bit codes only: blocks of codes meet blocks of queries
-in tasks of bounded size, which sum byte-wide look-up tables (two codes at once) and keep the best few
-of a block. The best estimates of all blocks meet their original vectors once, by joins, and are ranked
-by exact double products, summed in order of the components. How many they are is measured on the index at hand: for
-``PROBES`` queries the exact neighbours are found by going over all vectors, and so many estimates are taken that
-``RECALL`` of those neighbours are among them (``RERANK`` at least, and ``MARGIN`` times what was measured). ``exact`` takes all.
+``k`` + 1 least ids that hold it. The scan ships 4-bit codes, and 8-bit components beside them: blocks of codes meet blocks of
+queries in tasks of bounded size, which sum byte-wide look-up tables (two codes at once), keep the best few
+of a block and estimate those again by their 8-bit components. The best of these finer estimates meet their original vectors
+once, by joins, and are ranked by exact double products, summed in order of the components. How many of either are kept is
+measured on the index at hand: for ``PROBES`` queries the exact neighbours are found by going over all vectors, and so many
+estimates are taken that ``RECALL`` of those neighbours are among them (``RERANK`` at least, and ``MARGIN`` times what was
+measured). So near copies, which 4-bit codes hardly tell apart, are told apart where the codes lie, not by joins. ``exact`` takes all.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part, nor do rows without an id. Repeated ids count once for each row; a query's own id is no
@@ -87,6 +88,18 @@ def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
+def bytes_of(x: np.ndarray) -> np.ndarray:
+    """A row's largest component (float64) and its components in 127ths of that: (n, 8 + d) uint8."""
+    most = np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
+    return np.concatenate([most.astype("<f8").view(np.uint8), np.round(x / most * 127).astype(np.int8).view(np.uint8)], 1)
+
+
+def _finer(q: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Products of queries (m, d) with rows of ``bytes_of``: (m, n)."""
+    scale = np.ascontiguousarray(fine[:, :8]).view("<f8")[:, 0] / 127
+    return (q @ np.ascontiguousarray(fine[:, 8:]).view(np.int8).astype(np.float64).T) * scale
+
+
 def _tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     """Look-up tables of queries (m, bytes, 256): the products with both codes of a byte."""
     one = np.einsum("msd,skd->msk", q.reshape(len(q), -1, 2), books).astype(np.float32)
@@ -95,9 +108,9 @@ def _tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[:, 1::2, :, None] + one[:, ::2, None, :]).reshape(len(q), -1, 256)
 
 
-def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, most: int) -> pd.DataFrame:
-    """The ``most`` codes of a block with the largest estimated products for each query: q, u, estimate."""
-    keep = min(most, len(ids))
+def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, books: np.ndarray, fine: np.ndarray, most: int, few: int) -> pd.DataFrame:
+    """Of the ``most`` codes of a block with the largest estimated products for each query, the ``few`` with the largest finer ones: q, u, estimate."""
+    keep, few = min(most, len(ids)), min(most, few, len(ids))
     found, rough = [], []
     for a in range(0, len(q), 64):
         tables = _tables(q[a : a + 64], books)
@@ -105,26 +118,30 @@ def scan_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndar
         for p in range(codes.shape[1]):
             score += np.take(tables[:, p], codes[:, p], axis=1)
         best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
-        found.append(best)
-        rough.append(np.take_along_axis(score, best, axis=1))
-    return pd.DataFrame({"q": np.repeat(q_ids, keep), "u": ids[np.concatenate(found).ravel()], "estimate": np.concatenate(rough).ravel().astype(np.float64)})
+        for i, at in enumerate(best):
+            finer = _finer(q[a + i : a + i + 1, : fine.shape[1] - 8], fine[at])[0]
+            first = np.argpartition(-finer, few - 1)[:few] if few < keep else np.arange(keep)
+            found.append(at[first])
+            rough.append(finer[first])
+    return pd.DataFrame({"q": np.repeat(q_ids, few), "u": ids[np.concatenate(found).ravel()], "estimate": np.concatenate(rough).ravel().astype(np.float64)})
 
 
-def _scores(batch: pa.RecordBatch, q: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exact and estimated products (queries, rows) of a batch with columns v and codes."""
+def _scores(batch: pa.RecordBatch, q: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact, estimated and finer estimated products (queries, rows) of a batch with columns v, codes and fine."""
     x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
     tables = _tables(np.pad(q, ((0, 0), (0, q.shape[1] % 2))), books)
     rough = np.zeros((len(q), batch.num_rows), np.float32)
     for p in range(codes.shape[1]):
         rough += np.take(tables[:, p], codes[:, p], axis=1)
-    return q @ x.T, rough
+    fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return q @ x.T, rough, _finer(q, fine)
 
 
-def measured_depth(index: DataFrame, probes: np.ndarray, books: np.ndarray, k: int, share: float = RECALL) -> tuple[int, list[float]]:
-    """How many of the best estimates hold ``share`` of the ``k`` exact neighbours of the probes, and the place of each neighbour among the estimates.
+def measured_depth(index: DataFrame, probes: np.ndarray, books: np.ndarray, k: int, share: float = RECALL) -> list[int]:
+    """How many of the best estimates, and of the best finer ones, hold ``share`` of the ``k`` exact neighbours of the probes.
 
-    Two passes over the index (v, codes), each with all probes at once: tasks send their best ``k`` a probe, then counts.
+    Two passes over the index (v, codes, fine), each with all probes at once: tasks send their best ``k`` a probe, then counts.
     """
     held = index.sparkSession.sparkContext.broadcast((probes, books))
 
@@ -133,32 +150,38 @@ def measured_depth(index: DataFrame, probes: np.ndarray, books: np.ndarray, k: i
         best: dict[int, tuple] = {}
         for batch in batches:
             if batch.num_rows:
-                score, rough = _scores(batch, *held.value)
+                score, rough, finer = _scores(batch, *held.value)
                 for i in range(len(score)):
-                    s, e = (np.append(a, b) for a, b in zip(best.get(i, (np.zeros(0), np.zeros(0, np.float32))), (score[i], rough[i]), strict=True))
+                    s, e, f = (np.append(a, b) for a, b in zip(best.get(i, (np.zeros(0), np.zeros(0, np.float32), np.zeros(0))), (score[i], rough[i], finer[i]), strict=True))
                     at = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
-                    best[i] = s[at], e[at]
-        for i, (s, e) in best.items():
-            yield pa.RecordBatch.from_pydict({"q": pa.array([i] * len(s), pa.int32()), "score": pa.array(s, pa.float64()), "estimate": pa.array(e.astype(np.float64), pa.float64())})
+                    best[i] = s[at], e[at], f[at]
+        for i, (s, e, f) in best.items():
+            yield pa.RecordBatch.from_pydict({"q": pa.array([i] * len(s), pa.int32())} | {c: pa.array(x.astype(np.float64), pa.float64()) for c, x in (("score", s), ("estimate", e), ("finer", f))})
 
-    found = index.select("v", "codes").mapInArrow(exact, "q int, score double, estimate double")
+    of = index.select("v", "codes", "fine")
+    found = of.mapInArrow(exact, "q int, score double, estimate double, finer double")
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("estimate")))
-    marks = [np.array([r["estimate"] for r in rows], np.float32) for rows in _grouped(found.withColumn("r", first).where(F.col("r") <= k).collect(), len(probes))]
+    near = _grouped(found.withColumn("r", first).where(F.col("r") <= k).collect(), len(probes))
+    marks = [[np.array([r[c] for r in rows], kind) for rows in near] for c, kind in (("estimate", np.float32), ("finer", np.float64))]
 
     @worker
     def place(batches):
-        counts = [np.zeros(len(m), np.int64) for m in marks]
+        counts = [[np.zeros(len(m), np.int64) for m in kind] for kind in marks]
         for batch in batches:
             if batch.num_rows:
-                rough = np.sort(_scores(batch, *held.value)[1], axis=1)
-                for i, m in enumerate(marks):
-                    counts[i] += batch.num_rows - np.searchsorted(rough[i], m, side="left")
-        for i, c in enumerate(counts):
-            yield pa.RecordBatch.from_pydict({"q": pa.array([i] * len(c), pa.int32()), "j": pa.array(range(len(c)), pa.int32()), "n": pa.array(c, pa.int64())})
-
-    places = sorted(r["n"] for r in index.select("v", "codes").mapInArrow(place, "q int, j int, n long").groupBy("q", "j").agg(F.sum("n").alias("n")).collect())
+                for kind, scores, count in zip(marks, _scores(batch, *held.value)[1:], counts, strict=True):
+                    scores = np.sort(scores, axis=1)
+                    for i, m in enumerate(kind):
+                        # sums in another order may differ in their last bits
+                        count[i] += batch.num_rows - np.searchsorted(scores[i], m - np.abs(m) * m.dtype.type(1e-6), side="left")
+        for kind, count in enumerate(counts):
+            for i, c in enumerate(count):
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(c), pa.int32()), "q": pa.array([i] * len(c), pa.int32()), "j": pa.array(range(len(c)), pa.int32()), "n": pa.array(c, pa.int64())})
+
+    rows = of.mapInArrow(place, "kind int, q int, j int, n long").groupBy("kind", "q", "j").agg(F.sum("n").alias("n")).collect()
     held.unpersist()
-    return (int(places[min(len(places) - 1, int(np.ceil(share * len(places))) - 1)]) if places else 0), places
+    places = [sorted(r["n"] for r in rows if r["kind"] == kind) for kind in (0, 1)]
+    return [int(p[min(len(p) - 1, int(np.ceil(share * len(p))) - 1)]) if p else 0 for p in places]
 
 
 def _grouped(rows: list, n: int) -> list[list]:
@@ -199,25 +222,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         one_thread()
         return pd.Series([c.tobytes() for c in encode(pad(v) if len(v) else np.zeros((0, d + odd)), books)])
 
+    @pandas_udf("binary")
+    def fine_of(v: pd.Series) -> pd.Series:
+        return pd.Series([c.tobytes() for c in bytes_of(np.stack(v.to_numpy()))] if len(v) else [], dtype=object)
+
     # distinct vectors, each with its least ids: tasks drop the others before they are shuffled
     each = rows.groupBy("v", "vec_id").agg(F.count("*").alias("times"))
     least = each.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     index = least.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
-    index = scratch.cut(index.withColumn("u", F.monotonically_increasing_id()).withColumn("codes", codes_of("v")))
+    index = scratch.cut(index.withColumn("u", F.monotonically_increasing_id()).withColumn("codes", codes_of("v")).withColumn("fine", fine_of("v")))
     asked = rows.where(is_query).select("vec_id", "v").distinct().join(index.select("v", F.col("u").alias("q")), "v")
     asked = scratch.cut(asked.select("q", F.col("vec_id").alias("query_id"), "v"))
     queries = asked.dropDuplicates(["q"]).select("q", "v")
 
     size = index.count()
     probes = hashed_sample(queries, "q", PROBES, ["q"]).collect()
-    depth = size
+    depth = few = size
     if not exact and size > RERANK and probes:
-        depth = min(size, max(RERANK, int(MARGIN * measured_depth(index, np.array([r["v"] for r in probes]), books, k + 1)[0]) + 1))
+        depth, few = (min(size, max(RERANK, int(MARGIN * n) + 1)) for n in measured_depth(index, np.array([r["v"] for r in probes]), books, k + 1))
     blocks = -(-size // BLOCK_ROWS)
     q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    most = min(depth, 16 + -(-3 * depth // blocks)) if blocks > 1 and depth < size else depth
+    share = lambda n: min(n, 16 + -(-3 * n // blocks)) if blocks > 1 and n < size else n
+    most, most_few = share(depth), share(few)
     dealt = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    held = dealt(index.select("u", "codes"), "u", "block", blocks, "q_block", q_blocks)
+    held = dealt(index.select("u", "codes", "fine"), "u", "block", blocks, "q_block", q_blocks)
     sent = dealt(queries, "q", "q_block", q_blocks, "block", blocks)
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -225,10 +253,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "u": pd.Series(dtype="int64"), "estimate": pd.Series(dtype="float64")})
         one_thread()
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
-        return scan_block(right["q"].to_numpy(), pad(right["v"]), left["u"].to_numpy(), codes, books, most)
+        fine = np.frombuffer(b"".join(left["fine"]), np.uint8).reshape(len(left), -1)
+        return scan_block(right["q"].to_numpy(), pad(right["v"]), left["u"].to_numpy(), codes, books, fine, most, most_few)
 
     found = held.groupBy("block", "q_block").cogroup(sent.groupBy("block", "q_block")).applyInPandas(scan, "q long, u long, estimate double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("estimate"), "u"))).where(F.col("r") <= depth).select("q", "u")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("estimate"), "u"))).where(F.col("r") <= few).select("q", "u")
     # exact products of the candidates, then of each query's ids
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     exact = best.join(index.select("u", "v", "ids"), "u").join(queries.select("q", F.col("v").alias("w")), "q").select("q", product.alias("score"), "ids")

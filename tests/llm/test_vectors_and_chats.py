@@ -270,3 +270,22 @@ def test_queries_of_one_vector_meet_only_its_first_vectors(spark):
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, 5)
     want = [(i, r + 1, j, -s) for i, v in rows if i % 2 == 0 and any(v) for r, (s, j) in enumerate(sorted((-float(np.dot(v, w)), j) for j, w in rows if j != i and any(w))[:5])]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_near_copies_need_few_candidates(spark):
+    """Near copies, which 4-bit codes hardly tell apart, don't meet each query by the hundred: the finer estimates tell them apart in the scan."""
+    from hopscope.llm import ann
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(33) + 0.02 * rng.standard_normal((600, 33)), rng.standard_normal((3400, 33))])
+    padded = np.pad(x, ((0, 0), (0, 1)))
+    books = ann.fit(padded)
+    index = spark.createDataFrame([(v.tolist(), bytearray(c.tobytes()), bytearray(f.tobytes())) for v, c, f in zip(x, ann.encode(padded, books), ann.bytes_of(x), strict=True)], "v array<double>, codes binary, fine binary")
+    rough, finer = ann.measured_depth(index, x[:20], books, 21)
+    assert rough > 400 and finer < 150
+    got = ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    hits = 0
+    for q in range(0, 4000, 20):
+        near = np.argsort(-np.where(np.arange(4000) == q, -np.inf, x @ x[q]))[:20]
+        hits += len(set(near.tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.98 * 4000
