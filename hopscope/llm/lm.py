@@ -35,6 +35,8 @@ HIDDEN, WINDOW, SAMPLE_DOCS, SAMPLE_CHARS = 32, 64, 1_000, 4_000
 LANES, BPTT, RATE, PIECE = 96, 24, 0.01, 4_096
 #: Lanes of tasks at most, so that a slice of texts makes so many steps at least, and the share of the rate that they go on with.
 WIDE, LEAST, LATER = 512, 32, 0.3
+#: States that meet the classes at once, so that their logits stay in a core's cache.
+BLOCK = 1_024
 END = ""  # no word is empty
 
 
@@ -75,11 +77,25 @@ class Vocabulary:
         return np.asarray(pc.add(pc.fill_null(at, len(self.words)), 1)).astype(np.int64)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no logit of rows ``w`` and biases ``b`` leaves the range of exp in 32 bits, as a state's entries are within -1 and 1."""
+    return bool((np.abs(w).sum(1) + np.abs(b)).max(initial=0) < 60)
+
+
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray, bounded: bool) -> np.ndarray:
+    """Of outputs with rows ``w``; less their largest in a row where exp could overflow."""
+    out = h @ w.T
+    out += b
+    if not bounded:
+        out -= out.max(1, keepdims=True)
+    return out
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    np.exp(logits, out=logits)
+    logits *= np.reciprocal(logits @ np.ones(logits.shape[1], np.float32))[:, None]
+    return logits
 
 
 class Gru:
@@ -93,16 +109,25 @@ class Gru:
             "wc": f(h, voc.n_classes), "bc": np.log(cls_mass / cls_mass.sum()).astype(np.float32), "ww": f(voc.short, h), "bw": word_bias,
         }
 
-    def step(self, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step of the gates: new state, and what backpropagation needs."""
+    def gates(self) -> tuple[np.ndarray, ...]:
+        """wx, bx and uh, those of the two gates with their signs turned, as their sigmoids take exp(-x)."""
+        turn = np.repeat(np.array([-1, -1, 1], np.float32), HIDDEN)
+        return self.p["wx"] * turn, self.p["bx"] * turn, self.p["uh"] * turn
+
+    @staticmethod
+    def step(gx: np.ndarray, h: np.ndarray, uh: np.ndarray, new: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """One step of the gates, weights as in ``gates``: new state, and what backpropagation needs. exp may overflow to a closed gate."""
         n = HIDDEN
-        gh = h @ self.p["uh"]
-        rz = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
+        gh = h @ uh
+        rz = gh[:, : 2 * n] + gx[:, : 2 * n]
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :n], rz[:, n:]
         c = gh[:, 2 * n :] * r
         c += gx[:, 2 * n :]
-        c = np.tanh(c, out=c)
-        new = h - c
+        np.tanh(c, out=c)
+        new = np.subtract(h, c, out=new)
         new *= z
         new += c
         return new, r, z, c, gh[:, 2 * n :]
@@ -127,85 +152,88 @@ class Gru:
         if not state:
             state.update(m={k: np.zeros_like(q) for k, q in self.p.items()}, v={k: np.zeros_like(q) for k, q in self.p.items()}, steps=0)
         m, v, done = state["m"], state["v"], state["steps"]
-        h, n, p = np.zeros((lanes, HIDDEN), np.float32), HIDDEN, self.p
+        n, p = HIDDEN, self.p
+        h, words = np.zeros((lanes, n), np.float32), voc.n_short_classes
         total = -(-length // BPTT)
         for i, a in enumerate(range(0, length, BPTT)):
             b = min(length, a + BPTT)
-            xs, ys = x[:, a:b].T, y[:, a:b].T
-            e = p["emb"][xs]
-            gx = e @ p["wx"] + p["bx"]
-            past, trace, hs = [], [], []
-            for t in range(b - a):
-                h = h * keep[:, a + t, None]
-                past.append(h)
-                h, *rest = self.step(gx[t], h)
-                trace.append(rest)
-                hs.append(h)
-            flat, target = np.concatenate(hs), ys.reshape(-1)
-            g = {}
-            prob = flat @ p["wc"]
-            prob += p["bc"]
-            prob -= prob.max(1, keepdims=True)
-            np.exp(prob, out=prob)
-            prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(len(target)), voc.cls[target]] -= 1
-            prob[target < 0] = 0  # what fills up the lanes
-            g["wc"], g["bc"] = flat.T @ prob, prob.sum(0)
-            dh = prob @ p["wc"].T
+            xs, target = np.ascontiguousarray(x[:, a:b].T).reshape(-1), np.ascontiguousarray(y[:, a:b].T).reshape(-1)
+            wx, bx, uh = self.gates()
+            table = p["emb"] @ wx + bx
+            fed = np.empty((len(xs), 2 * n), np.float32)  # input and state before, of each place
+            fed[:, :n] = p["emb"].take(xs, 0)
+            flat, past, trace = np.empty((len(xs), n), np.float32), fed[:, n:], []
+            with np.errstate(over="ignore"):
+                for t in range(b - a):
+                    now = slice(t * lanes, (t + 1) * lanes)
+                    gx = table.take(xs[now], 0)
+                    h = np.multiply(h, keep[:, a + t, None], out=past[now])
+                    h, *rest = self.step(gx, h, uh, flat[now])
+                    trace.append(rest)
+            g, dh = {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"])}, np.empty_like(flat)
+            cls, wc, filling = voc.cls[target], np.ascontiguousarray(p["wc"].T), np.flatnonzero(target < 0)
+            bounded = _bounded(wc, p["bc"])
+            for s in range(0, len(flat), BLOCK):
+                part = slice(s, s + BLOCK)
+                prob = _shares(_logits(flat[part], wc, p["bc"], bounded))
+                prob[np.arange(len(prob)), cls[part]] -= 1
+                prob[filling[np.searchsorted(filling, s) : np.searchsorted(filling, s + BLOCK)] - s] = 0  # what fills up the lanes
+                np.matmul(prob, wc, out=dh[part])
+                g["wc"] += flat[part].T @ prob
+                g["bc"] += np.ones(len(prob), np.float32) @ prob
             # words of each class side by side
             g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-            own = np.where((target >= 0) & (target < voc.short), voc.cls[target], voc.n_short_classes)
+            own = np.where((target >= 0) & (target < voc.short), cls, words).astype(np.int16)
             order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(voc.n_short_classes + 1))
-            for c in range(voc.n_short_classes):
-                at = order[cuts[c] : cuts[c + 1]]
-                s0, s1 = voc.starts[c], voc.starts[c + 1]
-                if len(at) and s1 - s0 > 1:
-                    state_c = flat[at]
-                    w = state_c @ p["ww"][s0:s1].T
-                    w += p["bw"][s0:s1]
-                    w -= w.max(1, keepdims=True)
-                    np.exp(w, out=w)
-                    w /= w.sum(1, keepdims=True)
-                    w[np.arange(len(at)), target[at] - s0] -= 1
-                    g["ww"][s0:s1], g["bw"][s0:s1] = w.T @ state_c, w.sum(0)
-                    dh[at] += w @ p["ww"][s0:s1]
-            dh = dh.reshape(b - a, lanes, n)
-            dgx, dgh, carry = np.empty_like(gx), np.empty_like(gx), np.zeros((lanes, n), np.float32)
-            uh_t = np.ascontiguousarray(p["uh"].T)
+            cuts = np.searchsorted(own[order], np.arange(words + 1))
+            order = order[: cuts[words]]
+            sorted_h, place, back = flat.take(order, 0), target[order], np.zeros((len(order), n), np.float32)
+            bounded = _bounded(p["ww"], p["bw"])
+            for c in range(words):
+                at, of = slice(cuts[c], cuts[c + 1]), slice(voc.starts[c], voc.starts[c + 1])
+                if at.stop > at.start and of.stop - of.start > 1:
+                    w = _shares(_logits(sorted_h[at], p["ww"][of], p["bw"][of], bounded))
+                    w[np.arange(len(w)), place[at] - of.start] -= 1
+                    np.matmul(w.T, sorted_h[at], out=g["ww"][of])
+                    np.matmul(np.ones(len(w), np.float32), w, out=g["bw"][of])
+                    np.matmul(w, p["ww"][of], out=back[at])
+            dh[order] += back
+            # of c, r, z and the state's part of c: the first three go to the input, the last three to the state
+            d4, carry = np.empty((len(flat), 4 * n), np.float32), np.zeros((lanes, n), np.float32)
+            uh_t = np.concatenate([p["uh"][:, : 2 * n].T, p["uh"][:, 2 * n :].T])
             for t in range(b - a - 1, -1, -1):
-                d = dh[t]
+                now = slice(t * lanes, (t + 1) * lanes)
+                d = dh[now]
                 d += carry
                 r, z, c, ghc = trace[t]
-                out, back = dgx[t], dgh[t]
-                rest = 1 - z
-                dc = d * rest
-                dc *= 1 - c * c
-                out[:, 2 * n :] = dc
-                dz = past[t] - c
-                dz *= d
+                out, rest = d4[now], 1 - z
+                dz = past[now] - c
                 dz *= z
                 dz *= rest
-                out[:, n : 2 * n] = dz
-                np.multiply(dc, r, out=back[:, 2 * n :])
-                dc *= ghc
-                dc *= r
-                dc *= 1 - r
-                out[:, :n] = dc
-                back[:, : 2 * n] = out[:, : 2 * n]
-                carry = back @ uh_t
-                carry += d * z
+                np.multiply(dz, d, out=out[:, 2 * n : 3 * n])
+                rest *= d
+                c *= c
+                np.subtract(1, c, out=c)
+                c *= rest
+                out[:, :n] = c
+                np.multiply(c, r, out=out[:, 3 * n :])
+                c *= ghc
+                np.subtract(1, r, out=rest)
+                rest *= r
+                np.multiply(c, rest, out=out[:, n : 2 * n])
+                carry = out[:, n:] @ uh_t
+                d *= z
+                carry += d
                 carry *= keep[:, a + t, None]
-            g["uh"] = np.concatenate(past).T @ dgh.reshape(-1, 3 * n)
-            wide = dgx.reshape(-1, 3 * n)
-            g["wx"], g["bx"] = e.reshape(-1, n).T @ wide, wide.sum(0)
-            used = xs.reshape(-1)
+            wide, both = d4[:, : 3 * n], fed.T @ d4
+            g["wx"], g["bx"], g["uh"] = np.roll(both[:n, : 3 * n], -n, 1), np.roll(np.ones(len(wide), np.float32) @ wide, -n), both[n:, n:].copy()
+            used = xs.astype(np.uint16)
             order = np.argsort(used, kind="stable")
             rows, first = np.unique(used[order], return_index=True)
             g["emb"] = np.zeros_like(p["emb"])
-            g["emb"][rows] = np.add.reduceat((wide @ p["wx"].T)[order], first)
+            g["emb"][rows] = np.add.reduceat((wide @ np.roll(p["wx"], n, -1).T).take(order, 0), first)
             scale = 1 / max(1, np.count_nonzero(target >= 0))
-            norm = np.sqrt(sum(float((q**2).sum()) for q in g.values())) * scale
+            norm = np.sqrt(sum(float(q.ravel() @ q.ravel()) for q in g.values())) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-12))
             rate = RATE * LATER if later else RATE * (1 - 0.9 * i / total)
             i += done
@@ -218,8 +246,9 @@ class Gru:
 
     def score(self, voc: Vocabulary, tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each token of documents ``off`` over rows ``tokens``; a last class's share is left out."""
-        p, out = self.p, voc.share[tokens].copy()
-        table = p["emb"] @ p["wx"] + p["bx"]
+        out = voc.share[tokens].copy()
+        wx, bx, uh = self.gates()
+        table = self.p["emb"] @ wx + bx
         inputs = voc.inputs[tokens].astype(np.int32)
         size = np.diff(off)
         order = np.argsort(-size, kind="stable")
@@ -229,39 +258,43 @@ class Gru:
         h = np.zeros((len(size), HIDDEN), np.float32)
         first = voc.inputs[0]
         for a in range(0, steps, WINDOW):
-            states, places = [], []
-            for t in range(a, min(a + WINDOW, steps)):
-                at = begin[: going[t]] + t
-                gx = table[np.full(len(at), first)] if t == 0 else table[inputs[at - 1]]
-                h = self.step(gx, h[: len(at)])[0]
-                states.append(h)
-                places.append(at)
-            self._window(voc, np.concatenate(states), tokens, np.concatenate(places), out)
+            b = min(a + WINDOW, steps)
+            cuts = np.append(0, np.cumsum(going[a:b]))
+            states, places = np.empty((cuts[-1], HIDDEN), np.float32), np.empty(cuts[-1], np.int64)
+            with np.errstate(over="ignore"):
+                for t in range(a, b):
+                    now = slice(cuts[t - a], cuts[t - a + 1])
+                    at = np.add(begin[: going[t]], t, out=places[now])
+                    gx = table[np.full(len(at), first)] if t == 0 else table.take(inputs.take(at - 1), 0)
+                    h = self.step(gx, h[: len(at)], uh, states[now])[0]
+            self._window(voc, states, tokens, places, out)
         return out
 
     def _window(self, voc: Vocabulary, h: np.ndarray, tokens: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        p, log10e = self.p, 1 / np.log(10)
+        p, log10e, words = self.p, 1 / np.log(10), voc.n_short_classes
+        wc, in_class, in_words = np.ascontiguousarray(p["wc"].T), _bounded(p["wc"].T, p["bc"]), _bounded(p["ww"], p["bw"])
         for s in range(0, len(at), 16_384):
             hs, place = h[s : s + 16_384], at[s : s + 16_384]
             target = tokens[place]
             cls = voc.cls[target]
-            lp = _log_prob(hs @ p["wc"] + p["bc"], cls)
-            order = np.argsort(cls, kind="stable")
-            cuts = np.searchsorted(cls[order], np.arange(voc.n_short_classes + 1))
-            for c in range(voc.n_short_classes):
-                rows = order[cuts[c] : cuts[c + 1]]
-                s0, s1 = voc.starts[c], voc.starts[c + 1]
-                if len(rows) and s1 - s0 > 1:
-                    lp[rows] += _log_prob(hs[rows] @ p["ww"][s0:s1].T + p["bw"][s0:s1], target[rows] - s0)
+            lp = np.concatenate([_log_prob(_logits(hs[i : i + BLOCK], wc, p["bc"], in_class), cls[i : i + BLOCK]) for i in range(0, len(hs), BLOCK)])
+            key = np.minimum(cls, words).astype(np.int16)
+            order = np.argsort(key, kind="stable")
+            cuts = np.searchsorted(key[order], np.arange(words + 1))
+            order = order[: cuts[words]]
+            sorted_h, word, more = hs.take(order, 0), target[order], np.zeros(len(order))
+            for c in range(words):
+                rows, of = slice(cuts[c], cuts[c + 1]), slice(voc.starts[c], voc.starts[c + 1])
+                if rows.stop > rows.start and of.stop - of.start > 1:
+                    more[rows] = _log_prob(_logits(sorted_h[rows], p["ww"][of], p["bw"][of], in_words), word[rows] - of.start)
+            lp[order] += more
             out[place] += lp * log10e
 
 
 def _log_prob(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = logits[np.arange(len(at)), at].astype(np.float64)
-    most = logits.max(1, keepdims=True)
-    logits -= most
     np.exp(logits, out=logits)
-    return own - most[:, 0] - np.log(logits.sum(1, dtype=np.float32))
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:

@@ -623,3 +623,25 @@ def test_weights_of_words_are_not_parsed_one_by_one(spark, monkeypatch):
     got = [r[0] for r in rows.select(domains.sums("words")).collect()]
     assert np.allclose(got, [weights[:, 3:].sum(1), [0, 0]], atol=1e-9)
     assert len(re.findall(r"[0-9]+", re.sub("'[^']*'", "", texts[-1]))) < 100
+
+
+def test_lm_blocks_give_equal_results(monkeypatch):
+    voc = lm.Vocabulary([f"w{i}" for i in range(3000)], [3000 - i for i in range(3000)], 50, 10_000, 3001, 10, 5, 100, 60)
+    rng = np.random.default_rng(1)
+    docs = [(np.append(rng.zipf(1.2, 900).clip(1, 3001), 0), True) for _ in range(9)]
+    ids, off = np.concatenate([d for d, _ in docs]), np.arange(10) * 901
+
+    def trained():
+        net = lm.Gru(voc)
+        net.train(voc, docs)
+        return net, net.score(voc, ids, off)
+
+    net, whole = trained()
+    monkeypatch.setattr(lm, "BLOCK", 50)
+    assert np.allclose(trained()[1], whole, atol=1e-3)
+    monkeypatch.setattr(lm, "_bounded", lambda w, b: False)  # the way for logits that exp could not take
+    assert np.allclose(trained()[1], whole, atol=1e-3)
+    net.p["wc"] *= 1e4
+    net.p["wx"] *= 1e4
+    monkeypatch.undo()
+    assert np.isfinite(net.score(voc, ids, off)).all()
