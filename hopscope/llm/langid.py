@@ -28,6 +28,8 @@ from .common import SLICE_BYTES, col, kept_names, passed_schema, slices, words_o
 SAMPLE_DOCS, SAMPLE_CHARS = 700, 3_000
 #: Characters of text times labels that are scored at once.
 SLICE_LABELS = 16 << 20
+#: Distinct words of a slice whose features are looked up at once.
+WORDS = 1 << 14
 #: Training sequences, their length, steps of ascent, hashed feature rows.
 SEQUENCES, LENGTH, STEPS, ROWS = 2_400, 48, 50, 1 << 17
 UND = "und"
@@ -73,15 +75,15 @@ def _features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """labels; weights (ROWS, labels); lexicon words and their rows of ``lex``; transitions; first."""
 
-    def __init__(self, labels: list[str], lexicon: list[str], lexicon_row: np.ndarray):
+    def __init__(self, labels: list[str], lexicon: pa.Array, lexicon_row: np.ndarray):
         k = len(labels)
-        self.labels, self.lexicon, self.lexicon_row = labels, lexicon, lexicon_row
+        self.labels, self.lexicon, self.lexicon_row = labels, lexicon.cast(pa.large_string()), lexicon_row
         self.w = np.zeros((ROWS, k), np.float32)
         self.lex = np.zeros((int(lexicon_row.max(initial=0)) + 1, k), np.float32)
         self.trans, self.first = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
 
     def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = pc.fill_null(pc.index_in(words.cast(pa.large_string()), pa.array(self.lexicon, pa.large_string())), -1)
+        found = pc.fill_null(pc.index_in(words.cast(pa.large_string()), self.lexicon), -1)
         found = np.asarray(found)
         return *_features(words), np.where(found >= 0, self.lexicon_row[found], 0) if len(self.lexicon) else np.zeros(len(words), np.int64)
 
@@ -90,6 +92,10 @@ class Model:
         e = np.add.reduceat(self.w[feats], begin, axis=0) + self.lex[lex] if len(begin) else np.zeros((0, len(self.labels)), np.float32)
         return np.exp(e - e.max(1, keepdims=True, initial=-np.inf)) + np.float32(1e-12)
 
+    def emit_words(self, words: pa.Array) -> np.ndarray:
+        """``emit`` of words, whose features, some fifty times their bytes, are never all there."""
+        return np.concatenate([self.emit(*self.rows(words.slice(a, WORDS))) for a in range(0, max(1, len(words)), WORDS)])
+
 
 def forward_backward(emit: np.ndarray, codes: np.ndarray, off: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of every word of sequences ``off`` over ``codes``, and the summed transition probabilities.
@@ -146,7 +152,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     known = np.flatnonzero((counts >= 3).any(1))
     sets: dict[bytes, int] = {}
     row = np.array([sets.setdefault(m.tobytes(), len(sets) + 1) for m in counts[known] >= 3], np.int64)
-    model = Model(labels, names.take(pa.array(known)).to_pylist(), row)
+    model = Model(labels, names.take(pa.array(known)), row)
     by = [np.flatnonzero((y_doc == j) & (np.diff(off) > 0)) for j in range(k)]
     if not all(len(x) for x in by):
         by = [x if len(x) else np.flatnonzero(np.diff(off) > 0) for x in by]
@@ -196,7 +202,7 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, n
     words, off = words_of(texts)
     coded = words.dictionary_encode()
     codes, size = np.asarray(coded.indices), np.diff(off)
-    post, _ = forward_backward(model.emit(*model.rows(coded.dictionary)), codes, off, model.trans, model.first)
+    post, _ = forward_backward(model.emit_words(coded.dictionary), codes, off, model.trans, model.first)
     mean = np.zeros((n, k))
     full = np.flatnonzero(size)
     if len(full):

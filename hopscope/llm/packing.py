@@ -25,6 +25,8 @@ from .common import Scratch, slices, worker
 
 #: Pieces in a bucket of a length, about.
 BUCKET_ROWS = 50_000
+#: Characters of text that are tokenised at once; a task takes about 30 times as much beside the cache of pieces.
+SLICE = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,7 +39,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
 
         enc = encoder(vocabulary)
         for batch in batches:
-            for rows in slices(batch, most=4 << 20):
+            for rows in slices(batch, most=SLICE):
                 tok, off = enc.encode(rows.column("text"), end_id)
                 tok, n = tok.astype("<u4"), np.diff(off)
                 pieces = -(-n // capacity)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -645,3 +646,26 @@ def test_lm_blocks_give_equal_results(monkeypatch):
     net.p["wx"] *= 1e4
     monkeypatch.undo()
     assert np.isfinite(net.score(voc, ids, off)).all()
+
+
+def test_language_features_are_bounded_in_memory():
+    model = langid.fit(["the cat sat on the mat and ran away", "der Hund lief zum Haus und blieb da"] * 3, ["en", "de"] * 3)
+    texts = pa.array([" ".join(f"word{i}x{j}" for j in range(500)) for i in range(400)], pa.large_string())
+    tracemalloc.start()
+    _, value, size, _ = langid.score_texts(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size.sum() == 200_000 and peak < 60 << 20  # distinct words: features of all at once took 181 MB
+    few = langid.score_texts(model, texts.slice(390, 3))  # no words in common with other slices
+    assert np.array_equal(few[1], value[390:393])
+
+
+def test_packing_slices_are_bounded_in_memory():
+    enc = PieceEncoder(queries.vocabulary())
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(f"w{i % 7}{j}" for j in range(500)) for i in range(2_500)], pa.string())})
+    tracemalloc.start()
+    for rows in common.slices(batch, most=packing.SLICE):
+        enc.encode(rows.column("text"), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * packing.SLICE <= 64 << 20
