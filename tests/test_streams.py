@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import random
 import time
 from types import SimpleNamespace
 
 import pytest
+from conftest import SF
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from test_sources import capture, tcp
 
+from hopscope import catalog
 from hopscope.operators import pairing
+from hopscope.plans import streams
 from hopscope.sources import pcap
 from hopscope.streaming import pairs
 
@@ -223,6 +228,39 @@ def test_pieces_of_a_capture_are_numbered_through_in_a_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("a", i + 1, i) for i in range(100)] + [("b", i + 1, i) for i in range(3)]
 
 
+def test_triggers_of_the_streamed_captures_stay_small_and_leave_the_session_as_it_was(spark, monkeypatch):
+    """Each trigger takes 100,000 bytes and the record that begins in them; its checkpoints go by rename."""
+    key, runs, start = "spark.sql.streaming.checkpointFileManagerClass", [], DataStreamWriter.start
+
+    def started(self, *args, **options):
+        runs.append((spark.conf.get(key, None), start(self, *args, **options)))
+        return runs[-1][1]
+
+    monkeypatch.setattr(DataStreamWriter, "start", started)
+    assert catalog.QUERIES["S1_streamed_captures"](spark, SF).count() == 1000
+    (manager, run), = runs
+    assert manager and manager.endswith("FileSystemBasedCheckpointFileManager") and spark.conf.get(key, None) is None
+    ends = [ast.literal_eval(p["sources"][0]["endOffset"]) for p in run.recentProgress if p["numInputRows"]]
+    taken = [sum(f["byte"] for f in end.values()) - 24 * len(end) for end in ends]
+    assert len(taken) > 1 and max(b - a for a, b in zip([0, *taken], taken, strict=False)) < 100_400
+
+
+def test_a_manager_of_checkpoints_that_the_session_names_stays(spark):
+    key, own = "spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager"
+    spark.conf.set(key, own)
+    try:
+        with streams.short_triggers(spark):
+            assert spark.conf.get(key) == own
+        assert spark.conf.get(key) == own
+    finally:
+        spark.conf.unset(key)
+    before = dict(spark.conf.getAll)
+    with pytest.raises(ZeroDivisionError), streams.short_triggers(spark):
+        assert dict(spark.conf.getAll) == before | streams.SHORT_TRIGGERS
+        1 / 0  # noqa: B018
+    assert dict(spark.conf.getAll) == before
+
+
 def test_a_batch_over_several_runs_of_a_piece():
     """A piece's bytes that follow other pieces' in number are read as ranges of their own."""
     reader = pcap._StreamReader("/x", 100)
